@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_rules
+from . import bpe, fingerprint, flac, mixing, pii, toxicity, url_rules, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,6 +28,38 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shard", "quota")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted over all documents; only rows that aren't held out give labels to the fit."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _joined(spans) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added over the whole texts of all documents."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature over all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", flac.padded_payload(F.col("text")).alias("payload"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    docs = docs.select(F.struct("doc_id", "n_bytes").alias("key"), "payload")
+    back = flac.decode(flac.encode(docs, "key", "payload"))
+    tail = F.substring("pcm", -64, 64)
+    return back.select(
+        "id.doc_id", "id.n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict over all pages: a host rule's verdict, else a pattern rule's, else allow."""
     rules = url_rules.rules_table(spark, url_rules.HOST_RULES + url_rules.PATTERN_RULES)
@@ -43,7 +75,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op7_url_filter, op8_bpe)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to over all pages, written to archives and read back."""
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.resolve_revisits(warc.read_archives(archives)).withColumnRenamed("kind", "record_type")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next over all documents."""
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_toxicity, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
 
 _URL_PARTS = r"""
 parsed AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -51,6 +94,15 @@ parts AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*
                  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parsed)"""
 
 ORACLES: dict[str, str] = {
+    "op9_warc": """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+owned AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM hashed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM owned""",
     "op7_url_filter": rf"""
 WITH {_URL_PARTS.strip()},
 ruled AS (SELECT *, CASE
