@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, flac, mixing, pii, toxicity, url_rules, warc
+from . import bpe, fingerprint, flac, mixing, ngram_join, pii, toxicity, url_rules, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,6 +37,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id over all documents."""
+    return ngram_join.link(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
@@ -86,7 +91,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_toxicity, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_toxicity, op4_ngram_join, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
 
 _URL_PARTS = r"""
 parsed AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
