@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, flac, mixing, ngram_join, pii, toxicity, url_rules, warc
+from . import bpe, fingerprint, flac, line_dedup, mixing, ngram_join, pii, toxicity, url_rules, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the blocks of earlier documents, n_lines, n_deleted over all documents."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_deleted")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken over all documents; source, shard and quota follow."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -91,7 +96,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_toxicity, op4_ngram_join, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_ngram_join, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
 
 _URL_PARTS = r"""
 parsed AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
