@@ -1,8 +1,105 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, line dedup, near duplicates, mixing, encoding; each stage written and read again.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns the columns of documents (the last one its encodings), working on all
+that its predecessor kept:
+
+* toxicity: a classifier fitted on all labelled rows scores every text; rows with a score of 0.5 or more go. Null and
+  empty texts are scored like texts without any n-gram.
+* line_dedup: blocks of 50 words or more that an earlier document has go from a text, and n_chars is counted anew. A
+  document of which nothing is left goes; texts that were empty or null before stay.
+* near_duplicates: of each component of texts that share 3/4 of their 5-word shingles the document with the smallest
+  doc_id stays. Repeated rows of one doc_id become one row; rows with a null doc_id stay.
+* mixing: each source's share is brought to its target. A document of which the mix takes k whole rounds is k rows; where
+  it takes a part of a round, a row with so many words of the text's start follows. What it takes nothing of goes.
+* encoding: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and ids_sha256 of every row.
+
+Extra columns of documents pass through the filtering stages. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stereolake.llm import bpe, line_dedup, mixing, ngram_join, queries, toxicity
+from stereolake.llm.common import WORD, map_slices, materialize
+
+SEED = 7
+
+
+def _row(docs: DataFrame) -> F.Column:
+    return F.struct(*[docs[c] for c in docs.columns])
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, changed: dict[str, F.Column] | None = None) -> DataFrame:
+    """The columns of docs out of the struct `row`, some of them changed."""
+    changed = changed or {}
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    scored = toxicity.score(docs.select(_row(docs).alias("row"), docs["text"].alias("scored_text")), model, "row", "scored_text")
+    return _unpacked(scored.where("score < 0.5").withColumnRenamed("id", "row"), docs)
+
+
+def drop_shared_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(docs).where("n_deleted = 0 OR trim(text) <> ''")
+    n_chars = F.when(F.col("n_deleted") == 0, F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    return _unpacked(cleaned, docs, {"text": F.col("text"), "n_chars": n_chars})
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = ngram_join.link(docs).where("id = component_id").select(F.col("id").alias("kept_id")).distinct()
+    rows = docs.select(_row(docs).alias("row"), docs["doc_id"].alias("key"))
+    kept = rows.join(first, rows["key"] == first["kept_id"], "left_semi").dropDuplicates(["key"])
+    return _unpacked(kept.select("row").unionByName(rows.where("key IS NULL").select("row")), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    place = F.xxhash64(F.lit(SEED), docs["doc_id"], docs["source"], docs["text"])
+    rows = docs.select(_row(docs).alias("row"), place.alias("place"), docs["source"].alias("source"), docs["text"].alias("text"))
+    taken = mixing.mix(rows, "place", "source", "text", seed=SEED).where("taken > 0")
+    taken = taken.groupBy(F.col("id").alias("taken_place")).agg(F.first("size").alias("size"), F.first("taken").alias("taken"))
+    joined = rows.select("row", "place").join(taken, F.col("place") == F.col("taken_place"))
+    rounds = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = F.col("taken") - rounds * F.col("size")
+    words = F.concat(F.array_repeat(F.col("size"), rounds), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    parts = joined.select("row", F.col("row")["text"].alias("text"), "size", F.explode(words).alias("words"))
+
+    def first_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, size, n in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "words"))):
+            if n < size:
+                text = text[: next(m.end() for k, m in enumerate(_WORD.finditer(text), 1) if k == n)]
+            texts.append(text)
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    cut = map_slices(parts, first_words, "text", f"row {dict(parts.dtypes)['row']}, text string")
+    return _unpacked(cut, docs, {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)})
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = docs.select(F.struct("doc_id", "source").alias("key"), "text")
+    encoded = bpe.encode(keyed, "key", "text", queries.tokenizer_path())
+    return encoded.select("id.doc_id", "id.source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+_WORD = re.compile(WORD)
+
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_shared_blocks), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("encoding", encode_texts)]
+
+#: SQL expresses neither a fitted classifier nor patience diff; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs
