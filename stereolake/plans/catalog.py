@@ -1,6 +1,776 @@
-"""The registered queries of the reconstruction engine and the SQL each is held against."""
+"""The registered queries of the reconstruction engine and the SQL each is held against.
+
+Every query runs over whole tables through the views of `fixtures`; outputs are rounded on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import alignment, calibration, masks, matching, trajectory, voxels
+from ..sources import files, tables
+from ..streaming import streams
+from .fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+P0 = [[900.0, 0.0, 640.0, 0.0], [0.0, 900.0, 360.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+P1 = [[900.0, 0.0, 640.0, -90000.0], [0.0, 900.0, 360.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+#: The rig at a tenth of its resolution, 128 x 72 pixels, for masks.
+SMALL = [[[90.0, 0.0, 64.0, 0.0], [0.0, 90.0, 36.0, 0.0], [0.0, 0.0, 1.0, 0.0]], [[90.0, 0.0, 64.0, -9000.0], [0.0, 90.0, 36.0, 0.0], [0.0, 0.0, 1.0, 0.0]]]
+#: Fundamental matrix of the rig: x1' F x0 = 0 for a shift along x.
+RIG_F = [[0.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, -1.0, 0.0]]
+BOX, SIZE = ((-200, 200), (-120, 120), (400, 700)), 20.0
+WIDTH, HEIGHT = 1280, 720
+EDGES = (("click", "view"), ("view", "purchase"), ("login", "logout"), ("click", "purchase"), ("purchase", "error"), ("click", "nothing"))
+MIN_CONF = 0.35
+
+
+def query(sql: str | None = None, *views: str, more: str = ""):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = with_views(sql, *views, more=more)
+        return fn
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- matching and triangulation
+
+
+@query("""SELECT a.session, a.frame_idx, a.name, round(a.px, 6) AS x0, round(a.py, 6) AS y0, round(b.px, 6) AS x1, round(b.py, 6) AS y1, round(least(a.confidence, b.confidence), 6) AS confidence
+FROM kp2d a JOIN kp2d b ON a.session = b.session AND a.frame_idx = b.frame_idx AND a.name = b.name WHERE a.camera = 0 AND b.camera = 1""", "kp2d")
+def match_views(spark, sf):
+    return rounded(trajectory.match_views(view(spark, sf, "kp2d")))
+
+
+@query("""SELECT session, camera, frame_idx, name FROM kp2d a WHERE NOT EXISTS (SELECT 1 FROM kp2d b WHERE a.session = b.session AND a.frame_idx = b.frame_idx AND a.name = b.name AND a.camera <> b.camera)""", "kp2d")
+def unmatched_keypoints(spark, sf):
+    return trajectory.unmatched(view(spark, sf, "kp2d")).select("session", "camera", "frame_idx", "name")
+
+
+@query("""SELECT a.session, a.frame_idx FROM (SELECT DISTINCT session, frame_idx FROM kp2d WHERE camera = 0) a
+JOIN (SELECT session, max(frame_idx) AS last FROM kp2d WHERE camera = 1 GROUP BY session) b ON a.session = b.session AND a.frame_idx <= b.last""", "kp2d")
+def pair_frames(spark, sf):
+    kp = view(spark, sf, "kp2d")
+    ends = kp.groupBy("session", "camera").agg(F.max("frame_idx").alias("last")).groupBy("session").agg(F.min("last").alias("last"), F.count(F.lit(1)).alias("views")).where("views = 2")
+    return kp.where("camera = 0").select("session", "frame_idx").distinct().join(ends, "session").where("frame_idx <= last").select("session", "frame_idx")
+
+
+@query("""SELECT f.session, t.frame_idx, count(k.name) AS n_points FROM frames f JOIN (SELECT DISTINCT session, frame_idx FROM truth3d) t ON f.session = t.session
+LEFT JOIN (SELECT * FROM kp2d WHERE camera = 1) k ON k.session = t.session AND k.frame_idx = t.frame_idx GROUP BY f.session, t.frame_idx""", "kp2d", "frames")
+def lookup_frames(spark, sf):
+    spine = view(spark, sf, "frames").select("session", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_idx"))
+    seen = view(spark, sf, "kp2d").where("camera = 1")
+    return spine.join(seen, ["session", "frame_idx"], "left").groupBy("session", "frame_idx").agg(F.count("name").alias("n_points"))
+
+
+@query("""SELECT session, event_id, round(CASE WHEN z <= 0 THEN -1e9 ELSE (90 * x + 64 * z - 9000) / z END, 6) AS u, round(CASE WHEN z <= 0 THEN -1e9 ELSE (90 * y + 36 * z) / z END, 6) AS v,
+(90 * x + 64 * z - 9000) / z >= 0 AND (90 * x + 64 * z - 9000) / z < 128 AND (90 * y + 36 * z) / z >= 0 AND (90 * y + 36 * z) / z < 72 AS inside FROM truth3d""", "truth3d")
+def project_points(spark, sf):
+    u, v, _ = g.project(SMALL[1], F.col("x"), F.col("y"), F.col("z"))
+    return rounded(view(spark, sf, "truth3d").select("session", "event_id", u.alias("u"), v.alias("v")).withColumn("inside", g.in_image(F.col("u"), F.col("v"), 128, 72)))
+
+
+TRIANGULATED = "tri AS (SELECT session, frame_idx, name, x, y, z, least(1 - CAST(event_id % 10 AS DOUBLE) / 10, 1 - CAST(event_id % 7 AS DOUBLE) / 10) AS confidence, 0.0E0 AS reproj_err FROM truth3d WHERE event_id % 13 <> 0 AND event_id % 11 <> 0 AND least(1 - CAST(event_id % 10 AS DOUBLE) / 10, 1 - CAST(event_id % 7 AS DOUBLE) / 10) >= 0.35E0)"
+
+
+def _triangulated(spark, sf):
+    return trajectory.triangulate_keypoints(view(spark, sf, "kp2d"), P0, P1, MIN_CONF)
+
+
+@query("SELECT session, frame_idx, name, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(confidence, 4) AS confidence, round(reproj_err, 4) AS reproj_err FROM tri", "truth3d", more=TRIANGULATED)
+def triangulate_keypoints(spark, sf):
+    clean = _triangulated(spark, sf)
+    return rounded(clean.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in clean.dtypes]).withColumns({v: F.col(v) + 0.0 for v in "xyz"}), 4)
+
+
+@query("""SELECT t.session, t.event_id, k.camera, round(sqrt(power(t.x / t.z * 900 + 640 - CASE WHEN k.camera = 1 THEN 90000 / t.z ELSE 0 END - k.px, 2) + power(t.y / t.z * 900 + 360 - k.py, 2)), 4) AS err
+FROM truth3d t JOIN kp2d k ON t.event_id = k.event_id""", "kp2d")
+def reprojection_errors(spark, sf):
+    both = view(spark, sf, "truth3d").select("session", "event_id", "x", "y", "z").join(view(spark, sf, "kp2d").select("event_id", "camera", "px", "py"), "event_id")
+    e = [g.reprojection_error(p, F.col("x"), F.col("y"), F.col("z"), F.col("px"), F.col("py")) for p in (P0, P1)]
+    return both.select("session", "event_id", "camera", F.round(F.when(F.col("camera") == 0, e[0]).otherwise(e[1]), 4).alias("err"))
+
+
+GAPS = """SELECT *, lead(frame_idx) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, lead(confidence) OVER w AS nc
+FROM {0} WINDOW w AS (PARTITION BY session, name ORDER BY frame_idx)"""
+FILLED = """SELECT session, name, frame_idx, x, y, z, confidence, reproj_err FROM {0} UNION ALL
+SELECT session, name, frame_idx + k AS frame_idx, x + CAST(k AS DOUBLE) / (nf - frame_idx) * (nx - x) AS x, y + CAST(k AS DOUBLE) / (nf - frame_idx) * (ny - y) AS y,
+z + CAST(k AS DOUBLE) / (nf - frame_idx) * (nz - z) AS z, 0.8E0 * least(confidence, nc) AS confidence, 0.0E0 AS reproj_err
+FROM {1} CROSS JOIN range(1, 11) r(k) WHERE nf - frame_idx - 1 BETWEEN 1 AND 10 AND k < nf - frame_idx"""
+STATS = """SELECT s.session, s.name, round(CAST(n_detected AS DOUBLE) / n_frames, 6) AS detection_rate, n_detected, round(mean_repr_err, 4) AS mean_repr_err, round(max_repr_err, 4) AS max_repr_err
+FROM (SELECT session, name, count(DISTINCT frame_idx) AS n_detected, coalesce(avg(CASE WHEN reproj_err > 0 THEN reproj_err END), 0) AS mean_repr_err, coalesce(max(CASE WHEN reproj_err > 0 THEN reproj_err END), 0) AS max_repr_err
+      FROM {0} GROUP BY session, name) s JOIN frames f ON s.session = f.session"""
+
+
+def _stats(df, digits=6):
+    return df.select("session", "name", F.round("detection_rate", 6).alias("detection_rate"), "n_detected", F.round("mean_repr_err", 4).alias("mean_repr_err"), F.round("max_repr_err", 4).alias("max_repr_err"))
+
+
+@query(STATS.format("filled"), "frames", "truth3d", more=f"{TRIANGULATED}, gapped AS ({GAPS.format('tri')}), filled AS ({FILLED.format('tri', 'gapped')})")
+def reconstruct_stats(spark, sf):
+    """The whole run: match, triangulate, filter, smooth, fill, summarise."""
+    frames = view(spark, sf, "frames")
+    points = tables.cut(_triangulated(spark, sf), "kp3d")  # smoothing reads it four times
+    return _stats(trajectory.stats(trajectory.fill_gaps(trajectory.smooth(points, frames)), frames))
+
+
+# ---------------------------------------------------------------- trajectories
+
+_KERNEL = "kern AS (SELECT k, exp(-CAST(k * k AS DOUBLE) / 4.5E0) AS w FROM range(-6, 7) r(k))"
+_MIRROR = "((({0}) % (2 * n_frames)) + 2 * n_frames) % (2 * n_frames)"
+SMOOTHED = f"""SELECT p.session, p.name, p.frame_idx, round(sum(w * v.x) / sum(w), 4) AS x, round(sum(w * v.y) / sum(w), 4) AS y, round(sum(w * v.z) / sum(w), 4) AS z
+FROM (SELECT a.session, name, frame_idx, w, CASE WHEN {_MIRROR.format('frame_idx + k')} < n_frames THEN {_MIRROR.format('frame_idx + k')} ELSE 2 * n_frames - 1 - {_MIRROR.format('frame_idx + k')} END AS src
+      FROM kp3d a JOIN frames f ON a.session = f.session CROSS JOIN kern) p
+JOIN kp3d v ON p.session = v.session AND p.name = v.name AND p.src = v.frame_idx GROUP BY p.session, p.name, p.frame_idx"""
+
+
+@query(SMOOTHED, "kp3d", "frames", more=_KERNEL)
+def smooth_trajectory(spark, sf):
+    out = trajectory.smooth(view(spark, sf, "kp3d"), view(spark, sf, "frames"))
+    return rounded(out.select("session", "name", "frame_idx", "x", "y", "z"), 4)
+
+
+@query("SELECT session, name, frame_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(confidence, 6) AS confidence, round(reproj_err, 6) AS reproj_err FROM filled", "kp3d", more=f"gapped AS ({GAPS.format('kp3d')}), filled AS ({FILLED.format('kp3d', 'gapped')})")
+def fill_gaps(spark, sf):
+    return rounded(trajectory.fill_gaps(view(spark, sf, "kp3d")))
+
+
+@query("SELECT session, name, frame_idx + 1 AS first_missing, nf - 1 AS last_missing, nf - frame_idx - 1 AS gap FROM gapped WHERE nf - frame_idx > 1", "kp3d", more=f"gapped AS ({GAPS.format('kp3d')})")
+def gap_report(spark, sf):
+    return trajectory.gap_report(view(spark, sf, "kp3d"))
+
+
+@query("""SELECT n.session, n.name, t.frame_idx, k.x, k.y, k.z FROM (SELECT DISTINCT session, name FROM kp3d) n JOIN truth3d t ON n.session = t.session
+LEFT JOIN kp3d k ON k.session = n.session AND k.name = n.name AND k.frame_idx = t.frame_idx""", "kp3d")
+def dense_trajectory(spark, sf):
+    return trajectory.dense(view(spark, sf, "kp3d"), view(spark, sf, "frames")).select("session", "name", "frame_idx", "x", "y", "z")
+
+
+@query(STATS.format("kp3d"), "kp3d", "frames")
+def trajectory_stats(spark, sf):
+    return _stats(trajectory.stats(view(spark, sf, "kp3d"), view(spark, sf, "frames")))
+
+
+@query("SELECT session, min(x) - 50 AS x_min, max(x) + 50 AS x_max, min(y) - 50 AS y_min, max(y) + 50 AS y_max, min(z) - 50 AS z_min, max(z) + 50 AS z_max FROM kp3d GROUP BY session", "kp3d")
+def world_bounds(spark, sf):
+    return trajectory.world_bounds(view(spark, sf, "kp3d"))
+
+
+@query("SELECT session, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT session, name FROM kp3d) q GROUP BY session", "kp3d")
+def vocabulary(spark, sf):
+    return trajectory.vocabulary(view(spark, sf, "kp3d"))
+
+
+@query("SELECT f.session, round(CAST(coalesce(n, 0) AS DOUBLE) / n_frames, 6) AS rate FROM frames f LEFT JOIN (SELECT session, count(DISTINCT frame_idx) AS n FROM kp3d GROUP BY session) k ON f.session = k.session", "kp3d", "frames")
+def detection_rate(spark, sf):
+    return rounded(trajectory.detection_rate(view(spark, sf, "kp3d"), view(spark, sf, "frames")))
+
+
+@query("SELECT session, frame_idx, count(DISTINCT name) AS n_visible FROM kp3d WHERE confidence > 0.5E0 GROUP BY session, frame_idx", "kp3d")
+def visible_joints(spark, sf):
+    return trajectory.visible_joints(view(spark, sf, "kp3d"), 0.5)
+
+
+_EDGE_ROWS = "edges(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ")"
+
+
+def _edges(spark):
+    return spark.createDataFrame(list(EDGES), "a string, b string")
+
+
+@query("""SELECT x.session, e.a, e.b, x.idx AS ia, y.idx AS ib FROM edges e JOIN idx x ON e.a = x.name JOIN idx y ON e.b = y.name AND x.session = y.session""", "kp3d",
+       more=f"{_EDGE_ROWS}, idx AS (SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT session, name FROM kp3d) q)")
+def edge_index(spark, sf):
+    return trajectory.edge_index(_edges(spark), trajectory.names_indexed(view(spark, sf, "kp3d")))
+
+
+@query("""SELECT p.session, p.frame_idx, e.a, e.b, round(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)), 4) AS length
+FROM edges e JOIN filled p ON e.a = p.name JOIN filled q ON e.b = q.name AND p.session = q.session AND p.frame_idx = q.frame_idx WHERE p.confidence > 0.1E0 AND q.confidence > 0.1E0""",
+       "kp3d", more=f"{_EDGE_ROWS}, gapped AS ({GAPS.format('kp3d')}), filled AS ({FILLED.format('kp3d', 'gapped')})")
+def bones(spark, sf):
+    return rounded(trajectory.bones(trajectory.fill_gaps(view(spark, sf, "kp3d")), _edges(spark)), 4)
+
+
+@query("SELECT session, frame_idx, name, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(CAST(trunc(CAST(frame_idx AS DOUBLE) / 30 * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS event_time FROM kp3d", "kp3d")
+def frame_time(spark, sf):
+    return streams.with_event_time(view(spark, sf, "kp3d")).select("session", "frame_idx", "name", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"))
+
+
+@query("SELECT session, name, frame_idx - 20 AS frame_idx, x FROM kp3d WHERE frame_idx >= 20 AND frame_idx < 50", "kp3d")
+def frame_range(spark, sf):
+    return view(spark, sf, "kp3d").where("frame_idx >= 20 AND frame_idx < 50").select("session", "name", (F.col("frame_idx") - 20).alias("frame_idx"), "x")
+
+
+# ---------------------------------------------------------------- correspondences and estimates
+
+
+def _matches(spark, sf):
+    return trajectory.match_views(view(spark, sf, "kp2d"))
+
+
+_MATCHES = "m AS (SELECT a.session, a.frame_idx, a.event_id, a.px AS x0, a.py AS y0, b.px AS x1, b.py AS y1 FROM kp2d a JOIN kp2d b ON a.event_id = b.event_id AND a.camera = 0 AND b.camera = 1)"
+
+
+@query("""SELECT session, count(*) FILTER (WHERE s < 2.25E0) AS n_inliers, round(CAST(count(*) FILTER (WHERE s < 2.25E0) AS DOUBLE) / count(*), 6) AS inlier_ratio,
+round(coalesce(avg(s) FILTER (WHERE s < 2.25E0), 0), 4) AS mean_sampson FROM (SELECT *, power(y1 - y0, 2) / 2 AS s FROM m) q GROUP BY session""", "kp2d", more=_MATCHES)
+def sampson_stats(spark, sf):
+    out = matching.sampson_stats(_matches(spark, sf), RIG_F, ["session"])
+    return out.select("session", "n_inliers", F.round("inlier_ratio", 6).alias("inlier_ratio"), F.round("mean_sampson", 4).alias("mean_sampson"))
+
+
+@query("SELECT session, round(avg(abs(y1 - y0)), 4) AS mean_px, round(max(abs(y1 - y0)), 4) AS max_px, count(*) FILTER (WHERE abs(y1 - y0) > 2) AS n_over FROM m GROUP BY session", "kp2d", more=_MATCHES)
+def epipolar_error(spark, sf):
+    return rounded(matching.epipolar_stats(_matches(spark, sf), RIG_F, ["session"]), 4)
+
+
+_QUALITY = "q AS (SELECT *, 0.35E0 * least(n_inliers / 300.0E0, 1.0E0) + 0.35E0 * inlier_ratio + 0.30E0 * exp(-mean_sampson / 0.5E0) AS quality FROM f_scores)"
+
+
+def _quality(spark, sf):
+    return matching.with_quality(view(spark, sf, "f_scores"))
+
+
+@query("SELECT session, frame_idx, round(quality, 6) AS quality, row_number() OVER (PARTITION BY session ORDER BY quality DESC, frame_idx) AS place FROM q", "f_scores", more=_QUALITY)
+def estimate_quality(spark, sf):
+    order = Window.partitionBy("session").orderBy(F.col("quality").desc(), "frame_idx")
+    return rounded(_quality(spark, sf).select("session", "frame_idx", "quality", F.row_number().over(order).alias("place")))
+
+
+@query("SELECT session, frame_idx, n_inliers FROM f_scores WHERE n_inliers >= 80 AND inlier_ratio >= 0.25E0", "f_scores")
+def accept_estimates(spark, sf):
+    return matching.accept(view(spark, sf, "f_scores")).select("session", "frame_idx", "n_inliers")
+
+
+@query("SELECT session, frame_idx FROM (SELECT *, count(*) FILTER (WHERE quality >= 0.5E0) OVER (PARTITION BY session) AS good FROM q) z WHERE quality >= CASE WHEN good >= 30 THEN 0.5E0 ELSE 0.2E0 END", "f_scores", more=_QUALITY)
+def filter_quality(spark, sf):
+    return matching.filter_quality(_quality(spark, sf), 0.5, 0.2, 30).select("session", "frame_idx")
+
+
+@query("SELECT session, max_by(frame_idx, quality) AS frame_idx, round(max(quality), 6) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY quality DESC, frame_idx) AS r FROM q) z WHERE r = 1 GROUP BY session", "f_scores", more=_QUALITY)
+def best_estimate(spark, sf):
+    best = F.max(F.struct("quality", (-F.col("frame_idx")).alias("f"))).alias("b")
+    return rounded(_quality(spark, sf).groupBy("session").agg(best).select("session", (-F.col("b.f")).alias("frame_idx"), "b.quality"))
+
+
+@query()
+def diverse_top_n(spark, sf):
+    return matching.diverse_top_n(_quality(spark, sf), 20, 60)
+
+
+@query("SELECT session, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY frame_idx) AS r FROM f_scores WHERE n_inliers >= 80) z WHERE r <= 40", "f_scores")
+def take_first_estimates(spark, sf):
+    return matching.take_first(view(spark, sf, "f_scores").where("n_inliers >= 80"), 40).select("session", "frame_idx")
+
+
+@query("SELECT session, frame_idx, name FROM kp3d WHERE frame_idx >= 10 AND (frame_idx - 10) % 5 = 0", "kp3d")
+def sample_frames(spark, sf):
+    return matching.sampled(view(spark, sf, "kp3d"), 5, 10).select("session", "frame_idx", "name")
+
+
+@query("""SELECT session, event_id, cell_row, cell_col FROM (SELECT *, row_number() OVER (PARTITION BY session, cell_row, cell_col ORDER BY event_id) AS r FROM (
+SELECT session, event_id, CAST(least(trunc(px / 320), 3) AS INT) AS cell_col, CAST(least(trunc(py / 180), 3) AS INT) AS cell_row FROM kp2d WHERE camera = 0) a) b WHERE r <= 3""", "kp2d")
+def grid_cap(spark, sf):
+    rows = view(spark, sf, "kp2d").where("camera = 0").select("session", "event_id", F.col("px").alias("x0"), F.col("py").alias("y0"))
+    return matching.grid_cap(rows, ["session"], "event_id", WIDTH, HEIGHT, cap=3).select("session", "event_id", "cell_row", "cell_col")
+
+
+@query("""SELECT frame_idx, id0, id1, round(dist, 4) AS dist FROM (
+SELECT *, lead(dist) OVER (PARTITION BY frame_idx, id0 ORDER BY dist, id1) AS second, row_number() OVER (PARTITION BY frame_idx, id0 ORDER BY dist, id1) AS r FROM (
+SELECT a.frame_idx, a.desc_id AS id0, b.desc_id AS id1, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(CAST(a.d[i] AS DOUBLE) - CAST(b.d[i] AS DOUBLE), 2)))) AS dist
+FROM descriptors a JOIN descriptors b ON a.frame_idx = b.frame_idx AND a.camera = 0 AND b.camera = 1
+JOIN (SELECT frame_idx FROM descriptors GROUP BY frame_idx HAVING count(*) FILTER (WHERE camera = 0) >= 20 AND count(*) FILTER (WHERE camera = 1) >= 20) k ON k.frame_idx = a.frame_idx) p) q
+WHERE r = 1 AND dist < 0.95E0 * second""", "descriptors")
+def match_descriptors(spark, sf):
+    return rounded(matching.match_descriptors(view(spark, sf, "descriptors"), ["frame_idx"], 0.95).select("frame_idx", "id0", "id1", "dist"), 4)
+
+
+@query()
+def correspondence_pipeline(spark, sf):
+    """Descriptor matches, capped by cell, and a robust fundamental matrix for each frame of enough matches."""
+    found = matching.match_descriptors(view(spark, sf, "descriptors"), ["frame_idx"], 0.99)
+    capped = matching.grid_cap(found, ["frame_idx"], "id0", WIDTH, HEIGHT)
+    out = matching.estimate_fundamental(capped, ["frame_idx"])
+    return rounded(out.select("frame_idx", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson"), 4)
+
+
+@query("""SELECT session, count(*) AS n_matches, CAST(0 AS BIGINT) + 1 = 1 AS found FROM m WHERE event_id % 11 <> 0 GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)
+def estimate_fundamental(spark, sf):
+    """A robust matrix for each session's exact matches; found where nine tenths of them fit it."""
+    kp = view(spark, sf, "kp2d").where("event_id % 11 <> 0")
+    out = matching.estimate_fundamental(trajectory.match_views(kp).select("session", "x0", "y0", "x1", "y1"), ["session"])
+    return out.select("session", "n_matches", (F.col("inlier_ratio") > 0.9).alias("found"))
+
+
+# ---------------------------------------------------------------- self-calibration
+
+
+def _estimates(spark, sf):
+    return matching.with_quality(view(spark, sf, "f_est"))
+
+
+def _mm(a: str, b: str, n: str, terms) -> str:
+    return ", ".join(f"{' + '.join(terms(i, j))} AS {n}{i}{j}" for i in range(3) for j in range(3))
+
+
+_K = [["f", "0.0E0", "640.0E0"], ["0.0E0", "f", "360.0E0"], ["0.0E0", "0.0E0", "1.0E0"]]
+_SCAN_STEPS = 60
+_SCAN = f"""w AS (SELECT *, 0.35E0 * least(n_inliers / 300.0E0, 1.0E0) + 0.35E0 * inlier_ratio + 0.30E0 * exp(-mean_sampson / 0.5E0) AS quality FROM f_est),
+grid AS (SELECT sqrt(1280.0E0 * 1280 + 720.0E0 * 720) * (0.4E0 + 3.1E0 * i / {_SCAN_STEPS - 1}) AS f FROM range(0, {_SCAN_STEPS}) r(i)),
+fk AS (SELECT session, quality, f, {_mm('', '', 'g', lambda i, j: [f'f{i}{k} * {_K[k][j]}' for k in range(3)])} FROM w CROSS JOIN grid),
+es AS (SELECT session, quality, f, {_mm('', '', 'e', lambda i, j: [f'{_K[k][i]} * g{k}{j}' for k in range(3)])} FROM fk),
+un AS (SELECT session, quality, f, {', '.join(f'e{i}{j} / n AS e{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT *, sqrt({' + '.join(f'e{i}{j} * e{i}{j}' for i in range(3) for j in range(3))}) AS n FROM es) q),
+sy AS (SELECT *, {_mm('', '', 's', lambda i, j: [f'e{i}{k} * e{j}{k}' for k in range(3)])} FROM un),
+tr AS (SELECT *, {_mm('', '', 'c', lambda i, j: [f'2 * s{i}{k} * e{k}{j}' for k in range(3)] + [f'-(s00 + s11 + s22) * e{i}{j}'])} FROM sy),
+scan AS (SELECT session, f, sum(quality * sqrt({' + '.join(f'c{i}{j} * c{i}{j}' for i in range(3) for j in range(3))})) / sum(quality) AS cost FROM tr GROUP BY session, f)"""
+
+
+@query("SELECT session, round(f, 4) AS f, round(cost, 6) AS cost FROM scan", "f_est", more=_SCAN)
+def focal_scan(spark, sf):
+    out = calibration.focal_scan(_estimates(spark, sf), WIDTH, HEIGHT, _SCAN_STEPS)
+    return out.select("session", F.round("f", 4).alias("f"), F.round("cost", 6).alias("cost"))
+
+
+@query("SELECT session, round(arg_min(f, cost), 4) AS f, round(min(cost), 6) AS cost FROM scan GROUP BY session", "f_est", more=_SCAN)
+def best_focal(spark, sf):
+    return calibration.best_focal(calibration.focal_scan(_estimates(spark, sf), WIDTH, HEIGHT, _SCAN_STEPS)).select("session", F.round("f", 4).alias("f"), F.round("cost", 6).alias("cost"))
+
+
+@query("SELECT DISTINCT session, 900.0E0 AS f FROM f_est", "f_est")
+def focal_refine(spark, sf):
+    """Exact estimates of a camera of 900 pixels: the refined focal length, to the pixel."""
+    return calibration.focal_refine(_estimates(spark, sf), WIDTH, HEIGHT, _SCAN_STEPS).select("session", F.round("f", 0).alias("f"))
+
+
+@query("""SELECT q.session, q.enough, degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) > 20 AND degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) < 160 AS fov_ok, b.cost < 0.05E0 AS residual_ok
+FROM (SELECT session, count(*) FILTER (WHERE quality >= 0.4E0) >= 20 AS enough FROM w GROUP BY session) q JOIN (SELECT session, arg_min(f, cost) AS f, min(cost) AS cost FROM scan GROUP BY session) b ON q.session = b.session""", "f_est", more=_SCAN)
+def quality_gates(spark, sf):
+    estimates = _estimates(spark, sf)
+    return calibration.gates(estimates, calibration.best_focal(calibration.focal_scan(estimates, WIDTH, HEIGHT, _SCAN_STEPS)), WIDTH, HEIGHT)
+
+
+@query("""SELECT session, concat_ws('; ', CASE WHEN NOT enough THEN 'record more frame pairs' END, CASE WHEN NOT fov_ok THEN 'check the image size' END, CASE WHEN NOT residual_ok THEN 'check rectification and synchrony' END) AS advice
+FROM (SELECT session, count(*) FILTER (WHERE inlier_ratio >= 0.6E0) >= 25 AS enough, true AS fov_ok, avg(mean_sampson) < 1.5E0 AS residual_ok FROM f_scores GROUP BY session) z""", "f_scores")
+def calibration_advice(spark, sf):
+    gated = view(spark, sf, "f_scores").groupBy("session").agg((F.count_if(F.col("inlier_ratio") >= 0.6) >= 25).alias("enough"), F.lit(True).alias("fov_ok"), (F.avg("mean_sampson") < 1.5).alias("residual_ok"))
+    return calibration.advice(gated)
+
+
+@query("""SELECT session, round(abs(f0 - f1) / f1 * 100, 6) AS diff_pct, CASE WHEN abs(f0 - f1) / f1 * 100 < 2 THEN 'excellent' WHEN abs(f0 - f1) / f1 * 100 < 5 THEN 'good' WHEN abs(f0 - f1) / f1 * 100 < 10 THEN 'fair' ELSE 'poor' END AS agreement FROM calib""", "calib")
+def compare_calibrations(spark, sf):
+    c = view(spark, sf, "calib")
+    return rounded(calibration.compare(c.select("session", F.col("f0").alias("f")), c.select("session", F.col("f1").alias("f"))))
+
+
+@query("SELECT session, round(sqrt(tx * tx + ty * ty + tz * tz), 6) AS baseline, rms_stereo > 1.5E0 AS poor FROM calib", "calib")
+def stereo_baseline(spark, sf):
+    return rounded(calibration.baseline(view(spark, sf, "calib")))
+
+
+@query("""SELECT session, 0 AS camera, [f0, 0, cx, 0, 0, f0, cy, 0, 0, 0, 1, 0] AS p FROM calib UNION ALL
+SELECT session, 1 AS camera, [f1, 0, cx, f1 * tx + cx * tz, 0, f1, cy, f1 * ty + cy * tz, 0, 0, 1, tz] AS p FROM calib""", "calib")
+def raw_projections(spark, sf):
+    return calibration.raw_projections(view(spark, sf, "calib"))
+
+
+@query("SELECT session, round(quantile_cont(x, 0.98) - quantile_cont(x, 0.02), 4) AS span_x, round(quantile_cont(y, 0.98) - quantile_cont(y, 0.02), 4) AS span_y, round(quantile_cont(z, 0.98) - quantile_cont(z, 0.02), 4) AS span_z FROM kp3d GROUP BY session", "kp3d")
+def robust_span(spark, sf):
+    return rounded(calibration.robust_span(view(spark, sf, "kp3d")), 4)
+
+
+@query("""SELECT session, round(median(r), 6) AS scale, round(sqrt(median(r)), 6) AS focal_factor FROM (SELECT session, unnest([600 / nullif(quantile_cont(x, 0.98) - quantile_cont(x, 0.02), 0), 400 / nullif(quantile_cont(y, 0.98) - quantile_cont(y, 0.02), 0), 300 / nullif(quantile_cont(z, 0.98) - quantile_cont(z, 0.02), 0)]) AS r
+FROM kp3d GROUP BY session) q GROUP BY session""", "kp3d")
+def metric_scale(spark, sf):
+    return rounded(calibration.metric_scale(calibration.robust_span(view(spark, sf, "kp3d")), (600, 400, 300)))
+
+
+@query("""SELECT session, event_id, true AS same_rotation, true AS same_direction FROM poses""", "poses")
+def essential_motion(spark, sf):
+    """Rotation and direction of motion out of each matrix, chosen by the points in front, are those it was made of."""
+    spots = spark.createDataFrame([(x, y, z) for x in (-1.0, 0.5, 1.0) for y in (-0.7, 0.6) for z in (4.0, 7.0)], "px double, py double, pz double")
+    pose = view(spark, sf, "poses")
+    ry = [[F.col("ca"), F.lit(0.0), F.col("sa")], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [-F.col("sa"), F.lit(0.0), F.col("ca")]]
+    rx = [[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.col("cb"), -F.col("sb")], [F.lit(0.0), F.col("sb"), F.col("cb")]]
+    r = g.matmul(ry, rx)
+    moved = g.rigid(r, [F.col("tx"), F.col("ty"), F.col("tz")], F.col("px"), F.col("py"), F.col("pz"))
+    seen = pose.crossJoin(F.broadcast(spots)).select("session", "event_id", (F.col("px") / F.col("pz") * 900 + 640).alias("x0"), (F.col("py") / F.col("pz") * 900 + 360).alias("y0"), (moved[0] / moved[2] * 900 + 640).alias("x1"), (moved[1] / moved[2] * 900 + 360).alias("y1"))
+    best = calibration.choose_motion(calibration.motions(view(spark, sf, "f_est"), 900.0, 640.0, 360.0), seen, 900.0, 640.0, 360.0)
+    truth = pose.select("session", "event_id", F.array(*[v for row in r for v in row]).alias("tr"), F.array("tx", "ty", "tz").alias("tt"), F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")).alias("n"))
+    near = lambda a, b, n: F.forall(F.zip_with(a, b, lambda p, q: F.abs(p - q / n) < 1e-5), lambda v: v)
+    return best.join(truth, ["session", "event_id"]).select("session", "event_id", near(F.col("r"), F.col("tr"), F.lit(1.0)).alias("same_rotation"), near(F.col("t"), F.col("tt"), F.col("n")).alias("same_direction"))
+
+
+# ---------------------------------------------------------------- alignment and distortion
+
+
+@query("SELECT session, count(*) AS n_points, 0.0E0 AS rmse, 10.0E0 AS t0, -20.0E0 AS t1, 30.0E0 AS t2, -1.0E0 AS r01, 1.0E0 AS r10, 1.0E0 AS r22 FROM align_points GROUP BY session HAVING count(*) >= 3", "align_points")
+def rigid_fit(spark, sf):
+    fit = alignment.rigid_fit(view(spark, sf, "align_points"))
+    return fit.select("session", "n_points", F.round(F.abs("rmse"), 3).alias("rmse"), *[F.round(F.col("t")[i], 4).alias(f"t{i}") for i in range(3)], *[F.round(F.col("r")[i], 6).alias(n) for i, n in ((1, "r01"), (3, "r10"), (8, "r22"))])
+
+
+@query("SELECT session, name, frame_idx, round(-y + 10, 4) AS ax, round(x - 20, 4) AS ay, round(z + 30, 4) AS az FROM kp3d WHERE session IN (SELECT session FROM align_points GROUP BY session HAVING count(*) >= 3)", "kp3d", "align_points")
+def align_trajectories(spark, sf):
+    moved = alignment.align_points(view(spark, sf, "kp3d"), alignment.rigid_fit(view(spark, sf, "align_points")))
+    return rounded(moved.select("session", "name", "frame_idx", "ax", "ay", "az"), 4)
+
+
+@query("""SELECT session, camera, label, round(CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(greatest((var_pop(x) + var_pop(y) - sqrt(power(var_pop(x) - var_pop(y), 2) + 4 * power(covar_pop(x, y), 2))) / 2, 0)) END, 4) AS rmse FROM edge_points GROUP BY session, camera, label""", "edge_points")
+def edge_line_rmse(spark, sf):
+    return rounded(view(spark, sf, "edge_points").groupBy("session", "camera", "label").agg(alignment.line_rmse("x", "y").alias("rmse")), 4)
+
+
+def _undistorted(rounds: int) -> str:
+    body = "SELECT session, label, pos, xd, yd, xd AS u, yd AS v FROM (SELECT session, label, pos, (x - 640) / 900.0E0 AS xd, (y - 360) / 900.0E0 AS yd FROM edge_points) q"
+    for _ in range(rounds):
+        body = f"SELECT session, label, pos, xd, yd, xd / s AS u, yd / s AS v FROM (SELECT *, 1 - 0.2E0 * (u * u + v * v) + 0.05E0 * power(u * u + v * v, 2) + 0.01E0 * power(u * u + v * v, 3) AS s FROM ({body}) a) b"
+    return f"SELECT session, label, pos, round(u * 900 + 640, 4) AS x, round(v * 900 + 360, 4) AS y FROM ({body}) z"
+
+
+@query(_undistorted(8), "edge_points")
+def undistort_points(spark, sf):
+    u, v = g.undistort_radial(F.col("x"), F.col("y"), 640, 360, 900, -0.2, 0.05, 0.01)
+    moved = view(spark, sf, "edge_points").select("session", "label", "pos", u.alias("u"), v.alias("v"))
+    return rounded(moved.withColumnsRenamed({"u": "x", "v": "y"}), 4)
+
+
+@query()
+def distortion_scan(spark, sf):
+    return rounded(alignment.distortion_scan(view(spark, sf, "edge_points"), 900.0, 640.0, 360.0, rounds=2), 6)
+
+
+@query("""SELECT session, camera, count(*) AS n_edges, min(n) AS fewest, count(*) >= 3 AND min(n) >= 4 AS ready FROM (SELECT session, camera, label, count(*) AS n FROM edge_points GROUP BY session, camera, label) q GROUP BY session, camera""", "edge_points")
+def edge_counts(spark, sf):
+    return alignment.edge_counts(view(spark, sf, "edge_points"))
+
+
+@query("SELECT session, count(*) FILTER (WHERE px0_x IS NOT NULL AND px1_x IS NOT NULL) AS n_usable, count(*) FILTER (WHERE px0_x IS NOT NULL AND px1_x IS NOT NULL) >= 4 AS enough FROM align_points GROUP BY session", "align_points")
+def usable_corners(spark, sf):
+    return alignment.usable_corners(view(spark, sf, "align_points"))
+
+
+_POSE = {"rvec": (0.0, 0.0, 0.0), "t": (5.0, -3.0, 900.0), "f": 900.0, "cx": 640.0, "cy": 360.0, "k1": -0.1, "k2": 0.01, "k3": 0.0}
+
+
+@query("""SELECT session, count(*) AS n, round(sqrt(avg(r * r)), 4) AS rmse FROM (
+SELECT session, unnest([u * (1 - 0.1E0 * r2 + 0.01E0 * r2 * r2) * 900 + 640 - px0_x, v * (1 - 0.1E0 * r2 + 0.01E0 * r2 * r2) * 900 + 360 - px0_y]) AS r FROM (
+  SELECT *, u * u + v * v AS r2 FROM (SELECT *, (arena_x + 5) / (arena_z + 900) AS u, (arena_y - 3) / (arena_z + 900) AS v FROM align_points WHERE px0_x IS NOT NULL AND px1_x IS NOT NULL) a) b
+UNION ALL SELECT session, 0.3E0 * CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(greatest((var_pop(x) + var_pop(y) - sqrt(power(var_pop(x) - var_pop(y), 2) + 4 * power(covar_pop(x, y), 2))) / 2, 0)) END AS r
+FROM flat GROUP BY session, camera, label) q GROUP BY session""", "align_points", "edge_points", more="flat AS (" + _undistorted(8).replace("1 - 0.2E0 * (u * u + v * v) + 0.05E0 * power(u * u + v * v, 2) + 0.01E0 * power(u * u + v * v, 3)", "1 - 0.1E0 * (u * u + v * v) + 0.01E0 * power(u * u + v * v, 2)").replace("round(u * 900 + 640, 4)", "u * 900 + 640").replace("round(v * 900 + 360, 4)", "v * 900 + 360").replace("session, label", "session, camera, label") + ")")
+def arena_residuals(spark, sf):
+    return rounded(alignment.arena_residuals(view(spark, sf, "align_points"), view(spark, sf, "edge_points"), _POSE), 4)
+
+
+@query("SELECT session, label, w * a AS x, d * b AS y, h * c AS z FROM (SELECT session, f0 AS w, f1 AS d, abs(tx) AS h FROM calib) q CROSS JOIN (VALUES " + ", ".join(f"('{n}', {a}, {b}, {e})" for n, a, b, e in alignment.CORNERS) + ") t(label, a, b, c)", "calib")
+def box_corners(spark, sf):
+    return alignment.box_corners(view(spark, sf, "calib").select("session", F.col("f0").alias("w"), F.col("f1").alias("d"), F.abs("tx").alias("h")))
+
+
+# ---------------------------------------------------------------- voxels
+
+NX, NY, NZ = voxels.dims(BOX, SIZE)
+_CELLS = f"cells AS (SELECT CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, CAST(c.k AS INT) AS k, (a.i + 0.5E0) * 20 - 200 AS x, (b.j + 0.5E0) * 20 - 120 AS y, (c.k + 0.5E0) * 20 + 400 AS z FROM range(0, {NX}) a(i) CROSS JOIN range(0, {NY}) b(j) CROSS JOIN range(0, {NZ}) c(k))"
+_SEEN = """seen AS (SELECT camera, CAST(greatest(least(round_even(u, 0), 127), 0) AS INT) AS px, CAST(greatest(least(round_even(v, 0), 71), 0) AS INT) AS py, i, j, k FROM (
+SELECT *, 0 AS camera, (90 * x + 64 * z) / z AS u, (90 * y + 36 * z) / z AS v FROM cells UNION ALL SELECT *, 1 AS camera, (90 * x + 64 * z - 9000) / z AS u, (90 * y + 36 * z) / z AS v FROM cells) q WHERE u >= 0 AND u < 128 AND v >= 0 AND v < 72)"""
+_CARVED = f"{_CELLS}, {_SEEN}, carved AS (SELECT session, frame_idx, i, j, k FROM mask m JOIN seen s ON m.camera = s.camera AND m.px = s.px AND m.py = s.py GROUP BY session, frame_idx, i, j, k HAVING count(DISTINCT m.camera) = 2)"
+VK = ["session", "frame_idx"]
+
+
+def _seen(spark):
+    return voxels.seen_pixels(voxels.grid(spark, BOX, SIZE), SMALL, 128, 72)
+
+
+def _carved(spark, sf):
+    return voxels.carve(_seen(spark), view(spark, sf, "mask"))
+
+
+@query("SELECT * FROM carved", "mask", more=_CARVED)
+def carve_frames(spark, sf):
+    return _carved(spark, sf)
+
+
+@query(f"SELECT session, frame_idx, count(*) AS n_occupied, round(CAST(count(*) AS DOUBLE) / {NX * NY * NZ}, 8) AS fraction FROM carved GROUP BY session, frame_idx", "mask", more=_CARVED)
+def occupancy(spark, sf):
+    return rounded(voxels.occupancy(_carved(spark, sf), NX * NY * NZ), 8)
+
+
+@query("SELECT c.session, i, j, k, n FROM (SELECT session, i, j, k, count(DISTINCT frame_idx) AS n FROM carved GROUP BY session, i, j, k) c JOIN (SELECT session, count(DISTINCT frame_idx) AS f FROM carved GROUP BY session) t ON c.session = t.session WHERE n >= 0.1E0 * f", "mask", more=_CARVED)
+def accumulate_hull(spark, sf):
+    return voxels.accumulate(tables.cut(_carved(spark, sf), "hull"), 0.1)
+
+
+@query("SELECT a.session, a.frame_idx, a.i, a.j, a.k FROM carved a JOIN carved b ON a.session = b.session AND a.frame_idx = b.frame_idx AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.session, a.frame_idx, a.i, a.j, a.k HAVING count(*) < 27", "mask", more=_CARVED)
+def surface_voxels(spark, sf):
+    return voxels.surface(tables.cut(_carved(spark, sf), "hull"), VK)
+
+
+@query("SELECT session, frame_idx, i, j, k FROM (SELECT *, row_number() OVER (PARTITION BY session, frame_idx ORDER BY i, j, k) - 1 AS r FROM carved) q WHERE r % 8 = 0", "mask", more=_CARVED)
+def thin_voxels(spark, sf):
+    return voxels.thin(_carved(spark, sf), VK)
+
+
+@query("SELECT session, frame_idx, i, j, k, (i + 0.5E0) * 20 - 200 AS x, (j + 0.5E0) * 20 - 120 AS y, (k + 0.5E0) * 20 + 400 AS z FROM carved", "mask", more=_CARVED)
+def occupied_centers(spark, sf):
+    return voxels.centers(_carved(spark, sf), BOX, SIZE)
+
+
+_VERTS = "verts AS (" + " UNION ALL ".join(
+    f"SELECT session, frame_idx, {a} AS axis, i, j, k FROM (SELECT session, frame_idx, i, j, k FROM carved UNION ALL SELECT session, frame_idx, i - {int(a == 0)}, j - {int(a == 1)}, k - {int(a == 2)} FROM carved) q "
+    f"WHERE {'ijk'[a]} >= 0 AND {'ijk'[a]} + 1 < {(NX, NY, NZ)[a]} GROUP BY session, frame_idx, i, j, k HAVING count(*) = 1" for a in range(3)
+) + ")"
+
+
+@query("SELECT session, frame_idx, axis, i, j, k, (i + CASE WHEN axis = 0 THEN 0.5E0 ELSE 0 END) * 20 - 200 AS x, (j + CASE WHEN axis = 1 THEN 0.5E0 ELSE 0 END) * 20 - 120 AS y, (k + CASE WHEN axis = 2 THEN 0.5E0 ELSE 0 END) * 20 + 400 AS z FROM verts", "mask", more=f"{_CARVED}, {_VERTS}")
+def mesh_vertices(spark, sf):
+    return voxels.mesh_vertices(_carved(spark, sf), VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE)
+
+
+@query()
+def mesh_faces(spark, sf):
+    return voxels.mesh_faces(_carved(spark, sf), VK, (NX, NY, NZ))
+
+
+@query()
+def smooth_mesh(spark, sf):
+    """One round of smoothing of every frame's mesh."""
+    hull = tables.cut(_carved(spark, sf), "hull")
+    verts = voxels.mesh_vertices(hull, VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE).select(*VK, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
+    return rounded(voxels.laplacian(verts, voxels.adjacency(voxels.mesh_faces(hull, VK, (NX, NY, NZ)), VK), VK), 4)
+
+
+@query("SELECT session, min(i) * 20.0E0 - 200 AS x_min, (max(i) + 1) * 20.0E0 - 200 AS x_max, min(k) * 20.0E0 + 400 AS z_min, (max(k) + 1) * 20.0E0 + 400 AS z_max FROM carved GROUP BY session", "mask", more=_CARVED)
+def hull_extent(spark, sf):
+    low = lambda c, o: (F.min(c) * SIZE + o)
+    high = lambda c, o: ((F.max(c) + 1) * SIZE + o)
+    return _carved(spark, sf).groupBy("session").agg(low("i", -200.0).alias("x_min"), high("i", -200.0).alias("x_max"), low("k", 400.0).alias("z_min"), high("k", 400.0).alias("z_max"))
+
+
+# ---------------------------------------------------------------- pixels
+
+
+@query("""SELECT session, camera, frame_idx, x, y, coalesce(power(v - m, 2) > 40 * greatest(s, 4), false) AS foreground FROM (
+SELECT *, avg(v) OVER w AS m, var_pop(v) OVER w AS s FROM pixel_series WINDOW w AS (PARTITION BY session, camera, x, y ORDER BY frame_idx ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)) q""", "pixel_series")
+def background_subtract(spark, sf):
+    return masks.background(view(spark, sf, "pixel_series")).select("session", "camera", "frame_idx", "x", "y", "foreground")
+
+
+_CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+_OFFSETS = "o(dx, dy) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in _CROSS) + ")"
+_DILATE = "SELECT DISTINCT session, camera, frame_idx, px + dx AS px, py + dy AS py FROM {0} CROSS JOIN o WHERE px + dx >= 0 AND px + dx < 128 AND py + dy >= 0 AND py + dy < 72"
+_ERODE = """SELECT p.session, p.camera, p.frame_idx, p.px, p.py FROM (SELECT DISTINCT session, camera, frame_idx, px - dx AS px, py - dy AS py FROM {0} CROSS JOIN o WHERE px - dx >= 0 AND px - dx < 128 AND py - dy >= 0 AND py - dy < 72) p CROSS JOIN o
+LEFT JOIN {0} m ON m.session = p.session AND m.camera = p.camera AND m.frame_idx = p.frame_idx AND m.px = p.px + dx AND m.py = p.py + dy
+WHERE p.px + dx >= 0 AND p.px + dx < 128 AND p.py + dy >= 0 AND p.py + dy < 72 GROUP BY p.session, p.camera, p.frame_idx, p.px, p.py HAVING count(*) = count(m.px)"""
+
+
+def _mask(spark, sf):
+    return view(spark, sf, "mask").where("px >= 0 AND px < 128 AND py >= 0 AND py < 72")
+
+
+_INSIDE = "inside AS (SELECT * FROM mask WHERE px >= 0 AND px < 128 AND py >= 0 AND py < 72)"
+
+
+@query(_DILATE.format("inside"), "mask", more=f"{_OFFSETS}, {_INSIDE}")
+def mask_dilate(spark, sf):
+    return masks.dilate(_mask(spark, sf), _CROSS, 128, 72)
+
+
+@query(_ERODE.format("inside"), "mask", more=f"{_OFFSETS}, {_INSIDE}")
+def mask_erode(spark, sf):
+    return masks.erode(_mask(spark, sf), _CROSS, 128, 72)
+
+
+@query(_ERODE.format("grown"), "mask", more=f"{_OFFSETS}, {_INSIDE}, grown AS ({_DILATE.format('inside')})")
+def mask_close(spark, sf):
+    return masks.close(_mask(spark, sf), _CROSS, 128, 72)
+
+
+@query(_DILATE.format("shrunk"), "mask", more=f"{_OFFSETS}, {_INSIDE}, shrunk AS ({_ERODE.format('inside')})")
+def mask_open(spark, sf):
+    return masks.open_(_mask(spark, sf), _CROSS, 128, 72)
+
+
+@query()
+def largest_blobs(spark, sf):
+    return masks.largest_blob(masks.label_blobs(_mask(spark, sf)), 5).select(*masks.FRAME, "px", "py", "area")
+
+
+@query("""SELECT session, camera, frame_idx, area, round(cx, 4) AS cx, round(cy, 4) AS cy, CASE WHEN area >= 5 THEN round(sqrt(power(hx, 2) + power(hy, 2)), 3) END AS half FROM (
+SELECT session, camera, frame_idx, count(*) AS area, avg(px) AS cx, avg(py) AS cy, 2 * sqrt((var_pop(px) + var_pop(py) + sqrt(power(var_pop(px) - var_pop(py), 2) + 4 * power(covar_pop(px, py), 2))) / 2) AS hx, 0.0E0 AS hy
+FROM inside GROUP BY session, camera, frame_idx) q""", "mask", more=_INSIDE)
+def silhouette_moments(spark, sf):
+    m = masks.moments(_mask(spark, sf))
+    return m.select(*masks.FRAME, "area", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round(F.sqrt((F.col("hx") - F.col("cx")) * (F.col("hx") - F.col("cx")) + (F.col("hy") - F.col("cy")) * (F.col("hy") - F.col("cy"))), 3).alias("half"))
+
+
+@query("""SELECT p.session, p.frame_idx, p.x, p.y, CAST(trunc(least(greatest((v - lo) / (hi - lo), 0), 1) * 255) AS INT) AS v8 FROM pixel_series p JOIN (
+SELECT s.session, s.camera, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM (SELECT q.*, min(frame_idx) OVER (PARTITION BY session, camera) AS a, max(frame_idx) OVER (PARTITION BY session, camera) AS b FROM pixel_series q) s
+WHERE frame_idx = a OR frame_idx = b GROUP BY s.session, s.camera) r ON p.session = r.session AND p.camera = r.camera WHERE hi > lo""", "pixel_series")
+def normalize_depth(spark, sf):
+    rows = view(spark, sf, "pixel_series")
+    out = masks.normalize_depth(rows, 0.1, 0.9, top=-1.0)
+    ends = rows.groupBy("session", "camera").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    varied = rows.join(ends, ["session", "camera"]).where("frame_idx = a OR frame_idx = b").groupBy("session", "camera").agg(F.percentile("v", 0.9).alias("hi"), F.percentile("v", 0.1).alias("lo")).where("hi > lo")
+    return out.join(varied, ["session", "camera"], "left_semi").select("session", "frame_idx", "x", "y", "v8")
+
+
+_MAPS = "maps(camera, ox, oy, sx, sy) AS (VALUES (0, 0, 0, 0.5E0, 0.25E0), (0, 1, 0, 1.5E0, 0.5E0), (0, 2, 1, 2.0E0, 1.75E0))"
+
+
+@query("""SELECT session, p.camera, frame_idx, ox, oy, round(sum(v * w), 6) AS v FROM pixel_series p JOIN (SELECT camera, ox, oy, CAST(floor(sx) AS INT) + a AS x, CAST(floor(sy) AS INT) + b AS y,
+CASE WHEN a = 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END * CASE WHEN b = 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END AS w FROM maps CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)) m
+ON p.camera = m.camera AND p.x = m.x AND p.y = m.y WHERE w > 0 GROUP BY session, p.camera, frame_idx, ox, oy""", "pixel_series", more=_MAPS)
+def remap_pixels(spark, sf):
+    maps = spark.createDataFrame([(0, 0, 0, 0.5, 0.25), (0, 1, 0, 1.5, 0.5), (0, 2, 1, 2.0, 1.75)], "camera int, ox int, oy int, sx double, sy double")
+    return rounded(masks.remap(view(spark, sf, "pixel_series"), maps))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT session, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE camera = 0 AND confidence >= 0.35E0", "kp2d")
+def read_long_tracks(spark, sf):
+    """Keypoints written as long tracker files, read back."""
+    path = tables.fresh_path(spark, "long-tracks")
+    kp = view(spark, sf, "kp2d").where("camera = 0")
+    rows = kp.select("frame_idx", F.lit("").alias("track"), F.concat_ws("@", "session", "name").alias("node"), F.format_string("%.10f", "px").alias("x"), F.format_string("%.10f", "py").alias("y"), F.format_string("%.10f", "confidence").alias("score"))
+    rows.write.csv(path, header=True)
+    back = files.read_long_tracks(spark, path, min_likelihood=0.35)
+    node = F.split("name", "@")
+    return rounded(back.select(node[0].cast("bigint").alias("session"), "frame_idx", node[1].alias("name"), "x", "y", "confidence"), 4)
+
+
+@query("SELECT session, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE camera = 0 AND confidence >= 0.35E0", "kp2d")
+def read_wide_tracks(spark, sf):
+    """Keypoints written as wide tracker files, one folder for each session, read back."""
+    path = tables.fresh_path(spark, "wide-tracks")
+    kp = view(spark, sf, "kp2d").where("camera = 0")
+    names = sorted(r["name"] for r in kp.select("name").distinct().collect())  # the vocabulary, a few names
+    head = [("scorer", ["own"] * 3), ("bodyparts", None), ("coords", ["x", "y", "likelihood"])]
+    lines = [",".join([kind, *[v for n in names for v in (cells or [n] * 3)]]) for kind, cells in head]
+    cell = lambda n: F.coalesce(F.max(F.when(F.col("name") == n, F.format_string("%.10f,%.10f,%.10f", "px", "py", "confidence"))), F.lit(",,"))
+    rows = kp.groupBy("session", "frame_idx").agg(F.concat_ws(",", F.first("frame_idx").cast("string"), *[cell(n) for n in names]).alias("value"))
+    heads = kp.select("session").distinct().select("session", F.posexplode(F.array(*map(F.lit, lines))).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint") - 10)
+    files.write_lines(heads.unionByName(rows.select("session", F.col("frame_idx").alias("seq"), "value")), ["session"], ["seq"], path)
+    back = files.read_wide_tracks(spark, f"{path}/*", min_likelihood=0.35)
+    return rounded(back.select(F.regexp_extract("file", "session=([0-9]+)", 1).cast("bigint").alias("session"), "frame_idx", "name", "x", "y", "confidence"), 4)
+
+
+@query("SELECT round(rec_x, 4) AS rec_x, round(arena_z, 4) AS arena_z, CAST(label AS VARCHAR) AS label, round(px0_x, 3) AS px0_x, round(px1_x, 3) AS px1_x FROM align_points", "align_points")
+def read_corners(spark, sf):
+    """Corner correspondences written as CSV, read back."""
+    path = tables.fresh_path(spark, "corners")
+    files.write_csv(files.corner_csv(view(spark, sf, "align_points").withColumn("label", F.col("label").cast("string"))), path)
+    return files.read_corners(spark, path).select("rec_x", "arena_z", "label", "px0_x", "px1_x")
+
+
+@query("SELECT session, camera, label, pos, x, y FROM edge_points", "edge_points")
+def read_edges(spark, sf):
+    """Edges written as text with separators, a folder for each session, read back."""
+    path = tables.fresh_path(spark, "edges")
+    edges = view(spark, sf, "edge_points").withColumn("edge_id", F.col("label"))
+    heads = edges.select("session").distinct().select("session", F.lit("").alias("edge_id"), F.lit(0).cast("bigint").alias("pos"), F.lit("camera,label,x,y").alias("value"))
+    files.write_lines(heads.unionByName(files.edge_lines(edges, ["session"]).withColumn("pos", F.col("pos").cast("bigint"))), ["session"], ["edge_id", "pos"], path)
+    back = files.read_edges(spark, f"{path}/*")
+    return back.select(F.regexp_extract("file", "session=([0-9]+)", 1).cast("bigint").alias("session"), "camera", "label", "pos", "x", "y")
+
+
+@query("SELECT session, name, frame_idx, round(CAST(x AS DOUBLE), 3) AS x, CAST(coalesce(confidence, 0) AS FLOAT) > 0.5 AS sure FROM (SELECT n.session, n.name, t.frame_idx, k.x, k.confidence FROM (SELECT DISTINCT session, name FROM kp3d) n JOIN truth3d t ON n.session = t.session LEFT JOIN kp3d k ON k.session = n.session AND k.name = n.name AND k.frame_idx = t.frame_idx) q", "kp3d")
+def trajectory_archive(spark, sf):
+    """Dense trajectories written as an archive, read back; what was missing is null again."""
+    path = tables.fresh_path(spark, "archive")
+    files.write_archive(trajectory.dense(view(spark, sf, "kp3d"), view(spark, sf, "frames")), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("session").cast("bigint").alias("session"), "name", "frame_idx", F.round(F.when(~F.isnan("x"), F.col("x").cast("double")), 3).alias("x"), (F.col("confidence") > F.lit(0.5).cast("float")).alias("sure"))
+
+
+@query("SELECT session, frame_idx, string_agg(printf('%s=%.2f,%.2f,%.2f,%.3f', name, x, y, z, confidence), ';' ORDER BY name) AS kp FROM kp3d GROUP BY session, frame_idx", "kp3d")
+def viewer_frames(spark, sf):
+    show = lambda e: F.format_string("%s=%.2f,%.2f,%.2f,%.3f", e["key"], e["value"][0], e["value"][1], e["value"][2], e["value"][3])
+    return files.viewer_frames(view(spark, sf, "kp3d")).select("session", "frame_idx", F.array_join(F.transform(F.map_entries("kp"), show), ";").alias("kp"))
+
+
+@query("""SELECT session, frame_idx, count(*) + 10 AS n_lines, string_agg(printf('%.4f %.4f %.4f 0 200 255', x, y, z), '|' ORDER BY name) AS body FROM kp3d WHERE frame_idx % 5 = 0 GROUP BY session, frame_idx""", "kp3d")
+def skeleton_clouds(spark, sf):
+    """Text clouds of every fifth frame (the export stride) in the skeleton's colour."""
+    points = view(spark, sf, "kp3d").where("frame_idx % 5 = 0").withColumn("pos", F.row_number().over(Window.partitionBy("session", "frame_idx").orderBy("name")))
+    lines = files.point_cloud_lines(points.select("session", "frame_idx", "pos", "x", "y", "z"), ["session", "frame_idx"], (0, 200, 255))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") > 0, F.struct("seq", "value")))), lambda e: e["value"]), "|")
+    return lines.groupBy("session", "frame_idx").agg(F.count(F.lit(1)).alias("n_lines"), body.alias("body"))
+
+
+@query("SELECT session, name, printf('%.4f', round(detection_rate, 4)) AS detection_rate, CAST(n_detected AS VARCHAR) AS n_detected, printf('%.4f', round(mean_repr_err, 4)) AS mean_repr_err, printf('%.4f', max_repr_err) AS max_repr_err FROM s", "kp3d", "frames", more="s AS (" + STATS.format("kp3d") + ")")
+def stats_csv(spark, sf):
+    s = _stats(trajectory.stats(view(spark, sf, "kp3d"), view(spark, sf, "frames")))
+    path = tables.fresh_path(spark, "stats")
+    files.write_csv(files.stats_csv(s), path)
+    return spark.read.csv(path, schema="session bigint, name string, detection_rate string, n_detected string, mean_repr_err string, max_repr_err string", header=True)
+
+
+@query("SELECT session, CASE WHEN session % 3 = 0 THEN f0 + 1 ELSE f0 END AS f0, f1, cx FROM calib", "calib")
+def patch_calibration(spark, sf):
+    calib = view(spark, sf, "calib")
+    return files.patch(calib, calib.where("session % 3 = 0").select("session", (F.col("f0") + 1).alias("f0"))).select("session", "f0", "f1", "cx")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """A view as a stream: written to the shared folder, read file by file."""
+    rows = streams.with_event_time(view(spark, sf, name))
+    path = tables.fresh_path(spark, f"stream-{name}")
+    rows.repartition("session").sortWithinPartitions("session", "frame_idx").write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _drained(out: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has written into a table once all input that is there has been read."""
+    spark = out.sparkSession
+    path, mark = tables.fresh_path(spark, "sink"), tables.fresh_path(spark, "progress")
+    run = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("SELECT session, frame_idx, name, round(x0, 6) AS x0, round(x1, 6) AS x1, round(confidence, 6) AS confidence FROM (SELECT a.session, a.frame_idx, a.name, a.px AS x0, b.px AS x1, least(a.confidence, b.confidence) AS confidence FROM kp2d a JOIN kp2d b ON a.event_id = b.event_id AND a.camera = 0 AND b.camera = 1) q", "kp2d")
+def stream_match_views(spark, sf):
+    return rounded(_drained(streams.match_views(_stream(spark, sf, "kp2d"))).select("session", "frame_idx", "name", "x0", "x1", "confidence"))
+
+
+@query("SELECT session, frame_idx, name, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM tri", "truth3d", more=TRIANGULATED)
+def stream_triangulate(spark, sf):
+    points = streams.triangulate(streams.match_views(_stream(spark, sf, "kp2d")), P0, P1, MIN_CONF)
+    out = _drained(points).select("session", "frame_idx", "name", "x", "y", "z")
+    return out.select("session", "frame_idx", "name", *[(F.round(v, 4) + 0.0).alias(v) for v in "xyz"])
+
+
+@query("SELECT session, name, frame_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(confidence, 6) AS confidence, round(reproj_err, 6) AS reproj_err FROM filled", "kp3d", more=f"gapped AS ({GAPS.format('kp3d')}), filled AS ({FILLED.format('kp3d', 'gapped')})")
+def stream_fill_gaps(spark, sf):
+    return rounded(_drained(streams.fill_gaps(_stream(spark, sf, "kp3d"))))
+
+
+@query()
+def stream_rates(spark, sf):
+    """Windows that the watermark has closed."""
+    return rounded(_drained(streams.rates(_stream(spark, sf, "kp3d"), delay="0 seconds")))
+
+
+@query()
+def stream_tracks(spark, sf):
+    return _drained(streams.tracks(_stream(spark, sf, "kp3d"), delay="0 seconds"))
+
+
+@query("SELECT count(*) AS n FROM pixel_series", "pixel_series")
+def stream_background(spark, sf):
+    return _drained(streams.background(_stream(spark, sf, "pixel_series"))).agg(F.count(F.lit(1)).alias("n"))
