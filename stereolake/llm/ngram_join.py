@@ -25,8 +25,8 @@ from .common import LOWER, ByteHasher, map_slices, materialize, mix, slices, sma
 from .components import components
 
 WORDS, NUM, DEN = 5, 75, 100
-COUNTERS, CHUNK, FAN_IN = 1 << 22, 1 << 16, 64
-PER_CLASS, ROUNDS = 4, 4
+COUNTERS, PLACES, CHUNK, FAN_IN = 1 << 23, 1 << 21, 1 << 16, 64
+PER_CLASS, ROUNDS, PIVOTS = 4, 2, 3
 _HASHER: list[ByteHasher] = []
 _MIXERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 3, 5, 7, 9)]
 
@@ -167,7 +167,7 @@ def frequent_places(scanned: DataFrame) -> np.ndarray:
             break
     total = scanned.agg(F.sum("n")).head()[0] or 0
     mean = total / COUNTERS
-    least = mean + 5 * mean**0.5 + 16
+    least = mean + 4 * mean**0.5 + 4  # beyond what the shingles that share a counter make up by chance
 
     def mark(batches):
         for batch in batches:
@@ -203,9 +203,9 @@ def _index(docs: DataFrame, flags: np.ndarray) -> DataFrame:
 
 def _wanted_places(nodes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with the places of the given nodes."""
-    place = F.col("node").bitwiseAND(F.lit(COUNTERS - 1))
+    place = F.col("node").bitwiseAND(F.lit(PLACES - 1))
     rows = nodes.groupBy(F.shiftright(place, 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 31 as int)))").alias("bits")).collect()
-    words = np.zeros(COUNTERS // 32, dtype="<u4")
+    words = np.zeros(PLACES // 32, dtype="<u4")
     for r in rows:
         words[r["word"]] = r["bits"]
     return words.view(np.uint8)
@@ -222,7 +222,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ids, blobs = [], []
                 for h in shingle_sets(part):
                     node = set_id(h)
-                    if len(h) > 1 and node not in seen and _bit(wanted.value, np.array([node & (COUNTERS - 1)]))[0]:
+                    if len(h) > 1 and node not in seen and _bit(wanted.value, np.array([node & (PLACES - 1)]))[0]:
                         if len(seen) < 100_000:
                             seen.add(node)
                         ids.append(node)
@@ -279,16 +279,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     flags = frequent_places(scanned)
     by_sig = Window.partitionBy("sig")
     members = _index(source, flags).withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "node").distinct()
-    members = materialize(members.withColumn("comp", F.col("node")), "ngram-members")
+    members = members.join(nodes.select("node", "n"), "node").select("sig", "node", "n", F.col("node").alias("comp"))
+    members = materialize(members, "ngram-members")
     tested, links, comps = None, None, None
     for number in range(ROUNDS + 1):
-        best = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "comp")).over(by_sig)
-        if number < ROUNDS:
-            pairs = members.withColumn("pivot", best).where("comp <> pivot.comp").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:
-            other = members.select("sig", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
-            pairs = members.join(other, "sig").where("node < o_node AND comp <> o_comp").select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-        pairs = pairs.distinct()
+        pairs = _pivot_pairs(members, number) if number < ROUNDS else _pairs_left(members)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
@@ -303,14 +298,47 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if number == ROUNDS:
             break
         named = comps.withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
-        members = members.join(named, members["node"] == named["c_node"], "left").select("sig", "node", F.coalesce("c_comp", "comp").alias("comp"))
-        members = members.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo <> hi").select("sig", "node", "comp")
+        members = members.join(named, members["node"] == named["c_node"], "left").select("sig", "node", "n", F.coalesce("c_comp", "comp").alias("comp"))
+        members = members.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo <> hi").select("sig", "node", "n", "comp")
         members = materialize(members, "ngram-members")
         if members.isEmpty():
             break
     return _labelled(texts, comps)
 
 
+_FITTING = f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)"
+
+
+def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
+    """(a, b): the nodes of each signature with its pivots, where they are of different components and of fitting size.
+
+    Pivots are the nodes of the smallest hashes, so that a node meets the same few pivots through all its signatures.
+    """
+    by_sig = Window.partitionBy("sig")
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(number * PIVOTS + k)).alias("h"), "node", "comp", "n")).over(by_sig) for k in range(PIVOTS)]
+    met = members.withColumn("pivots", F.array_distinct(F.array(*pivots))).select("node", "comp", "n", F.explode("pivots").alias("p"))
+    met = met.withColumn("m", F.col("p.n")).where("comp <> p.comp").where(_FITTING)
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _pairs_left(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs across components that share a signature and are of fitting size, and a few more.
+
+    A signature's largest component is mostly one big group of near copies that the others aren't linked with: each of the
+    others meets that component once, however many signatures they share; among the others pairs are found by signature.
+    """
+    count = F.count(F.lit(1)).over(Window.partitionBy("sig", "comp"))
+    largest = F.max(F.struct("count", "comp")).over(Window.partitionBy("sig"))
+    placed = members.withColumn("count", count).withColumn("large", largest["comp"])
+    others = materialize(placed.where("comp <> large").select("sig", "node", "n", "comp", "large"), "ngram-others")
+    inside = members.select(F.col("comp").alias("large"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct()
+    across = others.select("node", "n", "large").distinct().join(inside, "large").where(_FITTING)
+    second = others.select("sig", F.col("node").alias("o_node"), F.col("n").alias("m"), F.col("comp").alias("o_comp"))
+    among = others.join(second, "sig").where("node < o_node AND comp <> o_comp").where(_FITTING)
+    both = across.select("node", "o_node").unionByName(among.select("node", "o_node"))
+    return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
 def _labelled(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Rows with the smallest id of their component; nodes first, so that a node of many copies is one row in the join."""
     if comps is None:
