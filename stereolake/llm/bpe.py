@@ -26,8 +26,8 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r" ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Latin-1 letters and digits, for texts of such characters only: the plain re module is faster.
 LATIN_LETTERS, LATIN_DIGITS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-CACHED_WORDS = 400_000
-KNOWN_PAIRS = 1_000_000
+CACHED_WORDS = 150_000
+KNOWN_PAIRS = 200_000
 PIECE = 1 << 20
 
 
@@ -174,7 +174,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFra
 
     Null and empty texts give no ids; repeated rows and null ids stay rows of their own; other columns are not carried.
     The strings of added tokens are these tokens. Nothing is shuffled: a task's trie covers the words of a slice of
-    about 1 MB of text, and a bounded cache keeps words already encoded.
+    about half a MB of text, and a bounded cache keeps words already encoded.
     """
     small_batches(df.sparkSession)
 

@@ -43,7 +43,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose texts have about limit bytes together (or a single longer row)."""
     if not batch.num_rows:
         return
@@ -58,7 +58,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         start = stop
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, schema: str, limit: int = 1 << 20) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, schema: str, limit: int = 1 << 19) -> DataFrame:
     """mapInArrow that hands fn slices of bounded bytes, so that a worker's memory doesn't grow with the batch."""
 
     def run(batches):

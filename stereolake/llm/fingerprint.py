@@ -177,7 +177,7 @@ def level_ranks(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def _parts(batch: pa.RecordBatch):
-    yield from slices(batch, "text", 1 << 20)
+    yield from slices(batch, "text")
 
 
 def fingerprint(docs: DataFrame, id_col: str, text_col: str, ranks: list[int]) -> DataFrame:
@@ -283,4 +283,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFram
         return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     schema = f"id {dict(pairs.dtypes)['id']}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_slices(pairs, run, "text", schema, 1 << 19)
+    return map_slices(pairs, run, "text", schema)

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         blobs = [idx[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["label", "bag", "features"])
 
-    found = map_slices(rows, extract, "text", "label int, bag int, features binary", 1 << 19)
+    found = map_slices(rows, extract, "text", "label int, bag int, features binary")
 
     def train(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(b, dtype=np.int32) for b in table.column("features").to_pylist()]
