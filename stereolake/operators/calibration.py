@@ -19,14 +19,18 @@ def focal_grid(width: int, height: int, steps: int = 300, low: float = 0.4, high
 
 def _cost(rows: DataFrame, width: int, height: int) -> DataFrame:
     """(session, f, cost) of estimates with a column f: the quality-weighted mean residual; degenerate matrices count 1."""
-    e = g.essential(g.columns("f"), g.intrinsics(F.col("f"), width / 2, height / 2))
-    # one struct, so that the nine entries are computed once and then used
-    flat = rows.withColumn("e", F.array(*[v for r in e for v in r]))
-    e = g.from_array("e", 3, 3)
-    size = g.norm(e)
-    unit = flat.withColumn("size", size).withColumn("u", F.transform("e", lambda v: v / F.col("size")))
-    residual = F.when(F.col("size") < 1e-10, 1.0).otherwise(g.essential_residual(g.from_array("u", 3, 3)))
-    return unit.withColumn("r", residual).groupBy("session", "f").agg((F.sum(F.col("quality") * F.col("r")) / F.sum("quality")).alias("cost"))
+    named = lambda prefix, m: {f"{prefix}{i}{j}": m[i][j] for i in range(3) for j in range(3)}
+    # one step a matrix product: entries that later steps use many times are computed once and generated code stays small
+    k = g.intrinsics(F.col("f"), width / 2, height / 2)
+    rows = rows.withColumns(named("h", g.matmul(g.columns("f"), k))).withColumns(named("e", g.matmul(g.transpose(k), g.columns("h"))))
+    rows = rows.withColumn("size", g.norm(g.columns("e"))).withColumns(named("u", [[v / F.col("size") for v in r] for r in g.columns("e")]))
+    u = g.columns("u")
+    rows = rows.withColumns(named("s", g.matmul(u, g.transpose(u)))).withColumn("cube", F.pow(g.norm(u), F.lit(3.0)))
+    trace = F.col("s00") + F.col("s11") + F.col("s22")
+    rest = [[2 * v - trace * u[i][j] for j, v in enumerate(r)] for i, r in enumerate(g.matmul(g.columns("s"), u))]
+    rows = rows.withColumns(named("c", rest))
+    residual = F.when(F.col("size") < 1e-10, 1.0).when(F.col("cube") < 1e-12, 1e6).otherwise(g.norm(g.columns("c")) / F.col("cube"))
+    return rows.withColumn("r", residual).groupBy("session", "f").agg((F.sum(F.col("quality") * F.col("r")) / F.sum("quality")).alias("cost"))
 
 
 def focal_scan(estimates: DataFrame, width: int, height: int, steps: int = 300) -> DataFrame:
