@@ -35,8 +35,8 @@ def _cost(rows: DataFrame, width: int, height: int) -> DataFrame:
 
 def focal_scan(estimates: DataFrame, width: int, height: int, steps: int = 300) -> DataFrame:
     """(session, f, cost) over the scan's focal lengths. The grid is a parameter of fixed size, met by every estimate."""
-    grid = F.broadcast(estimates.sparkSession.createDataFrame([(f,) for f in focal_grid(width, height, steps)], "f double"))
-    return _cost(estimates.crossJoin(grid), width, height)
+    grid = F.array(*map(F.lit, focal_grid(width, height, steps)))
+    return _cost(estimates.withColumn("f", F.explode(grid)), width, height)
 
 
 def best_focal(scan: DataFrame) -> DataFrame:

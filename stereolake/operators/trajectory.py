@@ -63,7 +63,7 @@ def triangulate_keypoints(kp2d: DataFrame, p0, p1, min_confidence: float = 0.3,
     return points.withColumn("reproj_err", err).where(g.keep_error(F.col("reproj_err"), max_reprojection_px)).select("session", "frame_idx", "name", "x", "y", "z", "confidence", "reproj_err")
 
 
-def smooth(kp3d: DataFrame, frames: DataFrame, sigma: float = 1.5, block: int | None = None) -> DataFrame:
+def smooth(kp3d: DataFrame, frames: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Gaussian smoothing of each landmark over its observed frames, mirror edges, no new points.
 
     Every observed frame meets the kernel's offsets, reflected into the session's frames, and the observed values there;
@@ -71,9 +71,8 @@ def smooth(kp3d: DataFrame, frames: DataFrame, sigma: float = 1.5, block: int |
     """
     if sigma <= 0:
         return kp3d
-    spark = kp3d.sparkSession
-    kernel = F.broadcast(spark.createDataFrame(g.gaussian_kernel(sigma), "offset int, weight double"))  # 2r + 1 rows
-    at = kp3d.join(frames, "session").crossJoin(kernel)
+    kernel = F.array(*[F.struct(F.lit(k).alias("offset"), F.lit(w).alias("weight")) for k, w in g.gaussian_kernel(sigma)])
+    at = kp3d.join(frames, "session").select("session", "name", "frame_idx", "n_frames", F.inline(kernel))
     at = at.select("session", "name", "frame_idx", "weight", g.reflected(F.col("frame_idx") + F.col("offset"), F.col("n_frames")).alias("source"))
     values = kp3d.where("x IS NOT NULL AND NOT isnan(x)").select(*TRACK, F.col("frame_idx").alias("source"), "x", "y", "z")
     met = at.join(values, [*TRACK, "source"])

@@ -398,13 +398,13 @@ def metric_scale(spark, sf):
 @query("""SELECT session, event_id, true AS same_rotation, true AS same_direction FROM poses""", "poses")
 def essential_motion(spark, sf):
     """Rotation and direction of motion out of each matrix, chosen by the points in front, are those it was made of."""
-    spots = spark.createDataFrame([(x, y, z) for x in (-1.0, 0.5, 1.0) for y in (-0.7, 0.6) for z in (4.0, 7.0)], "px double, py double, pz double")
+    spots = F.array(*[F.struct(F.lit(x).alias("px"), F.lit(y).alias("py"), F.lit(z).alias("pz")) for x in (-1.0, 0.5, 1.0) for y in (-0.7, 0.6) for z in (4.0, 7.0)])
     pose = view(spark, sf, "poses")
     ry = [[F.col("ca"), F.lit(0.0), F.col("sa")], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [-F.col("sa"), F.lit(0.0), F.col("ca")]]
     rx = [[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.col("cb"), -F.col("sb")], [F.lit(0.0), F.col("sb"), F.col("cb")]]
     r = g.matmul(ry, rx)
     moved = g.rigid(r, [F.col("tx"), F.col("ty"), F.col("tz")], F.col("px"), F.col("py"), F.col("pz"))
-    seen = pose.crossJoin(F.broadcast(spots)).select("session", "event_id", (F.col("px") / F.col("pz") * 900 + 640).alias("x0"), (F.col("py") / F.col("pz") * 900 + 360).alias("y0"), (moved[0] / moved[2] * 900 + 640).alias("x1"), (moved[1] / moved[2] * 900 + 360).alias("y1"))
+    seen = pose.select("*", F.inline(spots)).select("session", "event_id", (F.col("px") / F.col("pz") * 900 + 640).alias("x0"), (F.col("py") / F.col("pz") * 900 + 360).alias("y0"), (moved[0] / moved[2] * 900 + 640).alias("x1"), (moved[1] / moved[2] * 900 + 360).alias("y1"))
     best = calibration.choose_motion(calibration.motions(view(spark, sf, "f_est"), 900.0, 640.0, 360.0), seen, 900.0, 640.0, 360.0)
     truth = pose.select("session", "event_id", F.array(*[v for row in r for v in row]).alias("tr"), F.array("tx", "ty", "tz").alias("tt"), F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")).alias("n"))
     near = lambda a, b, n: F.forall(F.zip_with(a, b, lambda p, q: F.abs(p - q / n) < 1e-5), lambda v: v)
