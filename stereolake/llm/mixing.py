@@ -65,7 +65,6 @@ def apportion(votes: DataFrame, group: str, name: str, block: int) -> DataFrame:
 def taken_words(start: Column, size: Column, line: Column, quota: Column, first: Column, block: int) -> Column:
     """Words of the document at [start, start + size) on a line of `line` words, for `quota` blocks from block `first` on."""
     blocks = F.ceil(line / block).cast("long")
-    rounds, rest = F.expr("0L"), quota
     rounds = F.floor(F.try_divide(quota, blocks)).cast("long")
     rest = quota - rounds * blocks
     overlap = lambda a, b: F.greatest(F.least(start + size, F.least(b, line)) - F.greatest(start, a), F.lit(0))
@@ -84,10 +83,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("at"), *carry)
     sized = materialize(sized, "mix-sizes")
-    shards = F.greatest(F.ceil(F.sum("size") / shard_words), F.lit(1)).cast("long")
     targets = source_targets(sized.select("source", "size"))
-    count = sized.agg(shards.alias("shards"))
-    dealt = sized.join(F.broadcast(count)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "at"), F.coalesce(F.col("shards"), F.lit(1)))).drop("shards")
+    shards = -(-(sized.agg(F.sum("size")).head()[0] or 1) // shard_words)
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "at"), F.lit(max(shards, 1))))
     lines = dealt.groupBy("shard", "source").agg(F.sum("size").alias("line"))
     lines = lines.join(targets, lines["source"].eqNullSafe(targets["source"])).select("shard", lines["source"], "line", "source_size", "target")
     lines = materialize(lines, "mix-lines")
