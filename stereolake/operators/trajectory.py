@@ -51,7 +51,8 @@ def triangulate(matches: DataFrame, p0: list[list[float]], p1: list[list[float]]
 
     finite = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in ("x0", "y0", "x1", "y1")]
     ok = finite[0] & finite[1] & finite[2] & finite[3]
-    solved = matches.where(ok).withColumn("p", solve("x0", "y0", "x1", "y1"))
+    # declared non-deterministic so that filters on its result don't evaluate it a second time
+    solved = matches.where(ok).withColumn("p", solve.asNondeterministic()("x0", "y0", "x1", "y1"))
     return solved.select(*matches.columns, "p.x", "p.y", "p.z")
 
 
