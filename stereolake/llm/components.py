@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by rounds of joins that point every vertex at smaller neighbours."""
+"""Connected components of a graph given as edges, by rounds of joins that hand on the smallest label."""
 
 from __future__ import annotations
 
@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, comp) of (a, b): comp is the smallest node reachable. Nodes without edges don't appear.
 
-    Each round hangs the larger neighbours of a vertex on its smallest one, then the vertex itself with its smaller ones;
-    trees become stars in a number of rounds that grows with the logarithm of their size. Rounds are written out, and only
-    a count and a checksum of the edges reach the driver.
+    known: labels (node, comp) of an earlier call whose edges are among these; they are where the rounds begin. In a round
+    every node takes the smallest label of its neighbours and then the label that this label's own node had, so labels
+    travel along stars at once and along chains in ever longer leaps. A round is one table; the number of nodes whose
+    label changed is all that reaches the driver.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    seen = None
+    edges = edges.where("a <> b").select("a", "b")
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
+    labels = both.select(F.col("a").alias("node")).distinct()
+    if known is None:
+        labels = labels.withColumn("comp", F.col("node"))
+    else:
+        labels = labels.join(known.select(F.col("node").alias("k_node"), F.col("comp").alias("k_comp")), F.col("node") == F.col("k_node"), "left").select("node", F.coalesce("k_comp", "node").alias("comp"))
+    labels = materialize(labels.withColumn("changed", F.lit(True)), "component-labels")
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "k")
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(least, F.col("a") == F.col("k"))
-        edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(edges, "components")
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.sum(F.xxhash64("a", "b", F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).head()
-        if state == seen:
-            break
-        seen = state
-    stars = edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+        named = labels.select(F.col("node").alias("b"), "comp")
+        nearest = both.join(named, "b").groupBy(F.col("a").alias("near")).agg(F.min("comp").alias("near_comp"))
+        hooked = labels.join(nearest, F.col("node") == F.col("near")).select("node", "comp", F.least("comp", "near_comp").alias("least"))
+        jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("to_comp"))
+        leapt = hooked.join(jump, F.col("least") == F.col("to"), "left").select("node", "comp", F.least("least", "to_comp").alias("new"))
+        labels = materialize(leapt.select("node", F.col("new").alias("comp"), (F.col("new") < F.col("comp")).alias("changed")), "component-labels")
+        if not labels.where("changed").head(1):
+            return labels.select("node", "comp")

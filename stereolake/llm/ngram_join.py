@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -26,7 +26,7 @@ from .components import components
 
 WORDS, NUM, DEN = 5, 75, 100
 COUNTERS, PLACES, CHUNK, FAN_IN = 1 << 23, 1 << 21, 1 << 16, 64
-PER_CLASS, ROUNDS, PIVOTS = 4, 2, 3
+PER_CLASS, ROUNDS, PIVOTS, SMALL = 4, 1, 4, 10
 _HASHER: list[ByteHasher] = []
 _MIXERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 3, 5, 7, 9)]
 
@@ -66,21 +66,24 @@ def set_id(h: np.ndarray) -> int:
         return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
-def parity_bitmap(h: np.ndarray) -> bytes:
-    """Parity of the number of shingles by place; 2 to 4 places a shingle. The places in which two texts differ are at most
-    the shingles in which they differ."""
-    size = 1 << min(max(int(len(h) * 2 - 1).bit_length(), 6), 16)
-    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+def parity_bitmap(h: np.ndarray, most: int = 16) -> np.ndarray:
+    """Parity of the number of shingles by place, as 64-bit words; 2 to 4 places a shingle, 2^most at most. The places in
+    which two texts differ are at most the shingles in which they differ."""
+    size = 1 << min(max(int(len(h) * 2 - 1).bit_length(), 6), most)
+    places = (np.bincount((h >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(places, bitorder="little").view(np.int64)
 
 
-def overlap_bound(x: bytes, n: int, y: bytes, m: int) -> int:
-    """At least the overlap of two sets of n and m shingles, from their bitmaps; the larger one is folded."""
-    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+def may_link(x: Column, n: Column, y: Column, m: Column) -> Column:
+    """Whether sizes and bitmaps allow a link: overlap is at most (n + m - differing places) / 2; a larger bitmap is folded.
+
+    Plain expressions, so that a join can drop pairs before they become rows.
+    """
+    fold = lambda w: F.zip_with(F.slice(w, 1, F.size(w) / 2), F.slice(w, F.size(w) / 2 + 1, F.size(w) / 2), lambda p, q: p.bitwiseXOR(q))
+    differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    places = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) > F.size(y), differ(fold(x), y)).otherwise(differ(x, fold(y)))
+    bound = F.floor((n + m - places) / 2)
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (DEN * bound >= NUM * (n + m - bound))
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -123,7 +126,7 @@ def signatures(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows of texts (id, n, node, bitmap) and, at the end of each task, of its shingle counters by chunk."""
+    """Rows of texts (id, n, node, bitmap, small) and, at the end of each task, of its shingle counters by chunk."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -136,15 +139,15 @@ def _scan(docs: DataFrame) -> DataFrame:
                 np.add.at(counts, every, 1)
                 rows = len(sets)
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), none, none, pa.nulls(rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], words), pa.array([parity_bitmap(s, SMALL) for s in sets], words), none, none, pa.nulls(rows, pa.binary())], names)
         pid = TaskContext.get().partitionId()
         blobs = [zlib.compress(counts[i : i + CHUNK].tobytes(), 1) for i in range(0, COUNTERS, CHUNK)]
         k = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int64()), pa.array([pid] * k, pa.int64()), pa.array(blobs, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, words), pa.nulls(k, words), pa.array(range(k), pa.int64()), pa.array([pid] * k, pa.int64()), pa.array(blobs, pa.binary())], names)
 
-    names = ["id", "n", "node", "bitmap", "chunk", "part", "counts"]
+    names, words = ["id", "n", "node", "bitmap", "small", "chunk", "part", "counts"], pa.list_(pa.int64())
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n bigint, node bigint, bitmap binary, chunk bigint, part bigint, counts binary")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n bigint, node bigint, bitmap array<bigint>, small array<bigint>, chunk bigint, part bigint, counts binary")
 
 
 def frequent_places(scanned: DataFrame) -> np.ndarray:
@@ -236,15 +239,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and bitmaps allow a link."""
     na = nodes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bitmap").alias("x"))
-    nb = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
-    sized = pairs.join(na, "a").join(nb, "b").where(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
-
-    def run(batches):
-        for batch in batches:
-            keep = [linked(overlap_bound(x, n, y, m), n, m) for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m")))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    nb = nodes.select(F.col("node").alias("b_node"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    met = pairs.join(na, "a")
+    return met.join(nb, (met["b"] == nb["b_node"]) & may_link(F.col("x"), F.col("n"), F.col("y"), F.col("m"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,7 +272,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(_scan(source), "ngram-scan")
     texts = scanned.where("chunk IS NULL")
-    nodes = materialize(texts.where("n > 1").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "ngram-nodes")
+    nodes = materialize(texts.where("n > 1").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bitmap", "small")]), "ngram-nodes")
     flags = frequent_places(scanned)
     by_sig = Window.partitionBy("sig")
     members = _index(source, flags).withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "node").distinct()
@@ -283,7 +280,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = materialize(members, "ngram-members")
     tested, links, comps = None, None, None
     for number in range(ROUNDS + 1):
-        pairs = _pivot_pairs(members, number) if number < ROUNDS else _pairs_left(members)
+        pairs = _pivot_pairs(members, number) if number < ROUNDS else _pairs_left(members, nodes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
@@ -294,7 +291,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         sets = _sets_of(source, plausible.select(F.explode(F.array("a", "b")).alias("node")))
         found = materialize(_verified(plausible, sets), "ngram-links")
         links = found if links is None else links.unionByName(found)
-        comps = materialize(components(links), "ngram-components")
+        comps = components(links, comps)
         if number == ROUNDS:
             break
         named = comps.withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
@@ -321,7 +318,7 @@ def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _pairs_left(members: DataFrame) -> DataFrame:
+def _pairs_left(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): all pairs across components that share a signature and are of fitting size, and a few more.
 
     A signature's largest component is mostly one big group of near copies that the others aren't linked with: each of the
@@ -331,10 +328,16 @@ def _pairs_left(members: DataFrame) -> DataFrame:
     largest = F.max(F.struct("count", "comp")).over(Window.partitionBy("sig"))
     placed = members.withColumn("count", count).withColumn("large", largest["comp"])
     others = materialize(placed.where("comp <> large").select("sig", "node", "n", "comp", "large"), "ngram-others")
-    inside = members.select(F.col("comp").alias("large"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct()
-    across = others.select("node", "n", "large").distinct().join(inside, "large").where(_FITTING)
-    second = others.select("sig", F.col("node").alias("o_node"), F.col("n").alias("m"), F.col("comp").alias("o_comp"))
-    among = others.join(second, "sig").where("node < o_node AND comp <> o_comp").where(_FITTING)
+    fits = may_link(F.col("x"), F.col("n"), F.col("y"), F.col("m"))
+    mine = nodes.select("node", F.col("bitmap").alias("x"))
+    yours = nodes.select(F.col("node").alias("o_node"), F.col("bitmap").alias("y"))
+    inside = members.select(F.col("comp").alias("o_comp"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct().join(yours, "o_node")
+    outside = others.select("node", "n", "large").distinct().join(mine, "node")
+    across = outside.join(inside, (F.col("large") == F.col("o_comp")) & fits)
+    mine = nodes.select("node", F.col("small").alias("x"))
+    first = others.select("sig", "node", "n", "comp").join(mine, "node")
+    second = first.select(F.col("sig").alias("o_sig"), F.col("node").alias("o_node"), F.col("n").alias("m"), F.col("comp").alias("o_comp"), F.col("x").alias("y"))
+    among = first.join(second, (F.col("sig") == F.col("o_sig")) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & fits)
     both = across.select("node", "o_node").unionByName(among.select("node", "o_node"))
     return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
