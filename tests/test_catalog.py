@@ -19,6 +19,8 @@ def plain(v):
         return v
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
+    if not hasattr(v, "__float__"):
+        return str(v)
     v = float(v)
     return "nan" if math.isnan(v) else round(v, 6) + 0.0
 
