@@ -60,16 +60,15 @@ _PLAIN = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in r
 
 def fit_bag(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights by bucket and intercept. prior: the share of label 1 that the rows are weighed to."""
-    indptr = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    idx = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    owner = np.repeat(np.arange(len(rows)), np.diff(indptr))
-    positive = labels[owner] == 1
-    p = np.bincount(idx[positive], minlength=BUCKETS) + SMOOTH
-    q = np.bincount(idx[~positive], minlength=BUCKETS) + SMOOTH
+    p, q = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
+    for r, y in zip(rows, labels):  # a row's buckets are distinct
+        (p if y == 1 else q)[r] += 1
     ratio = np.log((p / (labels.sum() + 2 * SMOOTH)) / (q / ((1 - labels).sum() + 2 * SMOOTH)))
     ratio[(p + q < LEAST_TEXTS + 2 * SMOOTH) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    telling = ratio[idx] != 0
-    idx, owner = idx[telling], owner[telling]
+    # only the telling n-grams of each row are kept, so that the fit's memory is a small part of the sample's
+    told = [r[ratio[r] != 0] for r in rows]
+    idx = np.concatenate(told)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in told])
     x = ratio[idx]
     share = max(labels.mean(), 1e-9)
     weight = np.where(labels == 1, prior / share, (1 - prior) / max(1 - share, 1e-9)) / len(rows)
