@@ -10,7 +10,8 @@ that its predecessor kept:
 * near_duplicates: of each component of texts that share 3/4 of their 5-word shingles the document with the smallest
   doc_id stays. Repeated rows of one doc_id become one row; rows with a null doc_id stay.
 * mixing: each source's share is brought to its target. A document of which the mix takes k whole rounds is k rows; where
-  it takes a part of a round, a row with so many words of the text's start follows. What it takes nothing of goes.
+  it takes a part of a round, each range of words that the selected blocks cover follows as a row, wherever in the text
+  it lies (two where the run of blocks wraps within the document). What it takes nothing of goes.
 * encoding: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and ids_sha256 of every row.
 
 Extra columns of documents pass through the filtering stages. Empty tables give empty results.
@@ -63,22 +64,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.xxhash64(F.lit(SEED), docs["doc_id"], docs["source"], docs["text"])
     rows = docs.select(_row(docs).alias("row"), place.alias("place"), docs["source"].alias("source"), docs["text"].alias("text"))
     taken = mixing.mix(rows, "place", "source", "text", seed=SEED).where("taken > 0")
-    taken = taken.groupBy(F.col("id").alias("taken_place")).agg(F.first("size").alias("size"), F.first("taken").alias("taken"))
+    taken = taken.groupBy(F.col("id").alias("taken_place")).agg(F.max(F.struct("size", "ranges")).alias("taken"))
     joined = rows.select("row", "place").join(taken, F.col("place") == F.col("taken_place"))
-    rounds = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rest = F.col("taken") - rounds * F.col("size")
-    words = F.concat(F.array_repeat(F.col("size"), rounds), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    parts = joined.select("row", F.col("row")["text"].alias("text"), "size", F.explode(words).alias("words"))
+    parts = joined.select("row", F.col("row")["text"].alias("text"), F.col("taken.size").alias("size"), F.explode("taken.ranges").alias("part")).select("row", "text", "size", "part.begin", "part.end")
 
-    def first_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def part_of_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, size, n in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "words"))):
-            if n < size:
-                text = text[: next(m.end() for k, m in enumerate(_WORD.finditer(text), 1) if k == n)]
+        for text, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "begin", "end"))):
+            if end - begin < size:
+                first, last = 0, len(text)
+                for k, m in enumerate(_WORD.finditer(text)):
+                    if k == begin and begin:
+                        first = m.start()
+                    if k == end - 1 and end < size:
+                        last = m.end()
+                        break
+                text = text[first:last]
             texts.append(text)
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    cut = map_slices(parts, first_words, "text", f"row {dict(parts.dtypes)['row']}, text string")
+    cut = map_slices(parts, part_of_words, "text", f"row {dict(parts.dtypes)['row']}, text string")
     return _unpacked(cut, docs, {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)})
 
 

@@ -62,19 +62,28 @@ def apportion(votes: DataFrame, group: str, name: str, block: int) -> DataFrame:
     return picked.groupBy(group, name).agg((F.first("start") + F.sum(F.when(chosen, F.signum("missing").cast("long")).otherwise(0))).alias("quota"))
 
 
-def taken_words(start: Column, size: Column, line: Column, quota: Column, first: Column, block: int) -> Column:
-    """Words of the document at [start, start + size) on a line of `line` words, for `quota` blocks from block `first` on."""
+def taken_ranges(start: Column, size: Column, line: Column, quota: Column, first: Column, block: int) -> Column:
+    """Word ranges {begin, end} that the document at [start, start + size) on a line of `line` words gives, for `quota` blocks from block `first` on.
+
+    They count from the document's first word: [0, size) for each whole round, then what the wrapped head and the run
+    from the first block take of it. These two never meet, as a part of a round leaves a block out.
+    """
     blocks = F.ceil(line / block).cast("long")
-    rounds = F.floor(F.try_divide(quota, blocks)).cast("long")
-    rest = quota - rounds * blocks
-    overlap = lambda a, b: F.greatest(F.least(start + size, F.least(b, line)) - F.greatest(start, a), F.lit(0))
-    begin, end = first * block, (first + rest) * block
+    rounds = F.coalesce(F.floor(F.try_divide(quota, blocks)), F.lit(0)).cast("long")
+    rest = F.coalesce(quota, F.lit(0)) - rounds * blocks
+
+    def overlap(a: Column, b: Column) -> Column:
+        begin, end = F.greatest(start, a) - start, F.least(start + size, F.least(b, line)) - start
+        return F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"))
+
+    whole = F.struct(F.lit(0).cast("long").alias("begin"), size.cast("long").alias("end"))
     wrapped = F.greatest(first + rest - blocks, F.lit(0)) * block
-    return (rounds * size + overlap(begin, end) + overlap(F.lit(0), wrapped)).cast("long")
+    parts = F.array(overlap(F.lit(0), wrapped), overlap(first * block, (first + rest) * block))
+    return F.filter(F.concat(F.array_repeat(whole, rounds.cast("int")), parts), lambda p: p["begin"] < p["end"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, block_words: int = 8, shard_words: int = 100_000, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, size, source, source_size, target, taken, shard, quota) for every row: how many of its words the mix takes.
+    """(id, size, source, source_size, target, taken, ranges, shard, quota) for every row: how many of its words the mix takes, and which.
 
     Size counts maximal runs of non-space bytes (null and empty texts: 0, they give nothing). A null source is a source of
     its own. Rows with equal ids stay apart; equal ones among them are tied and get their places in any order, with the
@@ -98,5 +107,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     joined = placed.join(lines, (placed["shard"] == lines["l_shard"]) & placed["source"].eqNullSafe(lines["l_source"]))
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "shard", "source"), F.greatest(F.ceil(F.col("line") / block_words).cast("long"), F.lit(1)))
-    taken = taken_words(F.col("start"), F.col("size"), F.col("line"), F.col("quota"), first, block_words)
-    return joined.select("id", "size", "source", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "shard", "quota", *carry)
+    ranges = taken_ranges(F.col("start"), F.col("size"), F.col("line"), F.col("quota"), first, block_words)
+    taken = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["begin"])
+    return joined.withColumn("ranges", ranges).select("id", "size", "source", "source_size", "target", taken.alias("taken"), "ranges", "shard", "quota", *carry)

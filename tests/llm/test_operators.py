@@ -203,6 +203,38 @@ def test_mixing_reaches_targets(spark):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_taken_ranges_are_the_selected_blocks(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        line = rng.randint(1, 90)
+        start = rng.randint(0, line - 1)
+        blocks = -(-line // 8)
+        rows.append((k, start, rng.randint(1, line - start), line, rng.randint(0, 2 * blocks), rng.randint(0, blocks - 1)))
+    df = spark.createDataFrame(rows, "k long, start long, size long, line long, quota long, first long")
+    got = {r.k: [w for p in r.ranges for w in range(p.begin, p.end)] for r in df.select("k", mixing.taken_ranges(*map(F.col, ("start", "size", "line", "quota", "first")), 8).alias("ranges")).collect()}
+    for k, start, size, line, quota, first in rows:
+        blocks = -(-line // 8)
+        chosen = collections.Counter((first + i) % blocks for i in range(quota))
+        want = [w for w in range(size) for _ in range(chosen[(start + w) // 8])]
+        assert sorted(got[k]) == want
+
+
+def test_pipeline_mixing_writes_the_selected_words(spark):
+    text = {i: " \t".join(f"{i}w{k}" for k in range(900)) + "\n" for i in range(12)}
+    docs = spark.createDataFrame([(i, text[i], "en", "abc"[i % 3], len(text[i])) for i in text], SCHEMA)
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        assert r.text in text[r.doc_id] and r.n_chars == len(r.text)
+        got[r.doc_id].append(words(r.text))
+    place = F.xxhash64(F.lit(corpus_pipeline.SEED), "doc_id", "source", "text").alias("place")
+    rows = mixing.mix(docs.select(place, "doc_id", "source", "text"), "place", seed=corpus_pipeline.SEED, carry=("doc_id",)).collect()
+    for r in rows:
+        own = words(text[r.doc_id])
+        assert sorted(got[r.doc_id]) == sorted(own[p.begin : p.end] for p in r.ranges) and sum(map(len, got[r.doc_id])) == r.taken
+    assert any(p.begin for r in rows for p in r.ranges)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
