@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -112,30 +114,61 @@ def _eight_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.swapaxes(tb, 1, 2) @ rank2(f) @ ta
 
 
-def estimate_fundamental(matches: DataFrame, key: list[str], hypotheses: int = 64, threshold: float = 1.5, seed: int = 11) -> DataFrame:
+def samples_needed(ratio: float, confidence: float) -> int:
+    """Samples of eight of which one is clean with this confidence where a share `ratio` of the matches is right."""
+    return max(1, math.ceil(math.log(1 - confidence) / math.log1p(-min(ratio, 0.999) ** 8)))
+
+
+def _hypotheses(a: np.ndarray, b: np.ndarray, threshold: float, confidence: float, least_ratio: float, seed: int, keep: int = 4, chunk: int = 256) -> np.ndarray:
+    """The `keep` best of sampled matrices (n, 3, 3), drawn in chunks until the best inlier ratio so far needs no more."""
+    rng, n = np.random.default_rng(seed), len(a)
+    ha, hb = np.c_[a, np.ones(n)], np.c_[b, np.ones(n)]
+    best, found, done, need = np.zeros(0, dtype=int), np.zeros((0, 3, 3)), 0, samples_needed(least_ratio, confidence)
+    while done < need:
+        pick = np.argpartition(rng.random((chunk, n)), 7, axis=1)[:, :8]
+        f = rank2(_eight_points(a[pick], b[pick]))
+        la, lb = ha @ np.swapaxes(f, 1, 2), hb @ f
+        s = np.einsum("nd,hnd->hn", hb, la) ** 2 / np.maximum((la[..., :2] ** 2).sum(2) + (lb[..., :2] ** 2).sum(2), 1e-300)
+        best, found = np.r_[best, (s < threshold**2).sum(1)], np.r_[found, f]
+        top = np.argsort(-best, kind="stable")[:keep]
+        best, found, done = best[top], found[top], done + chunk
+        need = min(need, samples_needed(max(best[0] / n, least_ratio), confidence))
+    return found
+
+
+def estimate_fundamental(matches: DataFrame, key: list[str], threshold: float = 1.5, seed: int = 11, confidence: float = 0.9995, least_ratio: float = 0.4, pool: int = 512) -> DataFrame:
     """(key, f, n_matches, n_inliers, inlier_ratio, mean_sampson) of each frame pair by sampled eight-point hypotheses.
 
-    Matches are capped per image cell before, so a group is some hundred rows. The sample is seeded; the hypothesis with
-    most matches within the threshold wins, is brought to rank 2 and scored. Pairs of fewer than 8 matches give no row.
+    Hypotheses are drawn from a seeded pool of a key's matches, so a task's arrays are bounded whatever the key's size: as
+    many as a clean sample needs at the given confidence and the best inlier ratio so far. `least_ratio` bounds them (11 594
+    for 0.4): from there on the confidence is kept, below it an estimate may be missed. The best few of the pool then meet
+    all matches by a join and the one with most matches within the threshold wins. Keys of fewer than 8 matches give no row.
     """
     fields = ", ".join(f"{k} {dict(matches.dtypes)[k]}" for k in key)
+    points = ["x0", "y0", "x1", "y1"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(columns=[*key, "f", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson"])
+        out = pd.DataFrame(columns=[*key, "h", "f"])
         if len(pdf) < 8:
             return out
-        pdf = pdf.sort_values(["x0", "y0", "x1", "y1"])
-        a, b = pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float)
-        pick = np.argsort(np.random.default_rng(seed).random((hypotheses, len(pdf))), axis=1)[:, :8]
-        f = _eight_points(a[pick], b[pick])
-        ha, hb = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-        la, lb = ha @ np.swapaxes(f, 1, 2), hb @ f
-        s = (np.einsum("nd,hnd->hn", hb, la) ** 2) / np.maximum((la[..., :2] ** 2).sum(2) + (lb[..., :2] ** 2).sum(2), 1e-12)
-        near = s < threshold**2
-        best = int(near.sum(1).argmax())
-        m = rank2(f[best : best + 1])[0]
-        inside = near[best]
-        row = [*pdf[key].iloc[0], m.ravel().tolist(), len(pdf), int(inside.sum()), float(inside.mean()), float(s[best][inside].mean()) if inside.any() else 0.0]
-        return pd.DataFrame([row], columns=out.columns)
-
-    return matches.groupBy(*key).applyInPandas(solve, f"{fields}, f array<double>, n_matches long, n_inliers long, inlier_ratio double, mean_sampson double")
+        pdf = pdf.sort_values(points)
+        found = _hypotheses(pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float), threshold, confidence, least_ratio, seed)
+        return pd.DataFrame([[*pdf[key].iloc[0], h, f.ravel().tolist()] for h, f in enumerate(found)], columns=out.columns)
+
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *points), *points)
+    drawn = matches.select(*key, *points).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).drop("rank")
+    tried = drawn.groupBy(*key).applyInPandas(solve, f"{fields}, h int, f array<double>")
+    s = g.sampson(g.from_array("f", 3, 3), *map(F.col, points))
+    scored = matches.select(*key, *points).join(tried, key).withColumn("s", s).withColumn("near", F.col("s") < threshold * threshold)
+    counted = scored.groupBy(*key, "h").agg(F.first("f").alias("f"), F.count(F.lit(1)).alias("n_matches"), F.count_if("near").alias("n_inliers"), F.coalesce(F.avg(F.when(F.col("near"), F.col("s"))), F.lit(0.0)).alias("mean_sampson"))
+    best = counted.groupBy(*key).agg(F.max_by(F.struct("f", "n_matches", "n_inliers", "mean_sampson"), F.struct("n_inliers", (-F.col("h")).alias("h"))).alias("b"))
+    return best.select(*key, "b.f", "b.n_matches", "b.n_inliers", (F.col("b.n_inliers") / F.col("b.n_matches")).alias("inlier_ratio"), "b.mean_sampson")
+
+
+def ordered_estimates(estimates: DataFrame, most: int = 120, by: str = "session") -> DataFrame:
+    """Adds quality, accepted (among the first `most` acceptable estimates in frame order) and place, the order of these by quality."""
+    good = take_first(accept(estimates), most, by=by)
+    order = Window.partitionBy(by).orderBy(F.col("quality").desc(), "frame_idx")
+    placed = with_quality(good).withColumn("place", F.row_number().over(order)).select(F.col(by).alias("p_by"), F.col("frame_idx").alias("p_frame"), "place")
+    rated = with_quality(estimates)
+    return rated.join(placed, (rated[by] == placed["p_by"]) & (rated["frame_idx"] == placed["p_frame"]), "left").drop("p_by", "p_frame").withColumn("accepted", F.col("place").isNotNull())

@@ -305,12 +305,13 @@ def correspondence_pipeline(spark, sf):
     return rounded(out.select("frame_idx", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson"), 4)
 
 
-@query("""SELECT session, count(*) AS n_matches, CAST(0 AS BIGINT) + 1 = 1 AS found FROM m WHERE event_id % 11 <> 0 GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)
+@query("""SELECT session, count(*) AS n_matches, CAST(0 AS BIGINT) + 1 = 1 AS found FROM m GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)
 def estimate_fundamental(spark, sf):
-    """A robust matrix for each session's exact matches; found where nine tenths of them fit it."""
-    kp = view(spark, sf, "kp2d").where("event_id % 11 <> 0")
-    out = matching.estimate_fundamental(trajectory.match_views(kp).select("session", "x0", "y0", "x1", "y1"), ["session"])
-    return out.select("session", "n_matches", (F.col("inlier_ratio") > 0.9).alias("found"))
+    """A robust matrix for each session's matches, some of them wrong; found where it fits as many as the rig's own matrix."""
+    matches = trajectory.match_views(view(spark, sf, "kp2d")).select("session", "x0", "y0", "x1", "y1")
+    out = matching.estimate_fundamental(matches, ["session"]).select("session", "n_matches", "n_inliers")
+    rig = matching.sampson_stats(matches, RIG_F, ["session"]).select("session", F.col("n_inliers").alias("n_right"))
+    return out.join(rig, "session").select("session", "n_matches", (F.col("n_inliers") >= F.col("n_right")).alias("found"))
 
 
 # ---------------------------------------------------------------- self-calibration

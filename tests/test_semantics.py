@@ -127,6 +127,27 @@ def test_diverse_selection_is_the_greedy_one(spark):
     assert got == sorted(kept)
 
 
+def rig_matches(n, share, key, seed=0):
+    rng = np.random.default_rng(seed)
+    x, y, z = rng.uniform(-200, 200, n), rng.uniform(-120, 120, n), rng.uniform(400, 700, n)
+    off = np.where((np.arange(n) < share * n)[:, None], 0.0, rng.uniform(-300, 300, (n, 2)))
+    cols = (x / z * 900 + 640, y / z * 900 + 360, (x - 100) / z * 900 + 640 + off[:, 0], y / z * 900 + 360 + off[:, 1])
+    return [(key, *map(float, r)) for r in zip(*cols)]
+
+
+MATCHES = "session long, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_every_match_of_a_session_is_scored(spark):
+    from stereolake.plans import catalog, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    n = trajectory.match_views(fixtures.view(spark, sf, "kp2d")).count()
+    assert catalog.QUERIES["estimate_fundamental"](spark, sf).agg(F.sum("n_matches")).head()[0] == n
+    r = matching.estimate_fundamental(spark.createDataFrame(rig_matches(3000, 10 / 11, 1), MATCHES), ["session"]).head()
+    assert r.n_matches == 3000 and r.n_inliers >= 2727
+
+
 def test_rigid_fit_of_too_few_points_is_none(spark):
     schema = ", ".join(f"{c} double" for c in alignment.REC + alignment.ARENA)
     rows = spark.createDataFrame([(1, *map(float, range(6)))] * 2, f"session long, {schema}")
