@@ -140,7 +140,7 @@ def estimate_fundamental(matches: DataFrame, key: list[str], threshold: float =
     """(key, f, n_matches, n_inliers, inlier_ratio, mean_sampson) of each frame pair by sampled eight-point hypotheses.
 
     Hypotheses are drawn from a seeded pool of a key's matches, so a task's arrays are bounded whatever the key's size: as
-    many as a clean sample needs at the given confidence and the best inlier ratio so far. `least_ratio` bounds them (11 594
+    many as a clean sample needs at the given confidence and the best inlier ratio so far. `least_ratio` bounds them (11 595
     for 0.4): from there on the confidence is kept, below it an estimate may be missed. The best few of the pool then meet
     all matches by a join and the one with most matches within the threshold wins. Keys of fewer than 8 matches give no row.
     """

@@ -298,11 +298,11 @@ def match_descriptors(spark, sf):
 
 @query()
 def correspondence_pipeline(spark, sf):
-    """Descriptor matches, capped by cell, and a robust fundamental matrix for each frame of enough matches."""
+    """Descriptor matches, capped by cell, a robust fundamental matrix for each frame of enough matches, and which are accepted in what order."""
     found = matching.match_descriptors(view(spark, sf, "descriptors"), ["frame_idx"], 0.99)
     capped = matching.grid_cap(found, ["frame_idx"], "id0", WIDTH, HEIGHT)
-    out = matching.estimate_fundamental(capped, ["frame_idx"])
-    return rounded(out.select("frame_idx", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson"), 4)
+    out = matching.ordered_estimates(matching.estimate_fundamental(capped.withColumn("session", F.lit(0)), matching.PAIR))
+    return rounded(out.select("frame_idx", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson", "quality", "accepted", "place"), 4)
 
 
 @query("""SELECT session, count(*) AS n_matches, CAST(0 AS BIGINT) + 1 = 1 AS found FROM m GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)

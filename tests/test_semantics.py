@@ -148,6 +148,20 @@ def test_every_match_of_a_session_is_scored(spark):
     assert r.n_matches == 3000 and r.n_inliers >= 2727
 
 
+def test_half_wrong_matches_keep_their_estimate(spark):
+    rows = [r for k in range(6) for r in rig_matches(200, 0.5, k, k)]
+    got = matching.estimate_fundamental(spark.createDataFrame(rows, MATCHES), ["session"]).collect()
+    assert len(got) == 6 and all(r.n_inliers >= 100 for r in got)
+    assert matching.samples_needed(0.4, 0.9995) == 11595 and 1930 < matching.samples_needed(0.5, 0.9995) < 1950
+
+
+def test_estimates_are_accepted_in_frame_order_and_placed_by_quality(spark):
+    rows = [(1, f, 100 + f, 0.5, 0.2) for f in range(4)] + [(1, 4, 79, 0.9, 0.1), (1, 5, 300, 0.2, 0.1)]
+    df = spark.createDataFrame(rows, "session long, frame_idx long, n_inliers long, inlier_ratio double, mean_sampson double")
+    got = {r.frame_idx: (r.accepted, r.place) for r in matching.ordered_estimates(df, most=3).collect()}
+    assert got == {0: (True, 3), 1: (True, 2), 2: (True, 1), 3: (False, None), 4: (False, None), 5: (False, None)}
+
+
 def test_rigid_fit_of_too_few_points_is_none(spark):
     schema = ", ".join(f"{c} double" for c in alignment.REC + alignment.ARENA)
     rows = spark.createDataFrame([(1, *map(float, range(6)))] * 2, f"session long, {schema}")
