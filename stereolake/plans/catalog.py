@@ -326,7 +326,7 @@ def _mm(a: str, b: str, n: str, terms) -> str:
 
 
 _K = [["f", "0.0E0", "640.0E0"], ["0.0E0", "f", "360.0E0"], ["0.0E0", "0.0E0", "1.0E0"]]
-_SCAN_STEPS = 60
+_SCAN_STEPS = 300
 _SCAN = f"""w AS (SELECT *, 0.35E0 * least(n_inliers / 300.0E0, 1.0E0) + 0.35E0 * inlier_ratio + 0.30E0 * exp(-mean_sampson / 0.5E0) AS quality FROM f_est),
 grid AS (SELECT sqrt(1280.0E0 * 1280 + 720.0E0 * 720) * (0.4E0 + 3.1E0 * i / {_SCAN_STEPS - 1}) AS f FROM range(0, {_SCAN_STEPS}) r(i)),
 fk AS (SELECT session, quality, f, {_mm('', '', 'g', lambda i, j: [f'f{i}{k} * {_K[k][j]}' for k in range(3)])} FROM w CROSS JOIN grid),
@@ -448,7 +448,7 @@ def undistort_points(spark, sf):
 
 @query()
 def distortion_scan(spark, sf):
-    return rounded(alignment.distortion_scan(view(spark, sf, "edge_points"), 900.0, 640.0, 360.0, rounds=2), 6)
+    return rounded(alignment.distortion_scan(view(spark, sf, "edge_points"), 900.0, 640.0, 360.0), 6)
 
 
 @query("""SELECT session, camera, count(*) AS n_edges, min(n) AS fewest, count(*) >= 3 AND min(n) >= 4 AS ready FROM (SELECT session, camera, label, count(*) AS n FROM edge_points GROUP BY session, camera, label) q GROUP BY session, camera""", "edge_points")

@@ -185,6 +185,16 @@ def test_distortion_scan_straightens_bent_lines(spark):
     assert alignment.distortion_scan(edges, 900.0, 640.0, 360.0, rounds=2).head().cost < before / 10
 
 
+def test_registered_scans_have_the_full_grid(spark, monkeypatch):
+    from stereolake.plans import catalog
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    assert {r.n for r in catalog.QUERIES["focal_scan"](spark, sf).groupBy("session").agg(F.count_distinct("f").alias("n")).collect()} == {300}
+    monkeypatch.setattr(catalog.alignment, "distortion_scan", lambda edges, *a, **more: seen.update(more) or edges)
+    catalog.QUERIES["distortion_scan"](spark, sf)
+    assert seen.get("rounds", 4) == 4
+
+
 def test_wide_tracks_with_individuals(spark, tmp_path):
     text = "scorer,a,a,a,a,a,a\nindividuals,m1,m1,m1,m2,m2,m2\nbodyparts,nose,nose,nose,nose,nose,nose\ncoords,x,y,likelihood,x,y,likelihood\n0,1,2,0.9,3,4,0.05\n1,x,2,0.9,3,4,0.8\n"
     (tmp_path / "t.csv").write_text(text)
