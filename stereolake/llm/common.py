@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: The words of the contracts are maximal runs of anything but these bytes.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -36,11 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, as rows hold whole texts; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def salted_join(rows: DataFrame, named: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """rows joined with named, which has one row for each key: a key with many rows is spread over salts by column `by`.
+
+    named goes only to the salts that a key's rows have, so a key with one row costs one row.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    spread = salted.select(key, "salt").distinct().join(named, key)
+    return salted.join(spread, [key, "salt"]).drop("salt")
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 2 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes, as rows hold whole texts; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        set_to = spark.conf.get(key).lower().removesuffix("b")
+        if not set_to.isdigit() or not 0 < int(set_to) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -58,8 +72,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator
         start = stop
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, schema: str, limit: int = 1 << 19) -> DataFrame:
-    """mapInArrow that hands fn slices of bounded bytes, so that a worker's memory doesn't grow with the batch."""
+def release() -> None:
+    """Give freed memory of this Python worker back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str, schema: str, limit: int = 1 << 19, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow that hands fn slices of bounded bytes, so that a worker's memory doesn't grow with the batch.
+
+    done is called at the end of each partition, to drop what fn keeps.
+    """
 
     def run(batches):
         for batch in batches:
@@ -67,10 +93,44 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = fn(part)
                 if out is not None:
                     yield out
+        if done:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def by_text(spark: SparkSession, fn: Callable[[pa.RecordBatch], pa.Array], kind: str, *columns: Column, done: Callable[[], None] | None = None) -> Column:
+    """A column fn(batch) of the given columns, the first of which is a text: only these go to Python, rows stay where they are.
+
+    fn gets slices of bounded bytes with columns "c0", "c1" and so on.
+    """
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.Array] | Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            arrays = arrays if isinstance(arrays, tuple) else (arrays,)
+            batch = pa.RecordBatch.from_arrays(list(arrays), [f"c{i}" for i in range(len(arrays))])
+            found = [fn(part) for part in slices(batch, "c0")]
+            yield pa.concat_arrays(found) if found else pa.nulls(0, to_arrow_type(spark_type))
+        if done:
+            done()
+        release()
+
+    spark_type = DataType.fromDDL(kind)
+    if len(columns) == 1:
+
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return run(batches)
+
+        return F.arrow_udf(one, kind)(*columns)
+
+    def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return run(batches)
+
+    return F.arrow_udf(many, kind)(*columns)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     col = batch.column(column)
@@ -102,26 +162,36 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class ByteHasher:
-    """Hashes of arbitrary spans of a byte buffer from one running sum: sum of table[byte] * step^position, shifted back to position 0."""
+    """Hashes of arbitrary spans of a byte buffer from one running sum: sum of table[byte] * step^position, shifted back to position 0.
+
+    Powers of the step are tables of PIECE places, and a power for each piece of the buffer, so nothing kept grows with it.
+    """
+
+    PIECE = 1 << 14
 
     def __init__(self, seed: int = 17):
         self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(seed))
-        self.inverse = pow(_STEP, -1, 1 << 64)
-        self.forward, self.back = _powers(_STEP, 1 << 12), _powers(self.inverse, 1 << 12)
+        inverse = pow(_STEP, -1, 1 << 64)
+        self.forward, self.back = _powers(_STEP, self.PIECE), _powers(inverse, self.PIECE)
+        self.leap, self.leap_back = pow(_STEP, self.PIECE, 1 << 64), pow(inverse, self.PIECE, 1 << 64)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
-        if n > len(self.forward):
-            size = 1 << n.bit_length()
-            self.forward, self.back = _powers(_STEP, size), _powers(self.inverse, size)
-        out = np.zeros(n, dtype=np.uint64)
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        power = 1
         with np.errstate(over="ignore"):
-            np.cumsum(self.table[data] * self.forward[: n - 1], out=out[1:])
+            for lo in range(0, len(data), self.PIECE):
+                part = data[lo : lo + self.PIECE]
+                terms = self.table[part] * self.forward[: len(part)]
+                np.cumsum(terms * np.uint64(power), out=out[lo + 1 : lo + 1 + len(part)])
+                out[lo + 1 : lo + 1 + len(part)] += out[lo]
+                power = power * self.leap & _MASK
         return out
 
     def spans(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        far = _powers(self.leap_back, len(sums) // self.PIECE + 1)
         with np.errstate(over="ignore"):
-            return mix((sums[stop] - sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
+            back = self.back[start & (self.PIECE - 1)] * far[start // self.PIECE]
+            return mix((sums[stop] - sums[start]) * back + (stop - start).astype(np.uint64))
 
 
 IS_SPACE = np.zeros(256, dtype=bool)

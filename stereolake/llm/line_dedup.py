@@ -1,10 +1,11 @@
 """Line dedup: texts that share rare lines are aligned by patience diff; aligned common blocks go from the later text.
 
-A line alone may be short or common, so a line's hash is taken together with the following lines until the run has
-`least_words` words: two texts share such a run exactly if they share a block of that many words that starts there, and a
-run is as rare as the rarest of its lines. Every run is owned by the first text that has it, and each later text with the
-run is aligned with the owner: a pair for each run and later text at most, never all pairs of a group. A line that goes
-from a text is in an earlier one, so the first text with a line keeps it.
+A line alone may be short or common, so a line's hash is taken together with its neighbours until the run has
+`least_words` words, once with the lines that follow and once with those before. A run is as rare as the rarest of its
+lines. Every line of a common block of that many words lies in a run, of either direction, that is inside the block: so if
+each text is aligned with the first owner of each of its runs, every common block with any earlier text goes, though a run
+and a text give one pair at most and never all pairs of a group arise. A line that goes from a text is in an earlier one,
+so the first text with a line keeps it.
 """
 
 from __future__ import annotations
@@ -16,22 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, map_slices, materialize, small_batches, text_bytes, word_spans
+from .common import ByteHasher, map_slices, materialize, release, small_batches, text_bytes, word_spans
 
-LEAST_WORDS = 50
+LEAST_WORDS, ROUNDS, SALTS = 50, 3, 64
 _HASHER: list[ByteHasher] = []
 
 
-def lines_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, words, line numbers) of the lines of each text that have words; a line is hashed from its first to its last word."""
+def _hasher() -> ByteHasher:
     if not _HASHER:
         _HASHER.append(ByteHasher(61))
+    return _HASHER[0]
+
+
+def lines_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, words, line numbers) of the lines of each text that have words; a line is hashed from its first to its last word."""
     data = np.frombuffer(b"".join(t + b"\n" for t in texts), dtype=np.uint8)
     ends = np.flatnonzero(data == 10)
     starts, stops = word_spans(data)
     line = np.searchsorted(ends, starts)
     used, first, words = np.unique(line, return_index=True, return_counts=True)
-    h = _HASHER[0].spans(_HASHER[0].sums(data), starts[first], stops[first + words - 1])
+    h = _hasher().spans(_hasher().sums(data), starts[first], stops[first + words - 1])
     last_line = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)
     out, before = [], 0
     cuts = np.searchsorted(used, last_line, side="right")
@@ -42,15 +47,19 @@ def lines_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def runs(h: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Hash of the shortest run of lines of at least `least` words from each line on; fewer runs than lines, as the last lines start none."""
+def runs(h: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, stop) of the shortest run of lines of at least `least` words from each line on, then of the shortest that ends with each line."""
     total = np.concatenate(([0], np.cumsum(words)))
     stop = np.searchsorted(total, total[:-1] + least)
     start = np.flatnonzero(stop <= len(h))
+    stop = stop[start]
+    back = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ends = np.flatnonzero(total[1:] >= least)
+    start, stop = np.concatenate([start, back[ends]]), np.concatenate([stop, ends + 1])
     if not len(start):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), start, stop
     data = np.ascontiguousarray(h).view(np.uint8)
-    return _HASHER[0].spans(_HASHER[0].sums(data), start * 8, stop[start] * 8).view(np.int64)
+    return _hasher().spans(_hasher().sums(data), start * 8, stop * 8).view(np.int64), start, stop
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -71,54 +80,69 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def shared_blocks(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """[start, stop) of blocks of b's lines, of at least `least` words each, that stand in a as well.
+def shared_blocks(a: np.ndarray, b: np.ndarray, words: np.ndarray, a_words: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """[start, stop) of the blocks of b's lines, of at least `least` words each, that stand in a as well; neighbouring ones are joined.
 
     Lines that are unique in both and in the same order in both (patience diff) are anchors, and each grows to a block
-    while the lines around it are equal. Blocks that moved or are repeated in b don't fit into one alignment: what is left
-    of b is aligned again until no block is found; where no line is unique, any shared line may be the anchor.
+    while the lines around it are equal. Blocks that moved don't fit into one alignment, so what is left of b is aligned
+    again, a few times. What still isn't found, as no line of it is unique, is found by its runs: a block of b goes if each
+    of its lines lies in a run that a has. All steps take time in proportion to the lines (growing stops at unique lines).
     """
     first, second, weight = a.tolist(), b.tolist(), words.tolist()
-    places: dict[int, list[int]] = {}
+    place: dict[int, int] = {}
     for i, h in enumerate(first):
-        places.setdefault(h, []).append(i)
-    left = [h in places for h in second]
+        place[h] = -1 if h in place else i
+    left = [h in place for h in second]
     out: list[tuple[int, int]] = []
-    while any(left):
+    for _ in range(ROUNDS):
         seen: dict[int, int] = {}
         for j, h in enumerate(second):
             if left[j]:
                 seen[h] = -1 if h in seen else j
-        anchors = _increasing(sorted((places[h][0], j) for h, j in seen.items() if j >= 0 and len(places[h]) == 1))
-        found = _grown(anchors, first, second, left, weight, least)
-        if not found:
-            found = next((g for j, h in enumerate(second) if left[j] for i in places[h] if (g := _grown([(i, j)], first, second, left, weight, least))), [])
+        anchors = _increasing(sorted((place[h], j) for h, j in seen.items() if j >= 0 and place[h] >= 0))
+        found = _grown(anchors, first, second, weight, least)
         if not found:
             break
         for s, e in found:
             left[s:e] = [False] * (e - s)
         out += found
-    return sorted(out)
+        if not any(left):
+            return _merged(out)
+    if sum(w for w, x in zip(weight, left) if x):
+        keys, start, stop = runs(b, words, least)
+        known = np.isin(keys, runs(a, a_words, least)[0])
+        uncovered = np.concatenate(([0], np.cumsum(left)))
+        out += {(s, e) for s, e in zip(start[known].tolist(), stop[known].tolist()) if uncovered[e] > uncovered[s]}
+    return _merged(out)
 
 
-def _grown(anchors, first, second, left, weight, least) -> list[tuple[int, int]]:
-    out, done = [], 0
+def _merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(blocks):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _grown(anchors: list[tuple[int, int]], first: list[int], second: list[int], weight: list[int], least: int) -> list[tuple[int, int]]:
+    out, done, shift = [], 0, None
     for i, j in anchors:
-        if j < done:
+        if j < done and shift == i - j:
             continue
-        s, e, k = j, j + 1, i
-        while s > done and k > 0 and left[s - 1] and first[k - 1] == second[s - 1]:
-            s, k = s - 1, k - 1
-        k = i + 1
-        while e < len(second) and k < len(first) and left[e] and first[k] == second[e]:
-            e, k = e + 1, k + 1
+        s, e = j, j + 1
+        while s > 0 and s + i - j > 0 and first[s + i - j - 1] == second[s - 1]:
+            s -= 1
+        while e < len(second) and e + i - j < len(first) and first[e + i - j] == second[e]:
+            e += 1
+        done, shift = e, i - j
         if sum(weight[s:e]) >= least:
             out.append((s, e))
-            done = e
     return out
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(id, lines, words, numbers, runs): int64, int32, int32 and int64 arrays as binaries, of the texts with a non-null id."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text <> ''")
@@ -126,48 +150,60 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = lines_of(text_bytes(batch, "text"))
         columns = [[a.tobytes() for a in part] for part in zip(*found)]
-        own_runs = [np.unique(runs(h, w, LEAST_WORDS)).tolist() for h, w, _ in found]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns), pa.array(own_runs, pa.list_(pa.int64()))], ["id", "lines", "words", "numbers", "runs"])
+        own_runs = [np.unique(runs(h, w, least_words)[0]) for h, w, _ in found]
+        flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in own_runs]))), pa.int32()), pa.array(np.concatenate(own_runs)))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns), flat], ["id", "lines", "words", "numbers", "runs"])
 
     return map_slices(source, run, "text", f"id {dict(source.dtypes)['id']}, lines binary, words binary, numbers binary, runs array<bigint>")
 
 
-def shared_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, spans): the line numbers [start, stop) that go from each text that loses any."""
-    table = materialize(line_table(docs, id_col, text_col), "line-table")
+def shared_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(id, spans): the line numbers [start, stop) that go from each text that loses any.
+
+    A text that many later ones share runs with would be one key of a join; pairs are salted by the later text, and the
+    owner's lines go to the salts that have pairs.
+    """
+    table = materialize(line_table(docs, id_col, text_col, least_words), "line-table")
     owned = table.select("id", F.explode("runs").alias("run"))
     owners = owned.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("run", "owner")
     pairs = owned.join(owners, "run").where("id > owner").select("owner", "id").distinct()
+    pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "line-pairs")
     later = table.select("id", F.col("lines").alias("b"), "words", "numbers")
-    first = table.select(F.col("id").alias("owner"), F.col("lines").alias("a"))
-    aligned = pairs.join(later, "id").join(first, "owner").select("id", "a", "b", "words", "numbers")
+    first = table.select(F.col("id").alias("owner"), F.col("lines").alias("a"), F.col("words").alias("a_words"))
+    first = pairs.select("owner", "salt").distinct().join(first, "owner")
+    aligned = pairs.join(later, "id").join(first, ["owner", "salt"]).select("id", "a", "a_words", "b", "words", "numbers")
     kind = dict(aligned.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
             spans = []
-            for a, b, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words", "numbers"))):
+            for a, a_words, b, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("a", "a_words", "b", "words", "numbers"))):
                 at = np.frombuffer(numbers, dtype=np.int32)
-                blocks = shared_blocks(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), np.frombuffer(words, dtype=np.int32))
+                blocks = shared_blocks(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), np.frombuffer(words, dtype=np.int32), np.frombuffer(a_words, dtype=np.int32), least_words)
                 spans.append([{"start": int(at[s]), "stop": int(at[e - 1]) + 1} for s, e in blocks])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["id", "spans"])
+        release()
 
     found = aligned.mapInArrow(run, f"id {kind}, spans array<struct<start:int,stop:int>>").where("size(spans) > 0")
     return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, text, n_lines, n_deleted): each row as a struct, its text without the blocks that an earlier text has.
 
-    A text is earlier if its id is smaller; rows with equal ids aren't compared with each other and lose the same line
-    numbers, as the same document. Null ids, null and empty texts stay as they are; a null text has 0 lines. Blocks of less
-    than 50 words stay. Of exact copies all but the first end up empty. Columns of any name pass through in the struct.
+    Exactly the lines go that lie in a block of lines of least_words words or more (of one line at least) which an earlier
+    text has as well; 1 takes every repeated line. A text is earlier if its id is smaller; rows with equal ids aren't
+    compared with each other and lose the same line numbers, as the same document. Null ids, null and empty texts stay as
+    they are; a null text has 0 lines. Of exact copies all but the first lose all such lines. Very long texts are compared
+    whole, in time in proportion to their lines. An empty table gives no rows. Columns of any name pass through in the
+    struct.
     """
-    gone = shared_lines(docs, id_col, text_col).withColumnRenamed("id", "gone_id")
+    gone = shared_lines(docs, id_col, text_col, least_words).withColumnRenamed("id", "gone_id")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("key"), docs[text_col].alias("text"))
     joined = rows.join(gone, rows["key"] == gone["gone_id"], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
+    gone_at = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at), lambda i: F.get(lines, i))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     n_kept = F.when(F.col("spans").isNull(), n_lines).otherwise(F.size(kept))

@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, ByteHasher, map_slices, materialize, mix, slices, small_batches, word_spans
+from .common import LOWER, ByteHasher, materialize, mix, release, salted_join, slices, small_batches, word_spans
 from .components import components
 
 WORDS, NUM, DEN = 5, 75, 100
 COUNTERS, PLACES, CHUNK, FAN_IN = 1 << 23, 1 << 21, 1 << 16, 64
-PER_CLASS, ROUNDS, PIVOTS, SMALL = 4, 1, 4, 10
+PER_CLASS, ROUNDS, PIVOTS, SMALL, SEEN = 4, 1, 4, 10, 50_000
+#: A component's members and the texts that meet it are dealt out over so many tasks each.
+MEMBER_SALTS, OUTSIDE_SALTS = 8, 4
 _HASHER: list[ByteHasher] = []
 _MIXERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 3, 5, 7, 9)]
 
@@ -142,6 +144,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], words), pa.array([parity_bitmap(s, SMALL) for s in sets], words), none, none, pa.nulls(rows, pa.binary())], names)
         pid = TaskContext.get().partitionId()
         blobs = [zlib.compress(counts[i : i + CHUNK].tobytes(), 1) for i in range(0, COUNTERS, CHUNK)]
+        del counts
+        release()
         k = len(blobs)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, words), pa.nulls(k, words), pa.array(range(k), pa.int64()), pa.array([pid] * k, pa.int64()), pa.array(blobs, pa.binary())], names)
 
@@ -190,18 +194,24 @@ def _index(docs: DataFrame, flags: np.ndarray) -> DataFrame:
     """(sig, node) of every text."""
     table = docs.sparkSession.sparkContext.broadcast(flags)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs, nodes = [], []
-        for h in shingle_sets(batch):
-            if len(h) > 1:
-                s = signatures(h, _bit(table.value, (h & np.uint64(COUNTERS - 1)).astype(np.int64)))
-                sigs.append(s)
-                nodes.append(np.full(len(s), set_id(h), dtype=np.int64))
-        if not sigs:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+    def run(batches):
+        seen: set[int] = set()  # of copies within a task one is enough
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sigs, nodes = [], []
+                for h in shingle_sets(part):
+                    node = set_id(h)
+                    if len(h) > 1 and node not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
+                        s = signatures(h, _bit(table.value, (h & np.uint64(COUNTERS - 1)).astype(np.int64)))
+                        sigs.append(s)
+                        nodes.append(np.full(len(s), node, dtype=np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        release()
 
-    return map_slices(docs, run, "text", "sig bigint, node bigint")
+    return docs.mapInArrow(run, "sig bigint, node bigint")
 
 
 def _wanted_places(nodes: DataFrame) -> np.ndarray:
@@ -226,12 +236,13 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 for h in shingle_sets(part):
                     node = set_id(h)
                     if len(h) > 1 and node not in seen and _bit(wanted.value, np.array([node & (PLACES - 1)]))[0]:
-                        if len(seen) < 100_000:
+                        if len(seen) < SEEN:
                             seen.add(node)
                         ids.append(node)
                         blobs.append(h.tobytes())
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
+        release()
 
     return docs.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -251,7 +262,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.join(one, "b").join(two, "a")
 
     def run(batches):
-        for batch in batches:
+        for batch in batches:  # of bounded bytes
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -296,7 +307,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             break
         named = comps.withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
         members = members.join(named, members["node"] == named["c_node"], "left").select("sig", "node", "n", F.coalesce("c_comp", "comp").alias("comp"))
-        members = members.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo <> hi").select("sig", "node", "n", "comp")
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        members = members.join(mixed, "sig").select("sig", "node", "n", "comp")
         members = materialize(members, "ngram-members")
         if members.isEmpty():
             break
@@ -311,9 +323,9 @@ def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
 
     Pivots are the nodes of the smallest hashes, so that a node meets the same few pivots through all its signatures.
     """
-    by_sig = Window.partitionBy("sig")
-    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(number * PIVOTS + k)).alias("h"), "node", "comp", "n")).over(by_sig) for k in range(PIVOTS)]
-    met = members.withColumn("pivots", F.array_distinct(F.array(*pivots))).select("node", "comp", "n", F.explode("pivots").alias("p"))
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(number * PIVOTS + k)).alias("h"), "node", "comp", "n")) for k in range(PIVOTS)]
+    chosen = members.groupBy("sig").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
+    met = members.join(chosen, "sig").select("node", "comp", "n", F.explode("pivots").alias("p"))
     met = met.withColumn("m", F.col("p.n")).where("comp <> p.comp").where(_FITTING)
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -324,16 +336,18 @@ def _pairs_left(members: DataFrame, nodes: DataFrame) -> DataFrame:
     A signature's largest component is mostly one big group of near copies that the others aren't linked with: each of the
     others meets that component once, however many signatures they share; among the others pairs are found by signature.
     """
-    count = F.count(F.lit(1)).over(Window.partitionBy("sig", "comp"))
-    largest = F.max(F.struct("count", "comp")).over(Window.partitionBy("sig"))
-    placed = members.withColumn("count", count).withColumn("large", largest["comp"])
-    others = materialize(placed.where("comp <> large").select("sig", "node", "n", "comp", "large"), "ngram-others")
+    sizes = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("count"))
+    largest = sizes.groupBy("sig").agg(F.max(F.struct("count", "comp"))["comp"].alias("large"))
+    others = materialize(members.join(largest, "sig").where("comp <> large").select("sig", "node", "n", "comp", "large"), "ngram-others")
     fits = may_link(F.col("x"), F.col("n"), F.col("y"), F.col("m"))
     mine = nodes.select("node", F.col("bitmap").alias("x"))
     yours = nodes.select(F.col("node").alias("o_node"), F.col("bitmap").alias("y"))
-    inside = members.select(F.col("comp").alias("o_comp"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct().join(yours, "o_node")
+    met = others.select(F.col("large").alias("o_comp")).distinct()
+    inside = members.select(F.col("comp").alias("o_comp"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct().join(met, "o_comp", "left_semi").join(yours, "o_node")
+    inside = inside.withColumn("o_salt", F.pmod(F.xxhash64("o_node"), F.lit(MEMBER_SALTS))).withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(OUTSIDE_SALTS - 1))))
     outside = others.select("node", "n", "large").distinct().join(mine, "node")
-    across = outside.join(inside, (F.col("large") == F.col("o_comp")) & fits)
+    outside = outside.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(OUTSIDE_SALTS))).withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SALTS - 1))))
+    across = outside.join(inside, (F.col("large") == F.col("o_comp")) & (F.col("salt") == F.col("i_salt")) & (F.col("m_salt") == F.col("o_salt")) & fits)
     mine = nodes.select("node", F.col("small").alias("x"))
     first = others.select("sig", "node", "n", "comp").join(mine, "node")
     second = first.select(F.col("sig").alias("o_sig"), F.col("node").alias("o_node"), F.col("n").alias("m"), F.col("comp").alias("o_comp"), F.col("x").alias("y"))
@@ -344,12 +358,13 @@ def _pairs_left(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _labelled(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Rows with the smallest id of their component; nodes first, so that a node of many copies is one row in the join."""
+    by_node = texts.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     if comps is None:
-        by_node = texts.where("n > 0").groupBy("node").agg(F.min("id").alias("component_id"))
+        by_node = by_node.withColumnRenamed("least", "component_id")
     else:
-        least = texts.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-        inside = least.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node"))
-        smallest = inside.groupBy("comp").agg(F.min("least").alias("component_id"))
-        by_node = inside.select("node", "comp").join(smallest, "comp").select("node", "component_id")
+        inside = by_node.join(comps, "node")
+        smallest = inside.groupBy("comp").agg(F.min("least").alias("smallest"))
+        named = salted_join(inside.select("node", "comp"), smallest, "comp", "node").select("node", "smallest")
+        by_node = by_node.join(named, "node", "left").select("node", F.coalesce("smallest", "least").alias("component_id"))
     named = texts.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("t_node"))
     return named.join(by_node, F.col("t_node") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

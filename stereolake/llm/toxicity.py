@@ -1,21 +1,24 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams of its lower-cased characters' bytes, present or not, taken from the whole text.
-Presence, not frequency, keeps a single telling word telling in a text of any length. Each bag of labelled rows gives
+A text's features are the hashed n-grams of its lower-cased characters (code points), present or not, taken from the whole
+text. Presence, not frequency, keeps a single telling word telling in a text of any length. Each bag of labelled rows gives
 log-count ratios and a logistic regression on the features scaled by them; the bags are fitted in parallel tasks and
 their weights averaged. Scoring is a sum of weights, without any shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, map_slices, materialize, small_batches, text_bytes
+from .common import by_text, map_slices, materialize, mix, small_batches
 
-NGRAMS, BUCKETS, TOGETHER = (4, 5, 6), 1 << 18, 64
+NGRAMS, BUCKET_BITS, TOGETHER, PIECE = (4, 5, 6), 18, 32, 1 << 18
+BUCKETS = 1 << BUCKET_BITS
 #: Fixed values of the fit: rows a class and bag at most, bags, rounds, ridge, smoothing.
 ROWS_PER_CLASS, BAGS, ROUNDS, RIDGE, SMOOTH = 1200, 1, 300, 1e-5, 0.5
 #: N-grams in fewer labelled texts, or nearly as likely in either class, carry no evidence and get no weight.
@@ -24,40 +27,44 @@ LEAST_TEXTS, LEAST_RATIO = 3, 1.0
 #: Margins are sums over hundreds of n-grams; divided by this, scores don't all round to 0 or 1. The decision at 0.5 stays.
 FLATTER = 8.0
 
-_HASHER: list[ByteHasher] = []
+_BETWEEN = re.compile(r"[\W_]+")
+_STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(max(NGRAMS))]
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of each text, one after the other, and how many each text has.
 
     A text is lower-cased and set between spaces; runs of anything but letters and digits count as one space, so that
     n-grams show where words start and end.
     """
-    if not _HASHER:
-        _HASHER.append(ByteHasher(41))
     found, counts = [], []
     for first in range(0, len(texts), TOGETHER):
-        plain = [b" ".join((b"", *t.lower().translate(_PLAIN).split(), b"")) for t in texts[first : first + TOGETHER]]
-        lengths = np.array([len(t) for t in plain], dtype=np.int64)
-        data = np.frombuffer(b"".join(plain), dtype=np.uint8)
-        sums = _HASHER[0].sums(data)
-        owner = np.repeat(np.arange(len(plain)), lengths)
-        rest = np.cumsum(lengths)[owner] - np.arange(len(data))
-        present = np.zeros(len(plain) * BUCKETS, dtype=bool)
-        for n in NGRAMS:
-            at = np.flatnonzero(rest >= n)
-            h = _HASHER[0].spans(sums, at, at + n)
-            present[owner[at] * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64)] = True
+        plain = [f" {_BETWEEN.sub(' ', t.lower()).strip()} " for t in texts[first : first + TOGETHER]]
+        ends = np.cumsum([len(t) for t in plain])
+        data = np.frombuffer("".join(plain).encode("utf-32-le"), dtype=np.uint32)
+        present = np.zeros(len(plain) << BUCKET_BITS, dtype=bool)
+        for lo in range(0, len(data), PIECE):
+            codes = mix(data[lo : lo + PIECE + max(NGRAMS) - 1].astype(np.uint64) + np.uint64(1))
+            at = np.arange(lo, min(lo + PIECE, len(data)))
+            owner = np.searchsorted(ends, at, side="right")
+            rest, owner = ends[owner] - at, owner << BUCKET_BITS
+            h = np.zeros(len(at), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(max(NGRAMS)):
+                    m = min(len(h), len(codes) - k)
+                    h = h[:m] + codes[k : k + m] * _STEPS[k]
+                    if k + 1 in NGRAMS:
+                        bucket = (h * _SPREAD >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+                        inside = rest[:m] > k
+                        present[(owner[:m] + bucket)[inside]] = True
         keys = np.flatnonzero(present)
         found.append((keys & (BUCKETS - 1)).astype(np.int32))
-        counts.append(np.bincount(keys // BUCKETS, minlength=len(plain)))
+        counts.append(np.bincount(keys >> BUCKET_BITS, minlength=len(plain)))
     none = [np.zeros(0, dtype=np.int32)]
     return np.concatenate(found or none), np.concatenate(counts or none)
 
 
-_PLAIN = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
-
-
 def fit_bag(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights by bucket and intercept. prior: the share of label 1 that the rows are weighed to."""
     p, q = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
@@ -87,8 +94,8 @@ def fit_bag(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> tuple[n
 
 
 def training_rows(labels: DataFrame, id_col: str, label_col: str, per_class: int, bags: int) -> DataFrame:
-    """(id, label, bag): at most per_class * bags labelled rows of each class, chosen by a hash of the id."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["id"])
+    """(id, label, bag): at most per_class * bags labelled rows of each class, chosen by a hash of the id; an id with both labels has label 1."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     order = F.xxhash64("id", F.lit(5))
     chosen = [known.where(F.col("label") == v).orderBy(order, "id").limit(per_class * bags) for v in (0, 1)]
     return chosen[0].unionByName(chosen[1]).withColumn("bag", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(bags)).cast("int"))
@@ -98,7 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Averaged weights and intercept of a classifier of label_col, from a bounded sample of labelled rows.
 
     per_class * bags rows of a class at most take part; the share of label 1 is that of all labelled rows. Rows without a
-    text or label don't take part. Without both labels the model says nothing: weights 0 and a score below one half.
+    text or label don't take part; texts of repeated ids all do. Without both labels (or any rows) the model says nothing:
+    weights 0 and a score below one half, above it where all labels are 1. Very long texts count as a whole. Other columns
+    of either table, whatever their names, aren't read.
     """
     small_batches(docs.sparkSession)
     share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double")).alias("share")).head()["share"]
@@ -109,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id").select("label", "bag", "text")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-        idx, counts = features(text_bytes(batch, "text"))
+        idx, counts = features([t or "" for t in batch.column("text").to_pylist()])
         ends = np.cumsum(counts)
         blobs = [idx[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["label", "bag", "features"])
@@ -128,19 +137,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.mean([np.frombuffer(m["weights"], dtype=np.float32) for m in models], axis=0), float(np.mean([m["intercept"] for m in models]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): 0 to 1, from the whole text; null and empty texts get the score that no n-gram gives.
-
-    Every row is scored, repeated ones alike; other columns aren't carried.
-    """
-    small_batches(docs.sparkSession)
-    weights, intercept = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32)), model[1]  # a float for each bucket
+def score_column(spark: SparkSession, model: tuple[np.ndarray, float], text: Column) -> Column:
+    """The score of a text column, 0 to 1, from the whole text; null and empty texts get the score that no n-gram gives."""
+    weights, intercept = spark.sparkContext.broadcast(model[0].astype(np.float32)), model[1]  # a float for each bucket
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        idx, counts = features(text_bytes(batch, "text"))
+    def run(batch: pa.RecordBatch) -> pa.Array:
+        idx, counts = features([t or "" for t in batch.column(0).to_pylist()])
         owner = np.repeat(np.arange(len(counts)), counts)
         margin = np.bincount(owner, weights=weights.value[idx], minlength=len(counts)) + intercept
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin / FLATTER, -500, 500))))], ["id", "score"])
+        return pa.array(1 / (1 + np.exp(-np.clip(margin / FLATTER, -500, 500))))
+
+    return by_text(spark, run, "double", text)
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_slices(source, run, "text", f"id {dict(source.dtypes)['id']}, score double")
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row, repeated ones alike; other columns aren't carried, an empty table gives no rows."""
+    return docs.select(docs[id_col].alias("id"), score_column(docs.sparkSession, model, docs[text_col]).alias("score"))
