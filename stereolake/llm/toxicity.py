@@ -52,7 +52,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = np.zeros(len(at), dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(max(NGRAMS)):
-                    m = min(len(h), len(codes) - k)
+                    m = max(min(len(h), len(codes) - k), 0)
                     h = h[:m] + codes[k : k + m] * _STEPS[k]
                     if k + 1 in NGRAMS:
                         bucket = (h * _SPREAD >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
