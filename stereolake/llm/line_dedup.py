@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, map_slices, materialize, release, small_batches, text_bytes, word_spans
+from .common import ByteHasher, by_text, map_slices, materialize, release, small_batches, text_bytes, word_spans
 
 LEAST_WORDS, ROUNDS, SALTS = 50, 3, 64
 _HASHER: list[ByteHasher] = []
@@ -201,10 +201,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = shared_lines(docs, id_col, text_col, least_words).withColumnRenamed("id", "gone_id")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("key"), docs[text_col].alias("text"))
     joined = rows.join(gone, rows["key"] == gone["gone_id"], "left")
-    lines = F.split("text", "\n", -1)
-    gone_at = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at), lambda i: F.get(lines, i))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    n_kept = F.when(F.col("spans").isNull(), n_lines).otherwise(F.size(kept))
-    return joined.select("row", text.alias("text"), n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_deleted"))
+
+    def cut(batch: pa.RecordBatch) -> pa.Array:
+        out = []
+        for text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            if text is None:
+                out.append(None)
+                continue
+            lines = text.split("\n")
+            stays = bytearray(b"\x01") * len(lines)
+            for s in spans or ():
+                stays[s["start"] : s["stop"]] = bytes(s["stop"] - s["start"])
+            kept = [x for x, stay in zip(lines, stays) if stay]
+            out.append({"text": "\n".join(kept), "deleted": len(lines) - len(kept)})
+        return pa.array(out, pa.struct([("text", pa.string()), ("deleted", pa.int64())]))
+
+    touched = F.col("spans").isNotNull()  # other texts don't go to Python
+    done = joined.withColumn("cut", by_text(docs.sparkSession, cut, "struct<text: string, deleted: bigint>", F.when(touched, F.col("text")), F.col("spans")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return done.select("row", F.when(touched, F.col("cut.text")).otherwise(F.col("text")).alias("text"), n_lines.alias("n_lines"), F.when(touched, F.col("cut.deleted")).otherwise(F.lit(0)).cast("long").alias("n_deleted"))
