@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, map_slices, materialize, slices, small_batches, text_bytes
+from .common import ByteHasher, map_slices, materialize, release, slices, small_batches, text_bytes
 
 WINDOW, RUN, POPULAR, PER_FILTER, BITS, HASHES, LEVELS = 64, 64, 16, 160, 2048, 5, 512
 GAP = WINDOW + RUN
+CHUNK, TASK_BYTES, MOST_TASKS = 1 << 18, 32 << 20, 100_000
 _NEVER = np.int64(1) << 60
 
 
@@ -77,19 +79,41 @@ def window_levels(data: np.ndarray) -> np.ndarray:
     return ((top - sums) * (LEVELS - 1) // top).astype(np.int64)
 
 
+def _chunks(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, around: int):
+    """(first, offset, levels, inside) of stretches of the buffer, with `around` windows more on either side, so that what
+    a long text needs doesn't grow with it; windows that belong to the stretch begin at offset."""
+    last = len(data) - WINDOW + 1
+    for lo in range(0, last, CHUNK):
+        first, hi = max(0, lo - around), min(last, lo + CHUNK + around)
+        at = np.arange(first, hi)
+        owner = np.searchsorted(starts, at, side="right") - 1
+        inside = (owner >= 0) & (at < starts[owner] + counts[owner])
+        yield first, lo - first, window_levels(data[first : hi + WINDOW - 1]), inside
+
+
 def level_counts(texts: list[bytes]) -> np.ndarray:
     """How many windows of the texts have each level."""
     data, starts, counts = _laid_out(texts)
-    levels = window_levels(data)
-    inside = _inside(len(levels), starts, counts)
-    return np.bincount(levels[inside], minlength=LEVELS)
-
-
-def _inside(n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + counts, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+    total = np.zeros(LEVELS, dtype=np.int64)
+    for _, _, levels, inside in _chunks(data, starts, counts, 0):
+        total += np.bincount(levels[inside], minlength=LEVELS)
+    return total
+
+
+def selected(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Where the windows start that are the rarest of at least POPULAR runs; the leftmost is the rarest among equals."""
+    found = []
+    for first, offset, levels, inside in _chunks(data, starts, counts, RUN):
+        n = len(levels)
+        best = np.where(inside, ranks[levels] << 32 | np.arange(n), _NEVER)
+        width = 1
+        while width < RUN:
+            best = np.minimum(best[: len(best) - width], best[width:])
+            width *= 2
+        best = best[best < _NEVER]
+        popular = np.flatnonzero(np.bincount(best & 0xFFFFFFFF, minlength=n) >= POPULAR)
+        found.append(first + popular[(popular >= offset) & (popular < offset + CHUNK)])
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
 
 _HASHER: list[ByteHasher] = []
@@ -100,26 +124,13 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     if not _HASHER:
         _HASHER.append(ByteHasher(29))
     data, starts, counts = _laid_out(texts)
-    levels = window_levels(data)
-    n = len(levels)
-    inside = _inside(n, starts, counts)
-    # windows of the rarest level come first, the leftmost among equals
-    key = np.where(inside, ranks[levels] << 32 | np.arange(n), _NEVER)
-    best = key.copy()
-    width = 1
-    while width < RUN:
-        best = np.minimum(best[: len(best) - width], best[width:])
-        width *= 2
-    best = best[best < _NEVER]
-    popularity = np.bincount(best & 0xFFFFFFFF, minlength=n)
-    chosen = np.flatnonzero(popularity >= POPULAR)
+    chosen = selected(data, starts, counts, ranks)
     owner = np.searchsorted(starts, chosen, side="right") - 1
     place = np.arange(len(chosen)) - np.searchsorted(owner, owner, side="left")
     per_text = np.bincount(owner, minlength=len(texts))
     filters = -(-per_text // PER_FILTER)
     base = np.concatenate(([0], np.cumsum(filters)))
-    sums = _HASHER[0].sums(data)
-    h = _HASHER[0].spans(sums, chosen, chosen + WINDOW)
+    h = _HASHER[0].spans(_HASHER[0].sums(data), chosen, chosen + WINDOW)
     flags = np.zeros(int(base[-1]) * BITS, dtype=bool)
     slot = (base[owner] + place // PER_FILTER) * BITS
     for i in range(HASHES):
@@ -154,21 +165,23 @@ def from_text(text: str) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, BITS // 8), dtype=np.uint8)
 
 
-def level_ranks(docs: DataFrame, text_col: str) -> list[int]:
-    """Rank of each entropy level by how few windows of all the texts have it (ties: the lower level first).
-
-    Each task counts its own windows; LEVELS rows at most reach the driver.
-    """
+def window_counts(docs: DataFrame, text_col: str) -> dict[int, int]:
+    """How many windows of all the texts have each entropy level. Each task counts its own; LEVELS rows at most reach the driver."""
 
     def run(batches):
         total = np.zeros(LEVELS, dtype=np.int64)
         for batch in batches:
             for part in _parts(batch):
                 total += level_counts(text_bytes(part, "text"))
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["level", "windows"])
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "level bigint, windows bigint").groupBy("level").agg(F.sum("windows").alias("windows"))
-    found = {r["level"]: r["windows"] for r in counts.collect()}
+    return {r["level"]: r["windows"] for r in counts.collect()}
+
+
+def level_ranks(found: dict[int, int]) -> list[int]:
+    """Rank of each entropy level by how few windows have it (ties: the lower level first)."""
     order = sorted(range(LEVELS), key=lambda i: (found.get(i, 0), i))
     ranks = [0] * LEVELS
     for rank, level in enumerate(order):
@@ -193,20 +206,18 @@ def fingerprint(docs: DataFrame, id_col: str, text_col: str, ranks: list[int]) -
     return map_slices(source, run, "text", f"id {dict(source.dtypes)['id']}, fingerprint string")
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, n_bytes: int = 0) -> DataFrame:
     """(id, text, next_text): next_text belongs to the next row in descending order of id, after the last the first.
 
-    Rows are range partitioned by id and sorted within partitions, so the next row stands right before. Only the first row
-    of each partition needs the last one of the partition before: these rows go along once more, as context, found from
-    the least and greatest id of each partition. Null ids come last; rows with equal ids are ordered by text.
+    Rows are range partitioned by id and sorted within partitions, so the next row stands right before; there is a
+    partition for each 32 MB of n_bytes, and as many as Spark shuffles to at least. Only the first row of each partition
+    needs the last one of the partition before: these rows go along once more, as context, found from the least and
+    greatest id of each partition. Null ids come last; rows with equal ids are ordered by a hash of their text, and equal
+    rows are interchangeable. Ids are numbers or strings.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = _partitions(spark)
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES)), MOST_TASKS)
     ids = source.select("id", F.xxhash64("text").alias("h")).repartitionByRange(parts, F.col("id").asc_nulls_first(), F.col("h"))
     ids = ids.withColumn("part", F.spark_partition_id())
     edges = ids.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "h")).alias("least"), F.max(F.struct(F.col("id").isNotNull().alias("k"), "id", "h")).alias("most"))
@@ -215,13 +226,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not bounds:
         return source.select("id", "text", F.lit(None).cast("string").alias("next_text"))
     schema = f"part int, id {dict(source.dtypes)['id']}, h bigint"
-    starts = [(b[1], b[2] if b[2] is not None else 0, b[3]) for b in bounds]
-    # a row's part: how many later parts start at or before it
-    key = F.struct(F.col("id").isNotNull().alias("k"), F.coalesce("id", F.lit(0)).alias("id"), F.col("h"))
-    bound_type = f"array<struct<k:boolean,id:{dict(source.dtypes)['id']},h:bigint>>"
-    edge = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("id"), F.lit(h).alias("h")) for k, i, h in starts[1:]]).cast(bound_type) if len(starts) > 1 else F.array().cast(bound_type)
+    later = spark.sparkContext.broadcast([(b[1], b[2], b[3]) for b in bounds[1:]])  # where each later partition starts
+
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(later.value, (i is not None, i, h)) for i, h in zip(ids.to_pylist(), hashes.to_pylist())], pa.int32())
+
     keyed = source.withColumn("h", F.xxhash64("text"))
-    placed = keyed.withColumn("part", F.size(F.filter(edge, lambda b: b <= key)).cast("int")).withColumn("context", F.lit(False))
+    placed = keyed.withColumn("part", F.arrow_udf(place, "int")("id", "h")).withColumn("context", F.lit(False))
     lasts = [(n, bounds[n - 1][4], bounds[n - 1][5]) for n in range(len(bounds))]  # of the part before; of the last part for part 0
     wanted = spark.createDataFrame(lasts, schema).withColumnsRenamed({"id": "w_id", "h": "w_h"})
     before = keyed.join(F.broadcast(wanted), keyed["id"].eqNullSafe(wanted["w_id"]) & (keyed["h"] == wanted["w_h"]))
@@ -252,12 +263,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFram
 
     The edited text has the last third of the text's code points replaced by the first as many (or all) of the next row's
     text, in descending order of ids. Null texts count as empty; the likeness of two empty texts is 1, of an empty and
-    another one 0. A single row is its own next. Empty tables give no rows; other columns are not carried.
+    another one 0. A single row is its own next. Empty tables give no rows; other columns are not carried. Very long texts
+    are read whole, in stretches.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = np.array(level_ranks(docs, text_col), dtype=np.int64)
-    pairs = with_next(docs, id_col, text_col)
+    windows = window_counts(docs, text_col)
+    table = np.array(level_ranks(windows), dtype=np.int64)
+    pairs = with_next(docs, id_col, text_col, sum(windows.values()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -52,10 +52,10 @@ def _joined(spans) -> F.Column:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added over the whole texts of all documents."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_candidates, n_doubtful over the whole texts of all documents."""
     found = pii.find(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *map(count, pii.BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), "n_candidates", "n_doubtful")
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token; a URL's tokens fetch candidates, only those run.
 
-Every rule is a regular expression over "host|path" with the literal tokens that any URL it fits must hold. The rule is
+Every rule is a regular expression over the host and path, joined (a path is empty or starts with "/", which no host
+holds), with the literal tokens that any URL it fits must hold. The rule is
 filed under the one of its tokens that fewest URLs hold. Distinct URLs are split into tokens, the tokens are joined with
 the index, and regular expressions run on the candidates only.
 """
@@ -34,7 +35,7 @@ def host_rule(name: str, verdict: str) -> Rule:
     tokens = [t for t in host.split(".") if t]
     # the path's last piece may be a mere prefix of a URL's token ("/en/1" fits "/en/17"), so it is no literal token
     tokens += [t for t in path.split("/")[:-1] if t]
-    return Rule(name, verdict, rf"^([^|]*\.)?{escape(host.lower())}\|{escape(slash + path)}", tuple(dict.fromkeys(tokens)), 1_000_000 + len(name))
+    return Rule(name, verdict, rf"^([^/]*\.)?{escape(host.lower())}{escape(slash + path)}", tuple(dict.fromkeys(tokens)), 1_000_000 + len(name))
 
 
 def pattern_rule(name: str, verdict: str, pattern: str, tokens: tuple[str, ...], rank: int) -> Rule:
@@ -44,9 +45,9 @@ def pattern_rule(name: str, verdict: str, pattern: str, tokens: tuple[str, ...],
 #: The rules of the contract, and a few pattern rules of our own that judge what no host rule fits; without one: allow.
 HOST_RULES = (host_rule("org/", "allow"), host_rule("example.org/es/", "block"), host_rule("example.org/en/1", "block"), host_rule("com/fr/", "allow"), host_rule("com/de/", "block"))
 PATTERN_RULES = (
-    pattern_rule("blog-html", "block", r"^blog\..*\|.*\.html$", ("blog", "html"), 30),
-    pattern_rule("mobile-es", "block", r"^m\..*\|/es/", ("m", "es"), 20),
-    pattern_rule("net-en-9", "block", r"\.net\|/en/9[0-9]*", ("net", "en"), 10),
+    pattern_rule("blog-html", "block", r"^blog\.[^/]*/.*\.html$", ("blog", "html"), 30),
+    pattern_rule("mobile-es", "block", r"^m\.[^/]*/es/", ("m", "es"), 20),
+    pattern_rule("net-en-9", "block", r"^[^/]*\.net/en/9[0-9]*", ("net", "en"), 10),
 )
 
 
@@ -81,7 +82,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
     filed = wanted.join(counts, "token", "left").groupBy("rule", "verdict", "pattern", "rank").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token"))["token"].alias("token"))
     index = filed.unionByName(rules.where(F.size("tokens") == 0).select("rule", "verdict", "pattern", "rank", F.lit("").alias("token")))
-    fits = tokens.join(index, "token").where(F.expr("regexp_like(concat(host, '|', path), pattern)"))
+    fits = tokens.join(index, "token").where(F.expr("regexp_like(concat(host, path), pattern)"))
     best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "rule", "verdict")).alias("best"))
     best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
     judged = parsed.join(best, (parsed["host"] == best["b_host"]) & (parsed["path"] == best["b_path"]), "left")

@@ -100,6 +100,24 @@ def test_flac_partitions_are_read():
     assert samples[0].tolist() == [5, 5, 6, 4]
 
 
+def test_flac_text_that_holds_a_frame_header():
+    """Bytes in a frame's samples that look like the header of the next one, alone and among other streams."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(chr(rng.choice([rng.randint(33, 126), rng.randint(0x80, 0x7FF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(n)).encode()
+    header = bytes([0xFF, 0xF8, 0x71, 2, 1, 0, 160])
+    header = bytes(b ^ 0x80 for b in header + bytes([flac.crc8(header)]))
+    text = noise(150) + header + noise(1200)
+    text += bytes(-len(text) % 64)
+    plain = b"plain text " * 640
+    streams = flac.encode_streams([plain, text, plain])
+    assert streams[1].find(bytes(b ^ 0x80 for b in header)) > 0
+    assert [d for d, _ in flac.decode_streams(streams)] == [plain, text, plain]
+    torn = bytearray(streams[1])
+    torn[-40] ^= 4
+    with pytest.raises(ValueError):
+        flac.decode_streams([plain and streams[0], bytes(torn)])
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdé \r\n") for _ in range(60_000))
@@ -131,12 +149,13 @@ def test_warc_lost_segment_is_an_error(spark):
 
 
 def test_url_rules_on_odd_urls(spark):
-    urls = ["https://EXAMPLE.org/en/17?x", "http://notexample.org/en/1", "http://a.example.org", "ftp://x.com/de/", "no scheme", "", None, "http://com/fr/a#b", "http://blog.x.net/a.html", "http://blog.x.net/a.html"]
+    urls = ["https://EXAMPLE.org/en/17?x", "http://notexample.org/en/1", "http://a.example.org", "ftp://x.com/de/", "no scheme", "", None, "http://com/fr/a#b", "http://blog.x.net/a.html", "http://blog.x.net/a.html", "http://a|b.org/x", "http://a|.com/de/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     judged = url_rules.filter_urls(pages, url_rules.rules_table(spark, url_rules.HOST_RULES + url_rules.PATTERN_RULES))
     got = {r.id: (r.host, r.path, r.rule) for r in judged.collect()}
     assert got[0] == ("example.org", "/en/17", "example.org/en/1") and got[1][2] == "org/" and got[2] == ("a.example.org", "", None)
     assert got[3][2] == "com/de/" and got[4] == ("", "", None) == got[6] and got[7] == ("com", "/fr/a", "com/fr/") and got[8] == got[9] == ("blog.x.net", "/a.html", "blog-html")
+    assert got[10] == ("a|b.org", "/x", "org/") and got[11][2] == "com/de/"
 
 
 def test_url_rules_equal_all_rules_on_all_urls(spark):
@@ -146,7 +165,7 @@ def test_url_rules_equal_all_rules_on_all_urls(spark):
     got = {r.id: r.rule for r in url_rules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_rules.rules_table(spark, rules)).collect()}
     for i, u in enumerate(urls):
         host, _, path = u.split("://")[1].partition("/")
-        key = f"{host}|{'/' + path if _ else ''}"
+        key = host + ("/" + path if _ else "")
         fits = sorted((-r.rank, r.name) for r in rules if re.search(r.pattern, key))
         assert got[i] == (fits[0][1] if fits else None)
 
@@ -305,6 +324,57 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 300: 200, 200: 200}
 
 
+def common_block_lines(a, b, least):
+    """Numbers of b's lines in a block of `least` words or more that a has too: every diagonal of the two texts."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if sum(len(words(x)) for x in b[j : j + k]) >= least:
+                    gone |= set(range(j, j + k))
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 12, 50])
+def test_line_dedup_equals_all_pairs(spark, least):
+    """300 small texts of passages, moved blocks, repeated lines and copies, against every pair of an earlier and a later one."""
+    rng = random.Random(least)
+    pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 3, 10, 25, 51]))) for _ in range(120)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 6))] for _ in range(12)]
+    texts = []
+    for i in range(300):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else f"own {i} {k}" for k in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(lines))
+            lines[at:at] = rng.choice(passages)
+        texts.append(rng.choice(texts) if texts and rng.random() < 0.1 else lines)
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs, least_words=least).collect()}
+    for j, t in enumerate(texts):
+        gone = set().union(*(common_block_lines(texts[i], t, least) for i in range(j)), set())
+        assert got[j] == "\n".join(x for k, x in enumerate(t) if k not in gone), j
+
+
+def test_line_dedup_of_a_block_that_outgrows_its_owner(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{rng.random():.9f}" for _ in range(n)) for n in (51, 10, 10, 25))
+    docs = spark.createDataFrame([(0, a), (1, "\n".join([a, b, c, d])), (2, "\n".join([a, b, c, d]))], "doc_id long, text string")
+    assert {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {0: a, 1: "\n".join([b, c, d]), 2: ""}
+
+
+def test_line_dedup_of_many_lines():
+    """50 000 lines in seconds, whether they repeat, stand in the same order or the other way round."""
+    size = 50_000
+    ten = np.full(size, 10, dtype=np.int32)
+    up = np.arange(size, dtype=np.int64)
+    blocks = lambda a, b: line_dedup.shared_blocks(a, b, ten, ten)
+    assert blocks(up, up) == [(0, size)] == blocks(up * 0, up * 0) and blocks(up, up[::-1].copy()) == []
+    assert blocks(up, np.roll(up, size // 2)) == [(0, size)] and blocks(up % 2, (up + 1) % 2) == [(0, size)]
+
+
 def test_line_dedup_removes_shared_blocks(spark):
     rng = random.Random(6)
     line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -375,12 +445,64 @@ def test_base_spans_equal_plain_patterns():
         assert pii.base_spans(t) == base_by_hand(t), t
 
 
-def test_personal_data_adds_credentials_only(spark):
-    texts = [f'x token = "{hashlib.sha1(bytes([i])).hexdigest()}" y' for i in range(30)] + [f"key AKIA{i:02}ABCDEFGHIJ{i:04} z" for i in range(30)] + ["an ordinaryverylongwordwithoutdigits here"] * 40 + ["mail a@b.org now"] + ODD
+def test_personal_data_votes_decide(spark):
+    """Credentials that labelers agree on are added, strings that look like them and are not go, base spans stay."""
+    texts = [f'x token = "{hashlib.sha1(bytes([i])).hexdigest()}" y' for i in range(30)] + [f"key AKIA{i:02}ABCDEFGHIJ{i:04} z" for i in range(30)] + ["an ordinaryverylongwordwithoutdigits here"] * 40
+    texts += ["see chapter-12 of release-2024 and order 1234567890123"] * 40 + ["mail a@b.org now"] + ODD
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit(1))
     got = {r.id: r for r in pii.find(docs).collect()}
     assert len(got) == len(texts) and all(len(got[i].added) == 1 for i in range(60)) and not any(got[i].added for i in range(60, len(texts)))
-    assert [(s.kind, s.start, s.stop) for s in got[100].base] == [("email", 5, 12)]
+    assert all(got[i].n_candidates >= 2 for i in range(100, 140)) and all(got[i].n_candidates == 0 for i in range(60, 100))
+    assert [(s.kind, s.start, s.stop) for s in got[140].base] == [("email", 5, 12)]
+    sixth = texts[30].index("AKIA")
+    assert (got[30].added[0].kind, got[30].added[0].start, got[30].added[0].stop) == ("credential", sixth, sixth + 20)
+
+
+def test_expectation_maximisation_by_hand():
+    """The E and M steps once more, candidate by candidate instead of over counts of patterns."""
+    rng = random.Random(9)
+    counts = collections.Counter()
+    for _ in range(400):
+        true = rng.random() < 0.4
+        votes = "".join(rng.choices("-0+", (1, 1, 8) if true else (7, 2, 1))[0] for _ in range(5))
+        counts[f"credential|{votes}|{rng.randint(0, 2)},x"] += 1
+    posterior, tables = pii.reliabilities(dict(counts), rounds=12)
+    rows = [tuple("-0+".index(v) for v in p.split("|")[1]) for p, n in counts.items() for _ in range(n)]
+    z = [1 / (1 + np.exp(-1.5 * sum(v - 1 for v in r))) for r in rows]
+    for _ in range(12):
+        share = min(max(sum(z) / len(z), 0.01), 0.99)
+        chance = [[[0.0] * 3 for _ in range(2)] for _ in range(5)]
+        for j in range(5):
+            for c in range(2):
+                seen = [1.0 + (v == 2 and c == 1) + (v == 0 and c == 0) for v in range(3)]
+                for r, p in zip(rows, z):
+                    seen[r[j]] += p if c else 1 - p
+                chance[j][c] = [s / sum(seen) for s in seen]
+        z = []
+        for r in rows:
+            yes, no = share, 1 - share
+            for j, v in enumerate(r):
+                yes, no = yes * chance[j][1][v], no * chance[j][0][v]
+            z.append(yes / (yes + no))
+    for r, p in zip(rows, z):
+        assert posterior["credential|" + "".join("-0+"[v] for v in r)] == pytest.approx(p, abs=1e-9)
+    assert all(tables["credential", name][1][2] == pytest.approx(chance[j][1][2], abs=1e-9) for j, name in enumerate(pii.LABELERS))
+
+
+def test_personal_data_query_joins_spans(spark, tmp_path):
+    texts = ["a@b.org 1.2.3.4 4111111111111111 +1 (988) 555-2485", None, "é 10.0.0.1 and a@b.co"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op5_personal_data(spark, str(tmp_path)).collect():
+        base = base_by_hand(texts[r.doc_id] or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE]
+
+
+def test_long_texts_take_time_in_proportion():
+    text = "a@b.org x9y8z7w6v5 1.2.3.4 555-123-4567 " * 6000
+    assert len(pii.candidate_spans(text, pii.base_spans(text))) == 4 * 6000
+    assert pii.candidate_spans("x" * 2_000_000, []) == []
 
 
 def test_fingerprints_of_edited_and_next_texts(spark):
@@ -401,6 +523,37 @@ def test_fingerprints_of_edited_and_next_texts(spark):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_selected_windows_by_hand(monkeypatch):
+    """Windows one by one: the rarest of each run of 64, those that win 16 runs or more; in stretches as in one piece."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 97 + k, 700, dtype=np.uint8)) for k in (2, 5, 20)] + [b"short", b"", b"x" * 200]
+    ranks = np.array(rng.permutation(fingerprint.LEVELS))
+    data, starts, counts = fingerprint._laid_out(texts)
+    want = []
+    for t, start, n in zip(texts, starts.tolist(), counts.tolist()):
+        level = fingerprint.window_levels(np.concatenate([np.frombuffer(t, dtype=np.uint8), np.zeros(max(64 - len(t), 0), dtype=np.uint8)])) if t else []
+        wins = collections.Counter()
+        for first in range(-63, n):
+            own = [(int(ranks[level[i]]), i) for i in range(max(first, 0), min(first + 64, n))]
+            if own:
+                wins[min(own)[1]] += 1
+        want += [start + i for i in sorted(wins) if wins[i] >= 16]
+    for size in (1 << 18, 100):
+        monkeypatch.setattr(fingerprint, "CHUNK", size)
+        assert fingerprint.selected(data, starts, counts, ranks).tolist() == want
+        assert fingerprint.level_counts(texts).sum() == counts.sum()
+
+
+def test_fingerprints_with_string_ids(spark):
+    rows = [(f"id{i}", f"text {i} " * 30) for i in range(20)] + [(None, "none"), ("id3", "text 3 " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = {(r.id, r.text): r.next_text for r in fingerprint.with_next(docs, "doc_id", "text").collect()}
+    order = sorted({i for i, _ in rows if i}, reverse=True)
+    for a, b in zip(order, order[1:]):
+        assert got[a, f"text {a[2:]} " * 30] in (f"text {b[2:]} " * 30, f"text {a[2:]} " * 30)
+    assert got["id0", "text 0 " * 30] == "none" and len(got) == 21
+
+
 def test_window_levels_equal_counts_of_each_window():
     rng = np.random.default_rng(8)
     data = rng.integers(0, 7, 400, dtype=np.uint8)
