@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Matrix = list[list]
+#: A 3x4 matrix for all rows, or the column that holds each row's as twelve numbers.
+Camera = str | Matrix
 BEHIND = -1e9
 
 
@@ -45,9 +47,13 @@ def intrinsics(f, cx, cy) -> Matrix:
     return [[f, 0.0, cx], [0.0, f, cy], [0.0, 0.0, 1.0]]
 
 
-def project(p: Matrix, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+def camera(p: Camera) -> Matrix:
+    return from_array(p, 3, 4) if isinstance(p, str) else p
+
+
+def project(p: Camera, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """(u, v, depth) of a point under a 3x4 matrix; points at or behind the camera get a pixel that is in no image."""
-    u, v, w = (c(r[0]) * x + c(r[1]) * y + c(r[2]) * z + c(r[3]) for r in p)
+    u, v, w = (c(r[0]) * x + c(r[1]) * y + c(r[2]) * z + c(r[3]) for r in camera(p))
     return F.when(w <= 0, BEHIND).otherwise(u / w), F.when(w <= 0, BEHIND).otherwise(v / w), w
 
 
@@ -60,8 +66,8 @@ def pixel(value: Column, size: int) -> Column:
     return F.greatest(F.least(F.rint(value), F.lit(float(size - 1))), F.lit(0.0)).cast("int")
 
 
-def reprojection_error(p: Matrix, x: Column, y: Column, z: Column, px: Column, py: Column) -> Column:
-    u, v, w = (c(r[0]) * x + c(r[1]) * y + c(r[2]) * z + c(r[3]) for r in p)
+def reprojection_error(p: Camera, x: Column, y: Column, z: Column, px: Column, py: Column) -> Column:
+    u, v, w = (c(r[0]) * x + c(r[1]) * y + c(r[2]) * z + c(r[3]) for r in camera(p))
     return F.sqrt((u / w - px) * (u / w - px) + (v / w - py) * (v / w - py))
 
 
@@ -90,24 +96,10 @@ def epipolar_distance(f: Matrix, x0: Column, y0: Column, x1: Column, y1: Column)
     return (d0 + d1) / 2
 
 
-def essential(f: Matrix, k: Matrix) -> Matrix:
-    return matmul(matmul(transpose(k), f), k)
-
-
 def norm(m: Matrix) -> Column:
     return F.sqrt(total(v * v for r in m for v in r))
 
 
-def essential_residual(e: Matrix) -> Column:
-    """How far a matrix is from an essential one; 0 for two equal singular values and one that is 0."""
-    eet = matmul(e, transpose(e))
-    trace = eet[0][0] + eet[1][1] + eet[2][2]
-    triple = matmul(eet, e)
-    cube = F.pow(norm(e), F.lit(3.0))
-    rest = F.sqrt(total((2 * triple[i][j] - trace * e[i][j]) * (2 * triple[i][j] - trace * e[i][j]) for i in range(3) for j in range(3)))
-    return F.when(cube < 1e-12, 1e6).otherwise(rest / cube)
-
-
 def estimate_quality(n_inliers: Column, ratio: Column, mean_sampson: Column) -> Column:
     return 0.35 * F.least(n_inliers / 300.0, F.lit(1.0)) + 0.35 * ratio + 0.30 * F.exp(-mean_sampson / 0.5)
 

@@ -11,8 +11,8 @@ from ..functions import geometry as g
 from ..sources.tables import cut
 
 REC, ARENA = ("rec_x", "rec_y", "rec_z"), ("arena_x", "arena_y", "arena_z")
-#: The corners of a box by name, as multiples of its width, depth and height.
-CORNERS = (("front-left-bottom", 0, 0, 0), ("front-right-bottom", 1, 0, 0), ("back-right-bottom", 1, 1, 0), ("back-left-bottom", 0, 1, 0), ("front-left-top", 0, 0, 1), ("front-right-top", 1, 0, 1), ("back-right-top", 1, 1, 1), ("back-left-top", 0, 1, 1))
+#: The corners of a box by name, as signs of its half width and half depth and as multiples of its height.
+CORNERS = (("BFL", -1, -1, 0), ("BFR", 1, -1, 0), ("BBR", 1, 1, 0), ("BBL", -1, 1, 0), ("TFL", -1, -1, 1), ("TFR", 1, -1, 1), ("TBR", 1, 1, 1), ("TBL", -1, 1, 1))
 
 
 def rigid_fit(points: DataFrame) -> DataFrame:
@@ -83,14 +83,29 @@ def distortion_scan(edges: DataFrame, f: float, cx: float, cy: float, reach: flo
     return best
 
 
-def arena_residuals(points: DataFrame, edges: DataFrame, pose: dict, edge_weight: float = 0.3) -> DataFrame:
-    """(session, n, rmse): corner residuals in pixels together with weighted edge residuals."""
-    u, v = g.project_distorted(F.col("arena_x"), F.col("arena_y"), F.col("arena_z"), pose["rvec"], pose["t"], pose["f"], pose["f"], pose["cx"], pose["cy"], pose["k1"], pose["k2"], pose["k3"])
+def arena_residuals(points: DataFrame, edges: DataFrame, pose: dict, stereo: dict, edge_weight: float = 0.3) -> DataFrame:
+    """(session, n, rmse): corner residuals in both cameras' pixels together with the weighted residuals of edge points.
+
+    pose: camera 0 and its place in the arena; stereo: camera 1 and its place seen from camera 0 (rvec, t, f, cx, cy, k1,
+    k2, k3 each). A corner with both clicks gives four residuals. A point of an edge gives one, its distance from the best
+    line through the undistorted edge; their squares sum to what the line's error says, so edges stay aggregates.
+    """
     usable = points.where("px0_x IS NOT NULL AND px1_x IS NOT NULL")
-    corner = usable.select("session", F.explode(F.array(u - F.col("px0_x"), v - F.col("px0_y"))).alias("r"))
-    a, b = g.undistort_radial(F.col("x"), F.col("y"), pose["cx"], pose["cy"], pose["f"], pose["k1"], pose["k2"], pose["k3"])
-    lines = edges.select("session", "camera", "label", a.alias("u"), b.alias("v")).groupBy("session", "camera", "label").agg((edge_weight * line_rmse("u", "v")).alias("r"))
-    return corner.unionByName(lines.select("session", "r")).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"))
+    arena = [F.col("arena_x"), F.col("arena_y"), F.col("arena_z")]
+    u0, v0 = g.project_distorted(*arena, pose["rvec"], pose["t"], pose["f"], pose["f"], pose["cx"], pose["cy"], pose["k1"], pose["k2"], pose["k3"])
+    seen = usable.withColumns(dict(zip(("c0", "c1", "c2"), g.rigid(g.rotation(*pose["rvec"]), list(pose["t"]), *arena))))
+    u1, v1 = g.project_distorted(F.col("c0"), F.col("c1"), F.col("c2"), stereo["rvec"], stereo["t"], stereo["f"], stereo["f"], stereo["cx"], stereo["cy"], stereo["k1"], stereo["k2"], stereo["k3"])
+    off = [u0 - F.col("px0_x"), v0 - F.col("px0_y"), u1 - F.col("px1_x"), v1 - F.col("px1_y")]
+    corner = seen.select("session", F.lit(4).cast("long").alias("n"), g.total(r * r for r in off).alias("squares"))
+
+    def flat(camera: dict) -> list[Column]:
+        return list(g.undistort_radial(F.col("x"), F.col("y"), camera["cx"], camera["cy"], camera["f"], camera["k1"], camera["k2"], camera["k3"]))
+
+    first, second = flat(pose), flat(stereo)
+    a, b = (F.when(F.col("camera") == 0, p).otherwise(q) for p, q in zip(first, second))
+    lines = edges.select("session", "camera", "label", a.alias("u"), b.alias("v")).groupBy("session", "camera", "label").agg(F.count(F.lit(1)).alias("n"), (edge_weight * line_rmse("u", "v")).alias("e"))
+    both = corner.unionByName(lines.select("session", "n", (F.col("n") * F.col("e") * F.col("e")).alias("squares")))
+    return both.groupBy("session").agg(F.sum("n").alias("n"), F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"))
 
 
 def usable_corners(points: DataFrame, least: int = 4) -> DataFrame:
@@ -98,6 +113,6 @@ def usable_corners(points: DataFrame, least: int = 4) -> DataFrame:
 
 
 def box_corners(boxes: DataFrame) -> DataFrame:
-    """Eight labelled corners of each session's box (session, w, d, h)."""
-    corners = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), (F.col("w") * a).alias("x"), (F.col("d") * b).alias("y"), (F.col("h") * e).alias("z")) for n, a, b, e in CORNERS]))
+    """Eight labelled corners of each session's box (session, w, d, h), whose floor is centred on the origin."""
+    corners = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), (F.col("w") / 2 * a).alias("x"), (F.col("d") / 2 * b).alias("y"), (F.col("h") * e).alias("z")) for n, a, b, e in CORNERS]))
     return boxes.select("session", corners.alias("c")).select("session", "c.*")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +18,68 @@ def focal_grid(width: int, height: int, steps: int = 300, low: float = 0.4, high
     return [diagonal * (low + (high - low) * i / (steps - 1)) for i in range(steps)]
 
 
-def _cost(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """(session, f, cost) of estimates with a column f: the quality-weighted mean residual; degenerate matrices count 1."""
-    named = lambda prefix, m: {f"{prefix}{i}{j}": m[i][j] for i in range(3) for j in range(3)}
-    # one step a matrix product: entries that later steps use many times are computed once and generated code stays small
-    k = g.intrinsics(F.col("f"), width / 2, height / 2)
-    rows = rows.withColumns(named("h", g.matmul(g.columns("f"), k))).withColumns(named("e", g.matmul(g.transpose(k), g.columns("h"))))
-    rows = rows.withColumn("size", g.norm(g.columns("e"))).withColumns(named("u", [[v / F.col("size") for v in r] for r in g.columns("e")]))
-    u = g.columns("u")
-    rows = rows.withColumns(named("s", g.matmul(u, g.transpose(u)))).withColumn("cube", F.pow(g.norm(u), F.lit(3.0)))
-    trace = F.col("s00") + F.col("s11") + F.col("s22")
-    rest = [[2 * v - trace * u[i][j] for j, v in enumerate(r)] for i, r in enumerate(g.matmul(g.columns("s"), u))]
-    rows = rows.withColumns(named("c", rest))
-    residual = F.when(F.col("size") < 1e-10, 1.0).when(F.col("cube") < 1e-12, 1e6).otherwise(g.norm(g.columns("c")) / F.col("cube"))
-    return rows.withColumn("r", residual).groupBy("session", "f").agg((F.sum(F.col("quality") * F.col("r")) / F.sum("quality")).alias("cost"))
+def _residuals(m: np.ndarray, f: np.ndarray, cx: float, cy: float) -> np.ndarray:
+    """(n, k): how far K'FK is from an essential matrix for fundamental matrices (n, 3, 3) and focal lengths (n or 1, k).
+
+    With T, A and D the elementary symmetric functions of the squared singular values of E (T and D are E's squared norm
+    and determinant, A the sum of squared 2x2 minors), the squared norm of 2EE'E - tr(EE')E is T^3 - 4TA + 12D. Matrices
+    of no norm count 1. All focal lengths of a block of estimates are a few array operations.
+    """
+    shift = np.array([[1.0, 0.0, cx], [0.0, 1.0, cy], [0.0, 0.0, 1.0]])
+    e = (shift.T @ m @ shift)[:, None] * np.ones((1, f.shape[1], 1, 1))
+    e[..., :2, :] *= f[..., None, None]
+    e[..., :, :2] *= f[..., None, None]
+    size = np.sqrt((e * e).sum((2, 3)))
+    e /= np.maximum(size, 1e-300)[..., None, None]
+    minors = np.cross(e[..., [1, 2, 0], :], e[..., [2, 0, 1], :])  # rows of the cofactor matrix
+    area, det = (minors * minors).sum((2, 3)), (e[..., 0, :] * minors[..., 0, :]).sum(2)
+    return np.where(size < 1e-10, 1.0, np.sqrt(np.maximum(1 - 4 * area + 12 * det * det, 0)))
+
+
+def _cost(estimates: DataFrame, width: int, height: int, grid: list[float], centred: bool = False, weigh: bool = True) -> DataFrame:
+    """(session, f, cost): the quality-weighted mean residual at each focal length of a grid of fixed size.
+
+    centred: the grid is a list of steps from each row's column f, kept between f_low and f_high. Estimates are read in
+    blocks; each block gives one array of sums for each of its sessions, and these are summed by session and place.
+    """
+    names = [f"f{i}{j}" for i in range(3) for j in range(3)]
+    steps = np.array(grid)
+    extra = ["f", "f_low", "f_high"] if centred else []
+
+    def run(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            if not len(pdf):
+                continue
+            m, q = pdf[names].to_numpy(float).reshape(-1, 3, 3), pdf["quality"].to_numpy(float) if weigh else np.ones(len(pdf))
+            keys, at = np.unique(pdf["session"].to_numpy(), return_inverse=True)
+            sums, total = np.zeros((len(keys), len(steps))), np.bincount(at, weights=q, minlength=len(keys))
+            centre = np.zeros(len(keys))
+            for lo in range(0, len(pdf), 256):
+                part = slice(lo, lo + 256)
+                f = steps[None]
+                if centred:
+                    own, low, high = (pdf[c].to_numpy(float)[part, None] for c in extra)
+                    f = np.clip(own + steps[None], low, high)
+                    centre[at[part]] = own[:, 0]
+                np.add.at(sums, at[part], q[part, None] * _residuals(m[part], f, width / 2, height / 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total), pa.array(centre), pa.array(list(sums), pa.list_(pa.float64()))], ["session", "weight", "centre", "sums"])
+
+    blocks = estimates.select("session", "quality", *names, *extra).mapInArrow(run, "session bigint, weight double, centre double, sums array<double>")
+    costs = blocks.select("session", "weight", "centre", F.posexplode("sums").alias("pos", "part")).groupBy("session", "pos").agg((F.sum("part") / F.sum("weight")).alias("cost"), F.first("centre").alias("centre"))
+    f = F.col("centre") + F.get(F.array(*map(F.lit, grid)), F.col("pos"))
+    return costs.select("session", f.alias("f"), "cost")
 
 
 def focal_scan(estimates: DataFrame, width: int, height: int, steps: int = 300) -> DataFrame:
     """(session, f, cost) over the scan's focal lengths. The grid is a parameter of fixed size, met by every estimate."""
-    grid = F.array(*map(F.lit, focal_grid(width, height, steps)))
-    return _cost(estimates.withColumn("f", F.explode(grid)), width, height)
+    return _cost(estimates, width, height, focal_grid(width, height, steps))
+
+
+def mean_essential_residual(estimates: DataFrame, focal: DataFrame, width: int, height: int) -> DataFrame:
+    """(session, f, residual): the plain mean of the estimates' residuals at each session's focal length (session, f)."""
+    near = estimates.drop("f").join(focal.select("session", "f"), "session").withColumns({"f_low": F.col("f"), "f_high": F.col("f")})
+    return _cost(near, width, height, [0.0], centred=True, weigh=False).withColumnRenamed("cost", "residual")
 
 
 def best_focal(scan: DataFrame) -> DataFrame:
@@ -52,22 +95,34 @@ def focal_refine(estimates: DataFrame, width: int, height: int, steps: int = 300
     grid = focal_grid(width, height, steps)
     best, step = best_focal(focal_scan(estimates, width, height, steps)), grid[1] - grid[0]
     while step >= tolerance:
-        near = best.select(F.col("session").alias("b_session"), F.explode(F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda k: F.least(F.greatest(F.col("f") + k * (step / 20), F.lit(grid[0])), F.lit(grid[-1])))).alias("f"))
-        best = best_focal(_cost(estimates.join(near.distinct(), F.col("session") == F.col("b_session")).drop("b_session"), width, height))
+        near = estimates.drop("f").join(best.select("session", "f"), "session").withColumns({"f_low": F.lit(grid[0]), "f_high": F.lit(grid[-1])})
+        tried = _cost(near, width, height, [k * step / 20 for k in range(-20, 21)], centred=True)
+        best = best_focal(tried.withColumn("f", F.least(F.greatest("f", F.lit(grid[0])), F.lit(grid[-1]))))
         step /= 20
     return best
 
 
 def gates(estimates: DataFrame, result: DataFrame, width: int, height: int) -> DataFrame:
-    """(session, enough, fov_ok, residual_ok): at least 20 estimates of quality 0.4; a field of view of 20 to 160 degrees; residual below 0.05."""
+    """(session, enough, fov_ok, residual_ok, metric_ok, rms_ok) of results (session, f, residual, scale, rms).
+
+    At least 20 estimates of quality 0.4; a field of view between 20 and 160 degrees; a mean essential residual below 0.05;
+    a metric scale that was applied; a target calibration's error below 1 pixel, null where there is none.
+    """
     good = estimates.groupBy("session").agg((F.count_if(F.col("quality") >= 0.4) >= 20).alias("enough"))
     fov = g.fov_degrees(math.hypot(width, height), F.col("f"))
-    return good.join(result, "session").select("session", "enough", ((fov > 20) & (fov < 160)).alias("fov_ok"), (F.col("cost") < 0.05).alias("residual_ok"))
+    return good.join(result, "session").select("session", "enough", ((fov > 20) & (fov < 160)).alias("fov_ok"), (F.col("residual") < 0.05).alias("residual_ok"), F.col("scale").isNotNull().alias("metric_ok"), (F.col("rms") < 1.0).alias("rms_ok"))
 
 
-def advice(gated: DataFrame) -> DataFrame:
-    said = {"enough": "record more frame pairs", "fov_ok": "check the image size", "residual_ok": "check rectification and synchrony"}
-    return gated.select("session", F.array_join(F.array_compact(F.array(*[F.when(~F.col(k), v) for k, v in said.items()])), "; ").alias("advice"))
+def advice(results: DataFrame) -> DataFrame:
+    """(session, advice) of (session, n_good, residual, f_scan, f_metric): what to do next, joined by '; '."""
+    shift = F.abs(F.col("f_metric") - F.col("f_scan")) / F.col("f_scan")
+    said = [
+        F.when(F.col("n_good") < 30, "more footage with texture"),
+        F.when(F.col("residual") > 0.05, "check radial distortion"),
+        F.when(shift > 0.15, "check arena bounds and coverage"),
+    ]
+    joined = F.array_join(F.array_compact(F.array(*said)), "; ")
+    return results.select("session", F.when(joined == "", "solid").otherwise(joined).alias("advice"))
 
 
 def compare(auto: DataFrame, target: DataFrame) -> DataFrame:
@@ -132,12 +187,31 @@ def choose_motion(options: DataFrame, matches: DataFrame, f: float, cx: float, c
 
 
 def raw_projections(calib: DataFrame) -> DataFrame:
-    """(session, camera, p): K0 [I | 0] and K1 [R | T] with R the identity, as twelve numbers row by row."""
+    """(session, camera, p): the projection matrices of each session's rig, twelve numbers row by row.
+
+    K0 [I | 0] and K1 [R | T] with R the nine numbers of column r; where the rows are of rectified images, the stored
+    matrices p0 and p1.
+    """
     zero = F.lit(0.0)
-    p0 = F.array(F.col("f0"), zero, F.col("cx"), zero, zero, F.col("f0"), F.col("cy"), zero, zero, zero, F.lit(1.0), zero)
-    p1 = F.array(F.col("f1"), zero, F.col("cx"), F.col("f1") * F.col("tx") + F.col("cx") * F.col("tz"), zero, F.col("f1"), F.col("cy"), F.col("f1") * F.col("ty") + F.col("cy") * F.col("tz"), zero, zero, F.lit(1.0), F.col("tz"))
+    k0 = g.intrinsics(F.col("f0"), F.col("cx"), F.col("cy"))
+    k1 = g.intrinsics(F.col("f1"), F.col("cx"), F.col("cy"))
+    r = g.from_array("r", 3, 3)
+    raw0 = [[*row, zero] for row in k0]
+    raw1 = g.matmul(k1, [[*row, F.col(t)] for row, t in zip(r, ("tx", "ty", "tz"))])
+    flat = lambda m: F.array(*[g.c(v) for row in m for v in row])
+    p0, p1 = F.when(F.col("rectified"), F.col("p0")).otherwise(flat(raw0)), F.when(F.col("rectified"), F.col("p1")).otherwise(flat(raw1))
     return calib.select("session", F.posexplode(F.array(p0, p1)).alias("camera", "p"))
 
 
+def attach_cameras(rows: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Adds p0 and p1, the matrices of each row's session, from (session, camera, p). Rows of sessions without both are dropped.
+
+    Sessions are few beside their rows; whether they are broadcast is left to Spark's size check.
+    """
+    views = [F.max(F.when(F.col("camera") == k, F.col("p"))).alias(f"p{k}") for k in (0, 1)]
+    both = cameras.groupBy("session").agg(*views).where("p0 IS NOT NULL AND p1 IS NOT NULL")
+    return rows.join(both, "session")
+
+
 def baseline(calib: DataFrame, warn: float = 1.5) -> DataFrame:
     return calib.select("session", F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")).alias("baseline"), (F.col("rms_stereo") > warn).alias("poor"))

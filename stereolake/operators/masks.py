@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,36 +32,64 @@ def background(pixels: DataFrame, history: int = 300, threshold: float = 40.0, f
     return pixels.withColumns({"mean": mean, "var": var}).withColumn("foreground", F.coalesce((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) > threshold * F.col("var"), F.lit(False)))
 
 
-def _offsets(kernel: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in kernel])).alias("o")
+def _moved(frames: np.ndarray, dx: int, dy: int, fill: bool) -> np.ndarray:
+    """Pixels (n, h, w) read at (x + dx, y + dy), `fill` beyond the image."""
+    h, w = frames.shape[1:]
+    out = np.full_like(frames, fill)
+    out[:, max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)] = frames[:, max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)]
+    return out
+
 
+def _morphed(mask: DataFrame, steps: tuple[str, ...], kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    """Dilations and erosions of frames, one after the other, of a shuffle by frame: a frame's pixels are one bounded array.
+
+    Blocks of frames are bitmaps; a step is an array operation for each offset of the kernel. Beyond the border nothing is
+    set for a dilation and nothing is missing for an erosion.
+    """
 
-def _within(width: int, height: int) -> str:
-    return f"px >= 0 AND px < {width} AND py >= 0 AND py < {height}"
+    def run(cells: pa.Array) -> pa.Array:
+        found, sizes = [], []
+        per = max(1, (1 << 22) // (width * height))
+        for lo in range(0, len(cells), per):
+            part = cells.slice(lo, per)
+            counts = np.asarray(pc.list_value_length(part)).astype(np.int64)
+            frames = np.zeros((len(part), height * width), dtype=bool)
+            frames[np.repeat(np.arange(len(part)), counts), np.asarray(part.flatten())] = True
+            frames = frames.reshape(-1, height, width)
+            for step in steps:
+                grow = step == "dilate"
+                out = np.full_like(frames, not grow)
+                for dx, dy in kernel:
+                    if abs(dx) < width and abs(dy) < height:
+                        out = out | _moved(frames, -dx, -dy, False) if grow else out & _moved(frames, dx, dy, True)
+                frames = out
+            row, at = np.nonzero(frames.reshape(len(part), -1))
+            found.append(at.astype(np.int32))
+            sizes.append(np.bincount(row, minlength=len(part)))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else [0]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
+
+    inside = mask.where(f"px >= 0 AND px < {width} AND py >= 0 AND py < {height}")
+    packed = inside.groupBy(*FRAME).agg(F.collect_set((F.col("py") * width + F.col("px")).cast("int")).alias("cells"))
+    out = packed.select(*FRAME, F.explode(F.arrow_udf(run, "array<int>")("cells")).alias("cell"))
+    return out.select(*FRAME, (F.col("cell") % width).alias("px"), F.expr(f"cell div {width}").cast("int").alias("py"))
 
 
 def dilate(mask: DataFrame, kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
-    moved = mask.select(*FRAME, "px", "py", _offsets(kernel))
-    return moved.select(*FRAME, (F.col("px") + F.col("o.dx")).alias("px"), (F.col("py") + F.col("o.dy")).alias("py")).where(_within(width, height)).distinct()
+    return _morphed(mask, ("dilate",), kernel, width, height)
 
 
 def erode(mask: DataFrame, kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
     """Pixels of which all neighbours under the kernel that lie in the image are set; pixels beyond the border don't count."""
-    moved = mask.select(*FRAME, "px", "py", _offsets(kernel))
-    told = moved.groupBy(*FRAME, (F.col("px") - F.col("o.dx")).alias("px"), (F.col("py") - F.col("o.dy")).alias("py")).agg(F.count(F.lit(1)).alias("n"))
-    inside = [((F.col("px") + a >= 0) & (F.col("px") + a < width) & (F.col("py") + b >= 0) & (F.col("py") + b < height)).cast("int") for a, b in kernel]
-    need = inside[0]
-    for term in inside[1:]:
-        need = need + term
-    return told.where(_within(width, height)).where(F.col("n") == need).select(*FRAME, "px", "py")
+    return _morphed(mask, ("erode",), kernel, width, height)
 
 
-def close(mask: DataFrame, kernel, width: int, height: int) -> DataFrame:
-    return erode(dilate(mask, kernel, width, height), kernel, width, height)
+def close(mask: DataFrame, kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    return _morphed(mask, ("dilate", "erode"), kernel, width, height)
 
 
-def open_(mask: DataFrame, kernel, width: int, height: int) -> DataFrame:
-    return dilate(erode(mask, kernel, width, height), kernel, width, height)
+def open_(mask: DataFrame, kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    return _morphed(mask, ("erode", "dilate"), kernel, width, height)
 
 
 _AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .calibration import attach_cameras
 
 TRACK = ["session", "name"]
 
@@ -36,29 +37,40 @@ def unmatched(kp2d: DataFrame) -> DataFrame:
     return kp2d.join(other, ["session", "frame_idx", "name", "camera"], "left_anti")
 
 
-def triangulate(matches: DataFrame, p0: list[list[float]], p1: list[list[float]]) -> DataFrame:
+def triangulate(matches: DataFrame, p0: g.Camera = "p0", p1: g.Camera = "p1") -> DataFrame:
     """Adds x, y, z: the null vector of the four linear equations of a match, by batched decompositions.
 
-    Matches with a coordinate that is not finite are dropped before, as no decomposition of them exists.
+    A camera is a 3x4 matrix for all rows or the name of a column with twelve numbers, so that sessions of many rigs go
+    through one job. Matches with a coordinate that is not finite are dropped before, as no decomposition of them exists.
     """
 
+    def matrices(p: np.ndarray | list, n: int) -> np.ndarray:
+        return np.broadcast_to(np.stack(p).reshape(-1, 3, 4) if n else np.zeros((0, 3, 4)), (n, 3, 4))
+
     @F.pandas_udf("x double, y double, z double")
-    def solve(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        a, b = np.array(p0), np.array(p1)
-        rows = np.stack([x0.to_numpy()[:, None] * a[2] - a[0], y0.to_numpy()[:, None] * a[2] - a[1], x1.to_numpy()[:, None] * b[2] - b[0], y1.to_numpy()[:, None] * b[2] - b[1]], axis=1)
-        h = np.linalg.svd(rows)[2][:, -1, :] if len(rows) else np.zeros((0, 4))
+    def solve(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, own0: pd.Series, own1: pd.Series) -> pd.DataFrame:
+        n = len(x0)
+        a = matrices(own0.to_list() if isinstance(p0, str) else [np.array(p0, dtype=float)], n)
+        b = matrices(own1.to_list() if isinstance(p1, str) else [np.array(p1, dtype=float)], n)
+        rows = np.stack([x0.to_numpy()[:, None] * a[:, 2] - a[:, 0], y0.to_numpy()[:, None] * a[:, 2] - a[:, 1], x1.to_numpy()[:, None] * b[:, 2] - b[:, 0], y1.to_numpy()[:, None] * b[:, 2] - b[:, 1]], axis=1)
+        h = np.linalg.svd(rows)[2][:, -1, :] if n else np.zeros((0, 4))
         return pd.DataFrame(h[:, :3] / h[:, 3:], columns=["x", "y", "z"])
 
     finite = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in ("x0", "y0", "x1", "y1")]
     ok = finite[0] & finite[1] & finite[2] & finite[3]
+    own = [F.col(p) if isinstance(p, str) else F.array().cast("array<double>") for p in (p0, p1)]
     # declared non-deterministic so that filters on its result don't evaluate it a second time
-    solved = matches.where(ok).withColumn("p", solve.asNondeterministic()("x0", "y0", "x1", "y1"))
+    solved = matches.where(ok).withColumn("p", solve.asNondeterministic()("x0", "y0", "x1", "y1", *own))
     return solved.select(*matches.columns, "p.x", "p.y", "p.z")
 
 
-def triangulate_keypoints(kp2d: DataFrame, p0, p1, min_confidence: float = 0.3, max_reprojection_px: float = 20.0) -> DataFrame:
-    """(session, frame_idx, name, x, y, z, confidence, reproj_err): matched, confident, triangulated, close in both views."""
-    points = triangulate(match_views(kp2d).where(F.col("confidence") >= min_confidence), p0, p1)
+def triangulate_keypoints(kp2d: DataFrame, p0: g.Camera = "p0", p1: g.Camera = "p1", min_confidence: float = 0.3, max_reprojection_px: float = 20.0, cameras: DataFrame | None = None) -> DataFrame:
+    """(session, frame_idx, name, x, y, z, confidence, reproj_err): matched, confident, triangulated, close in both views.
+
+    With cameras (session, camera, p) every session is seen by its own rig, else p0 and p1 hold for all.
+    """
+    matches = match_views(kp2d).where(F.col("confidence") >= min_confidence)
+    points = triangulate(attach_cameras(matches, cameras) if cameras is not None else matches, p0, p1)
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     err = (g.reprojection_error(p0, x, y, z, F.col("x0"), F.col("y0")) + g.reprojection_error(p1, x, y, z, F.col("x1"), F.col("y1"))) / 2
     return points.withColumn("reproj_err", err).where(g.keep_error(F.col("reproj_err"), max_reprojection_px)).select("session", "frame_idx", "name", "x", "y", "z", "confidence", "reproj_err")

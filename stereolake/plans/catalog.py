@@ -95,6 +95,22 @@ def triangulate_keypoints(spark, sf):
     return rounded(clean.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in clean.dtypes]).withColumns({v: F.col(v) + 0.0 for v in "xyz"}), 4)
 
 
+def _rigs(spark, sf):
+    """Each session's calibration with its rotation and the stored matrices of rectified images."""
+    zero = F.lit(0.0)
+    r = F.array("rc", zero, "rs", zero, F.lit(1.0), zero, -F.col("rs"), zero, "rc")
+    stored = [F.array("fr", zero, "cx", F.col("fr") * bx, zero, "fr", "cy", zero, zero, zero, F.lit(1.0), zero) for bx in (F.lit(0.0), F.col("bx"))]
+    return view(spark, sf, "calib").withColumns({"r": r, "p0": stored[0], "p1": stored[1]})
+
+
+@query("""SELECT session, frame_idx, name, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(least(1 - CAST(event_id % 10 AS DOUBLE) / 10, 1 - CAST(event_id % 7 AS DOUBLE) / 10), 4) AS confidence
+FROM truth3d WHERE least(1 - CAST(event_id % 10 AS DOUBLE) / 10, 1 - CAST(event_id % 7 AS DOUBLE) / 10) >= 0.35E0""", "truth3d")
+def triangulate_sessions(spark, sf):
+    """Every session through the matrices of its own rig, raw or rectified, in one job."""
+    clean = trajectory.triangulate_keypoints(view(spark, sf, "kp2d_rigs"), min_confidence=MIN_CONF, cameras=calibration.raw_projections(_rigs(spark, sf)))
+    return clean.select("session", "frame_idx", "name", *[(F.round(v, 4) + 0.0).alias(v) for v in "xyz"], F.round("confidence", 4).alias("confidence"))
+
+
 @query("""SELECT t.session, t.event_id, k.camera, round(sqrt(power(t.x / t.z * 900 + 640 - CASE WHEN k.camera = 1 THEN 90000 / t.z ELSE 0 END - k.px, 2) + power(t.y / t.z * 900 + 360 - k.py, 2)), 4) AS err
 FROM truth3d t JOIN kp2d k ON t.event_id = k.event_id""", "kp2d")
 def reprojection_errors(spark, sf):
@@ -266,7 +282,7 @@ def best_estimate(spark, sf):
 
 @query()
 def diverse_top_n(spark, sf):
-    return matching.diverse_top_n(_quality(spark, sf), 20, 60)
+    return matching.diverse_top_n(_quality(spark, sf))
 
 
 @query("SELECT session, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY frame_idx) AS r FROM f_scores WHERE n_inliers >= 80) z WHERE r <= 40", "f_scores")
@@ -305,13 +321,16 @@ def correspondence_pipeline(spark, sf):
     return rounded(out.select("frame_idx", "n_matches", "n_inliers", "inlier_ratio", "mean_sampson", "quality", "accepted", "place"), 4)
 
 
-@query("""SELECT session, count(*) AS n_matches, CAST(0 AS BIGINT) + 1 = 1 AS found FROM m GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)
+@query("""SELECT session, count(*) AS n_matches, count(*) FILTER (WHERE event_id % 11 <> 0) AS n_true, true AS found FROM m GROUP BY session HAVING count(*) >= 8""", "kp2d", more=_MATCHES)
 def estimate_fundamental(spark, sf):
-    """A robust matrix for each session's matches, some of them wrong; found where it fits as many as the rig's own matrix."""
-    matches = trajectory.match_views(view(spark, sf, "kp2d")).select("session", "x0", "y0", "x1", "y1")
-    out = matching.estimate_fundamental(matches, ["session"]).select("session", "n_matches", "n_inliers")
-    rig = matching.sampson_stats(matches, RIG_F, ["session"]).select("session", F.col("n_inliers").alias("n_right"))
-    return out.join(rig, "session").select("session", "n_matches", (F.col("n_inliers") >= F.col("n_right")).alias("found"))
+    """A robust matrix for each session's matches, some of them planted as wrong; found where it fits as many as are right."""
+    points = ["x0", "y0", "x1", "y1"]
+    kp = view(spark, sf, "kp2d")
+    matches = trajectory.match_views(kp).select("session", "frame_idx", *points)
+    wrong = kp.where("camera = 1").select("session", "frame_idx", (F.col("event_id") % 11 == 0).alias("wrong"))
+    planted = matches.join(wrong, ["session", "frame_idx"]).groupBy("session").agg(F.count_if(~F.col("wrong")).alias("n_true"))
+    out = matching.estimate_fundamental(matches.select("session", *points), ["session"]).select("session", "n_matches", "n_inliers")
+    return out.join(planted, "session").select("session", "n_matches", "n_true", (F.col("n_inliers") >= F.col("n_true")).alias("found"))
 
 
 # ---------------------------------------------------------------- self-calibration
@@ -334,7 +353,7 @@ es AS (SELECT session, quality, f, {_mm('', '', 'e', lambda i, j: [f'{_K[k][i]}
 un AS (SELECT session, quality, f, {', '.join(f'e{i}{j} / n AS e{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT *, sqrt({' + '.join(f'e{i}{j} * e{i}{j}' for i in range(3) for j in range(3))}) AS n FROM es) q),
 sy AS (SELECT *, {_mm('', '', 's', lambda i, j: [f'e{i}{k} * e{j}{k}' for k in range(3)])} FROM un),
 tr AS (SELECT *, {_mm('', '', 'c', lambda i, j: [f'2 * s{i}{k} * e{k}{j}' for k in range(3)] + [f'-(s00 + s11 + s22) * e{i}{j}'])} FROM sy),
-scan AS (SELECT session, f, sum(quality * sqrt({' + '.join(f'c{i}{j} * c{i}{j}' for i in range(3) for j in range(3))})) / sum(quality) AS cost FROM tr GROUP BY session, f)"""
+scan AS (SELECT session, f, sum(quality * r) / sum(quality) AS cost, avg(r) AS residual FROM (SELECT session, f, quality, sqrt({' + '.join(f'c{i}{j} * c{i}{j}' for i in range(3) for j in range(3))}) AS r FROM tr) r GROUP BY session, f)"""
 
 
 @query("SELECT session, round(f, 4) AS f, round(cost, 6) AS cost FROM scan", "f_est", more=_SCAN)
@@ -354,18 +373,33 @@ def focal_refine(spark, sf):
     return calibration.focal_refine(_estimates(spark, sf), WIDTH, HEIGHT, _SCAN_STEPS).select("session", F.round("f", 0).alias("f"))
 
 
-@query("""SELECT q.session, q.enough, degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) > 20 AND degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) < 160 AS fov_ok, b.cost < 0.05E0 AS residual_ok
-FROM (SELECT session, count(*) FILTER (WHERE quality >= 0.4E0) >= 20 AS enough FROM w GROUP BY session) q JOIN (SELECT session, arg_min(f, cost) AS f, min(cost) AS cost FROM scan GROUP BY session) b ON q.session = b.session""", "f_est", more=_SCAN)
+@query("SELECT session, round(arg_min(f, cost), 4) AS f, round(arg_min(residual, cost), 6) AS residual FROM scan GROUP BY session", "f_est", more=_SCAN)
+def mean_essential_residual(spark, sf):
+    estimates = _estimates(spark, sf)
+    best = tables.cut(calibration.best_focal(calibration.focal_scan(estimates, WIDTH, HEIGHT, _SCAN_STEPS)), "best-focal")
+    return calibration.mean_essential_residual(estimates, best, WIDTH, HEIGHT).select("session", F.round("f", 4).alias("f"), F.round("residual", 6).alias("residual"))
+
+
+@query("""SELECT q.session, q.enough, degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) > 20 AND degrees(2 * atan(sqrt(1280.0E0 * 1280 + 720.0E0 * 720) / (2 * b.f))) < 160 AS fov_ok, b.residual < 0.05E0 AS residual_ok,
+k.session IS NOT NULL AS metric_ok, c.rms_stereo < 1 AS rms_ok
+FROM (SELECT session, count(*) FILTER (WHERE quality >= 0.4E0) >= 20 AS enough FROM w GROUP BY session) q JOIN (SELECT session, arg_min(f, cost) AS f, arg_min(residual, cost) AS residual FROM scan GROUP BY session) b ON q.session = b.session
+LEFT JOIN (SELECT DISTINCT session FROM kp3d) k ON k.session = q.session LEFT JOIN calib c ON c.session = q.session""", "f_est", "kp3d", "calib", more=_SCAN)
 def quality_gates(spark, sf):
+    """The five gates, with a metric scale where the session has points and its target calibration's error."""
     estimates = _estimates(spark, sf)
-    return calibration.gates(estimates, calibration.best_focal(calibration.focal_scan(estimates, WIDTH, HEIGHT, _SCAN_STEPS)), WIDTH, HEIGHT)
+    best = tables.cut(calibration.best_focal(calibration.focal_scan(estimates, WIDTH, HEIGHT, _SCAN_STEPS)), "best-focal")
+    scale = calibration.metric_scale(calibration.robust_span(view(spark, sf, "kp3d")), (600, 400, 300)).select("session", "scale")
+    result = calibration.mean_essential_residual(estimates, best, WIDTH, HEIGHT).join(scale, "session", "left")
+    result = result.join(view(spark, sf, "calib").select("session", F.col("rms_stereo").alias("rms")), "session", "left")
+    return calibration.gates(estimates, result, WIDTH, HEIGHT)
 
 
-@query("""SELECT session, concat_ws('; ', CASE WHEN NOT enough THEN 'record more frame pairs' END, CASE WHEN NOT fov_ok THEN 'check the image size' END, CASE WHEN NOT residual_ok THEN 'check rectification and synchrony' END) AS advice
-FROM (SELECT session, count(*) FILTER (WHERE inlier_ratio >= 0.6E0) >= 25 AS enough, true AS fov_ok, avg(mean_sampson) < 1.5E0 AS residual_ok FROM f_scores GROUP BY session) z""", "f_scores")
+@query("""SELECT session, CASE WHEN n_good >= 30 AND residual <= 0.05E0 AND shift <= 0.15E0 THEN 'solid' ELSE concat_ws('; ', CASE WHEN n_good < 30 THEN 'more footage with texture' END, CASE WHEN residual > 0.05E0 THEN 'check radial distortion' END, CASE WHEN shift > 0.15E0 THEN 'check arena bounds and coverage' END) END AS advice
+FROM (SELECT q.session, n_good, residual, abs(f1 - f0) / f0 AS shift FROM (SELECT session, count(*) FILTER (WHERE quality >= 0.4E0) AS n_good, avg(mean_sampson) / 30 AS residual FROM q GROUP BY session) q JOIN calib c ON q.session = c.session) z""", "f_scores", "calib", more=_QUALITY)
 def calibration_advice(spark, sf):
-    gated = view(spark, sf, "f_scores").groupBy("session").agg((F.count_if(F.col("inlier_ratio") >= 0.6) >= 25).alias("enough"), F.lit(True).alias("fov_ok"), (F.avg("mean_sampson") < 1.5).alias("residual_ok"))
-    return calibration.advice(gated)
+    good = _quality(spark, sf).groupBy("session").agg(F.count_if(F.col("quality") >= 0.4).alias("n_good"), (F.avg("mean_sampson") / 30).alias("residual"))
+    focal = view(spark, sf, "calib").select("session", F.col("f0").alias("f_scan"), F.col("f1").alias("f_metric"))
+    return calibration.advice(good.join(focal, "session"))
 
 
 @query("""SELECT session, round(abs(f0 - f1) / f1 * 100, 6) AS diff_pct, CASE WHEN abs(f0 - f1) / f1 * 100 < 2 THEN 'excellent' WHEN abs(f0 - f1) / f1 * 100 < 5 THEN 'good' WHEN abs(f0 - f1) / f1 * 100 < 10 THEN 'fair' ELSE 'poor' END AS agreement FROM calib""", "calib")
@@ -379,10 +413,13 @@ def stereo_baseline(spark, sf):
     return rounded(calibration.baseline(view(spark, sf, "calib")))
 
 
-@query("""SELECT session, 0 AS camera, [f0, 0, cx, 0, 0, f0, cy, 0, 0, 0, 1, 0] AS p FROM calib UNION ALL
-SELECT session, 1 AS camera, [f1, 0, cx, f1 * tx + cx * tz, 0, f1, cy, f1 * ty + cy * tz, 0, 0, 1, tz] AS p FROM calib""", "calib")
+@query("""SELECT session, camera, list_transform(p, lambda v: round(v, 6)) AS p FROM (
+SELECT session, 0 AS camera, CASE WHEN rectified THEN [fr, 0, cx, 0, 0, fr, cy, 0, 0, 0, 1, 0] ELSE [f0, 0, cx, 0, 0, f0, cy, 0, 0, 0, 1, 0] END AS p FROM calib UNION ALL
+SELECT session, 1 AS camera, CASE WHEN rectified THEN [fr, 0, cx, fr * bx, 0, fr, cy, 0, 0, 0, 1, 0] ELSE
+  [f1 * rc - cx * rs, 0, f1 * rs + cx * rc, f1 * tx + cx * tz, -cy * rs, f1, cy * rc, f1 * ty + cy * tz, -rs, 0, rc, tz] END AS p FROM calib) q""", "calib")
 def raw_projections(spark, sf):
-    return calibration.raw_projections(view(spark, sf, "calib"))
+    out = calibration.raw_projections(_rigs(spark, sf))
+    return out.select("session", "camera", F.transform("p", lambda v: F.round(v, 6) + 0.0).alias("p"))
 
 
 @query("SELECT session, round(quantile_cont(x, 0.98) - quantile_cont(x, 0.02), 4) AS span_x, round(quantile_cont(y, 0.98) - quantile_cont(y, 0.02), 4) AS span_y, round(quantile_cont(z, 0.98) - quantile_cont(z, 0.02), 4) AS span_z FROM kp3d GROUP BY session", "kp3d")
@@ -396,9 +433,10 @@ def metric_scale(spark, sf):
     return rounded(calibration.metric_scale(calibration.robust_span(view(spark, sf, "kp3d")), (600, 400, 300)))
 
 
-@query("""SELECT session, event_id, true AS same_rotation, true AS same_direction FROM poses""", "poses")
+@query("""SELECT session, event_id, round(ca, 4) + 0.0E0 AS r00, round(sa * sb, 4) + 0.0E0 AS r01, round(sa * cb, 4) + 0.0E0 AS r02, round(0, 4) + 0.0E0 AS r10, round(cb, 4) + 0.0E0 AS r11, round(-sb, 4) + 0.0E0 AS r12, round(-sa, 4) + 0.0E0 AS r20, round(ca * sb, 4) + 0.0E0 AS r21, round(ca * cb, 4) + 0.0E0 AS r22,
+round(tx / n, 4) + 0.0E0 AS t0, round(ty / n, 4) + 0.0E0 AS t1, round(tz / n, 4) + 0.0E0 AS t2 FROM (SELECT *, sqrt(tx * tx + ty * ty + tz * tz) AS n FROM poses) q""", "poses")
 def essential_motion(spark, sf):
-    """Rotation and direction of motion out of each matrix, chosen by the points in front, are those it was made of."""
+    """Rotation and direction of motion out of each matrix, chosen by the points in front: those it was made of."""
     spots = F.array(*[F.struct(F.lit(x).alias("px"), F.lit(y).alias("py"), F.lit(z).alias("pz")) for x in (-1.0, 0.5, 1.0) for y in (-0.7, 0.6) for z in (4.0, 7.0)])
     pose = view(spark, sf, "poses")
     ry = [[F.col("ca"), F.lit(0.0), F.col("sa")], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [-F.col("sa"), F.lit(0.0), F.col("ca")]]
@@ -407,9 +445,8 @@ def essential_motion(spark, sf):
     moved = g.rigid(r, [F.col("tx"), F.col("ty"), F.col("tz")], F.col("px"), F.col("py"), F.col("pz"))
     seen = pose.select("*", F.inline(spots)).select("session", "event_id", (F.col("px") / F.col("pz") * 900 + 640).alias("x0"), (F.col("py") / F.col("pz") * 900 + 360).alias("y0"), (moved[0] / moved[2] * 900 + 640).alias("x1"), (moved[1] / moved[2] * 900 + 360).alias("y1"))
     best = calibration.choose_motion(calibration.motions(view(spark, sf, "f_est"), 900.0, 640.0, 360.0), seen, 900.0, 640.0, 360.0)
-    truth = pose.select("session", "event_id", F.array(*[v for row in r for v in row]).alias("tr"), F.array("tx", "ty", "tz").alias("tt"), F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty") + F.col("tz") * F.col("tz")).alias("n"))
-    near = lambda a, b, n: F.forall(F.zip_with(a, b, lambda p, q: F.abs(p - q / n) < 1e-5), lambda v: v)
-    return best.join(truth, ["session", "event_id"]).select("session", "event_id", near(F.col("r"), F.col("tr"), F.lit(1.0)).alias("same_rotation"), near(F.col("t"), F.col("tt"), F.col("n")).alias("same_direction"))
+    show = lambda name, n: [(F.round(F.col(name)[k], 4) + 0.0).alias(name + (f"{k // 3}{k % 3}" if n == 9 else str(k))) for k in range(n)]
+    return best.select("session", "event_id", *show("r", 9), *show("t", 3))
 
 
 # ---------------------------------------------------------------- alignment and distortion
@@ -432,14 +469,15 @@ def edge_line_rmse(spark, sf):
     return rounded(view(spark, sf, "edge_points").groupBy("session", "camera", "label").agg(alignment.line_rmse("x", "y").alias("rmse")), 4)
 
 
-def _undistorted(rounds: int) -> str:
-    body = "SELECT session, label, pos, xd, yd, xd AS u, yd AS v FROM (SELECT session, label, pos, (x - 640) / 900.0E0 AS xd, (y - 360) / 900.0E0 AS yd FROM edge_points) q"
+def _undistorted(k1: str, k2: str, k3: str, f: str = "900.0E0", rounds: int = 8) -> str:
+    """SQL of edge points (session, camera, label, pos, x, y) without radial distortion, unrounded."""
+    body = f"SELECT session, camera, label, pos, xd, yd, xd AS u, yd AS v FROM (SELECT session, camera, label, pos, (x - 640) / {f} AS xd, (y - 360) / {f} AS yd FROM edge_points) q"
     for _ in range(rounds):
-        body = f"SELECT session, label, pos, xd, yd, xd / s AS u, yd / s AS v FROM (SELECT *, 1 - 0.2E0 * (u * u + v * v) + 0.05E0 * power(u * u + v * v, 2) + 0.01E0 * power(u * u + v * v, 3) AS s FROM ({body}) a) b"
-    return f"SELECT session, label, pos, round(u * 900 + 640, 4) AS x, round(v * 900 + 360, 4) AS y FROM ({body}) z"
+        body = f"SELECT session, camera, label, pos, xd, yd, xd / s AS u, yd / s AS v FROM (SELECT *, 1 + {k1} * (u * u + v * v) + {k2} * power(u * u + v * v, 2) + {k3} * power(u * u + v * v, 3) AS s FROM ({body}) a) b"
+    return f"SELECT session, camera, label, pos, u * {f} + 640 AS x, v * {f} + 360 AS y FROM ({body}) z"
 
 
-@query(_undistorted(8), "edge_points")
+@query(f"SELECT session, label, pos, round(x, 4) AS x, round(y, 4) AS y FROM ({_undistorted('-0.2E0', '0.05E0', '0.01E0')}) q", "edge_points")
 def undistort_points(spark, sf):
     u, v = g.undistort_radial(F.col("x"), F.col("y"), 640, 360, 900, -0.2, 0.05, 0.01)
     moved = view(spark, sf, "edge_points").select("session", "label", "pos", u.alias("u"), v.alias("v"))
@@ -461,19 +499,24 @@ def usable_corners(spark, sf):
     return alignment.usable_corners(view(spark, sf, "align_points"))
 
 
-_POSE = {"rvec": (0.0, 0.0, 0.0), "t": (5.0, -3.0, 900.0), "f": 900.0, "cx": 640.0, "cy": 360.0, "k1": -0.1, "k2": 0.01, "k3": 0.0}
+_POSE = {"rvec": (0.0, 0.0, 0.3), "t": (5.0, -3.0, 900.0), "f": 900.0, "cx": 640.0, "cy": 360.0, "k1": -0.1, "k2": 0.01, "k3": 0.0}
+_STEREO = {"rvec": (0.0, 0.2, 0.0), "t": (-100.0, 4.0, 7.0), "f": 880.0, "cx": 640.0, "cy": 360.0, "k1": -0.05, "k2": 0.02, "k3": 0.0}
 
 
-@query("""SELECT session, count(*) AS n, round(sqrt(avg(r * r)), 4) AS rmse FROM (
-SELECT session, unnest([u * (1 - 0.1E0 * r2 + 0.01E0 * r2 * r2) * 900 + 640 - px0_x, v * (1 - 0.1E0 * r2 + 0.01E0 * r2 * r2) * 900 + 360 - px0_y]) AS r FROM (
-  SELECT *, u * u + v * v AS r2 FROM (SELECT *, (arena_x + 5) / (arena_z + 900) AS u, (arena_y - 3) / (arena_z + 900) AS v FROM align_points WHERE px0_x IS NOT NULL AND px1_x IS NOT NULL) a) b
-UNION ALL SELECT session, 0.3E0 * CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(greatest((var_pop(x) + var_pop(y) - sqrt(power(var_pop(x) - var_pop(y), 2) + 4 * power(covar_pop(x, y), 2))) / 2, 0)) END AS r
-FROM flat GROUP BY session, camera, label) q GROUP BY session""", "align_points", "edge_points", more="flat AS (" + _undistorted(8).replace("1 - 0.2E0 * (u * u + v * v) + 0.05E0 * power(u * u + v * v, 2) + 0.01E0 * power(u * u + v * v, 3)", "1 - 0.1E0 * (u * u + v * v) + 0.01E0 * power(u * u + v * v, 2)").replace("round(u * 900 + 640, 4)", "u * 900 + 640").replace("round(v * 900 + 360, 4)", "v * 900 + 360").replace("session, label", "session, camera, label") + ")")
+@query(f"""SELECT session, CAST(sum(n) AS BIGINT) AS n, round(sqrt(sum(s) / sum(n)), 4) AS rmse FROM (
+SELECT session, 4 AS n, power(u0 * (1 - 0.1E0 * q0 + 0.01E0 * q0 * q0) * 900 + 640 - px0_x, 2) + power(v0 * (1 - 0.1E0 * q0 + 0.01E0 * q0 * q0) * 900 + 360 - px0_y, 2)
+     + power(u1 * (1 - 0.05E0 * q1 + 0.02E0 * q1 * q1) * 880 + 640 - px1_x, 2) + power(v1 * (1 - 0.05E0 * q1 + 0.02E0 * q1 * q1) * 880 + 360 - px1_y, 2) AS s FROM (
+  SELECT *, u0 * u0 + v0 * v0 AS q0, u1 * u1 + v1 * v1 AS q1 FROM (
+    SELECT *, x0 / z0 AS u0, y0 / z0 AS v0, (cos(0.2E0) * x0 + sin(0.2E0) * z0 - 100) / (cos(0.2E0) * z0 - sin(0.2E0) * x0 + 7) AS u1, (y0 + 4) / (cos(0.2E0) * z0 - sin(0.2E0) * x0 + 7) AS v1 FROM (
+      SELECT *, cos(0.3E0) * arena_x - sin(0.3E0) * arena_y + 5 AS x0, sin(0.3E0) * arena_x + cos(0.3E0) * arena_y - 3 AS y0, arena_z + 900 AS z0 FROM align_points WHERE px0_x IS NOT NULL AND px1_x IS NOT NULL) a) b) c
+UNION ALL SELECT session, count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE count(*) * 0.09E0 * greatest((var_pop(x) + var_pop(y) - sqrt(power(var_pop(x) - var_pop(y), 2) + 4 * power(covar_pop(x, y), 2))) / 2, 0) END AS s
+FROM (SELECT * FROM ({_undistorted('-0.1E0', '0.01E0', '0.0E0')}) f0 WHERE camera = 0 UNION ALL SELECT * FROM ({_undistorted('-0.05E0', '0.02E0', '0.0E0', '880.0E0')}) f1 WHERE camera = 1) e GROUP BY session, camera, label) q GROUP BY session""", "align_points", "edge_points")
 def arena_residuals(spark, sf):
-    return rounded(alignment.arena_residuals(view(spark, sf, "align_points"), view(spark, sf, "edge_points"), _POSE), 4)
+    return rounded(alignment.arena_residuals(view(spark, sf, "align_points"), view(spark, sf, "edge_points"), _POSE, _STEREO), 4)
 
 
-@query("SELECT session, label, w * a AS x, d * b AS y, h * c AS z FROM (SELECT session, f0 AS w, f1 AS d, abs(tx) AS h FROM calib) q CROSS JOIN (VALUES " + ", ".join(f"('{n}', {a}, {b}, {e})" for n, a, b, e in alignment.CORNERS) + ") t(label, a, b, c)", "calib")
+@query("""SELECT session, label, w / 2 * a AS x, d / 2 * b AS y, h * c AS z FROM (SELECT session, f0 AS w, f1 AS d, abs(tx) AS h FROM calib) q
+CROSS JOIN (VALUES ('BFL', -1, -1, 0), ('BFR', 1, -1, 0), ('BBL', -1, 1, 0), ('BBR', 1, 1, 0), ('TFL', -1, -1, 1), ('TFR', 1, -1, 1), ('TBL', -1, 1, 1), ('TBR', 1, 1, 1)) t(label, a, b, c)""", "calib")
 def box_corners(spark, sf):
     return alignment.box_corners(view(spark, sf, "calib").select("session", F.col("f0").alias("w"), F.col("f1").alias("d"), F.abs("tx").alias("h")))
 
@@ -550,11 +593,11 @@ def smooth_mesh(spark, sf):
     return rounded(voxels.laplacian(verts, voxels.adjacency(voxels.mesh_faces(hull, VK, (NX, NY, NZ)), VK), VK), 4)
 
 
-@query("SELECT session, min(i) * 20.0E0 - 200 AS x_min, (max(i) + 1) * 20.0E0 - 200 AS x_max, min(k) * 20.0E0 + 400 AS z_min, (max(k) + 1) * 20.0E0 + 400 AS z_max FROM carved GROUP BY session", "mask", more=_CARVED)
+@query("SELECT session, min(i) * 20.0E0 - 200 AS x_min, (max(i) + 1) * 20.0E0 - 200 AS x_max, min(j) * 20.0E0 - 120 AS y_min, (max(j) + 1) * 20.0E0 - 120 AS y_max, min(k) * 20.0E0 + 400 AS z_min, (max(k) + 1) * 20.0E0 + 400 AS z_max FROM carved GROUP BY session", "mask", more=_CARVED)
 def hull_extent(spark, sf):
     low = lambda c, o: (F.min(c) * SIZE + o)
     high = lambda c, o: ((F.max(c) + 1) * SIZE + o)
-    return _carved(spark, sf).groupBy("session").agg(low("i", -200.0).alias("x_min"), high("i", -200.0).alias("x_max"), low("k", 400.0).alias("z_min"), high("k", 400.0).alias("z_max"))
+    return _carved(spark, sf).groupBy("session").agg(low("i", -200.0).alias("x_min"), high("i", -200.0).alias("x_max"), low("j", -120.0).alias("y_min"), high("j", -120.0).alias("y_max"), low("k", 400.0).alias("z_min"), high("k", 400.0).alias("z_max"))
 
 
 # ---------------------------------------------------------------- pixels
@@ -581,9 +624,10 @@ def _mask(spark, sf):
 _INSIDE = "inside AS (SELECT * FROM mask WHERE px >= 0 AND px < 128 AND py >= 0 AND py < 72)"
 
 
-@query(_DILATE.format("inside"), "mask", more=f"{_OFFSETS}, {_INSIDE}")
+@query(_DILATE.format("inside"), "mask", more=f"o(dx, dy) AS (VALUES {', '.join(map(str, masks.ellipse(7)))}), {_INSIDE}")
 def mask_dilate(spark, sf):
-    return masks.dilate(_mask(spark, sf), _CROSS, 128, 72)
+    """By the 7x7 ellipse."""
+    return masks.dilate(_mask(spark, sf), masks.ellipse(7), 128, 72)
 
 
 @query(_ERODE.format("inside"), "mask", more=f"{_OFFSETS}, {_INSIDE}")
@@ -614,15 +658,12 @@ def silhouette_moments(spark, sf):
     return m.select(*masks.FRAME, "area", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round(F.sqrt((F.col("hx") - F.col("cx")) * (F.col("hx") - F.col("cx")) + (F.col("hy") - F.col("cy")) * (F.col("hy") - F.col("cy"))), 3).alias("half"))
 
 
-@query("""SELECT p.session, p.frame_idx, p.x, p.y, CAST(trunc(least(greatest((v - lo) / (hi - lo), 0), 1) * 255) AS INT) AS v8 FROM pixel_series p JOIN (
+@query("""SELECT p.session, p.frame_idx, p.x, p.y, CAST(trunc(least(greatest((v - CASE WHEN hi <= lo THEN 0 ELSE lo END) / CASE WHEN hi <= lo THEN 255 ELSE hi - lo END, 0), 1) * 255) AS INT) AS v8 FROM pixel_series p JOIN (
 SELECT s.session, s.camera, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM (SELECT q.*, min(frame_idx) OVER (PARTITION BY session, camera) AS a, max(frame_idx) OVER (PARTITION BY session, camera) AS b FROM pixel_series q) s
-WHERE frame_idx = a OR frame_idx = b GROUP BY s.session, s.camera) r ON p.session = r.session AND p.camera = r.camera WHERE hi > lo""", "pixel_series")
+WHERE frame_idx = a OR frame_idx = b GROUP BY s.session, s.camera) r ON p.session = r.session AND p.camera = r.camera""", "pixel_series")
 def normalize_depth(spark, sf):
-    rows = view(spark, sf, "pixel_series")
-    out = masks.normalize_depth(rows, 0.1, 0.9, top=-1.0)
-    ends = rows.groupBy("session", "camera").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
-    varied = rows.join(ends, ["session", "camera"]).where("frame_idx = a OR frame_idx = b").groupBy("session", "camera").agg(F.percentile("v", 0.9).alias("hi"), F.percentile("v", 0.1).alias("lo")).where("hi > lo")
-    return out.join(varied, ["session", "camera"], "left_semi").select("session", "frame_idx", "x", "y", "v8")
+    """Streams of 8-bit values; a stream whose first and last frame are flat is scaled by the type's range."""
+    return masks.normalize_depth(view(spark, sf, "pixel_series"), 0.1, 0.9, top=255.0).select("session", "frame_idx", "x", "y", "v8")
 
 
 _MAPS = "maps(camera, ox, oy, sx, sy) AS (VALUES (0, 0, 0, 0.5E0, 0.25E0), (0, 1, 0, 1.5E0, 0.5E0), (0, 2, 1, 2.0E0, 1.75E0))"
@@ -727,9 +768,13 @@ def patch_calibration(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(spark, sf, name: str) -> DataFrame:
-    """A view as a stream: written to the shared folder, read file by file."""
+def _stream(spark, sf, name: str, closed: bool = False) -> DataFrame:
+    """A view as a stream: written to the shared folder, read file by file. closed: a row of session -1 a day later lets
+    the watermark pass all others."""
     rows = streams.with_event_time(view(spark, sf, name))
+    if closed:
+        late = rows.agg(F.max(F.struct(*[F.lit(-1).cast("bigint").alias(c) if c == "session" else F.col(c) for c in rows.columns])).alias("r")).select("r.*")
+        rows = rows.unionByName(late.withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 DAY")).select(rows.columns))
     path = tables.fresh_path(spark, f"stream-{name}")
     rows.repartition("session").sortWithinPartitions("session", "frame_idx").write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
@@ -761,17 +806,21 @@ def stream_fill_gaps(spark, sf):
     return rounded(_drained(streams.fill_gaps(_stream(spark, sf, "kp3d"))))
 
 
-@query()
+@query("SELECT session, name, frame_idx // 30 AS second, count(*) AS n, round(avg(reproj_err), 6) AS mean_err FROM kp3d GROUP BY session, name, frame_idx // 30", "kp3d")
 def stream_rates(spark, sf):
-    """Windows that the watermark has closed."""
-    return rounded(_drained(streams.rates(_stream(spark, sf, "kp3d"), delay="0 seconds")))
+    """Windows of a second, all of them closed."""
+    out = _drained(streams.rates(_stream(spark, sf, "kp3d", closed=True), delay="0 seconds")).where("session >= 0")
+    second = F.unix_seconds("start") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return out.select("session", "name", second.alias("second"), "n", F.round("mean_err", 6).alias("mean_err"))
 
 
-@query()
+@query("""SELECT session, name, min(frame_idx) AS first, max(frame_idx) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY session, name ORDER BY frame_idx) AS g FROM (
+SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY session, name ORDER BY frame_idx) > 11 THEN 1 ELSE 0 END AS fresh FROM kp3d) a) b GROUP BY session, name, g""", "kp3d")
 def stream_tracks(spark, sf):
-    return _drained(streams.tracks(_stream(spark, sf, "kp3d"), delay="0 seconds"))
+    return _drained(streams.tracks(_stream(spark, sf, "kp3d", closed=True), delay="0 seconds")).where("session >= 0")
 
 
-@query("SELECT count(*) AS n FROM pixel_series", "pixel_series")
+@query()
 def stream_background(spark, sf):
-    return _drained(streams.background(_stream(spark, sf, "pixel_series"))).agg(F.count(F.lit(1)).alias("n"))
+    """Which pixels of a stream are foreground; a running model has no SQL, tests follow it by hand."""
+    return _drained(streams.background(_stream(spark, sf, "pixel_series")))

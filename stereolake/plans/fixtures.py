@@ -53,9 +53,19 @@ SELECT session, CAST(session % 2 AS INT) AS camera, name AS label, row_number()
     "calib": ((), """
 SELECT session, CAST(800 + session % 200 AS DOUBLE) AS f0, CAST(810 + session % 190 AS DOUBLE) AS f1, 640.0E0 AS cx, 360.0E0 AS cy,
        CAST(-100 - session % 40 AS DOUBLE) AS tx, CAST(session % 5 - 2 AS DOUBLE) AS ty, CAST(session % 3 AS DOUBLE) AS tz,
-       CAST(session % 23 AS DOUBLE) / 10 AS rms_stereo, session % 2 = 0 AS rectified FROM (SELECT DISTINCT user_id AS session FROM events) q"""),
+       CAST(session % 23 AS DOUBLE) / 10 AS rms_stereo, session % 2 = 0 AS rectified, cos(CAST(session % 7 - 3 AS DOUBLE) / 20) AS rc, sin(CAST(session % 7 - 3 AS DOUBLE) / 20) AS rs,
+       CAST(805 + session % 150 AS DOUBLE) AS fr, CAST(-110 - session % 30 AS DOUBLE) AS bx FROM (SELECT DISTINCT user_id AS session FROM events) q"""),
 }
 
+#: Keypoints of sessions that each have a rig of their own: camera 1 turned by (rc, rs) and shifted, or a rectified pair.
+VIEWS["kp2d_rigs"] = (("truth3d", "calib"), """
+SELECT t.session, 0 AS camera, frame_idx, name, x / z * CASE WHEN rectified THEN fr ELSE f0 END + cx AS px, y / z * CASE WHEN rectified THEN fr ELSE f0 END + cy AS py,
+       1 - CAST(event_id % 10 AS DOUBLE) / 10 AS confidence, event_id FROM truth3d t JOIN calib c ON t.session = c.session
+UNION ALL
+SELECT t.session, 1 AS camera, frame_idx, name, CASE WHEN rectified THEN (x + bx) / z * fr ELSE (rc * x + rs * z + tx) / (rc * z - rs * x + tz) * f1 END + cx AS px,
+       CASE WHEN rectified THEN y / z * fr ELSE (y + ty) / (rc * z - rs * x + tz) * f1 END + cy AS py,
+       1 - CAST(event_id % 7 AS DOUBLE) / 10 AS confidence, event_id FROM truth3d t JOIN calib c ON t.session = c.session""")
+
 #: F = K^-T E K^-1 with E = [t]x Ry(a) Rx(b), f = 900, principal point (640, 360), as nine columns.
 VIEWS["f_est"] = (("poses",), """
 SELECT session, event_id, n_inliers, inlier_ratio, mean_sampson,

@@ -1,7 +1,13 @@
-"""Structured Streaming counterparts of the frame loop; each equals its batch operator once all input has come."""
+"""Structured Streaming counterparts of the frame loop.
+
+Matching, triangulation and gap filling equal their batch operators once all input has come; the background model is a
+decaying mean and variance of each pixel instead of the batch operator's window of frames. Windows and tracks come out when
+the watermark has passed them, so a stream's last ones need a row of later event time.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +54,7 @@ def rates(kp3d: DataFrame, width: str = "1 second", slide: str | None = None, de
 
 def tracks(kp3d: DataFrame, max_gap: int = 10, fps: float = 30.0, delay: str = "10 seconds") -> DataFrame:
     """Runs of detections of a landmark that no gap of more than max_gap frames interrupts."""
-    window = F.session_window("event_time", f"{int((max_gap + 1) / fps * 1000)} milliseconds")
+    window = F.session_window("event_time", f"{math.ceil((max_gap + 1.5) / fps * 1000)} milliseconds")  # half a frame beyond the gap
     return kp3d.withWatermark("event_time", delay).groupBy(window, "session", "name").agg(F.count(F.lit(1)).alias("n"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")).select("session", "name", "first", "last", "n")
 
 

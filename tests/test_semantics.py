@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stereolake.functions import geometry as g
 from stereolake.operators import alignment, calibration, masks, matching, trajectory, voxels
+from stereolake.plans import catalog
+from stereolake.plans.fixtures import view
 from stereolake.sources import files
 
 KP3D = "session long, frame_idx long, name string, x double, y double, z double, confidence double, reproj_err double"
@@ -214,3 +216,79 @@ def test_frames_are_numbered_by_name(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     got = {r.path.rsplit("/", 1)[1]: r.frame_idx for r in files.read_frames(spark, str(tmp_path)).collect()}
     assert got == {"a.png": 0, "b.png": 1}
+
+
+def test_background_stream_follows_a_running_model(spark):
+    """Every flag of the stream against mean and variance kept by hand, pixel by pixel."""
+    sf = "/root/testdata/sf0.001"
+    got = {(r.session, r.camera, r.x, r.y, r.frame_idx): r.foreground for r in catalog.QUERIES["stream_background"](spark, sf).collect()}
+    rows = sorted((r.session, r.camera, r.x, r.y, r.frame_idx, r.v) for r in view(spark, sf, "pixel_series").collect())
+    want, key = {}, None
+    for *pixel, frame, v in rows:
+        if pixel != key:
+            key, mean, var, n = pixel, 0.0, 0.0, 0
+        want[(*pixel, frame)] = n > 0 and (v - mean) ** 2 > 40 * max(var, 4)
+        n += 1
+        a, step = max(0.05, 1 / n), v - mean
+        mean, var = mean + a * step, (1 - a) * (var + a * step * step)
+    assert got == want and any(want.values())
+
+
+@pytest.mark.parametrize("size", [3, 7])
+def test_closing_and_opening_by_an_ellipse(spark, size):
+    rng = np.random.default_rng(size)
+    w, h = 20, 14
+    frames = rng.random((3, h, w)) < 0.6
+    rows = [(1, 0, k, int(x), int(y)) for k in range(3) for y, x in np.argwhere(frames[k])] + [(1, 0, 0, -1, 3), (1, 0, 0, 25, 3)]
+    mask = spark.createDataFrame(rows, "session long, camera int, frame_idx long, px int, py int")
+    kernel = masks.ellipse(size)
+
+    def step(m, grow):
+        out = np.zeros_like(m)
+        for y in range(h):
+            for x in range(w):
+                near = [m[y + b, x + a] for a, b in kernel if 0 <= y + b < h and 0 <= x + a < w]
+                out[y, x] = any(near) if grow else all(near)
+        return out
+
+    for fn, order in ((masks.close, (True, False)), (masks.open_, (False, True))):
+        got = {(r.frame_idx, r.px, r.py) for r in fn(mask, kernel, w, h).collect()}
+        assert got == {(k, int(x), int(y)) for k in range(3) for y, x in np.argwhere(step(step(frames[k], order[0]), order[1]))}
+
+
+def test_focal_scan_equals_singular_values_and_finds_the_focal_length(spark):
+    """The scan's residuals against the definition by singular values, and the minimum within 3 % of a planted camera."""
+    rng = np.random.default_rng(4)
+    k = np.array([[900.0, 0, 640], [0, 900, 360], [0, 0, 1]])
+    rows = []
+    for i in range(40):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        t = rng.normal(size=3)
+        e = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ q
+        f = np.linalg.inv(k).T @ e @ np.linalg.inv(k)
+        rows.append((1, float(rng.random()), *(f / np.linalg.norm(f)).ravel().tolist()))
+    names = ", ".join(f"f{i}{j} double" for i in range(3) for j in range(3))
+    estimates = spark.createDataFrame(rows, f"session long, quality double, {names}")
+    got = {r.f: r.cost for r in calibration.focal_scan(estimates, 1280, 720).collect()}
+    assert len(got) == 300
+    for f, cost in list(got.items())[::17]:
+        own = np.array([[f, 0, 640], [0, f, 360], [0, 0, 1]])
+        total = 0.0
+        for _, quality, *m in rows:
+            e = own.T @ np.array(m).reshape(3, 3) @ own
+            s = np.linalg.svd(e / np.linalg.norm(e))[1]
+            total += quality * np.sqrt(((2 * s**3 - (s**2).sum() * s) ** 2).sum())
+        assert cost == pytest.approx(total / sum(r[1] for r in rows), abs=1e-6)
+    assert abs(min(got, key=got.get) - 900) < 27
+    assert calibration.focal_refine(estimates, 1280, 720).head().f == pytest.approx(900, abs=0.2)
+
+
+def test_gates_and_advice(spark):
+    estimates = spark.createDataFrame([(s, 0.5) for s in (1, 2) for _ in range(20 * s - 1)], "session long, quality double")
+    result = spark.createDataFrame([(1, 900.0, 0.06, None, None), (2, 900.0, 0.04, 1.1, 0.5)], "session long, f double, residual double, scale double, rms double")
+    got = {r.session: tuple(r)[1:] for r in calibration.gates(estimates, result, 1280, 720).collect()}
+    assert got == {1: (False, True, False, False, None), 2: (True, True, True, True, True)}
+    rows = [(1, 29, 0.05, 900.0, None), (2, 30, 0.06, 900.0, 1036.0), (3, 30, 0.05, 900.0, 1034.0)]
+    said = {r.session: r.advice for r in calibration.advice(spark.createDataFrame(rows, "session long, n_good long, residual double, f_scan double, f_metric double")).collect()}
+    assert said[1].startswith("more footage") and said[2] == "check radial distortion; check arena bounds and coverage" and said[3] == "solid"
