@@ -27,8 +27,8 @@ from .components import components
 WORDS, NUM, DEN = 5, 75, 100
 COUNTERS, PLACES, CHUNK, FAN_IN = 1 << 23, 1 << 21, 1 << 16, 64
 PER_CLASS, ROUNDS, PIVOTS, SMALL, SEEN = 4, 1, 4, 10, 50_000
-#: A component's members and the texts that meet it are dealt out over so many tasks each.
-MEMBER_SALTS, OUTSIDE_SALTS = 8, 4
+#: The members of a component of more than LARGE, and the texts that meet it, are dealt out over so many tasks each.
+LARGE, MEMBER_SALTS, OUTSIDE_SALTS = 256, 8, 4
 _HASHER: list[ByteHasher] = []
 _MIXERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 3, 5, 7, 9)]
 
@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose shingle sets link."""
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    joined = pairs.join(one, "b").join(two, "a")
+    joined = salted_join(salted_join(pairs, one, "b", "a", 16), two, "a", "b", 16)  # a pivot may be in many pairs
 
     def run(batches):
         for batch in batches:  # of bounded bytes
@@ -342,11 +342,16 @@ def _pairs_left(members: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = may_link(F.col("x"), F.col("n"), F.col("y"), F.col("m"))
     mine = nodes.select("node", F.col("bitmap").alias("x"))
     yours = nodes.select(F.col("node").alias("o_node"), F.col("bitmap").alias("y"))
-    met = others.select(F.col("large").alias("o_comp")).distinct()
-    inside = members.select(F.col("comp").alias("o_comp"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct().join(met, "o_comp", "left_semi").join(yours, "o_node")
-    inside = inside.withColumn("o_salt", F.pmod(F.xxhash64("o_node"), F.lit(MEMBER_SALTS))).withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(OUTSIDE_SALTS - 1))))
-    outside = others.select("node", "n", "large").distinct().join(mine, "node")
-    outside = outside.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(OUTSIDE_SALTS))).withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SALTS - 1))))
+    # only a large component is dealt out over tasks; elsewhere bitmaps aren't repeated
+    wide = lambda salts: F.when(F.col("count") > LARGE, salts).otherwise(1)
+    sized = members.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("count"))
+    sized = sized.select(F.col("comp").alias("met_comp"), wide(MEMBER_SALTS).alias("ms"), wide(OUTSIDE_SALTS).alias("os"))
+    met = others.select(F.col("large").alias("met_comp")).distinct().join(sized, "met_comp")
+    inside = members.select(F.col("comp").alias("o_comp"), F.col("node").alias("o_node"), F.col("n").alias("m")).distinct()
+    inside = inside.join(met, F.col("o_comp") == F.col("met_comp")).join(yours, "o_node")
+    inside = inside.select("o_comp", "o_node", "m", "y", F.pmod(F.xxhash64("o_node"), F.col("ms")).alias("o_salt"), F.explode(F.sequence(F.lit(0), F.col("os") - 1)).alias("i_salt"))
+    outside = others.select("node", "n", "large").distinct().join(met, F.col("large") == F.col("met_comp")).join(mine, "node")
+    outside = outside.select("node", "n", "large", "x", F.pmod(F.xxhash64("node"), F.col("os")).alias("salt"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m_salt"))
     across = outside.join(inside, (F.col("large") == F.col("o_comp")) & (F.col("salt") == F.col("i_salt")) & (F.col("m_salt") == F.col("o_salt")) & fits)
     mine = nodes.select("node", F.col("small").alias("x"))
     first = others.select("sig", "node", "n", "comp").join(mine, "node")
