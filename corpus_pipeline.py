@@ -64,9 +64,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(_row(docs).alias("row"), F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), F.xxhash64(*[docs[c] for c in hashed]).alias("hash")).alias("key"))
     linked = ngram_join.link(rows.select("key", F.col("row")["text"].alias("text")), "key")
     own = (F.col("id.hash") == F.col("component_id.hash")) & F.col("id.id").eqNullSafe(F.col("component_id.id"))
-    first = linked.where(own).select(F.col("id.id").alias("kept_id"), F.col("id.hash").alias("kept_hash"))
-    rows = rows.select("row", F.col("key.id").alias("own_id"), F.col("key.hash").alias("own_hash"))
-    kept = rows.join(first, (F.col("own_hash") == F.col("kept_hash")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id", "own_hash"])
+    first = linked.where(own).select(F.col("id.hash").alias("kept_hash"))
+    rows = rows.select("row", F.col("key.hash").alias("own_hash"))  # the hash covers the id, so texts are shuffled once
+    kept = rows.join(first, F.col("own_hash") == F.col("kept_hash"), "left_semi").dropDuplicates(["own_hash"])
     return _unpacked(kept, docs)
 
 
