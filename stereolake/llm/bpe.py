@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, small_batches
 
-#: White space, and the public pre-tokenisation pattern of this vocabulary with letters, digits and white space to fill in.
+#: The public pre-tokenisation pattern of this vocabulary, and the characters that it counts as white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = r" ?[{L}]+|'(?:[stmd]|re|ve|ll)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Latin-1 letters and digits, for texts of such characters only: the plain re module is faster.
 LATIN_LETTERS, LATIN_DIGITS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 CACHED_WORDS = 150_000
@@ -31,8 +31,14 @@ KNOWN_PAIRS = 200_000
 PIECE = 1 << 20
 
 
+def word_pattern(letters: str, digits: str) -> str:
+    """PATTERN with its classes of letters, digits and white space spelled out."""
+    spelled = {r"[^\s\p{L}\p{N}]": f"[^{WHITE}{letters}{digits}]", r"\p{L}": f"[{letters}]", r"\p{N}": f"[{digits}]", r"\S": f"[^{WHITE}]", r"\s": f"[{WHITE}]"}
+    return re.sub("|".join(map(re.escape, spelled)), lambda m: spelled[m.group()], PATTERN)
+
+
 def byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in vocabulary files of this kind."""
+    """The printable character that stands for each byte in vocabulary files of this kind (fixed values of the format)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {b: chr(b) for b in plain}
     rest = [b for b in range(256) if b not in chars]
@@ -59,9 +65,8 @@ class TrieCodec:
         self.halves = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in pairs}
         self.valid: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
-        fill = lambda letters, digits: PATTERN.replace("{L}", letters).replace("{N}", digits).replace("{S}", WHITE)
-        self.find_latin = re.compile(fill(LATIN_LETTERS, LATIN_DIGITS)).findall
-        self.find_any = regex.compile(fill(r"\p{L}", r"\p{N}")).findall
+        self.find_latin = re.compile(word_pattern(LATIN_LETTERS, LATIN_DIGITS)).findall
+        self.find_any = regex.compile(word_pattern(r"\p{L}", r"\p{N}")).findall
         self.beyond_latin = re.compile(r"[^\x00-\xff]").search
         self.four = {v: v.to_bytes(4, "little") for v in self.bytes}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
