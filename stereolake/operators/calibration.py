@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -77,9 +77,15 @@ def focal_scan(estimates: DataFrame, width: int, height: int, steps: int = 300)
 
 
 def mean_essential_residual(estimates: DataFrame, focal: DataFrame, width: int, height: int) -> DataFrame:
-    """(session, f, residual): the plain mean of the estimates' residuals at each session's focal length (session, f)."""
+    """(session, f, residual): the plain mean of the estimates' residuals at each session's focal length (session, f).
+
+    Estimates whose essential matrix vanishes don't count; sessions without any other have 1.
+    """
     near = estimates.drop("f").join(focal.select("session", "f"), "session").withColumns({"f_low": F.col("f"), "f_high": F.col("f")})
-    return _cost(near, width, height, [0.0], centred=True, weigh=False).withColumnRenamed("cost", "residual")
+    k = g.intrinsics(F.col("f"), width / 2, height / 2)
+    near = near.where(g.norm(g.matmul(g.transpose(k), g.matmul(g.columns("f"), k))) > 1e-10)
+    mean = _cost(near, width, height, [0.0], centred=True, weigh=False).select("session", F.col("cost").alias("residual"))
+    return focal.select("session", "f").join(mean, "session", "left").withColumn("residual", F.coalesce("residual", F.lit(1.0)))
 
 
 def best_focal(scan: DataFrame) -> DataFrame:
@@ -145,32 +151,50 @@ def metric_scale(spans: DataFrame, arena: tuple[float, float, float]) -> DataFra
     return long.groupBy("session").agg(F.coalesce(F.median("ratio"), F.lit(1.0)).alias("scale")).withColumn("focal_factor", F.sqrt("scale"))
 
 
-def motions(estimates: DataFrame, f: float, cx: float, cy: float) -> DataFrame:
-    """(session, event_id, options): the four candidate motions of each estimate, by batched decompositions of essential matrices."""
+def motions(estimates: DataFrame, f: float | str, cx: float, cy: float) -> DataFrame:
+    """(session, event_id, options): the four candidate motions of each estimate, by batched decompositions of essential matrices.
+
+    f is a focal length or the column that holds each row's. Rows whose essential matrix vanishes, or isn't finite, have none
+    and are left out.
+    """
     names = [f"f{i}{j}" for i in range(3) for j in range(3)]
 
     def solve(batches):
-        k = np.array(g.intrinsics(f, cx, cy))
         for pdf in batches:
-            if not len(pdf):
+            e = essentials(pdf[names].to_numpy(float).reshape(-1, 3, 3), pdf["focal"].to_numpy(float), cx, cy)
+            sound = np.isfinite(e).all((1, 2)) & (np.sqrt((e * e).sum((1, 2))) >= 1e-10)
+            if not sound.any():
                 continue
-            m = pdf[names].to_numpy(float).reshape(-1, 3, 3)
-            u, _, vt = np.linalg.svd(k.T @ m @ k)
-            u[np.linalg.det(u) < 0] *= -1
-            vt[np.linalg.det(vt) < 0] *= -1
-            w = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
-            turned = [u @ w @ vt, u @ w.T @ vt]
-            options = [(r, s * u[:, :, 2]) for r in turned for s in (1, -1)]
-            yield pd.DataFrame({"session": pdf["session"], "event_id": pdf["event_id"], "options": [[{"r": r[i].ravel().tolist(), "t": t[i].tolist()} for r, t in options] for i in range(len(pdf))]})
-
-    kept = estimates.select("session", "event_id", *names)
+            r, t = options_of(e[sound])
+            rows = [[{"r": m.ravel().tolist(), "t": v.tolist()} for m, v in zip(*own)] for own in zip(r, t)]
+            yield pd.DataFrame({"session": pdf["session"][sound], "event_id": pdf["event_id"][sound], "options": rows})
+
+    kept = estimates.select("session", "event_id", *names, (F.col(f) if isinstance(f, str) else F.lit(float(f))).alias("focal"))
     return kept.mapInPandas(solve, "session bigint, event_id bigint, options array<struct<r: array<double>, t: array<double>>>")
 
 
-def choose_motion(options: DataFrame, matches: DataFrame, f: float, cx: float, cy: float) -> DataFrame:
+def essentials(m: np.ndarray, f: np.ndarray, cx: float, cy: float) -> np.ndarray:
+    """K'FK for matrices (n or 1, 3, 3) and focal lengths (n)."""
+    k = np.zeros((len(f), 3, 3))
+    k[:, 0, 0] = k[:, 1, 1] = f
+    k[:, 0, 2], k[:, 1, 2], k[:, 2, 2] = cx, cy, 1
+    return k.transpose(0, 2, 1) @ m @ k
+
+
+def options_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations (n, 4, 3, 3) and directions (n, 4, 3) that essential matrices (n, 3, 3) leave open."""
+    u, _, vt = np.linalg.svd(e)
+    u[np.linalg.det(u) < 0] *= -1
+    vt[np.linalg.det(vt) < 0] *= -1
+    w = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    one, two, t = u @ w @ vt, u @ w.T @ vt, u[:, :, 2]
+    return np.stack([one, one, two, two], 1), np.stack([t, -t, t, -t], 1)
+
+
+def choose_motion(options: DataFrame, matches: DataFrame, f: float | Column, cx: float, cy: float) -> DataFrame:
     """(session, event_id, r, t, n_front): of the candidate motions the one with most matches in front of both cameras.
 
-    matches: (session, event_id, x0, y0, x1, y1). Depths are the closed-form ones of two rays.
+    matches: (session, event_id, x0, y0, x1, y1); f may be a column of theirs. Depths are the closed-form ones of two rays.
     """
     tried = options.select("session", "event_id", F.posexplode("options").alias("pos", "o")).join(matches, ["session", "event_id"])
     ray = lambda n: [(F.col(f"x{n}") - cx) / f, (F.col(f"y{n}") - cy) / f, F.lit(1.0)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import alignment, calibration, masks, matching, trajectory, voxels
+from ..operators import alignment, calibration, masks, matching, refinement, trajectory, voxels
 from ..sources import files, tables
 from ..streaming import streams
 from .fixtures import view, with_views
@@ -449,6 +449,53 @@ def essential_motion(spark, sf):
     return best.select("session", "event_id", *show("r", 9), *show("t", 3))
 
 
+ARENA = (6.0, 4.0, 3.0)
+_RIG = """w AS (SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY 0.35E0 * least(n_inliers / 300.0E0, 1.0E0) + 0.35E0 * inlier_ratio + 0.30E0 * exp(-mean_sampson / 0.5E0) DESC, event_id) AS place FROM rig_f_est),
+sized AS (SELECT *, count(*) OVER (PARTITION BY session, event_id) AS n FROM rig_points),
+spans AS (SELECT p.session, sqrt(any_value(tx * tx + ty * ty + tz * tz)) AS t, quantile_cont(x, 0.98) - quantile_cont(x, 0.02) AS sx, quantile_cont(y, 0.98) - quantile_cont(y, 0.02) AS sy, quantile_cont(z, 0.98) - quantile_cont(z, 0.02) AS sz
+  FROM sized p JOIN w ON p.session = w.session AND p.event_id = w.event_id WHERE place <= 40 AND n >= 10 GROUP BY p.session),
+rig AS (SELECT session, n_estimates, coalesce(scale, 1) AS scale FROM (SELECT session, count(*) AS n_estimates FROM w GROUP BY session) LEFT JOIN (SELECT session, median(r) AS scale FROM (SELECT session, unnest([6 * t / sx, 4 * t / sy, 3 * t / sz]) AS r FROM spans) GROUP BY session) USING (session))"""
+
+
+def _rig(spark, sf):
+    return matching.with_quality(view(spark, sf, "rig_f_est")), view(spark, sf, "rig_matches")
+
+
+@query("SELECT session, 900.0E0 AS f, round(900 * sqrt(scale), 3) AS f_metric, round(scale, 5) AS scale FROM rig", "rig_f_est", "rig_points", more=_RIG)
+def metric_refine(spark, sf):
+    """The arena's correction of the true focal length: by how much the points' extent, in units of the shift, is off."""
+    estimates, matches = _rig(spark, sf)
+    focal = estimates.select("session", F.lit(900.0).alias("f")).distinct()
+    out = refinement.metric_refine(estimates, matches, focal, ARENA, WIDTH, HEIGHT)
+    return out.select("session", "f", F.round("f_metric", 3).alias("f_metric"), F.round("scale", 5).alias("scale"))
+
+
+@query("SELECT DISTINCT session, 900.0E0 AS f FROM rig_f_est", "rig_f_est")
+def bundle_scan(spark, sf):
+    """Exact matches of a camera of 900 pixels, searched from 800: the focal length to the pixel."""
+    estimates, matches = _rig(spark, sf)
+    focal = estimates.select("session", F.lit(800.0).alias("f")).distinct()
+    return refinement.bundle_scan(estimates, matches, focal, WIDTH, HEIGHT).select("session", F.round("f", 0).alias("f"))
+
+
+@query("SELECT session, n_estimates, 900.0E0 AS f, 900.0E0 AS f_scan, round(scale, 2) AS scale, 0.0E0 AS residual FROM rig", "rig_f_est", "rig_points", more=_RIG)
+def run_focal_estimation(spark, sf):
+    """Scan, arena, reprojection error: the scan finds the true focal length, the last step finds it again."""
+    estimates, matches = _rig(spark, sf)
+    out = refinement.run_focal_estimation(estimates, matches, WIDTH, HEIGHT, ARENA, bundle=True, tolerance=1e-3)
+    return out.select("session", "n_estimates", F.round("f", 0).alias("f"), F.round("f_scan", 0).alias("f_scan"), F.round("scale", 2).alias("scale"), F.round("residual", 2).alias("residual"))
+
+
+@query("""SELECT session, round(ca, 4) AS r00, round(sa * sb, 4) AS r01, round(sa * cb, 4) AS r02, round(cb, 4) AS r11, round(-sb, 4) AS r12, round(-sa, 4) AS r20,
+round(tx / n, 4) AS t0, round(ty / n, 4) AS t1, round(tz / n, 4) AS t2, true AS found FROM (SELECT DISTINCT session, ca, sa, cb, sb, tx, ty, tz, sqrt(tx * tx + ty * ty + tz * tz) AS n FROM rig_poses) q""", "rig_poses")
+def rig_extrinsics(spark, sf):
+    """Each session's rotation and direction out of its best estimate."""
+    estimates, matches = _rig(spark, sf)
+    out = refinement.extrinsics(estimates, matches, estimates.select("session", F.lit(900.0).alias("f")).distinct(), WIDTH, HEIGHT)
+    r = [(F.round(F.col("r")[3 * i + j], 4) + 0.0).alias(f"r{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 0))]
+    return out.select("session", *r, *[(F.round(F.col("t")[k], 4) + 0.0).alias(f"t{k}") for k in range(3)], "found")
+
+
 # ---------------------------------------------------------------- alignment and distortion
 
 

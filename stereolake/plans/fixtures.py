@@ -66,8 +66,9 @@ SELECT t.session, 1 AS camera, frame_idx, name, CASE WHEN rectified THEN (x + bx
        CASE WHEN rectified THEN y / z * fr ELSE (y + ty) / (rc * z - rs * x + tz) * f1 END + cy AS py,
        1 - CAST(event_id % 7 AS DOUBLE) / 10 AS confidence, event_id FROM truth3d t JOIN calib c ON t.session = c.session""")
 
-#: F = K^-T E K^-1 with E = [t]x Ry(a) Rx(b), f = 900, principal point (640, 360), as nine columns.
-VIEWS["f_est"] = (("poses",), """
+def _fundamental(poses: str) -> str:
+    """F = K^-T E K^-1 with E = [t]x Ry(a) Rx(b), f = 900, principal point (640, 360), as nine columns."""
+    return f"""
 SELECT session, event_id, n_inliers, inlier_ratio, mean_sampson,
        e00 / 810000 AS f00, e01 / 810000 AS f01, (e02 - (e00 * 640 + e01 * 360) / 900) / 900 AS f02,
        e10 / 810000 AS f10, e11 / 810000 AS f11, (e12 - (e10 * 640 + e11 * 360) / 900) / 900 AS f12,
@@ -77,7 +78,25 @@ FROM (SELECT session, event_id, CAST(40 + (event_id * 31) % 260 AS INT) AS n_inl
              CAST(10 + (event_id * 43) % 290 AS DOUBLE) / 100 AS mean_sampson,
              -ty * sa AS e00, -tz * cb + ty * ca * sb AS e01, tz * sb + ty * ca * cb AS e02,
              tz * ca + tx * sa AS e10, tz * sa * sb - tx * ca * sb AS e11, tz * sa * cb - tx * ca * cb AS e12,
-             -ty * ca AS e20, -ty * sa * sb + tx * cb AS e21, -ty * sa * cb - tx * sb AS e22 FROM poses) q""")
+             -ty * ca AS e20, -ty * sa * sb + tx * cb AS e21, -ty * sa * cb - tx * sb AS e22 FROM {poses}) q"""
+
+
+VIEWS["f_est"] = (("poses",), _fundamental("poses"))
+
+#: A rig of each session's own that doesn't move, its estimates, and 12 points (of every ninth event 8) seen by both cameras.
+VIEWS["rig_poses"] = ((), """
+SELECT user_id AS session, event_id, cos(a) AS ca, sin(a) AS sa, cos(b) AS cb, sin(b) AS sb,
+       1.0E0 AS tx, CAST(user_id % 5 + 1 AS DOUBLE) / 10 AS ty, CAST(user_id % 3 + 1 AS DOUBLE) / 8 AS tz
+FROM (SELECT user_id, event_id, CAST(user_id % 7 + 2 AS DOUBLE) / 20 AS a, CAST(user_id % 6 + 2 AS DOUBLE) / 25 AS b FROM events) q""")
+VIEWS["rig_f_est"] = (("rig_poses",), _fundamental("rig_poses"))
+VIEWS["rig_points"] = (("rig_poses",), """
+SELECT r.*, CAST((event_id * 37 + k * 211) % 601 - 300 AS DOUBLE) / 100 AS x, CAST((event_id * 53 + k * 97) % 401 - 200 AS DOUBLE) / 100 AS y,
+       CAST((event_id * 29 + k * 157) % 300 + 400 AS DOUBLE) / 100 AS z
+FROM rig_poses r CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE k < 8 OR event_id % 9 <> 0""")
+VIEWS["rig_matches"] = (("rig_points",), """
+SELECT session, event_id, x / z * 900 + 640 AS x0, y / z * 900 + 360 AS y0,
+       (ca * x + sa * (sb * y + cb * z) + tx) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 640 AS x1,
+       (cb * y - sb * z + ty) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 360 AS y1 FROM rig_points""")
 
 BASE_TABLES = ("events", "embeddings")
 
