@@ -169,3 +169,8 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 def voxel_center(i: Column, size, origin) -> Column:
     return (i + 0.5) * c(size) + c(origin)
+
+
+def voxel_index(x: Column, size, origin) -> Column:
+    """The cell that holds a coordinate: the inverse of voxel_center."""
+    return F.floor((x - c(origin)) / c(size)).cast("int")

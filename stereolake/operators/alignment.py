@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.tables import cut
+from .voxels import centers
 
 REC, ARENA = ("rec_x", "rec_y", "rec_z"), ("arena_x", "arena_y", "arena_z")
 #: The corners of a box by name, as signs of its half width and half depth and as multiples of its height.
@@ -49,6 +50,11 @@ def align_points(points: DataFrame, fits: DataFrame) -> DataFrame:
     return points.join(fits.select("session", "r", "t"), "session").withColumns(dict(zip(("ax", "ay", "az"), moved))).drop("r", "t")
 
 
+def align_voxels(voxels: DataFrame, fits: DataFrame, bounds: tuple, size: float) -> DataFrame:
+    """Occupied cells (session, .., i, j, k) as points (ax, ay, az) in the arena, moved by their session's fit."""
+    return align_points(centers(voxels, bounds, size), fits).drop("x", "y", "z")
+
+
 def line_rmse(x: str, y: str) -> Column:
     """Root mean square distance of a group's points to their best line, 0 for fewer than two: smaller axis of the moments."""
     sx, sy, sxy = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)

@@ -199,9 +199,14 @@ def normalize_depth(pixels: DataFrame, low: float = 0.001, high: float = 0.999,
 
 
 def remap(pixels: DataFrame, maps: DataFrame) -> DataFrame:
-    """(session, camera, frame_idx, ox, oy, v): output pixels (ox, oy) read bilinearly at (sx, sy); 0 beyond the image."""
+    """(session, camera, frame_idx, ox, oy, v): output pixels (ox, oy) read bilinearly at (sx, sy); 0 beyond the image.
+
+    Every frame has every output pixel of its camera's map; those that read nothing are 0.
+    """
     x0, y0 = F.floor("sx"), F.floor("sy")
     wx, wy = F.col("sx") - x0, F.col("sy") - y0
     parts = F.array(*[F.struct((x0 + a).cast("int").alias("x"), (y0 + b).cast("int").alias("y"), ((wx if a else 1 - wx) * (wy if b else 1 - wy)).alias("w")) for a in (0, 1) for b in (0, 1)])
     wanted = maps.select("camera", "ox", "oy", F.explode(parts).alias("s")).select("camera", "ox", "oy", "s.*").where("w > 0")
-    return pixels.join(wanted, ["camera", "x", "y"]).groupBy(*FRAME, "ox", "oy").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    read = pixels.join(wanted, ["camera", "x", "y"]).select(*FRAME, "ox", "oy", (F.col("w") * F.col("v")).alias("v"))
+    black = pixels.select(*FRAME).distinct().join(maps.select("camera", "ox", "oy"), "camera").select(*FRAME, "ox", "oy", F.lit(0.0).alias("v"))
+    return read.unionByName(black).groupBy(*FRAME, "ox", "oy").agg(F.sum("v").alias("v"))

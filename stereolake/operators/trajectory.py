@@ -37,27 +37,36 @@ def unmatched(kp2d: DataFrame) -> DataFrame:
     return kp2d.join(other, ["session", "frame_idx", "name", "camera"], "left_anti")
 
 
-def triangulate(matches: DataFrame, p0: g.Camera = "p0", p1: g.Camera = "p1") -> DataFrame:
-    """Adds x, y, z: the null vector of the four linear equations of a match, by batched decompositions.
+def solver(shared0: g.Matrix | None = None, shared1: g.Matrix | None = None):
+    """Function of (x0, y0, x1, y1, p0, p1) that gives the null vector of a match's four linear equations as x, y, z.
 
-    A camera is a 3x4 matrix for all rows or the name of a column with twelve numbers, so that sessions of many rigs go
-    through one job. Matches with a coordinate that is not finite are dropped before, as no decomposition of them exists.
+    p0 and p1 are each row's twelve numbers; a camera that all rows share is given here instead, and its column ignored.
     """
 
-    def matrices(p: np.ndarray | list, n: int) -> np.ndarray:
+    def matrices(own: pd.Series, shared: g.Matrix | None, n: int) -> np.ndarray:
+        p = own.to_list() if shared is None else [np.array(shared, dtype=float)]
         return np.broadcast_to(np.stack(p).reshape(-1, 3, 4) if n else np.zeros((0, 3, 4)), (n, 3, 4))
 
     @F.pandas_udf("x double, y double, z double")
     def solve(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, own0: pd.Series, own1: pd.Series) -> pd.DataFrame:
         n = len(x0)
-        a = matrices(own0.to_list() if isinstance(p0, str) else [np.array(p0, dtype=float)], n)
-        b = matrices(own1.to_list() if isinstance(p1, str) else [np.array(p1, dtype=float)], n)
+        a, b = matrices(own0, shared0, n), matrices(own1, shared1, n)
         rows = np.stack([x0.to_numpy()[:, None] * a[:, 2] - a[:, 0], y0.to_numpy()[:, None] * a[:, 2] - a[:, 1], x1.to_numpy()[:, None] * b[:, 2] - b[:, 0], y1.to_numpy()[:, None] * b[:, 2] - b[:, 1]], axis=1)
         h = np.linalg.svd(rows)[2][:, -1, :] if n else np.zeros((0, 4))
         return pd.DataFrame(h[:, :3] / h[:, 3:], columns=["x", "y", "z"])
 
+    return solve
+
+
+def triangulate(matches: DataFrame, p0: g.Camera = "p0", p1: g.Camera = "p1") -> DataFrame:
+    """Adds x, y, z: the null vector of the four linear equations of a match, by batched decompositions.
+
+    A camera is a 3x4 matrix for all rows or the name of a column with twelve numbers, so that sessions of many rigs go
+    through one job. Matches with a coordinate that is not finite are dropped before, as no decomposition of them exists.
+    """
     finite = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in ("x0", "y0", "x1", "y1")]
     ok = finite[0] & finite[1] & finite[2] & finite[3]
+    solve = solver(*[None if isinstance(p, str) else p for p in (p0, p1)])
     own = [F.col(p) if isinstance(p, str) else F.array().cast("array<double>") for p in (p0, p1)]
     # declared non-deterministic so that filters on its result don't evaluate it a second time
     solved = matches.where(ok).withColumn("p", solve.asNondeterministic()("x0", "y0", "x1", "y1", *own))
@@ -146,7 +155,10 @@ def detection_rate(kp3d: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def visible_joints(kp3d: DataFrame, least: float = 0.1) -> DataFrame:
-    return kp3d.where(F.col("confidence") > least).groupBy("session", "frame_idx").agg(F.countDistinct("name").alias("n_visible"))
+    """(session, frame_idx, n_visible, share): landmarks seen in a frame, and their share of all that the session knows."""
+    known = kp3d.groupBy("session").agg(F.countDistinct("name").alias("n_names"))
+    seen = kp3d.where(F.col("confidence") > least).groupBy("session", "frame_idx").agg(F.countDistinct("name").alias("n_visible"))
+    return seen.join(known, "session").select("session", "frame_idx", "n_visible", (F.col("n_visible") / F.col("n_names")).alias("share"))
 
 
 def edge_index(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import sqlnames
 from ..operators import alignment, calibration, masks, matching, refinement, trajectory, voxels
 from ..sources import files, tables
 from ..streaming import streams
@@ -194,9 +195,10 @@ def detection_rate(spark, sf):
     return rounded(trajectory.detection_rate(view(spark, sf, "kp3d"), view(spark, sf, "frames")))
 
 
-@query("SELECT session, frame_idx, count(DISTINCT name) AS n_visible FROM kp3d WHERE confidence > 0.5E0 GROUP BY session, frame_idx", "kp3d")
+@query("""SELECT session, frame_idx, n_visible, round(CAST(n_visible AS DOUBLE) / n_names, 6) AS share FROM (SELECT session, frame_idx, count(DISTINCT name) AS n_visible FROM kp3d WHERE confidence > 0.5E0 GROUP BY session, frame_idx) v
+JOIN (SELECT session, count(DISTINCT name) AS n_names FROM kp3d GROUP BY session) n USING (session)""", "kp3d")
 def visible_joints(spark, sf):
-    return trajectory.visible_joints(view(spark, sf, "kp3d"), 0.5)
+    return rounded(trajectory.visible_joints(view(spark, sf, "kp3d"), 0.5))
 
 
 _EDGE_ROWS = "edges(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ")"
@@ -713,20 +715,90 @@ def normalize_depth(spark, sf):
     return masks.normalize_depth(view(spark, sf, "pixel_series"), 0.1, 0.9, top=255.0).select("session", "frame_idx", "x", "y", "v8")
 
 
-_MAPS = "maps(camera, ox, oy, sx, sy) AS (VALUES (0, 0, 0, 0.5E0, 0.25E0), (0, 1, 0, 1.5E0, 0.5E0), (0, 2, 1, 2.0E0, 1.75E0))"
+@query()
+def silhouettes(spark, sf):
+    """Foreground pixels of every stream, cleaned with a small kernel; tests follow them by hand."""
+    return masks.silhouettes(view(spark, sf, "pixel_blocks"), 20, 15, ksize=3, min_area=9, grow=1)
+
+
+_MAPS = "maps(camera, ox, oy, sx, sy) AS (VALUES (0, 0, 0, 0.5E0, 0.25E0), (0, 1, 0, 1.5E0, 0.5E0), (0, 2, 1, 2.0E0, 1.75E0), (0, 3, 0, -5.5E0, 9.5E0))"
 
 
-@query("""SELECT session, p.camera, frame_idx, ox, oy, round(sum(v * w), 6) AS v FROM pixel_series p JOIN (SELECT camera, ox, oy, CAST(floor(sx) AS INT) + a AS x, CAST(floor(sy) AS INT) + b AS y,
+@query("""SELECT session, camera, frame_idx, ox, oy, round(coalesce(sum(v * w), 0), 6) AS v FROM (SELECT DISTINCT session, camera, frame_idx FROM pixel_series) fr JOIN maps USING (camera) LEFT JOIN (SELECT p.*, ox, oy, w FROM pixel_series p JOIN (SELECT camera, ox, oy, CAST(floor(sx) AS INT) + a AS x, CAST(floor(sy) AS INT) + b AS y,
 CASE WHEN a = 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END * CASE WHEN b = 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END AS w FROM maps CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)) m
-ON p.camera = m.camera AND p.x = m.x AND p.y = m.y WHERE w > 0 GROUP BY session, p.camera, frame_idx, ox, oy""", "pixel_series", more=_MAPS)
+ON p.camera = m.camera AND p.x = m.x AND p.y = m.y WHERE w > 0) r USING (session, camera, frame_idx, ox, oy) GROUP BY session, camera, frame_idx, ox, oy""", "pixel_series", more=_MAPS)
 def remap_pixels(spark, sf):
-    maps = spark.createDataFrame([(0, 0, 0, 0.5, 0.25), (0, 1, 0, 1.5, 0.5), (0, 2, 1, 2.0, 1.75)], "camera int, ox int, oy int, sx double, sy double")
+    maps = spark.createDataFrame([(0, 0, 0, 0.5, 0.25), (0, 1, 0, 1.5, 0.5), (0, 2, 1, 2.0, 1.75), (0, 3, 0, -5.5, 9.5)], "camera int, ox int, oy int, sx double, sy double")
     return rounded(masks.remap(view(spark, sf, "pixel_series"), maps))
 
 
+# ---------------------------------------------------------------- names for SQL
+
+
+@query("""SELECT m.session, round(avg(power(y1 - y0, 2) / 2), 4) AS mean_sampson, round(max(sqrt(power((x - 100) / z * 900 + 640 - x1, 2) + power(y / z * 900 + 360 - y1, 2))), 4) AS worst, round(max(CASE WHEN m.event_id % 11 <> 0 THEN z END), 4) AS farthest
+FROM m JOIN truth3d t ON m.event_id = t.event_id GROUP BY m.session""", "kp2d", more=_MATCHES)
+def sql_geometry(spark, sf):
+    """Epipolar and reprojection errors and depths of all matches, written as SQL."""
+    sqlnames.register(spark)
+    matched = trajectory.match_views(view(spark, sf, "kp2d")).select("session", "frame_idx", "name", "x0", "y0", "x1", "y1")
+    flat = lambda m: F.array(*[F.lit(float(v)) for row in m for v in row])
+    rows = matched.join(view(spark, sf, "truth3d"), ["session", "frame_idx", "name"]).withColumns({"f": flat(RIG_F), "p0": flat(P0), "p1": flat(P1)})
+    return spark.sql("""SELECT session, round(avg(sampson(f, x0, y0, x1, y1)), 4) AS mean_sampson, round(max(reproj_error(p1, x, y, z, x1, y1)), 4) AS worst, round(max(CASE WHEN event_id % 11 <> 0 THEN seen.z END), 4) AS farthest
+    FROM (SELECT *, triangulate(x0, y0, x1, y1, p0, p1) AS seen FROM {rows}) q GROUP BY session""", rows=rows)
+
+
+@query("""SELECT session, CAST(floor((x + 200) / 20) AS INT) AS i, CAST(floor((y + 120) / 20) AS INT) AS j, CAST(floor((z - 400) / 20) AS INT) AS k, count(*) AS n, floor((any_value(x) + 200) / 20) * 20 - 190 AS cx FROM truth3d
+WHERE x >= -200 AND x < 200 AND y >= -120 AND y < 120 AND z >= 400 AND z < 700 GROUP BY session, i, j, k""", "truth3d")
+def points_by_cell(spark, sf):
+    """How many points each cell of the box holds, over the grid as a table function."""
+    sqlnames.register(spark)
+    return spark.sql("""SELECT session, g.i, g.j, g.k, count(*) AS n, any_value(g.x) AS cx FROM (SELECT session, voxel_index(x, 20, -200) AS i, voxel_index(y, 20, -120) AS j, voxel_index(z, 20, 400) AS k FROM {truth}) p
+    JOIN voxel_grid(-200, 200, -120, 120, 400, 700, 20) g ON p.i = g.i AND p.j = g.j AND p.k = g.k GROUP BY session, g.i, g.j, g.k""", truth=view(spark, sf, "truth3d"))
+
+
+@query("""SELECT session, frame_idx, i, j, k, round(-((j + 0.5E0) * 20 - 120) + 10, 3) AS ax, round((i + 0.5E0) * 20 - 200 - 20, 3) AS ay, round((k + 0.5E0) * 20 + 400 + 30, 3) AS az FROM carved
+WHERE session IN (SELECT session FROM align_points GROUP BY session HAVING count(*) >= 3)""", "mask", "align_points", more=_CARVED)
+def align_voxels(spark, sf):
+    moved = alignment.align_voxels(_carved(spark, sf), alignment.rigid_fit(view(spark, sf, "align_points")), BOX, SIZE)
+    return rounded(moved.select("session", "frame_idx", "i", "j", "k", "ax", "ay", "az"), 3)
+
+
 # ---------------------------------------------------------------- files
 
 
+@query("""SELECT session, 30.0E0 AS fps, names, coalesce(pairs, '') AS edges, x_min, x_max, y_min, y_max, z_min, z_max FROM (
+SELECT session, string_agg(DISTINCT name, ',' ORDER BY name) AS names, min(x) - 50 AS x_min, max(x) + 50 AS x_max, min(y) - 50 AS y_min, max(y) + 50 AS y_max, min(z) - 50 AS z_min, max(z) + 50 AS z_max FROM kp3d GROUP BY session) h
+LEFT JOIN (SELECT p.session, string_agg(p.idx || '-' || q.idx, ',' ORDER BY p.idx, q.idx) AS pairs FROM placed p JOIN edges ON p.name = edges.a JOIN placed q ON q.session = p.session AND q.name = edges.b GROUP BY p.session) e USING (session)""", "kp3d",
+       more=_EDGE_ROWS + ", placed AS (SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY name) - 1 AS idx FROM (SELECT DISTINCT session, name FROM kp3d) d)")
+def viewer_header(spark, sf):
+    out = files.viewer_header(view(spark, sf, "kp3d"), _edges(spark))
+    pairs = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e[0].cast("string"), e[1].cast("string"))), ",")
+    return out.withColumns({"names": F.array_join("names", ","), "edges": pairs})
+
+
+@query("""SELECT session, frame_idx, count(*) AS n_cells, round(min((i + 0.5E0) * 20 - 200), 1) AS x_min, round(max((k + 0.5E0) * 20 + 400), 1) AS z_max FROM carved GROUP BY session, frame_idx""", "mask", more=_CARVED)
+def voxel_archive(spark, sf):
+    """Voxel clouds written as part of an archive, read back."""
+    path = tables.fresh_path(spark, "clouds")
+    files.write_clouds(voxels.centers(_carved(spark, sf), BOX, SIZE), path)
+    back = spark.read.parquet(path).groupBy("session", "frame_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.min("x").cast("double"), 1).alias("x_min"), F.round(F.max("z").cast("double"), 1).alias("z_max"))
+    return back.withColumn("session", F.col("session").cast("bigint"))
+
+
+@query("SELECT n.session, 30.0E0 AS fps, n_frames, coalesce(names, '') AS names FROM frames n LEFT JOIN (SELECT session, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM kp3d GROUP BY session) k USING (session)", "kp3d", "frames")
+def archive_metadata(spark, sf):
+    return files.archive_metadata(view(spark, sf, "kp3d"), view(spark, sf, "frames"))
+
+
+@query()
+def mesh_text(spark, sf):
+    """Mesh files of all frames as lines, corners numbered from 0."""
+    hull = tables.cut(_carved(spark, sf), "hull")
+    verts = voxels.mesh_vertices(hull, VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE).select(*VK, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
+    vertices, faces = files.numbered_mesh(verts, voxels.mesh_faces(hull, VK, (NX, NY, NZ)).select(*VK, "a", "b", "c"), VK)
+    return files.mesh_text(vertices, faces, VK)
+
+
 @query("SELECT session, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE camera = 0 AND confidence >= 0.35E0", "kp2d")
 def read_long_tracks(spark, sf):
     """Keypoints written as long tracker files, read back."""

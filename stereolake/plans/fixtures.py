@@ -57,6 +57,11 @@ SELECT session, CAST(800 + session % 200 AS DOUBLE) AS f0, CAST(810 + session %
        CAST(805 + session % 150 AS DOUBLE) AS fr, CAST(-110 - session % 30 AS DOUBLE) AS bx FROM (SELECT DISTINCT user_id AS session FROM events) q"""),
 }
 
+#: The series with each pixel as a block of five by five.
+VIEWS["pixel_blocks"] = (("pixel_series",), """
+SELECT session, camera, frame_idx, CAST(x * 5 + a.d AS INT) AS x, CAST(y * 5 + b.d AS INT) AS y, v FROM pixel_series
+CROSS JOIN (VALUES (0), (1), (2), (3), (4)) a(d) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) b(d)""")
+
 #: Keypoints of sessions that each have a rig of their own: camera 1 turned by (rc, rs) and shifted, or a rectified pair.
 VIEWS["kp2d_rigs"] = (("truth3d", "calib"), """
 SELECT t.session, 0 AS camera, frame_idx, name, x / z * CASE WHEN rectified THEN fr ELSE f0 END + cx AS px, y / z * CASE WHEN rectified THEN fr ELSE f0 END + cy AS py,

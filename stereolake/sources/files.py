@@ -6,9 +6,11 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import trajectory
+
 HEADERS = ("scorer", "individuals", "bodyparts", "coords")
 
 
@@ -56,8 +58,6 @@ def read_corners(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_edges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, edge_id, camera, label, pos, x, y): polylines between separator rows; the last one needs none after it."""
-    from pyspark.sql import Window
-
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "row")).where("line > 0 AND trim(row) <> ''")
     by_line = Window.partitionBy("file").orderBy("line")
     marked = text.withColumn("separator", F.trim("row").startswith("---").cast("int")).withColumn("edge_id", F.sum("separator").over(by_line)).where("separator = 0")
@@ -121,8 +121,25 @@ def viewer_frames(kp3d: DataFrame) -> DataFrame:
     return kp3d.groupBy("session", "frame_idx").agg(F.map_from_entries(entries).alias("kp"))
 
 
-def viewer_json(kp3d: DataFrame) -> DataFrame:
-    return viewer_frames(kp3d).select("session", "frame_idx", F.to_json(F.struct("kp")).alias("value"))
+def viewer_json(kp3d: DataFrame, voxels: DataFrame | None = None) -> DataFrame:
+    """(session, frame_idx, value): a frame's landmarks, and with voxels (session, frame_idx, x, y, z) its cells to one decimal, as JSON."""
+    frames = viewer_frames(kp3d)
+    if voxels is None:
+        return frames.select("session", "frame_idx", F.to_json(F.struct("kp")).alias("value"))
+    cell = F.array(*[F.round(v, 1) for v in "xyz"])
+    cells = voxels.groupBy("session", "frame_idx").agg(F.array_sort(F.collect_list(cell)).alias("voxels"))
+    both = frames.join(cells, ["session", "frame_idx"], "full")
+    empty = [F.coalesce("kp", F.create_map().cast("map<string,array<double>>")).alias("kp"), F.coalesce("voxels", F.array().cast("array<array<double>>")).alias("voxels")]
+    return both.select("session", "frame_idx", F.to_json(F.struct(*empty)).alias("value"))
+
+
+def viewer_header(kp3d: DataFrame, edges: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(session, fps, names, edges, x_min .. z_max): sorted names, edges (a, b) as pairs of their positions, bounds of the points."""
+    indexed = trajectory.names_indexed(kp3d)
+    names = indexed.groupBy("session").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    pairs = trajectory.edge_index(edges, indexed).groupBy("session").agg(F.array_sort(F.collect_list(F.array("ia", "ib"))).alias("edges"))
+    out = names.join(pairs, "session", "left").join(trajectory.world_bounds(kp3d), "session")
+    return out.withColumns({"fps": F.lit(float(fps)), "edges": F.coalesce("edges", F.array().cast("array<array<int>>"))})
 
 
 def point_cloud_lines(points: DataFrame, key: list[str], color: tuple[int, int, int] | None = None) -> DataFrame:
@@ -143,6 +160,28 @@ def mesh_lines(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFra
     return v.unionByName(f)
 
 
+def numbered_mesh(vertices: DataFrame, faces: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Vertices (key, v, x, y, z) and faces (key, a, b, c) of named corners with whole numbers from 0 within each mesh, as mesh_lines wants them.
+
+    Faces with a corner that is no vertex, at the edge of the grid, go.
+    """
+    window = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    ids = vertices.withColumn("vid", window("v"))
+    for corner in "abc":
+        faces = faces.join(ids.select(*key, F.col("v").alias(corner), F.col("vid").alias(f"_{corner}")), [*key, corner])
+    numbered = faces.select(*key, *[F.col(f"_{corner}").alias(corner) for corner in "abc"])
+    return ids, numbered.withColumn("fid", window("a", "b", "c"))
+
+
+def mesh_text(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFrame:
+    """mesh_lines with each mesh's header before them, as part 0."""
+    sizes = vertices.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(faces.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key, "left")
+    count = lambda word, n: F.concat(F.lit(f"element {word} "), F.coalesce(n, F.lit(0)).cast("string"))
+    head = [F.lit("ply"), F.lit("format ascii 1.0"), count("vertex", F.col("n")), *[F.lit(f"property float {v}") for v in "xyz"], count("face", F.col("m")), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
+    heads = sizes.select(*key, F.lit(0).alias("part"), F.posexplode(F.array(*head)).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint"))
+    return heads.unionByName(mesh_lines(vertices, faces, key))
+
+
 def write_lines(lines: DataFrame, key: list[str], order: list[str], path: str) -> None:
     """A folder of text for each key, lines in order; the rows of a key are one file's."""
     lines.repartition(*key).sortWithinPartitions(*key, *order).select(*key, "value").write.partitionBy(*key).text(path)
@@ -155,6 +194,17 @@ def write_archive(dense: DataFrame, path: str) -> None:
     rows.repartition("session").sortWithinPartitions("session", "name", "frame_idx").write.partitionBy("session").parquet(path)
 
 
+def write_clouds(voxels: DataFrame, path: str) -> None:
+    """Voxel clouds (session, frame_idx, x, y, z) of an archive in single precision, a folder for each session, frames in order."""
+    rows = voxels.select("session", "frame_idx", *[F.col(v).cast("float").alias(v) for v in "xyz"])
+    rows.repartition("session", "frame_idx").sortWithinPartitions("session", "frame_idx").write.partitionBy("session").parquet(path)
+
+
+def archive_metadata(kp3d: DataFrame, frames: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(session, fps, n_frames, names): what an archive says of itself; names are sorted."""
+    return frames.join(trajectory.vocabulary(kp3d), "session", "left").select("session", F.lit(float(fps)).alias("fps"), "n_frames", F.coalesce("names", F.lit("")).alias("names"))
+
+
 def corner_csv(points: DataFrame) -> DataFrame:
     """Corner correspondences as text, four decimals for places and three for pixels, NaN for missing pixels."""
     pixel = lambda c: F.when(F.col(c).isNull(), "NaN").otherwise(fixed(c, 3)).alias(c)

@@ -20,9 +20,11 @@ from ..functions import geometry as g
 from ..operators import trajectory
 
 
-def with_event_time(rows: DataFrame, fps: float = 30.0, t0: str = "2024-01-01 00:00:00") -> DataFrame:
-    """Adds event_time: a fixed start plus frame / fps."""
-    micros = F.unix_micros(F.to_timestamp(F.lit(t0))) + (F.col("frame_idx") / fps * 1_000_000).cast("bigint")
+def with_event_time(rows: DataFrame, fps: float | str = 30.0, t0: str = "2024-01-01 00:00:00", fallback: float = 30.0) -> DataFrame:
+    """Adds event_time: a fixed start plus frame / fps. fps may be a column; where it is null, not a number or not above 0, the fallback holds."""
+    own = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
+    rate = F.when((own > 0) & ~F.isnan(own), own).otherwise(F.lit(float(fallback)))
+    micros = F.unix_micros(F.to_timestamp(F.lit(t0))) + (F.col("frame_idx") / rate * 1_000_000).cast("bigint")
     return rows.withColumn("event_time", F.timestamp_micros(micros))
 
 

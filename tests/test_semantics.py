@@ -1,14 +1,17 @@
 """Edge cases that the SQL comparison doesn't reach, on small inputs with known answers."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stereolake.functions import geometry as g
-from stereolake.operators import alignment, calibration, masks, matching, trajectory, voxels
+from stereolake.operators import alignment, calibration, masks, matching, refinement, trajectory, voxels
 from stereolake.plans import catalog
 from stereolake.plans.fixtures import view
-from stereolake.sources import files
+from stereolake.sources import files, landmarks
+from stereolake.streaming import streams
 
 KP3D = "session long, frame_idx long, name string, x double, y double, z double, confidence double, reproj_err double"
 P0 = [[900.0, 0.0, 640.0, 0.0], [0.0, 900.0, 360.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
@@ -292,3 +295,73 @@ def test_gates_and_advice(spark):
     rows = [(1, 29, 0.05, 900.0, None), (2, 30, 0.06, 900.0, 1036.0), (3, 30, 0.05, 900.0, 1034.0)]
     said = {r.session: r.advice for r in calibration.advice(spark.createDataFrame(rows, "session long, n_good long, residual double, f_scan double, f_metric double")).collect()}
     assert said[1].startswith("more footage") and said[2] == "check radial distortion; check arena bounds and coverage" and said[3] == "solid"
+
+
+def test_mesh_text_counts_its_own_lines(spark):
+    vertices = spark.createDataFrame([(1, c, float(k), 0.0, 0.0) for k, c in enumerate(("p", "q", "r", "s"))], "session long, v string, x double, y double, z double")
+    faces = spark.createDataFrame([(1, "p", "q", "r"), (1, "s", "r", "q"), (1, "p", "q", "beyond")], "session long, a string, b string, c string")
+    lines = [r.value for r in files.mesh_text(*files.numbered_mesh(vertices, faces, ["session"]), ["session"]).orderBy("part", "seq").collect()]
+    assert lines[:3] == ["ply", "format ascii 1.0", "element vertex 4"] and "element face 2" in lines
+    assert lines[lines.index("end_header") + 1 :] == ["0.0000 0.0000 0.0000", "1.0000 0.0000 0.0000", "2.0000 0.0000 0.0000", "3.0000 0.0000 0.0000", "3 0 1 2", "3 3 2 1"]
+
+
+def test_viewer_json_with_voxels_of_other_frames(spark):
+    cells = spark.createDataFrame([(1, 0, 1.26, 2.0, 3.0), (1, 9, 5.0, 5.0, 5.0)], "session long, frame_idx long, x double, y double, z double")
+    got = {r.frame_idx: json.loads(r.value) for r in files.viewer_json(track(spark, [0, 1]), cells).collect()}
+    assert got[0]["voxels"] == [[1.3, 2.0, 3.0]] and "nose" in got[0]["kp"] and got[1]["voxels"] == [] and got[9]["kp"] == {}
+
+
+def test_missing_frame_rate_falls_back(spark):
+    rows = spark.createDataFrame([(30, 0.0), (30, None), (30, float("nan")), (30, 60.0)], "frame_idx long, fps double")
+    got = [r.s for r in streams.with_event_time(rows, "fps").selectExpr("date_format(event_time, 's.SSS') AS s").collect()]
+    assert got == ["1.000", "1.000", "1.000", "0.500"]
+
+
+def test_remap_beyond_the_image_is_black(spark):
+    pixels = spark.createDataFrame([(1, 0, 0, 0, 0, 8.0)], "session long, camera int, frame_idx long, x int, y int, v double")
+    maps = spark.createDataFrame([(0, 0, 0, 0.0, 0.0), (0, 1, 0, 50.0, 0.0)], "camera int, ox int, oy int, sx double, sy double")
+    assert {r.ox: r.v for r in masks.remap(pixels, maps).collect()} == {0: 8.0, 1: 0.0}
+
+
+def test_body_landmarks_and_edges_agree(spark):
+    names = landmarks.landmarks(spark)
+    pairs = landmarks.edges(spark)
+    assert names.count() == 33 and pairs.count() == 20
+    assert pairs.join(names.withColumnRenamed("name", "a"), "a").join(names.select(F.col("name").alias("b")), "b").count() == 20
+    assert landmarks.edges(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("x", [-0.1, 0.0, 19.9, 20.0])
+def test_voxel_index_inverts_the_centre(spark, x):
+    i = spark.range(1).select(g.voxel_index(F.lit(x), 20.0, -40.0).alias("i")).head().i
+    centre = (i + 0.5) * 20 - 40
+    assert abs(centre - x) <= 10 and i == int((x + 40) // 20)
+
+
+NINE = ", ".join(f"f{i}{j} double" for i in range(3) for j in range(3))
+
+
+def test_refinement_without_matches_or_matrices(spark):
+    estimates = spark.createDataFrame([(1, 1, *[0.0] * 9, 0.5), (2, 1, *[float(v) for v in range(9)], 0.5)], f"session long, event_id long, {NINE}, quality double")
+    focal = spark.createDataFrame([(1, 700.0), (2, 800.0)], "session long, f double")
+    none = spark.createDataFrame([], "session long, event_id long, x0 double, y0 double, x1 double, y1 double")
+    pose = {r.session: r for r in refinement.extrinsics(estimates, none, focal, 1280, 720).collect()}
+    assert all(list(p.r) == [1, 0, 0, 0, 1, 0, 0, 0, 1] and list(p.t) == [1, 0, 0] and not p.found for p in pose.values()) and len(pose) == 2
+    assert {(r.session, r.f_metric, r.scale) for r in refinement.metric_refine(estimates, none, focal, (1, 1, 1), 1280, 720).collect()} == {(1, 700.0, 1.0), (2, 800.0, 1.0)}
+    assert {(r.session, r.f, r.cost) for r in refinement.bundle_scan(estimates, none, focal, 1280, 720).collect()} == {(1, 700.0, 1e6), (2, 800.0, 1e6)}
+    assert {r.session: r.residual for r in calibration.mean_essential_residual(estimates, focal, 1280, 720).collect()}[1] == 1.0
+
+
+def test_focal_estimation_without_an_arena(spark):
+    estimates = matching.with_quality(view(spark, "/root/testdata/sf0.001", "rig_f_est")).where("session < 3")
+    got = refinement.run_focal_estimation(estimates, None, 1280, 720).collect()
+    assert got and all(r.f == r.f_scan and r.f_metric is None and r.scale is None and abs(r.f - 900) < 27 and 0 <= r.residual < 0.05 for r in got)
+
+
+def test_silhouettes_are_cleaned_foreground(spark):
+    """A square of 5 x 5 that lights up with a hole in it, beside a lone pixel: the square comes out filled and grown by one."""
+    lit = {(x, y) for x in range(5, 10) for y in range(5, 10)} - {(7, 7)} | {(1, 1)}
+    rows = [(1, 0, f, x, y, 250.0 if f == 30 and (x, y) in lit else 50.0 + (f + x) % 3) for f in range(31) for x in range(14) for y in range(14)]
+    pixels = spark.createDataFrame(rows, "session long, camera int, frame_idx long, x int, y int, v double")
+    got = {(r.px, r.py) for r in masks.silhouettes(pixels, 14, 14, ksize=3, min_area=9, grow=1).where("frame_idx = 30").collect()}
+    assert {(x, y) for x in range(5, 10) for y in range(5, 10)} <= got and (1, 1) not in got and all(3 <= x <= 11 and 3 <= y <= 11 for x, y in got)
