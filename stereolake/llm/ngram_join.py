@@ -299,7 +299,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         plausible = materialize(_plausible(pairs, nodes), "ngram-plausible")
         if plausible.isEmpty():
             continue
-        sets = _sets_of(source, plausible.select(F.explode(F.array("a", "b")).alias("node")))
+        # written, as the salted joins read it several times and each time would split all texts again
+        sets = materialize(_sets_of(source, plausible.select(F.explode(F.array("a", "b")).alias("node"))), "ngram-sets")
         found = materialize(_verified(plausible, sets), "ngram-links")
         links = found if links is None else links.unionByName(found)
         comps = components(links, comps)
