@@ -372,5 +372,7 @@ def _labelled(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
         smallest = inside.groupBy("comp").agg(F.min("least").alias("smallest"))
         named = salted_join(inside.select("node", "comp"), smallest, "comp", "node").select("node", "smallest")
         by_node = by_node.join(named, "node", "left").select("node", F.coalesce("smallest", "least").alias("component_id"))
-    named = texts.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("t_node"))
-    return named.join(by_node, F.col("t_node") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    rows = texts.select("id", F.col("n").alias("n_shingles"), "node")
+    named = salted_join(rows.where("n_shingles > 0"), by_node, "node", "id")  # copies are rows of one node
+    alone = rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return named.select("id", "n_shingles", "component_id").unionByName(alone)
