@@ -297,6 +297,23 @@ def test_gates_and_advice(spark):
     assert said[1].startswith("more footage") and said[2] == "check radial distortion; check arena bounds and coverage" and said[3] == "solid"
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_smoothing_moves_vertices_to_the_mean_of_their_neighbours(spark, rounds):
+    faces = [(1, "a", "b", "c"), (1, "b", "c", "d"), (2, "a", "b", "c")]
+    at = {(1, "a"): (0.0, 0.0, 0.0), (1, "b"): (3.0, 0.0, 1.0), (1, "c"): (0.0, 6.0, 2.0), (1, "d"): (9.0, 3.0, 0.0), (2, "a"): (1.0, 1.0, 1.0), (2, "b"): (5.0, 1.0, 1.0), (2, "c"): (1.0, 7.0, 4.0)}
+    near = {}
+    for session, *corners in faces:
+        for v in corners:
+            near.setdefault((session, v), set()).update((session, w) for w in corners if w != v)
+    vertices = spark.createDataFrame([(*v, *xyz) for v, xyz in at.items()], "session long, v string, x double, y double, z double")
+    neighbours = voxels.adjacency(spark.createDataFrame(faces, "session long, a string, b string, c string"), ["session"])
+    found = {(r.session, r.v): (r.x, r.y, r.z) for r in voxels.laplacian(vertices, neighbours, ["session"], rounds).collect()}
+    for _ in range(rounds):
+        at = {v: np.mean([at[w] for w in sorted(near[v])], axis=0) for v in at}
+    assert found.keys() == at.keys()
+    assert all(np.allclose(found[v], at[v]) for v in at)
+
+
 def test_mesh_text_counts_its_own_lines(spark):
     vertices = spark.createDataFrame([(1, c, float(k), 0.0, 0.0) for k, c in enumerate(("p", "q", "r", "s"))], "session long, v string, x double, y double, z double")
     faces = spark.createDataFrame([(1, "p", "q", "r"), (1, "s", "r", "q"), (1, "p", "q", "beyond")], "session long, a string, b string, c string")
