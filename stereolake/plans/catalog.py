@@ -415,7 +415,7 @@ def stereo_baseline(spark, sf):
     return rounded(calibration.baseline(view(spark, sf, "calib")))
 
 
-@query("""SELECT session, camera, list_transform(p, lambda v: round(v, 6)) AS p FROM (
+@query("""SELECT session, camera, list_transform(p, lambda v: round(v, 6) + 0.0E0) AS p FROM (
 SELECT session, 0 AS camera, CASE WHEN rectified THEN [fr, 0, cx, 0, 0, fr, cy, 0, 0, 0, 1, 0] ELSE [f0, 0, cx, 0, 0, f0, cy, 0, 0, 0, 1, 0] END AS p FROM calib UNION ALL
 SELECT session, 1 AS camera, CASE WHEN rectified THEN [fr, 0, cx, fr * bx, 0, fr, cy, 0, 0, 0, 1, 0] ELSE
   [f1 * rc - cx * rs, 0, f1 * rs + cx * rc, f1 * tx + cx * tz, -cy * rs, f1, cy * rc, f1 * ty + cy * tz, -rs, 0, rc, tz] END AS p FROM calib) q""", "calib")
