@@ -29,6 +29,8 @@ from .common import map_slices, materialize, small_batches
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches, but tried once for each run of digits: inside a run no other start can lead further than its first digit does.
+_IP_ONCE = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -55,8 +57,8 @@ CUES = {
     "email": r"mail|contact|write|reach|from|to", "ip": r"ip|host|server|address|addr|client|login", "card": r"card|visa|mastercard|amex|credit|debit|payment|account",
     "phone": r"phone|tel|call|fax|mobile|cell|contact|whatsapp", "credential": r"password|passwd|pwd|passphrase|token|secret|api[_ -]?key|access[_ -]?key|key|auth|bearer", "number": r"phone|tel|call|fax|mobile|cell|contact|number",
 }
-_CUES = {kind: re.compile(rf"\b(?:{words})\b[\"']?[.:=]?\s*(?:is|at)?\s*[\"']?$", re.I) for kind, words in CUES.items()}
-_AGAINST = re.compile(r"\b(?:version|ver|v|release|build|commit|sha|sha1|sha256|md5|checksum|hash|revision|uuid|isbn|issn|doi|page|pages|year|section|chapter|figure|table|id|no|rfc|issue|invoice|order)\b[.:=#]?\s*$", re.I)
+_CUES = {kind: re.compile(rf"\b(?:{words})\b[\"']?\s?[.:=]?\s*(?:is|at)?\s*[\"']?$", re.I) for kind, words in CUES.items()}
+_AGAINST = re.compile(r"\b(?:version|ver|v|release|build|commit|sha|sha1|sha256|md5|checksum|hash|revision|uuid|isbn|issn|doi|page|pages|year|section|chapter|figure|table|id|no|rfc|issue|invoice|order)\b\s?[.:=#]?\s*$", re.I)
 _FORMATS = re.compile(r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}|[0-9a-f]{16,128}|[0-9A-F]{16,128}|sk[_-][A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}")
 _PHONE_SHAPE = re.compile(r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,4}[\x20-][0-9]{3,4}[\x20-]?[0-9]{3,5}|00[0-9]{1,3}[\x20-][0-9\x20-]{6,}")
 BEFORE = 32
@@ -91,8 +93,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *s) for s in _emails(text)] if "@" in text else []
     if not DIGIT.search(text):
         return out
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+    for m in _IP_ONCE.finditer(text):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -123,7 +125,7 @@ def _votes(kind: str, token: str, before: str) -> tuple[int, ...]:
         return 1, _vote(top in DOMAINS or len(top) == 2 and top.isalpha(), True), context, _vote(local[0].isalnum() and len(local) <= 64, ".." in local), _vote(any(c.isalpha() for c in domain), True)
     if kind == "ip":
         parts = token.split(".")
-        return 1, _vote(not token.startswith(NETWORKS), True), context, _vote(all(str(int(p)) == p for p in parts), True), _vote(len(set(parts)) > 1 and max(map(len, parts)) > 1, True)
+        return 1, _vote(not token.startswith(NETWORKS), True), context, _vote(all(p == (p.lstrip("0") or "0") for p in parts), True), _vote(len(set(parts)) > 1 and max(map(len, parts)) > 1, True)
     if kind == "card":
         own = [lengths for first, lengths in ISSUERS if digits.startswith(first)]
         groups = re.split(r"[\x20-]", token)

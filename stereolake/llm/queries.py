@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, flac, line_dedup, mixing, ngram_join, pii, toxicity, url_rules, warc
+from . import bpe, fingerprint, flac, lexical, line_dedup, merkle, mixing, ngram_join, pii, reshard, toxicity, url_rules, warc
+from .common import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
+SHARDS = 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,14 +98,81 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_ngram_join, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified over all documents; texts of even crc32(doc_id) lose their newlines."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    tampered = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered).withColumnRenamed("id", "doc_id")
+
+
+def op12_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard over all documents: from shards by source to 8 of equal bytes; old_shard follows."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(SHARDS)).cast("int")
+    layout = reshard.write_layout(_table(spark, sf_dir, "documents"), old, size)
+    moved = reshard.reshard(layout, reshard.even_capacities(layout, SHARDS))
+    rows = moved.rows().select(F.col("doc.doc_id").alias("doc_id"), (F.coalesce(F.octet_length("doc.text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("doc.text", F.lit(""))).alias("text_crc32"), "shard", F.col("old").alias("old_shard"), "row")
+    rows = merkle.numbered(materialize(rows, "placed"), "shard", F.asc_nulls_first("doc_id"), F.asc("row"), name="slots")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("at").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 50 best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_toxicity, op4_ngram_join, op5_personal_data, op6_flac, op7_url_filter, op8_bpe, op9_warc, op10_fingerprint, op11_merkle_manifest, op12_reshard, op13_lexical_search)}
 
 _URL_PARTS = r"""
 parsed AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parsed)"""
 
+def _sql_field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_sql_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: CRC-32 of a short ASCII text: each byte is taken in, then eight steps of one bit.
+_SQL_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, v: CASE WHEN v >= 0 THEN xor(crc, v) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE marked AS (SELECT *, CASE WHEN {_SQL_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
+leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+                  {_sql_leaf('text')} AS leaf, {_sql_leaf('tampered')} AS tampered FROM marked),
+nodes AS (SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves UNION ALL
+          SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+crowns AS (SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1 UNION ALL
+           SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM crowns WHERE n > 1 GROUP BY level, pos // 3, n),
+beside AS (SELECT tree, level, pos, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+           FROM nodes WHERE n > 1 WINDOW r AS (PARTITION BY tree, level, pos // 3 ORDER BY pos)),
+above AS (SELECT level, pos, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+          FROM crowns WHERE n > 1 WINDOW r AS (PARTITION BY level, pos // 3 ORDER BY pos)),
+walk AS (SELECT doc_id, tree, pos, 0 AS level, tampered AS h, '' AS proof FROM leaves UNION ALL
+         SELECT w.doc_id, w.tree, w.pos // 3, w.level + 1, sha256(before || w.h || after), w.proof || before || after FROM walk w JOIN beside b ON w.tree = b.tree AND w.level = b.level AND w.pos = b.pos),
+reached AS (SELECT doc_id, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM walk GROUP BY doc_id, tree),
+climb AS (SELECT doc_id, tree AS pos, 0 AS level, h, proof FROM reached UNION ALL
+          SELECT w.doc_id, w.pos // 3, w.level + 1, sha256(before || w.h || after), w.proof || before || after FROM climb w JOIN above b ON w.level = b.level AND w.pos = b.pos),
+folded AS (SELECT doc_id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climb GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN folded f ON l.doc_id = f.doc_id JOIN (SELECT tree, h FROM nodes WHERE n = 1) t ON l.tree = t.tree CROSS JOIN (SELECT h FROM crowns WHERE n = 1) r""",
+    "op13_lexical_search": r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM lengths),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts CROSS JOIN corpus GROUP BY term, docs),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sized AS (SELECT doc_id, 50 + (50 * n * docs) // all_terms AS m FROM lengths CROSS JOIN corpus),
+scores AS (SELECT item_id, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM wanted i JOIN counts c ON i.term = c.term JOIN weighed t ON i.term = t.term JOIN sized s ON c.doc_id = s.doc_id GROUP BY item_id, c.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
     "op9_warc": """
 WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 owned AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM hashed)

@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import random
 import re
-
+import time
 
 import numpy as np
 import pytest
@@ -503,6 +503,25 @@ def test_long_texts_take_time_in_proportion():
     text = "a@b.org x9y8z7w6v5 1.2.3.4 555-123-4567 " * 6000
     assert len(pii.candidate_spans(text, pii.base_spans(text))) == 4 * 6000
     assert pii.candidate_spans("x" * 2_000_000, []) == []
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "7") == [("ip", 0, 5007)]
+    digits = "7" * 1_000_000
+    began = time.perf_counter()
+    assert pii.base_spans(digits) == pii.base_spans("999." * 250_000) == []
+    assert time.perf_counter() - began < 5
+
+
+def test_addresses_are_matched_once_for_each_run_of_digits():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123..9 a") for _ in range(rng.randrange(1, 40)))
+        want = [m.span() for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [s[1:] for s in pii.base_spans(text) if s[0] == "ip"] == want
+
+
+@pytest.mark.parametrize("before", ['token = "', "token: ", "password is ", "api_key=", "secret = '"])
+def test_context_labeler_hears_secrets(before):
+    assert pii._votes("credential", "x9y8z7w6v5u4", before)[2] == 1
+    assert pii._votes("credential", "x9y8z7w6v5u4", "version = ")[2] == -1
 
 
 def test_fingerprints_of_edited_and_next_texts(spark):
