@@ -141,8 +141,8 @@ def plan_blocks(layout: Layout, flow: dict[tuple[int, int], int], empty: dict[in
     line = Window.partitionBy("shard").orderBy("file")  # a row for each file
     blocks = blocks.withColumn("stop", F.sum("size").over(line)).withColumn("start", F.col("stop") - F.col("size"))
     arcs = _arcs(layout.spark, flow, empty)
-    # a file without bytes goes with the byte before it
-    met = blocks.join(F.broadcast(arcs), "shard")  # some arcs for each shard.where((F.col("low") < F.greatest("stop", F.lit(1))) & (F.col("high") > F.least("start", F.col("stop") - 1)))
+    # arcs are some for each shard; a file without bytes goes with the byte before it
+    met = blocks.join(F.broadcast(arcs), "shard").where((F.col("low") < F.greatest("stop", F.lit(1))) & (F.col("high") > F.least("start", F.col("stop") - 1)))
     move = F.struct(F.col("low"), F.col("to"), (F.least("stop", "high") - F.greatest("start", "low")).alias("bytes"))
     return met.groupBy("file", "shard").agg(F.array_sort(F.collect_list(move)).alias("moves"))
 

@@ -168,6 +168,11 @@ def test_resharded_files(spark):
     moved = sum(r.size for r in rows if r.shard != r.old)
     least = sum(max(0, n - capacity.get(i, 0)) for i, n in before.items())
     assert abs(moved - least) <= 12 * longest
+    # only blocks at an arc's end are cut, and every cut is inside its block
+    flow = reshard.min_cost_flow(before, capacity)
+    plan = reshard.plan_blocks(layout, flow, {}).collect()
+    assert sum(len(r.moves) > 1 for r in plan) <= len(flow) - len(before) < len(plan)
+    assert all(m.bytes > 0 for r in plan for m in r.moves) and sum(m.bytes for r in plan for m in r.moves) == sum(before.values())
     # a file that the plan leaves where it is isn't written again
     kept = {r.file for r in rows} & {r.file for r in layout.rows().select("file").distinct().collect()}
     assert kept and all(r.shard == r.old for r in rows if r.file in kept)
