@@ -10,25 +10,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import nearest
 
 PAIR = ["session", "frame_idx"]
 
 
-def match_descriptors(descriptors: DataFrame, key: list[str], ratio: float = 0.72, least: int = 20) -> DataFrame:
+def match_descriptors(descriptors: DataFrame, key: list[str], ratio: float = 0.72, least: int = 20, block: int = 2048) -> DataFrame:
     """Nearest descriptor of the other view where it is clearly nearer than the second; none where a view has under `least`.
 
-    The join is by frame, so its size is that of the frames' descriptor sets; the two nearest are kept by a window limit.
+    Exact, by `nearest.two_nearest`: tasks hold blocks of at most `block` descriptors whatever a frame's share of all. Equal
+    descriptors of a view are asked for once, and two of them stand for all as targets. Descriptor ids are unique in a frame.
     """
     counts = descriptors.groupBy(*key).agg(*[F.count_if(F.col("camera") == k).alias(f"n{k}") for k in (0, 1)]).where(f"n0 >= {least} AND n1 >= {least}").select(*key)
     rows = descriptors.join(counts, key, "left_semi")
-    a = rows.where("camera = 0").select(*key, F.col("desc_id").alias("id0"), F.col("d").alias("d0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    b = rows.where("camera = 1").select(*key, F.col("desc_id").alias("id1"), F.col("d").alias("d1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    square = F.zip_with("d0", "d1", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
-    dist = a.join(b, key).withColumn("dist", F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))).drop("d0", "d1")
-    order = Window.partitionBy(*key, "id0").orderBy("dist", "id1")
-    two = dist.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    second = two.groupBy(*key, "id0").agg(F.max(F.when(F.col("rank") == 1, F.struct("id1", "x0", "y0", "x1", "y1", "dist"))).alias("m"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("second"))
-    return second.where(F.col("m.dist") < ratio * F.col("second")).select(*key, "id0", "m.*")
+    asked, given = rows.where("camera = 0"), rows.where("camera = 1")
+    vectors = asked.groupBy(*key, "d").agg(F.min("desc_id").alias("id"))
+    targets = given.select(*key, F.col("desc_id").alias("id"), "d").withColumn("copy", F.row_number().over(Window.partitionBy(*key, "d").orderBy("id"))).where("copy <= 2").drop("copy")
+    two = nearest.two_nearest(vectors.select(*key, "id", "d"), targets, key, block)
+    best = two.groupBy(*key, "id").agg(F.max(F.when(F.col("place") == 1, F.struct(F.col("target").alias("id1"), "dist"))).alias("m"), F.max(F.when(F.col("place") == 2, F.col("dist"))).alias("second"))
+    best = best.where(F.col("m.dist") < ratio * F.col("second")).select(*key, "id", "m.*")
+    ends = given.select(*key, F.col("desc_id").alias("id1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    starts = asked.select(*key, "d", F.col("desc_id").alias("id0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    clear = best.join(vectors, [*key, "id"]).drop("id").join(ends, [*key, "id1"])
+    return starts.join(clear, [*key, "d"]).select(*key, "id0", "id1", "x0", "y0", "x1", "y1", "dist")
 
 
 def grid_cap(matches: DataFrame, key: list[str], order: str, width: int, height: int, rows: int = 4, cols: int = 4, cap: int = 30) -> DataFrame:

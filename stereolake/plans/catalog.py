@@ -922,7 +922,7 @@ def stream_triangulate(spark, sf):
 
 @query("SELECT session, name, frame_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(confidence, 6) AS confidence, round(reproj_err, 6) AS reproj_err FROM filled", "kp3d", more=f"gapped AS ({GAPS.format('kp3d')}), filled AS ({FILLED.format('kp3d', 'gapped')})")
 def stream_fill_gaps(spark, sf):
-    return rounded(_drained(streams.fill_gaps(_stream(spark, sf, "kp3d"))))
+    return rounded(_drained(streams.fill_gaps(_stream(spark, sf, "kp3d", closed=True), delay="0 seconds")).where("session >= 0"))
 
 
 @query("SELECT session, name, frame_idx // 30 AS second, count(*) AS n, round(avg(reproj_err), 6) AS mean_err FROM kp3d GROUP BY session, name, frame_idx // 30", "kp3d")

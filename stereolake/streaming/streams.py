@@ -1,8 +1,8 @@
 """Structured Streaming counterparts of the frame loop.
 
 Matching, triangulation and gap filling equal their batch operators once all input has come; the background model is a
-decaying mean and variance of each pixel instead of the batch operator's window of frames. Windows and tracks come out when
-the watermark has passed them, so a stream's last ones need a row of later event time.
+decaying mean and variance of each pixel instead of the batch operator's window of frames. Windows, tracks and filled points
+come out when the watermark has passed them, so a stream's last ones need a row of later event time.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import geometry as g
 from ..operators import trajectory
@@ -60,54 +60,179 @@ def tracks(kp3d: DataFrame, max_gap: int = 10, fps: float = 30.0, delay: str = "
     return kp3d.withWatermark("event_time", delay).groupBy(window, "session", "name").agg(F.count(F.lit(1)).alias("n"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")).select("session", "name", "first", "last", "n")
 
 
-def fill_gaps(kp3d: DataFrame, max_gap: int = 10) -> DataFrame:
-    """Points as they come, and interpolated ones as soon as a short gap closes; the state of a landmark is its last point.
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors need the RocksDB store, which spills to disk; set for streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Rows of a landmark are expected in frame order; a row at or before the last frame passes and fills nothing.
+
+_POINT = ("frame_idx", "x", "y", "z", "confidence", "reproj_err")
+
+
+class GapFiller(StatefulProcessor):
+    """Puts a landmark's points in frame order and fills short gaps; state ends with the last gap that it could still fill.
+
+    State: the points that the watermark hasn't passed, as arrays, and the last point that it has. A timer at the earliest
+    waiting point hands on all points that the watermark has passed, with interpolated ones between; a timer max_gap + 1
+    frames after the last point drops it, as no later point can be near enough. Late points up to the watermark's delay are
+    put in place; Spark drops later ones. Of points of one frame the last one counts for filling, all are handed on.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        out = []
-        for r in rows.itertuples(index=False):
-            if last is not None and 0 < r.frame_idx - last[0] - 1 <= max_gap:
-                n = int(r.frame_idx - last[0])
-                for k in range(1, n):
-                    t = k / n
-                    out.append((key[0], key[1], last[0] + k, *[a + t * (b - a) for a, b in zip(last[1:4], (r.x, r.y, r.z))], 0.8 * min(last[4], r.confidence), 0.0))
-            out.append((key[0], key[1], r.frame_idx, r.x, r.y, r.z, r.confidence, r.reproj_err))
-            if last is None or r.frame_idx > last[0]:
-                last = (int(r.frame_idx), float(r.x), float(r.y), float(r.z), float(r.confidence))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["session", "name", "frame_idx", "x", "y", "z", "confidence", "reproj_err"])
-
-    return kp3d.select("session", "name", "frame_idx", "x", "y", "z", "confidence", "reproj_err").groupBy("session", "name").applyInPandasWithState(
-        step, "session bigint, name string, frame_idx bigint, x double, y double, z double, confidence double, reproj_err double",
-        "frame_idx bigint, x double, y double, z double, confidence double", "append", GroupStateTimeout.NoTimeout,
+    def __init__(self, max_gap: int, fps: float):
+        self.max_gap, self.frame_ms = max_gap, 1000.0 / fps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        arrays = ", ".join(f"{c} array<{'bigint' if c == 'frame_idx' else 'double'}>" for c in _POINT)
+        self.state = handle.getValueState("track", f"due array<bigint>, {arrays}, last array<double>, last_ms bigint")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        """The last point that an earlier run handed on."""
+        r = initialState.sort_values("frame_idx").iloc[-1]
+        last_ms = int(r["event_time"].value // 1_000_000)
+        self._keep(self._empty(), [float(r[c]) for c in _POINT], last_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting, last, last_ms = self._load()
+        parts = [pd.DataFrame({"due": b["event_time"].astype("datetime64[us]").astype("int64") // 1000, **{c: b[c] for c in _POINT}}) for b in rows]
+        self._keep(pd.concat([waiting, *parts], ignore_index=True), last, last_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting, last, last_ms = self._load()
+        passed = waiting["due"] <= now
+        ready = waiting[passed].sort_values("frame_idx", kind="stable")
+        if len(ready):
+            out = pd.concat([self._filled(last, ready), ready[list(_POINT)]], ignore_index=True)
+            if last is None or ready["frame_idx"].iloc[-1] > last[0]:
+                last, last_ms = [float(v) for v in ready[list(_POINT)].iloc[-1]], int(ready["due"].iloc[-1])
+            out.insert(0, "name", key[1])
+            out.insert(0, "session", key[0])
+            yield out
+        waiting = waiting[~passed]
+        if last is not None and self._end(last_ms) <= now and (waiting.empty or waiting["frame_idx"].min() > last[0] + self.max_gap + 1):
+            last, last_ms = None, None
+        self._keep(waiting, last, last_ms)
+
+    def _filled(self, last: list[float] | None, ready: pd.DataFrame) -> pd.DataFrame:
+        """Interpolated points in the gaps of the last point and those that follow, all gaps at once."""
+        points = ready.drop_duplicates("frame_idx", keep="last")[list(_POINT)].to_numpy(float)
+        if last is not None:
+            points = np.concatenate([[last], points[points[:, 0] > last[0]]])
+        gap = np.diff(points[:, 0]).astype(np.int64) - 1
+        at = np.flatnonzero((gap > 0) & (gap <= self.max_gap))
+        before, after = np.repeat(points[at], gap[at], axis=0), np.repeat(points[at + 1], gap[at], axis=0)
+        k = np.arange(len(before)) - np.repeat(np.cumsum(gap[at]) - gap[at], gap[at]) + 1
+        t = k / (np.repeat(gap[at], gap[at]) + 1)
+        moved = before[:, 1:4] + t[:, None] * (after[:, 1:4] - before[:, 1:4])
+        return pd.DataFrame({"frame_idx": before[:, 0].astype(np.int64) + k, "x": moved[:, 0], "y": moved[:, 1], "z": moved[:, 2], "confidence": 0.8 * np.minimum(before[:, 4], after[:, 4]), "reproj_err": 0.0})
+
+    def _end(self, last_ms: int) -> int:
+        return last_ms + math.ceil((self.max_gap + 1.5) * self.frame_ms)  # half a frame beyond the gap
+
+    @staticmethod
+    def _empty() -> pd.DataFrame:
+        return pd.DataFrame({"due": pd.Series(dtype="int64"), **{c: pd.Series(dtype="int64" if c == "frame_idx" else "float64") for c in _POINT}})
+
+    def _load(self) -> tuple[pd.DataFrame, list[float] | None, int | None]:
+        kept = self.state.get() if self.state.exists() else None
+        if kept is None:
+            return self._empty(), None, None
+        waiting = pd.DataFrame(dict(zip(("due", *_POINT), (list(v) for v in kept[:7])))) if len(kept[0]) else self._empty()
+        return waiting, None if kept[7] is None else [float(v) for v in kept[7]], kept[8]
+
+    def _keep(self, waiting: pd.DataFrame, last: list[float] | None, last_ms: int | None) -> None:
+        if waiting.empty and last is None:
+            self.state.clear()
+            return
+        self.state.update((*[waiting[c].tolist() for c in ("due", *_POINT)], last, last_ms))
+        self.handle.registerTimer(int(waiting["due"].min()) if len(waiting) else self._end(last_ms))
+
+
+def fill_gaps(kp3d: DataFrame, max_gap: int = 10, fps: float = 30.0, delay: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """Points in frame order with short gaps filled, each as soon as the watermark has passed it; see GapFiller.
+
+    initial: (session, name, event_time and the point's columns) of the last points of an earlier run. A stream's last
+    points come out once a row of later event time has moved the watermark.
+    """
+    keep_state_in_rocksdb(kp3d.sparkSession)
+    columns = ["session", "name", "event_time", *_POINT]
+    tracks = kp3d.select(*columns).withWatermark("event_time", delay).groupBy("session", "name")
+    return tracks.transformWithStateInPandas(
+        GapFiller(max_gap, fps), "session bigint, name string, frame_idx bigint, x double, y double, z double, confidence double, reproj_err double",
+        "append", "EventTime", initialState=initial.select(*columns).groupBy("session", "name") if initial is not None else None,
     )
 
 
-def background(pixels: DataFrame, threshold: float = 40.0, floor: float = 4.0, rate: float = 0.05) -> DataFrame:
-    """Foreground of pixel series by a running mean and variance of each pixel, kept as the state of its key."""
+class BlockModel(StatefulProcessor):
+    """Running mean and variance of a block of pixels, one array each; a block that isn't seen for ttl_ms is forgotten.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, var, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
+    Values of a batch are taken in rounds: the first value of every pixel, then the second, so a round is one step on
+    arrays. A value at or before its pixel's last frame is judged and leaves the model as it is.
+    """
+
+    def __init__(self, side: int, threshold: float, floor: float, rate: float, ttl_ms: int | None):
+        self.side, self.threshold, self.floor, self.rate, self.ttl_ms = side, threshold, floor, rate, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("model", "mean array<double>, var array<double>, n array<bigint>, frame array<bigint>", self.ttl_ms)
+
+    def _load(self) -> list[np.ndarray]:
+        kept = self.state.get() if self.state.exists() else None
+        if kept is None:
+            size = self.side * self.side
+            return [np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int64), np.full(size, np.iinfo(np.int64).min)]
+        return [np.array(kept[0], dtype=float), np.array(kept[1], dtype=float), np.array(kept[2], dtype=np.int64), np.array(kept[3], dtype=np.int64)]
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        """Models of an earlier run: a row for each pixel with mean, var, n and frame_idx."""
+        model = self._load()
+        at = self._place(initialState, key)
+        for array, column in zip(model, ("mean", "var", "n", "frame_idx")):
+            array[at] = initialState[column].to_numpy()
+        self.state.update(tuple(a.tolist() for a in model))
+
+    def _place(self, rows: pd.DataFrame, key: tuple) -> np.ndarray:
+        return ((rows["y"] - key[3] * self.side) * self.side + rows["x"] - key[2] * self.side).to_numpy()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        mean, var, n, frame = self._load()
+        pixel, at, v = self._place(rows, key), rows["frame_idx"].to_numpy(), rows["v"].to_numpy(float)
+        order = np.lexsort([at, pixel])
+        place = np.arange(len(order)) - np.searchsorted(pixel[order], pixel[order])
         flags = np.zeros(len(rows), dtype=bool)
-        for i, v in enumerate(rows["v"].to_numpy(float)):
-            flags[i] = n > 0 and (v - mean) ** 2 > threshold * max(var, floor)
-            n += 1
-            a = max(rate, 1 / n)
-            step_ = v - mean
-            mean += a * step_
-            var = (1 - a) * (var + a * step_ * step_)
-        state.update((mean, var, n))
-        yield pd.DataFrame({"session": key[0], "camera": key[1], "x": key[2], "y": key[3], "frame_idx": rows["frame_idx"], "foreground": flags})
-
-    return pixels.groupBy("session", "camera", "x", "y").applyInPandasWithState(
-        step, "session bigint, camera int, x int, y int, frame_idx bigint, foreground boolean", "mean double, var double, n bigint", "append", GroupStateTimeout.NoTimeout
-    )
+        for k in range(int(place.max()) + 1):
+            own = order[place == k]
+            p, off = pixel[own], v[own] - mean[pixel[own]]
+            flags[own] = (n[p] > 0) & (off * off > self.threshold * np.maximum(var[p], self.floor))
+            new = at[own] > frame[p]
+            p, off = p[new], off[new]
+            n[p] += 1
+            a = np.maximum(self.rate, 1 / n[p])
+            mean[p] += a * off
+            var[p] = (1 - a) * (var[p] + a * off * off)
+            frame[p] = at[own][new]
+        self.state.update((mean.tolist(), var.tolist(), n.tolist(), frame.tolist()))
+        yield pd.DataFrame({"session": key[0], "camera": key[1], "x": rows["x"], "y": rows["y"], "frame_idx": rows["frame_idx"], "foreground": flags})
+
+
+def background(pixels: DataFrame, threshold: float = 40.0, floor: float = 4.0, rate: float = 0.05, side: int = 16, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Foreground of pixel series by a running mean and variance, kept for blocks of side x side pixels; see BlockModel.
+
+    initial: (session, camera, x, y, mean, var, n, frame_idx) of an earlier run's pixels. Time to live is counted in
+    processing time, so a stream with ttl_ms runs until it is stopped; without, it also ends with the input that is there.
+    """
+    keep_state_in_rocksdb(pixels.sparkSession)
+
+    def blocks(rows: DataFrame):
+        own = {b: F.floor(F.col(v) / side).cast("int") for b, v in (("block_x", "x"), ("block_y", "y"))}
+        return rows.withColumns(own).groupBy("session", "camera", *own)
+
+    return blocks(pixels.select("session", "camera", "x", "y", "frame_idx", "v")).transformWithStateInPandas(
+        BlockModel(side, threshold, floor, rate, ttl_ms), "session bigint, camera int, x int, y int, frame_idx bigint, foreground boolean",
+        "append", "ProcessingTime" if ttl_ms else "None", initialState=blocks(initial) if initial is not None else None,
+    )
 
 
 def archive(rows: DataFrame, path: str, checkpoint: str):
