@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.tables import cut
+from . import grids
+from .grids import dims
 
 CELL = ["i", "j", "k"]
 
 
-def dims(bounds: tuple, size: float) -> tuple[int, int, int]:
-    return tuple(max(1, math.ceil((hi - lo) / size)) for lo, hi in bounds)
-
-
 def grid(spark: SparkSession, bounds: tuple, size: float) -> DataFrame:
     """(i, j, k, x, y, z): cells of a box and their centres, generated by the cluster."""
     nx, ny, nz = dims(bounds, size)
@@ -35,14 +31,10 @@ def seen_pixels(cells: DataFrame, cameras: list, width: int, height: int) -> Dat
     return out
 
 
-def carve(seen: DataFrame, mask: DataFrame, views: int = 2) -> DataFrame:
-    """(session, frame_idx, i, j, k): cells whose pixel is foreground in every view.
-
-    The foreground pixels meet the cells that project there; no cell meets a frame in which it isn't foreground.
-    """
-    hits = mask.join(seen, ["camera", "px", "py"]).select("session", "frame_idx", *CELL, "camera")
-    seen_by = F.expr("bit_or(shiftleft(1, camera))").alias("by")  # one shuffle, where counting distinct cameras takes two
-    return hits.groupBy("session", "frame_idx", *CELL).agg(seen_by).where(F.col("by") == (1 << views) - 1).drop("by")
+def carve(mask: DataFrame, cameras: DataFrame | list, bounds: tuple, size: float, width: int, height: int) -> DataFrame:
+    """(session, frame_idx, i, j, k): cells whose pixel is foreground in both views, see `grids.carve`."""
+    carved = grids.carve(grids.pack_masks(mask, width, height), cameras, bounds, size, width, height)
+    return grids.cells(carved, ["session", "frame_idx"], dims(bounds, size))
 
 
 def occupancy(voxels: DataFrame, cells: int) -> DataFrame:
@@ -56,12 +48,9 @@ def accumulate(voxels: DataFrame, least_share: float = 1.0) -> DataFrame:
     return held.join(frames, "session").where(F.col("n") >= least_share * F.col("n_frames")).select("session", *CELL, "n")
 
 
-def surface(voxels: DataFrame, key: list[str]) -> DataFrame:
-    """Cells not all of whose 26 neighbours are occupied; cells at the border of the grid always are on the surface."""
-    offsets = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(("di", "dj", "dk"), (a, b, e))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1)])
-    told = voxels.select(*key, *CELL, F.explode(offsets).alias("o"))
-    told = told.groupBy(*key, (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return voxels.join(told, [*key, *CELL]).where("n < 27").select(*key, *CELL)
+def surface(voxels: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """Of occupied cells, or packed grids: cells not all of whose 26 neighbours are occupied; cells at the border of the grid always are on the surface."""
+    return grids.surface(_packed(voxels, key, shape), key, shape)
 
 
 def thin(voxels: DataFrame, key: list[str], n: int = 8) -> DataFrame:
@@ -77,19 +66,16 @@ def centers(voxels: DataFrame, bounds: tuple, size: float) -> DataFrame:
 def mesh_vertices(voxels: DataFrame, key: list[str], shape: tuple, origin: tuple, size: float) -> DataFrame:
     """(key, axis, i, j, k, x, y, z): the middle of each grid edge of which one end is occupied; (i, j, k) is its lower end.
 
-    Positions are index times size plus origin, half a voxel below the centres, as in the files this replaces.
+    voxels: occupied cells, or packed grids. Positions are index times size plus origin, half a voxel below the centres, as
+    in the files this replaces.
     """
-    ends = []
-    for axis in range(3):
-        for down in (0, 1):
-            low = [F.col(c) - (down if a == axis else 0) for a, c in enumerate(CELL)]
-            ends.append(F.struct(F.lit(axis).alias("axis"), *[v.cast("int").alias(c) for v, c in zip(low, CELL)]))
-    told = voxels.select(*key, F.explode(F.array(*ends)).alias("e")).groupBy(*key, *[F.col(f"e.{c}").alias(c) for c in ("axis", *CELL)]).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    inside = F.lit(True)
-    for a, c in enumerate(CELL):
-        inside = inside & (F.col(c) >= 0) & (F.col(c) + F.when(F.col("axis") == a, 1).otherwise(0) < shape[a])
+    cut_edges = grids.edges(_packed(voxels, key, shape), key, shape)
     place = [((F.col(c) + F.when(F.col("axis") == a, 0.5).otherwise(0.0)) * size + origin[a]).alias(v) for a, (c, v) in enumerate(zip(CELL, "xyz"))]
-    return told.where(inside).select(*key, "axis", *CELL, *place)
+    return cut_edges.select(*key, "axis", *CELL, *place)
+
+
+def _packed(voxels: DataFrame, key: list[str], shape: tuple) -> DataFrame:
+    return voxels if "grid" in voxels.columns else grids.pack_voxels(voxels, key, shape)
 
 
 def cell_triangles() -> list[tuple[int, int, str]]:
@@ -145,12 +131,9 @@ def cell_triangles() -> list[tuple[int, int, str]]:
 def mesh_faces(voxels: DataFrame, key: list[str], shape: tuple) -> DataFrame:
     """(key, i, j, k, position, a, b, c): triangles of each cell between eight grid points, corners named axis:i:j:k like vertices.
 
-    Each occupied grid point adds its bit to the eight cells it is a corner of; the codes meet a generated table.
+    voxels: occupied cells, or packed grids; the corner codes of their cells meet a generated table.
     """
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(e).alias("e"), F.lit(1 << (a | b << 1 | e << 2)).alias("bit")) for a in (0, 1) for b in (0, 1) for e in (0, 1)])
-    told = voxels.select(*key, *CELL, F.explode(offsets).alias("o"))
-    codes = told.groupBy(*key, (F.col("i") - F.col("o.a")).alias("i"), (F.col("j") - F.col("o.b")).alias("j"), (F.col("k") - F.col("o.e")).alias("k")).agg(F.sum("o.bit").cast("int").alias("code"))
-    codes = codes.where(" AND ".join(f"{c} >= 0 AND {c} < {n - 1}" for c, n in zip(CELL, shape)))
+    codes = grids.corner_codes(_packed(voxels, key, shape), key, shape)
     rows = [(code, pos, *[v for ax, low in tri for v in (ax, *low)]) for code, pos, tri in cell_triangles()]
     names = [f"{t}{n}" for t in "pqr" for n in ("x", "i", "j", "k")]
     table = voxels.sparkSession.createDataFrame(rows, ", ".join(["code int", "position int", *[f"{n} int" for n in names]]))

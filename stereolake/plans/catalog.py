@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import sqlnames
-from ..operators import alignment, calibration, masks, matching, refinement, trajectory, voxels
+from ..operators import alignment, calibration, grids, masks, matching, refinement, trajectory, voxels
 from ..sources import files, tables
 from ..streaming import streams
 from .fixtures import view, with_views
@@ -584,8 +584,13 @@ def _seen(spark):
     return voxels.seen_pixels(voxels.grid(spark, BOX, SIZE), SMALL, 128, 72)
 
 
+def _grids(spark, sf):
+    """Packed hulls of all frames; the rig is the same for all sessions here."""
+    return grids.carve(grids.pack_masks(view(spark, sf, "mask"), 128, 72), SMALL, BOX, SIZE, 128, 72)
+
+
 def _carved(spark, sf):
-    return voxels.carve(_seen(spark), view(spark, sf, "mask"))
+    return grids.cells(_grids(spark, sf), VK, (NX, NY, NZ))
 
 
 @query("SELECT * FROM carved", "mask", more=_CARVED)
@@ -593,9 +598,38 @@ def carve_frames(spark, sf):
     return _carved(spark, sf)
 
 
+#: Three rigs, a session's by its number: other focal lengths, another shift, camera 1 raised in the third. Cells of 8 mm, 125 000 of them.
+FINE, FINE_SIZE = ((-200, 200), (-200, 200), (350, 750)), 8.0
+_RIGS = """rigs AS (SELECT session, CAST(85 + 5 * (session % 3) AS DOUBLE) AS f, CAST(9000 + 500 * (session % 3) AS DOUBLE) AS shift, CASE WHEN session % 3 = 2 THEN 450.0E0 ELSE 0.0E0 END AS raise FROM (SELECT DISTINCT session FROM mask) s)"""
+_RIG_SEEN = """fine AS (SELECT CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j, CAST(c.k AS INT) AS k, (a.i + 0.5E0) * 8 - 200 AS x, (b.j + 0.5E0) * 8 - 200 AS y, (c.k + 0.5E0) * 8 + 350 AS z FROM range(0, 50) a(i) CROSS JOIN range(0, 50) b(j) CROSS JOIN range(0, 50) c(k)),
+kinds AS (SELECT DISTINCT f, shift, raise FROM rigs),
+rig_seen AS (SELECT f, camera, CAST(greatest(least(round_even(u, 0), 127), 0) AS INT) AS px, CAST(greatest(least(round_even(v, 0), 71), 0) AS INT) AS py, i, j, k FROM (
+SELECT f, 0 AS camera, (f * x + 64 * z) / z AS u, (f * y + 36 * z) / z AS v, i, j, k FROM fine CROSS JOIN kinds UNION ALL
+SELECT f, 1 AS camera, (f * x + 64 * z - shift) / z AS u, (f * y + 36 * z + raise) / z AS v, i, j, k FROM fine CROSS JOIN kinds) q WHERE u >= 0 AND u < 128 AND v >= 0 AND v < 72),
+rig_carved AS (SELECT m.session, frame_idx, i, j, k FROM mask m JOIN rigs r ON m.session = r.session JOIN rig_seen s ON r.f = s.f AND m.camera = s.camera AND m.px = s.px AND m.py = s.py GROUP BY m.session, frame_idx, i, j, k HAVING count(DISTINCT m.camera) = 2)"""
+
+
+def rig_cameras(mask):
+    """(session, camera, p) of the three rigs."""
+    f = (85 + 5 * F.pmod("session", F.lit(3))).cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    shift, raised = (9000 + 500 * F.pmod("session", F.lit(3))).cast("double"), F.when(F.pmod("session", F.lit(3)) == 2, 450.0).otherwise(0.0)
+    flat = lambda tx, ty: F.array(f, zero, F.lit(64.0), tx, zero, f, F.lit(36.0), ty, zero, zero, one, zero)
+    return mask.select("session").distinct().select("session", F.posexplode(F.array(flat(zero, zero), flat(-shift, raised))).alias("camera", "p"))
+
+
+@query("SELECT session, frame_idx, count(*) AS n_occupied, sum((CAST(i AS BIGINT) * 50 + j) * 50 + k) AS places FROM rig_carved GROUP BY session, frame_idx", "mask", more=f"{_RIGS}, {_RIG_SEEN}")
+def carve_rigs(spark, sf):
+    """Hulls of 125 000 cells, each session seen by its own rig."""
+    mask = view(spark, sf, "mask")
+    hulls = grids.carve(grids.pack_masks(mask, 128, 72), rig_cameras(mask), FINE, FINE_SIZE, 128, 72)
+    cells = grids.cells(hulls, VK, voxels.dims(FINE, FINE_SIZE))
+    return cells.groupBy(*VK).agg(F.count(F.lit(1)).alias("n_occupied"), F.sum((F.col("i").cast("bigint") * 50 + F.col("j")) * 50 + F.col("k")).alias("places"))
+
+
 @query(f"SELECT session, frame_idx, count(*) AS n_occupied, round(CAST(count(*) AS DOUBLE) / {NX * NY * NZ}, 8) AS fraction FROM carved GROUP BY session, frame_idx", "mask", more=_CARVED)
 def occupancy(spark, sf):
-    return rounded(voxels.occupancy(_carved(spark, sf), NX * NY * NZ), 8)
+    return rounded(grids.count(_grids(spark, sf), VK).withColumn("fraction", F.col("n_occupied") / (NX * NY * NZ)), 8)
 
 
 @query("SELECT c.session, i, j, k, n FROM (SELECT session, i, j, k, count(DISTINCT frame_idx) AS n FROM carved GROUP BY session, i, j, k) c JOIN (SELECT session, count(DISTINCT frame_idx) AS f FROM carved GROUP BY session) t ON c.session = t.session WHERE n >= 0.1E0 * f", "mask", more=_CARVED)
@@ -605,7 +639,7 @@ def accumulate_hull(spark, sf):
 
 @query("SELECT a.session, a.frame_idx, a.i, a.j, a.k FROM carved a JOIN carved b ON a.session = b.session AND a.frame_idx = b.frame_idx AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.session, a.frame_idx, a.i, a.j, a.k HAVING count(*) < 27", "mask", more=_CARVED)
 def surface_voxels(spark, sf):
-    return voxels.surface(tables.cut(_carved(spark, sf), "hull"), VK)
+    return voxels.surface(_grids(spark, sf), VK, (NX, NY, NZ))
 
 
 @query("SELECT session, frame_idx, i, j, k FROM (SELECT *, row_number() OVER (PARTITION BY session, frame_idx ORDER BY i, j, k) - 1 AS r FROM carved) q WHERE r % 8 = 0", "mask", more=_CARVED)
@@ -626,18 +660,18 @@ _VERTS = "verts AS (" + " UNION ALL ".join(
 
 @query("SELECT session, frame_idx, axis, i, j, k, (i + CASE WHEN axis = 0 THEN 0.5E0 ELSE 0 END) * 20 - 200 AS x, (j + CASE WHEN axis = 1 THEN 0.5E0 ELSE 0 END) * 20 - 120 AS y, (k + CASE WHEN axis = 2 THEN 0.5E0 ELSE 0 END) * 20 + 400 AS z FROM verts", "mask", more=f"{_CARVED}, {_VERTS}")
 def mesh_vertices(spark, sf):
-    return voxels.mesh_vertices(_carved(spark, sf), VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE)
+    return voxels.mesh_vertices(_grids(spark, sf), VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE)
 
 
 @query()
 def mesh_faces(spark, sf):
-    return voxels.mesh_faces(_carved(spark, sf), VK, (NX, NY, NZ))
+    return voxels.mesh_faces(_grids(spark, sf), VK, (NX, NY, NZ))
 
 
 @query()
 def smooth_mesh(spark, sf):
     """One round of smoothing of every frame's mesh."""
-    hull = tables.cut(_carved(spark, sf), "hull")
+    hull = tables.cut(_grids(spark, sf), "hull")
     verts = voxels.mesh_vertices(hull, VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE).select(*VK, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
     return rounded(voxels.laplacian(verts, voxels.adjacency(voxels.mesh_faces(hull, VK, (NX, NY, NZ)), VK), VK), 4)
 
@@ -793,7 +827,7 @@ def archive_metadata(spark, sf):
 @query()
 def mesh_text(spark, sf):
     """Mesh files of all frames as lines, corners numbered from 0."""
-    hull = tables.cut(_carved(spark, sf), "hull")
+    hull = tables.cut(_grids(spark, sf), "hull")
     verts = voxels.mesh_vertices(hull, VK, (NX, NY, NZ), (-200.0, -120.0, 400.0), SIZE).select(*VK, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
     vertices, faces = files.numbered_mesh(verts, voxels.mesh_faces(hull, VK, (NX, NY, NZ)).select(*VK, "a", "b", "c"), VK)
     return files.mesh_text(vertices, faces, VK)

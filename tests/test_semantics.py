@@ -87,7 +87,7 @@ def test_pixels_round_half_to_even(spark):
 def test_grid_and_surface(spark):
     assert voxels.dims(((-100, 100), (-100, 100), (0, 200)), 20) == (10, 10, 10)
     cube = voxels.grid(spark, ((0, 5), (0, 5), (0, 5)), 1).select(F.lit(1).alias("session"), "i", "j", "k")
-    assert cube.count() == 125 and voxels.surface(cube, ["session"]).count() == 98
+    assert cube.count() == 125 and voxels.surface(cube, ["session"], (5, 5, 5)).count() == 98
 
 
 def test_mesh_of_a_solid_is_closed(spark):
