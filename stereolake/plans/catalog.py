@@ -6,13 +6,14 @@ Every query runs over whole tables through the views of `fixtures`; outputs are
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import sqlnames
-from ..operators import alignment, calibration, grids, masks, matching, refinement, trajectory, voxels
+from ..operators import alignment, calibration, grids, masks, matching, reconstruct as reconstruction, refinement, trajectory, voxels
 from ..sources import files, tables
 from ..streaming import streams
 from .fixtures import view, with_views
@@ -668,6 +669,19 @@ def mesh_faces(spark, sf):
     return voxels.mesh_faces(_grids(spark, sf), VK, (NX, NY, NZ))
 
 
+_MIXED = f"""corners AS (SELECT session, frame_idx, i - a AS i, j - b AS j, k - c AS k FROM carved CROSS JOIN (VALUES (0), (1)) x(a) CROSS JOIN (VALUES (0), (1)) y(b) CROSS JOIN (VALUES (0), (1)) z(c)),
+mixed AS (SELECT session, frame_idx, count(*) AS n_cells FROM (SELECT session, frame_idx, i, j, k FROM corners WHERE i BETWEEN 0 AND {NX - 2} AND j BETWEEN 0 AND {NY - 2} AND k BETWEEN 0 AND {NZ - 2} GROUP BY ALL HAVING count(*) < 8) q GROUP BY session, frame_idx)"""
+
+
+@query("SELECT v.session, v.frame_idx, n_vertices, n_cells FROM (SELECT session, frame_idx, count(*) AS n_vertices FROM verts GROUP BY session, frame_idx) v JOIN mixed m ON v.session = m.session AND v.frame_idx = m.frame_idx", "mask", more=f"{_CARVED}, {_VERTS}, {_MIXED}")
+def mesh_counts(spark, sf):
+    """Distinct corners of each mesh's triangles, and the cells that they lie in."""
+    faces = voxels.mesh_faces(_grids(spark, sf), VK, (NX, NY, NZ))
+    corners = faces.select(*VK, F.struct("i", "j", "k").alias("cell"), F.explode(F.array("a", "b", "c")).alias("v"))
+    by_cell = corners.groupBy(*VK).agg(F.countDistinct("v").alias("n_vertices"), F.countDistinct("cell").alias("n_cells"))
+    return by_cell
+
+
 @query()
 def smooth_mesh(spark, sf):
     """One round of smoothing of every frame's mesh."""
@@ -918,6 +932,48 @@ def patch_calibration(spark, sf):
     return files.patch(calib, calib.where("session % 3 = 0").select("session", (F.col("f0") + 1).alias("f0"))).select("session", "f0", "f1", "cx")
 
 
+_GROWN = _DILATE.format("inside")
+_WHOLE_RUN = f"""{_INSIDE}, o(dx, dy) AS (VALUES {', '.join(map(str, masks.ellipse(3)))}), grown AS ({_GROWN}), {_CELLS}, {_SEEN},
+carved AS (SELECT session, frame_idx, i, j, k FROM grown m JOIN seen s ON m.camera = s.camera AND m.px = s.px AND m.py = s.py GROUP BY session, frame_idx, i, j, k HAVING count(DISTINCT m.camera) = 2),
+{_VERTS}, {TRIANGULATED}, {_KERNEL}, smoothed AS ({SMOOTHED.replace('kp3d', 'tri')}),
+even AS (SELECT s.*, t.confidence, t.reproj_err FROM smoothed s JOIN tri t ON s.session = t.session AND s.name = t.name AND s.frame_idx = t.frame_idx),
+gapped AS ({GAPS.format('even')}), filled AS ({FILLED.format('even', 'gapped')}), sizes AS (SELECT session, frame_idx, count(*) AS n FROM carved GROUP BY session, frame_idx)"""
+
+
+@query("""SELECT 'stats' AS sink, session, name AS item, count(DISTINCT frame_idx) AS n, 0.0E0 AS value FROM filled GROUP BY session, name UNION ALL
+SELECT 'archive', d.session, d.name, n, CAST(n_frames AS DOUBLE) FROM (SELECT session, name, count(*) AS n FROM filled GROUP BY session, name) d JOIN frames f ON d.session = f.session UNION ALL
+SELECT 'tracks', session, name, count(*), round(avg(x) / 3.14159E0, 2) + 0.0E0 FROM filled GROUP BY session, name UNION ALL
+SELECT 'clouds', session, '', count(*), CAST(sum((k + 0.5E0) * 20 + 400) AS DOUBLE) FROM carved GROUP BY session UNION ALL
+SELECT 'skeletons', session, '', count(*), CAST(count(DISTINCT frame_idx) AS DOUBLE) FROM filled WHERE frame_idx % 5 = 0 GROUP BY session UNION ALL
+SELECT 'volumes', session, '', count(*), CAST(count(DISTINCT frame_idx) AS DOUBLE) FROM verts WHERE frame_idx % 5 = 0 GROUP BY session UNION ALL
+SELECT 'viewer', session, '', count(*), CAST(sum((coalesce(n, 0) + 7) // 8) AS DOUBLE) FROM (SELECT DISTINCT session, frame_idx FROM filled) f FULL JOIN sizes s USING (session, frame_idx) GROUP BY session UNION ALL
+SELECT 'header', session, string_agg(DISTINCT name, ',' ORDER BY name), count(DISTINCT name), round((min(x) - 50) / 3.14159E0, 2) + 0.0E0 FROM filled GROUP BY session UNION ALL
+SELECT 'metadata', f.session, coalesce(names, ''), n_frames, 20.0E0 FROM frames f LEFT JOIN (SELECT session, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM filled GROUP BY session) n ON f.session = n.session""", "mask", "truth3d", "frames", more=_WHOLE_RUN)
+def reconstruct(spark, sf):
+    """The whole run, masks to viewer, with every sink read back from the files it wrote."""
+    kp, frames = view(spark, sf, "kp2d"), view(spark, sf, "frames")
+    p = lambda m: F.array(*[F.lit(float(v)) for row in m for v in row])
+    cameras = frames.select("session", F.posexplode(F.array(p(P0), p(P1))).alias("camera", "p"))
+    told = reconstruction.Options(bounds=BOX, voxel_size=SIZE, width=128, height=72, mask_scale=10.0, grow=1, min_confidence=MIN_CONF)
+    job = reconstruction.run(kp, view(spark, sf, "mask"), frames, cameras, _edges(spark), tables.fresh_path(spark, "run"), told)
+    session = F.col("session").cast("bigint").alias("session")
+    row = lambda sink, df, item, n, value: df.select(F.lit(sink).alias("sink"), session, item.alias("item"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
+    c, none = F.col, F.lit("")
+    lines = lambda sink: spark.read.text(job.paths[sink]).where("value LIKE 'element vertex %'").groupBy("session").agg(F.sum(F.substring("value", 16, 12).cast("bigint")).alias("n"), F.count(F.lit(1)).alias("files"))
+    dense = job.table("archive").groupBy("session", "name").agg(F.count_if(~F.isnan("x")).alias("n"), F.count(F.lit(1)).alias("frames"))
+    clouds = job.table("clouds").groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum(c("z").cast("double")).alias("z"))
+    shown = spark.read.schema("frame_idx bigint, value string, session bigint").json(job.paths["viewer"])
+    shown = shown.withColumn("v", F.from_json("value", "kp map<string,array<double>>, voxels array<array<double>>")).groupBy("session").agg(F.count("v").alias("n"), F.sum(F.size("v.voxels")).alias("cells"))
+    parts = [
+        row("stats", spark.read.option("header", True).csv(job.paths["stats"]), c("name"), c("n_detected"), F.lit(0.0)),
+        row("archive", dense, c("name"), c("n"), c("frames")),
+        row("tracks", job.table("tracks").groupBy("session", "name").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x")), c("name"), c("n"), F.round(F.col("x") / 3.14159, 2) + 0.0),
+        row("clouds", clouds, none, c("n"), c("z")), row("skeletons", lines("skeletons"), none, c("n"), c("files")), row("volumes", lines("volumes"), none, c("n"), c("files")), row("viewer", shown, none, c("n"), c("cells")),
+        row("header", job.table("header"), F.array_join("names", ","), F.size("names"), F.round(F.col("x_min") / 3.14159, 2) + 0.0), row("metadata", job.table("metadata"), c("names"), c("n_frames"), c("voxel_size")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- streams
 
 
