@@ -1,11 +1,13 @@
-"""Line dedup: texts that share rare lines are aligned by patience diff; aligned common blocks go from the later text.
+"""Line dedup: texts that share rare line hashes are aligned by patience diff; aligned common blocks go from the later text.
 
 A line alone may be short or common, so a line's hash is taken together with its neighbours until the run has
 `least_words` words, once with the lines that follow and once with those before. A run is as rare as the rarest of its
-lines. Every line of a common block of that many words lies in a run, of either direction, that is inside the block: so if
-each text is aligned with the first owner of each of its runs, every common block with any earlier text goes, though a run
-and a text give one pair at most and never all pairs of a group arise. A line that goes from a text is in an earlier one,
-so the first text with a line keeps it.
+lines. Runs that at most RARE_TEXTS texts have are joined as they are, as no key of that join can be hot; what more texts
+have goes through a salted join, so no run is left out. Every line of a common block of that many words lies in a run, of
+either direction, that is inside the block: so if each text is aligned with the first owner of each of its runs, a text
+meets every earlier text that it needs to, though a run and a text give one pair at most and never all pairs of a group
+arise. What goes follows from the alignments alone, and a line that goes is in an earlier text, so the first text with a
+line keeps it.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, by_text, map_slices, materialize, release, small_batches, text_bytes, word_spans
+from .common import ByteHasher, by_text, map_slices, materialize, release, salted_join, small_batches, text_bytes, word_spans
 
-LEAST_WORDS, ROUNDS, SALTS = 50, 3, 64
+LEAST_WORDS, RARE_TEXTS, SALTS = 50, 64, 64
+#: Alignments of a pair go from lines that the earlier text has once to lines that it has so many times.
+COPIES = (1, 2, 4, 8, 16)
 _HASHER: list[ByteHasher] = []
 
 
@@ -80,39 +84,62 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def shared_blocks(a: np.ndarray, b: np.ndarray, words: np.ndarray, a_words: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """[start, stop) of the blocks of b's lines, of at least `least` words each, that stand in a as well; neighbouring ones are joined.
+def _chains(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Pairs, sorted by their first, as alignments: a longest one, then what it leaves, each pair behind the nearest that it can follow."""
+    best = _increasing(pairs)
+    out, used = [best] if best else [], set(best)
+    tails: list[int] = []
+    open_: list[list[tuple[int, int]]] = []
+    for i, j in pairs:
+        if (i, j) in used:
+            continue
+        at = bisect_left(tails, j) - 1
+        if at < 0:
+            tails.insert(0, j)
+            open_.insert(0, [(i, j)])
+            out.append(open_[0])
+        else:
+            tails[at] = j
+            open_[at].append((i, j))
+    return out
+
 
-    Lines that are unique in both and in the same order in both (patience diff) are anchors, and each grows to a block
-    while the lines around it are equal. Blocks that moved don't fit into one alignment, so what is left of b is aligned
-    again, a few times. What still isn't found, as no line of it is unique, is found by its runs: a block of b goes if each
-    of its lines lies in a run that a has. All steps take time in proportion to the lines (growing stops at unique lines).
+def shared_blocks(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """[start, stop) of the blocks of b's lines, of at least `least` words each, that alignments with a find; neighbouring ones are joined.
+
+    First the lines that are unique in both texts: the longest order that both share is the alignment (patience diff), and
+    its anchors grow to blocks while the lines around them are equal. What moved is out of that order and makes alignments
+    of its own. Then, among the lines of b that no block has taken yet, those that a has up to 1, 2, 4, 8 and 16 times, each
+    with all its places in a, so that repeated blocks are aligned as well; the rest, lines that a repeats more often, with
+    one place for each copy in turn. A common block is missed only where every line of it is so often in a and no copy met
+    its own place (periodic texts). All steps take time in proportion to the lines, but for a logarithm.
     """
     first, second, weight = a.tolist(), b.tolist(), words.tolist()
-    place: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
+    wanted = set(second)
     for i, h in enumerate(first):
-        place[h] = -1 if h in place else i
-    left = [h in place for h in second]
+        if h in wanted:
+            places.setdefault(h, []).append(i)
+    left = [h in places for h in second]
     out: list[tuple[int, int]] = []
-    for _ in range(ROUNDS):
-        seen: dict[int, int] = {}
+    for copies in (0, *COPIES, None):  # 0: unique in both
+        mine: dict[int, list[int]] = {}
         for j, h in enumerate(second):
-            if left[j]:
-                seen[h] = -1 if h in seen else j
-        anchors = _increasing(sorted((place[h], j) for h, j in seen.items() if j >= 0 and place[h] >= 0))
-        found = _grown(anchors, first, second, weight, least)
-        if not found:
-            break
-        for s, e in found:
-            left[s:e] = [False] * (e - s)
-        out += found
+            if left[j] and (copies is None or len(places[h]) <= max(copies, 1)):
+                mine.setdefault(h, []).append(j)
+        pairs = []
+        for h, own in mine.items():
+            theirs = places[h]
+            if copies == 0 and len(own) > 1:
+                continue
+            pairs += [(theirs[k % len(theirs)], j) for k, j in enumerate(own)] if copies is None else [(i, j) for j in own for i in theirs]
+        pairs.sort(key=lambda p: (p[0], -p[1]))
+        for anchors in _chains(pairs):
+            for s, e in _grown(anchors, first, second, weight, least):
+                left[s:e] = [False] * (e - s)
+                out.append((s, e))
         if not any(left):
-            return _merged(out)
-    if sum(w for w, x in zip(weight, left) if x):
-        keys, start, stop = runs(b, words, least)
-        known = np.isin(keys, runs(a, a_words, least)[0])
-        uncovered = np.concatenate(([0], np.cumsum(left)))
-        out += {(s, e) for s, e in zip(start[known].tolist(), stop[known].tolist()) if uncovered[e] > uncovered[s]}
+            break
     return _merged(out)
 
 
@@ -165,21 +192,24 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int =
     """
     table = materialize(line_table(docs, id_col, text_col, least_words), "line-table")
     owned = table.select("id", F.explode("runs").alias("run"))
-    owners = owned.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("run", "owner")
-    pairs = owned.join(owners, "run").where("id > owner").select("owner", "id").distinct()
+    owners = owned.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("texts")).where("owner < last")
+    owners = materialize(owners.select("run", "owner", "texts"), "run-owners")
+    rare, common = (owners.where(f"texts {than} {RARE_TEXTS}").select("run", "owner") for than in ("<=", ">"))
+    met = owned.join(rare, "run").unionByName(salted_join(owned, common, "run", "id").select("run", "id", "owner"))
+    pairs = met.where("id > owner").select("owner", "id").distinct()
     pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "line-pairs")
     later = table.select("id", F.col("lines").alias("b"), "words", "numbers")
-    first = table.select(F.col("id").alias("owner"), F.col("lines").alias("a"), F.col("words").alias("a_words"))
+    first = table.select(F.col("id").alias("owner"), F.col("lines").alias("a"))
     first = pairs.select("owner", "salt").distinct().join(first, "owner")
-    aligned = pairs.join(later, "id").join(first, ["owner", "salt"]).select("id", "a", "a_words", "b", "words", "numbers")
+    aligned = pairs.join(later, "id").join(first, ["owner", "salt"]).select("id", "a", "b", "words", "numbers")
     kind = dict(aligned.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
             spans = []
-            for a, a_words, b, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("a", "a_words", "b", "words", "numbers"))):
+            for a, b, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words", "numbers"))):
                 at = np.frombuffer(numbers, dtype=np.int32)
-                blocks = shared_blocks(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), np.frombuffer(words, dtype=np.int32), np.frombuffer(a_words, dtype=np.int32), least_words)
+                blocks = shared_blocks(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), np.frombuffer(words, dtype=np.int32), least_words)
                 spans.append([{"start": int(at[s]), "stop": int(at[e - 1]) + 1} for s, e in blocks])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["id", "spans"])
         release()
@@ -191,8 +221,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int =
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, text, n_lines, n_deleted): each row as a struct, its text without the blocks that an earlier text has.
 
-    Exactly the lines go that lie in a block of lines of least_words words or more (of one line at least) which an earlier
-    text has as well; 1 takes every repeated line. A text is earlier if its id is smaller; rows with equal ids aren't
+    The lines go that alignments with earlier texts put into common blocks of least_words words or more (of one line at
+    least); 1 takes every repeated line. See shared_blocks for what an alignment can miss. A text is earlier if its id is smaller; rows with equal ids aren't
     compared with each other and lose the same line numbers, as the same document. Null ids, null and empty texts stay as
     they are; a null text has 0 lines. Of exact copies all but the first lose all such lines. Very long texts are compared
     whole, in time in proportion to their lines. An empty table gives no rows. Columns of any name pass through in the

@@ -370,9 +370,38 @@ def test_line_dedup_of_many_lines():
     size = 50_000
     ten = np.full(size, 10, dtype=np.int32)
     up = np.arange(size, dtype=np.int64)
-    blocks = lambda a, b: line_dedup.shared_blocks(a, b, ten, ten)
+    blocks = lambda a, b: line_dedup.shared_blocks(a, b, ten)
+    began = time.perf_counter()
     assert blocks(up, up) == [(0, size)] == blocks(up * 0, up * 0) and blocks(up, up[::-1].copy()) == []
     assert blocks(up, np.roll(up, size // 2)) == [(0, size)] and blocks(up % 2, (up + 1) % 2) == [(0, size)]
+    fives = up.reshape(-1, 5)[::-1].ravel().copy()  # 10 000 blocks of 50 words, each where none stood before
+    assert blocks(up, fives) == [(0, size)] and blocks(up[:5], np.tile(up[:5], size // 5)) == [(0, size)]
+    assert time.perf_counter() - began < 20
+
+
+def test_line_dedup_goes_by_alignment():
+    """Blocks come from anchors of an alignment: a periodic text shares a run that no copy's own place leads to, and keeps it."""
+    p, q = 1, 2
+    a = np.array([p, q] * 20 + [p, p, q, q], dtype=np.int64)
+    b = np.array([p, p, q, q], dtype=np.int64)
+    ten = np.full(len(b), 13, dtype=np.int32)
+    assert set(line_dedup.runs(b, ten, 50)[0].tolist()) <= set(line_dedup.runs(a, np.full(len(a), 13, dtype=np.int32), 50)[0].tolist())
+    assert line_dedup.shared_blocks(a, b, ten) == []
+    # with a line that leads there, the alignment takes the whole block
+    a, b = np.append(a, 3), np.append(b, 3)
+    assert line_dedup.shared_blocks(a, b, np.full(len(b), 13, dtype=np.int32)) == [(0, 5)]
+    # the longest common order wins, what moved is aligned on its own, repeated blocks with any copy
+    assert line_dedup._chains([(0, 5), (1, 6), (2, 0), (3, 7), (4, 1)]) == [[(0, 5), (1, 6), (3, 7)], [(2, 0), (4, 1)]]
+
+
+def test_line_dedup_of_runs_that_many_texts_have(spark, monkeypatch):
+    """Rare and common runs take different joins and give the same."""
+    docs = documents(spark)
+    got = []
+    for rare in (0, 2, 64):
+        monkeypatch.setattr(line_dedup, "RARE_TEXTS", rare)
+        got.append(sorted((r.row.doc_id, r.n_deleted) for r in line_dedup.dedup_lines(docs, least_words=5).collect()))
+    assert got[0] == got[1] == got[2] and sum(n for _, n in got[0])
 
 
 def test_line_dedup_removes_shared_blocks(spark):
