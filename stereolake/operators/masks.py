@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 FRAME = ["session", "camera", "frame_idx"]
 
 
@@ -92,61 +94,152 @@ def open_(mask: DataFrame, kernel: list[tuple[int, int]], width: int, height: in
     return _morphed(mask, ("erode", "dilate"), kernel, width, height)
 
 
-_AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-_BESIDE = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-
-
-def components(pixels: list[tuple[int, int]], steps: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Connected groups of pixels, in the order of their first pixels."""
-    left = set(pixels)
-    out = []
-    for start in pixels:
-        if start not in left:
-            continue
-        left.remove(start)
-        group, todo = [start], [start]
-        while todo:
-            x, y = todo.pop()
-            for a, b in steps:
-                p = (x + a, y + b)
-                if p in left:
-                    left.remove(p)
-                    group.append(p)
-                    todo.append(p)
-        out.append(group)
-    return out
-
-
-def holes(group: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Background pixels that a blob encloses: those a walk from outside its box doesn't reach."""
-    xs, ys = [p[0] for p in group], [p[1] for p in group]
-    box = [(x, y) for y in range(min(ys) - 1, max(ys) + 2) for x in range(min(xs) - 1, max(xs) + 2)]
-    outside = components([p for p in box if p not in set(group)], _BESIDE)
-    return [p for g in outside[1:] for p in g]
-
-
-def label_blobs(mask: DataFrame, min_area: int = 1, fill: bool = False) -> DataFrame:
+def _runs(rows: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first x, last x, run of each pixel) of pixels sorted by row and x: maximal runs of neighbours in a row."""
+    fresh = np.ones(len(xs), dtype=bool)
+    fresh[1:] = (np.diff(rows) != 0) | (np.diff(xs) != 1)
+    start = np.flatnonzero(fresh)
+    stop = np.append(start[1:], len(xs)) - 1
+    return rows[start], xs[start], xs[stop], np.cumsum(fresh) - 1
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n nodes' components under edges (a, b): unions of arrays, halving paths in between."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def label_runs(rows: np.ndarray, xs: np.ndarray, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each pixel, runs' labels) of pixels sorted by row and x; a label is the least run of a component.
+
+    Runs of neighbouring rows touch where they overlap, with reach 1 also at corners (8-connected), with 0 not (4-connected).
+    Several images go in one call if their row numbers are more than one apart.
+    """
+    if not len(xs):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    row, first, last, of = _runs(rows, xs)
+    low = xs.min() - 1
+    span = int(xs.max() - low) + 2
+    starts, stops = row * span + first - low, row * span + last - low
+    lo = np.searchsorted(stops, (row + 1) * span + first - low - reach, side="left")
+    hi = np.searchsorted(starts, (row + 1) * span + last - low + reach, side="right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    root = joined(len(row), a, b)
+    return root[of], root
+
+
+def holes(ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Background pixels (y, x) that a blob encloses: those a 4-connected walk from outside its box doesn't reach."""
+    y0, x0 = ys.min() - 1, xs.min() - 1
+    free = np.ones((ys.max() - y0 + 2, xs.max() - x0 + 2), dtype=bool)
+    free[ys - y0, xs - x0] = False
+    y, x = np.nonzero(free)
+    label, _ = label_runs(y, x, reach=0)
+    inside = label != label[0]
+    return y[inside] + y0, x[inside] + x0
+
+
+def label_blobs(mask: DataFrame, min_area: int = 1, fill: bool = False, tile: int | None = None) -> DataFrame:
     """(session, camera, frame_idx, px, py, blob, area): 8-connected blobs of at least min_area pixels, with holes filled if asked.
 
-    The foreground of one frame is one row, as an image is bounded; a blob is numbered by its first pixel in row order.
+    Pixels of a row that touch are runs, runs of neighbouring rows that touch are united, all in arrays and for many frames
+    at a time. A blob is numbered by its first pixel in row order. The foreground of a frame is one row; with tile (pixels a
+    side) it is one row for each tile instead, so that images may exceed a task, and labels are merged across the borders.
     """
-    frames = mask.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("py", "px"))).alias("p"))
-    frames = frames.select(*FRAME, F.col("p.px").alias("xs"), F.col("p.py").alias("ys"))
-
-    @F.pandas_udf("array<struct<px: int, py: int, blob: bigint, area: bigint>>")
-    def solve(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys):
-            rows = []
-            for group in components(list(zip(x.tolist(), y.tolist())), _AROUND):
-                if len(group) >= min_area:
-                    number = rows[-1]["blob"] + 1 if rows else 0
-                    whole = group + (holes(group) if fill else [])
-                    rows += [{"px": px, "py": py, "blob": number, "area": len(whole)} for px, py in whole]
-            out.append(rows)
-        return pd.Series(out)
-
-    return frames.select(*FRAME, F.explode(solve("xs", "ys")).alias("b")).select(*FRAME, "b.*")
+    if tile:
+        if fill:
+            raise ValueError("holes are filled in whole images only")
+        return _tiled_blobs(mask, min_area, tile)
+    frames = mask.groupBy(*FRAME).agg(F.sort_array(F.collect_set(F.struct("py", "px"))).alias("p"))
+    kind = pa.struct([("px", pa.int32()), ("py", pa.int32()), ("blob", pa.int64()), ("area", pa.int64())])
+
+    def run(ys: pa.Array, xs: pa.Array) -> pa.Array:
+        y, x = (np.asarray(v.flatten()).astype(np.int64) for v in (ys, xs))
+        counts = np.asarray(pc.list_value_length(ys)).astype(np.int64)
+        frame = np.repeat(np.arange(len(counts)), counts)
+        if not len(y):
+            return pa.array([[] for _ in counts], pa.list_(kind))
+        height = int(y.max() - y.min()) + 3
+        label, _ = label_runs(frame * height + y - y.min(), x)
+        # blobs in order of their frames and first pixels
+        _, blob, area = np.unique(label, return_inverse=True, return_counts=True)
+        keep = area[blob] >= min_area
+        frame, y, x, blob = frame[keep], y[keep], x[keep], blob[keep]
+        if fill and len(blob):
+            order = np.argsort(blob, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(blob[order])) + 1)
+            more = [(holes(y[own], x[own]), own[0]) for own in parts]
+            sizes = [len(h[0]) for h, _ in more]
+            at = np.repeat([k for _, k in more], sizes)
+            y, x = (np.concatenate([v, *[h[side] for h, _ in more]]) for side, v in enumerate((y, x)))
+            frame, blob = np.concatenate([frame, frame[at]]), np.concatenate([blob, blob[at]])
+        order = np.lexsort([x, y, blob])
+        frame, y, x, blob = frame[order], y[order], x[order], blob[order]
+        _, number, area = np.unique(blob, return_inverse=True, return_counts=True)
+        area = area[number] if len(number) else area
+        first = np.searchsorted(frame, np.arange(len(counts) + 1))
+        number = number - np.append(number, 0)[first[:-1]].repeat(np.diff(first))
+        values = pa.StructArray.from_arrays([pa.array(v, t.type) for v, t in zip((x, y, number, area), kind)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), values)
+
+    labelled = F.arrow_udf(run, "array<struct<px: int, py: int, blob: bigint, area: bigint>>")
+    return frames.select(*FRAME, F.explode(labelled(F.col("p.py"), F.col("p.px"))).alias("b")).select(*FRAME, "b.*")
+
+
+def _tiled_blobs(mask: DataFrame, min_area: int, tile: int) -> DataFrame:
+    """label_blobs of images cut into tiles: blobs of each tile, then components of what touches across borders."""
+    own = [F.floor(F.col(v) / tile).cast("int").alias(t) for v, t in (("px", "tx"), ("py", "ty"))]
+    cells = mask.select(*FRAME, "px", "py").distinct().select(*FRAME, "px", "py", *own)
+    tiles = cells.groupBy(*FRAME, "tx", "ty").agg(F.sort_array(F.collect_list(F.struct("py", "px"))).alias("p"))
+
+    def run(ys: pa.Array, xs: pa.Array) -> pa.Array:
+        y, x = (np.asarray(v.flatten()).astype(np.int64) for v in (ys, xs))
+        counts = np.asarray(pc.list_value_length(ys)).astype(np.int64)
+        part = np.repeat(np.arange(len(counts)), counts)
+        label, _ = label_runs(part * (tile + 2) + y % tile, x % tile)
+        # a blob of a tile is named by its first pixel
+        _, first, number = np.unique(label, return_index=True, return_inverse=True)
+        kind = pa.struct([("px", pa.int32()), ("py", pa.int32()), ("ny", pa.int32()), ("nx", pa.int32())])
+        values = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (x, y, y[first][number], x[first][number])], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    local = F.arrow_udf(run, "array<struct<px: int, py: int, ny: int, nx: int>>")
+    rows = cut(tiles.select(*FRAME, "tx", "ty", F.explode(local(F.col("p.py"), F.col("p.px"))).alias("b")).select(*FRAME, "tx", "ty", "b.px", "b.py", F.struct("b.ny", "b.nx").alias("node")), "tile-blobs")
+    edge = rows.where(" OR ".join(f"pmod({v}, {tile}) IN (0, {tile - 1})" for v in ("px", "py")))
+    ahead = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
+    asked = edge.select(*FRAME, F.col("node").alias("a"), "px", "py", "tx", "ty", F.explode(ahead).alias("d")).select(*FRAME, "a", (F.col("px") + F.col("d.dx")).alias("px"), (F.col("py") + F.col("d.dy")).alias("py"), F.col("tx").alias("ax"), F.col("ty").alias("ay"))
+    touching = asked.join(edge, [*FRAME, "px", "py"]).where("tx <> ax OR ty <> ay").select(*FRAME, "a", F.col("node").alias("b")).distinct()
+
+    def merge(pairs: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({tuple(v) for c in ("ay", "by") for v in zip(pairs[c], pairs["ax" if c == "ay" else "bx"])})
+        number = {name: k for k, name in enumerate(names)}
+        a, b = (np.array([number[v] for v in zip(pairs[y], pairs[x])]) for y, x in (("ay", "ax"), ("by", "bx")))
+        root = joined(len(names), a, b)
+        to = [names[r] for r in root]
+        return pd.DataFrame({**{k: pairs[k].iloc[0] for k in FRAME}, "ny": [n[0] for n in names], "nx": [n[1] for n in names], "ry": [t[0] for t in to], "rx": [t[1] for t in to]})
+
+    kinds = dict(mask.dtypes)
+    flat = touching.select(*FRAME, *[F.col(f"{n}.n{v}").alias(f"{n}{v}") for n in "ab" for v in "yx"])
+    roots = flat.groupBy(*FRAME).applyInPandas(merge, ", ".join([*[f"{k} {kinds[k]}" for k in FRAME], "ny int, nx int, ry int, rx int"]))
+    roots = roots.select(*FRAME, F.struct("ny", "nx").alias("node"), F.struct(F.col("ry").alias("ny"), F.col("rx").alias("nx")).alias("root"))
+    nodes = rows.groupBy(*FRAME, "node").agg(F.count(F.lit(1)).alias("pixels")).join(roots, [*FRAME, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    whole = nodes.groupBy(*FRAME, "root").agg(F.sum("pixels").alias("area")).where(F.col("area") >= min_area)
+    whole = whole.withColumn("blob", F.row_number().over(Window.partitionBy(*FRAME).orderBy("root")).cast("long") - 1)
+    named = nodes.select(*FRAME, "node", "root").join(whole, [*FRAME, "root"]).select(*FRAME, "node", "blob", "area")
+    return rows.join(named, [*FRAME, "node"]).select(*FRAME, "px", "py", "blob", "area")
 
 
 def largest_blob(blobs: DataFrame, min_area: int = 400) -> DataFrame:
