@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.tables import cut
 from . import nearest
 
 PAIR = ["session", "frame_idx"]
@@ -35,13 +37,23 @@ def match_descriptors(descriptors: DataFrame, key: list[str], ratio: float = 0.7
     return starts.join(clear, [*key, "d"]).select(*key, "id0", "id1", "x0", "y0", "x1", "y1", "dist")
 
 
+def first_k(rows: DataFrame, by: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first k rows of each key by the order, with their rank from 1: merged in three steps, none of which sorts a whole key.
+
+    Each task keeps k rows of each key before anything is shuffled (Spark's window group limit, for k up to 1000), a key's
+    rows are merged by salt, and one task sees at most salts * k of them. Rows that the order doesn't tell apart are chosen
+    at will.
+    """
+    salt = F.pmod(F.xxhash64(*[F.struct(*rows.columns)]), F.lit(salts)).alias("_salt")
+    some = rows.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).where(F.col("rank") <= k)
+    return some.drop("_salt").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def grid_cap(matches: DataFrame, key: list[str], order: str, width: int, height: int, rows: int = 4, cols: int = 4, cap: int = 30) -> DataFrame:
     """The first `cap` matches of each image cell, in match order; cells at the far border take what lies beyond."""
     col = F.least((F.col("x0") / (width / cols)).cast("int"), F.lit(cols - 1))
     row = F.least((F.col("y0") / (height / rows)).cast("int"), F.lit(rows - 1))
-    celled = matches.withColumns({"cell_row": row, "cell_col": col})
-    rank = F.row_number().over(Window.partitionBy(*key, "cell_row", "cell_col").orderBy(order))
-    return celled.withColumn("rank", rank).where(F.col("rank") <= cap)
+    return first_k(matches.withColumns({"cell_row": row, "cell_col": col}), [*key, "cell_row", "cell_col"], [F.col(order)], cap)
 
 
 def sampled(frames: DataFrame, every: int, warmup: int = 60, start: int = 0) -> DataFrame:
@@ -50,7 +62,7 @@ def sampled(frames: DataFrame, every: int, warmup: int = 60, start: int = 0) ->
 
 
 def take_first(rows: DataFrame, n: int, order: str = "frame_idx", by: str = "session") -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("rank") <= n).drop("rank")
+    return first_k(rows, [by], [F.col(order)], n).drop("rank")
 
 
 def accept(estimates: DataFrame, min_inliers: int = 80, min_ratio: float = 0.25) -> DataFrame:
@@ -61,22 +73,51 @@ def with_quality(estimates: DataFrame) -> DataFrame:
     return estimates.withColumn("quality", g.estimate_quality(F.col("n_inliers"), F.col("inlier_ratio"), F.col("mean_sampson")))
 
 
-def filter_quality(estimates: DataFrame, least: float = 0.35, fallback: float = 0.2, enough: int = 10) -> DataFrame:
-    """Estimates of at least a quality; sessions in which fewer than `enough` are left use the fallback."""
-    good = F.count_if(F.col("quality") >= least).over(Window.partitionBy("session"))
-    return estimates.withColumn("good", good).where(F.col("quality") >= F.when(F.col("good") >= enough, least).otherwise(fallback)).drop("good")
+def filter_quality(estimates: DataFrame, least: float = 0.35, fallback: float = 0.2, enough: int = 10, fewest: int = 0) -> DataFrame:
+    """Estimates of at least a quality; sessions in which fewer than `enough` are left use the fallback.
+
+    fewest: where a session has fewer estimates in all, the job fails and names it (the command line of the reference run
+    asks for 5); 0 lets every session through.
+    """
+    counts = estimates.groupBy("session").agg(F.count_if(F.col("quality") >= least).alias("good"), F.count(F.lit(1)).alias("pool"))
+    floor = F.when(F.col("good") >= enough, least).otherwise(fallback)
+    if fewest:
+        short = F.raise_error(F.concat(F.lit(f"fewer than {fewest} estimates in session "), F.col("session").cast("string")))
+        floor = F.when(F.col("pool") < fewest, short.cast("double")).otherwise(floor)
+    counts = counts.select(F.col("session").alias("_session"), floor.alias("_floor"))
+    return estimates.join(counts, F.col("session").eqNullSafe(F.col("_session"))).where(F.col("quality") >= F.col("_floor")).drop("_session", "_floor")
 
 
-def diverse_top_n(estimates: DataFrame, top_n: int = 80, apart: int = 30) -> DataFrame:
+def diverse_top_n(estimates: DataFrame, top_n: int = 80, apart: int = 30, chunk: int = 4096, rounds: int = 4) -> DataFrame:
     """(session, frame_idx): best first, those more than `apart` frames from every kept one; all where no more than top_n are.
 
-    The fold runs over a session's sorted (quality, frame) array, inside the engine.
+    Walking in quality order keeps an estimate unless a better kept one is near. So whatever is best among the remaining
+    ones within `apart` frames is kept, all over the sessions at once, and what is near to it goes; rounds of this give the
+    walk's result, of which the top_n best are taken. Frames lie in chunks with a margin that `rounds` rounds can't reach
+    beyond, so a session is never in one task. Ties go by frame; of equal frames the best counts, null qualities don't.
     """
-    ordered = estimates.groupBy("session").agg(F.array_sort(F.collect_list(F.struct((-F.col("quality")).alias("q"), F.col("frame_idx").alias("f")))).alias("all"))
-    far = lambda kept, e: ~F.exists(kept, lambda k: F.abs(k - e["f"]) <= apart)
-    keep = F.aggregate("all", F.array().cast("array<bigint>"), lambda kept, e: F.when((F.size(kept) < top_n) & far(kept, e), F.array_append(kept, e["f"].cast("bigint"))).otherwise(kept))
-    whole = F.transform("all", lambda e: e["f"].cast("bigint"))
-    return ordered.select("session", F.explode(F.when(F.size("all") > top_n, keep).otherwise(whole)).alias("frame_idx"))
+    sizes = estimates.groupBy("session").agg(F.count(F.lit(1)).alias("pool"))
+    few = estimates.join(sizes.where(F.col("pool") <= top_n).select("session"), "session", "left_semi").select("session", F.col("frame_idx").cast("bigint").alias("frame_idx"))
+    many = estimates.where("quality IS NOT NULL").join(sizes.where(F.col("pool") > top_n).select("session"), "session", "left_semi")
+    left = cut(many.groupBy("session", F.col("frame_idx").cast("bigint").alias("frame_idx")).agg(F.max("quality").alias("quality")), "estimates")
+    kept, margin = [], 2 * apart * rounds
+    near = Window.partitionBy("session", "chunk").orderBy("frame_idx").rangeBetween(-apart, apart)
+    place = F.struct("quality", (-F.col("frame_idx")).alias("f"))
+    while left.limit(1).count():
+        at = F.col("frame_idx")
+        low, high = F.floor((at - margin) / chunk), F.floor((at + margin) / chunk)
+        rows = left.withColumn("chunk", F.explode(F.sequence(low, high))).withColumn("state", F.lit(0))  # 0 open, 1 kept, 2 near to a kept one
+        for _ in range(rounds):
+            best = F.max(F.when(F.col("state") == 0, place)).over(near)
+            rows = rows.withColumn("state", F.when((F.col("state") == 0) & (best == place), 1).otherwise(F.col("state")))
+            rows = rows.withColumn("state", F.when((F.col("state") == 0) & (F.count_if(F.col("state") == 1).over(near) > 0), 2).otherwise(F.col("state")))
+        rows = cut(rows.where(F.col("chunk") == F.floor(at / chunk)).where("state < 2").select("session", "frame_idx", "quality", "state"), "estimates")
+        kept.append(rows.where("state = 1").drop("state"))
+        left = rows.where("state = 0").drop("state")
+    if not kept:
+        return few
+    best = first_k(reduce(DataFrame.unionByName, kept), ["session"], [F.desc("quality"), F.asc("frame_idx")], top_n)
+    return few.unionByName(best.select("session", "frame_idx"))
 
 
 def epipolar_stats(matches: DataFrame, f: g.Matrix, key: list[str], limit: float = 2.0) -> DataFrame:
@@ -159,8 +200,7 @@ def estimate_fundamental(matches: DataFrame, key: list[str], threshold: float =
         found = _hypotheses(pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float), threshold, confidence, least_ratio, seed)
         return pd.DataFrame([[*pdf[key].iloc[0], h, f.ravel().tolist()] for h, f in enumerate(found)], columns=out.columns)
 
-    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *points), *points)
-    drawn = matches.select(*key, *points).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).drop("rank")
+    drawn = first_k(matches.select(*key, *points), key, [F.xxhash64(F.lit(seed), *points), *map(F.col, points)], pool).drop("rank")
     tried = drawn.groupBy(*key).applyInPandas(solve, f"{fields}, h int, f array<double>")
     s = g.sampson(g.from_array("f", 3, 3), *map(F.col, points))
     scored = matches.select(*key, *points).join(tried, key).withColumn("s", s).withColumn("near", F.col("s") < threshold * threshold)

@@ -283,9 +283,12 @@ def best_estimate(spark, sf):
     return rounded(_quality(spark, sf).groupBy("session").agg(best).select("session", (-F.col("b.f")).alias("frame_idx"), "b.quality"))
 
 
-@query()
+@query("""SELECT session, unnest(kept) AS frame_idx FROM (SELECT session, arg_max(kept, r) AS kept FROM walk GROUP BY session) w""", "f_dense", more="""RECURSIVE ranked AS (
+SELECT session, CAST(frame_idx AS BIGINT) AS frame_idx, row_number() OVER (PARTITION BY session ORDER BY 0.35E0 * least(n_inliers / 300.0E0, 1) + 0.35E0 * inlier_ratio + 0.3E0 * exp(-mean_sampson / 0.5E0) DESC, frame_idx) AS r FROM f_dense),
+walk AS (SELECT session, r, [frame_idx] AS kept FROM ranked WHERE r = 1 UNION ALL
+SELECT w.session, n.r, CASE WHEN len(kept) < 80 AND len(list_filter(kept, lambda k: abs(k - frame_idx) <= 30)) = 0 THEN list_append(kept, frame_idx) ELSE kept END FROM walk w JOIN ranked n ON n.session = w.session AND n.r = w.r + 1)""")
 def diverse_top_n(spark, sf):
-    return matching.diverse_top_n(_quality(spark, sf))
+    return matching.diverse_top_n(matching.with_quality(view(spark, sf, "f_dense")))
 
 
 @query("SELECT session, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY frame_idx) AS r FROM f_scores WHERE n_inliers >= 80) z WHERE r <= 40", "f_scores")

@@ -103,6 +103,11 @@ SELECT session, event_id, x / z * 900 + 640 AS x0, y / z * 900 + 360 AS y0,
        (ca * x + sa * (sb * y + cb * z) + tx) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 640 AS x1,
        (cb * y - sb * z + ty) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 360 AS y1 FROM rig_points""")
 
+#: Estimates of few long sessions, seven frames apart, so that near ones compete.
+VIEWS["f_dense"] = ((), """
+SELECT user_id % 4 AS session, 7 * row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS frame_idx, CAST(40 + (event_id * 31) % 260 AS INT) AS n_inliers,
+       CAST(20 + (event_id * 17) % 70 AS DOUBLE) / 100 AS inlier_ratio, CAST(10 + (event_id * 43) % 290 AS DOUBLE) / 100 AS mean_sampson FROM events""")
+
 BASE_TABLES = ("events", "embeddings")
 
 
@@ -124,9 +129,10 @@ def closure(names: tuple[str, ...]) -> list[str]:
 def with_views(body: str, *names: str, more: str = "") -> str:
     """SQL text with the named views in front."""
     parts = [f"{n} AS ({VIEWS[n][1]}\n)" for n in closure(names)]
+    head = "WITH RECURSIVE" if more.startswith("RECURSIVE ") else "WITH"
     if more:
-        parts.append(more)
-    return f"WITH {', '.join(parts)}\n{body}"
+        parts.append(more.removeprefix("RECURSIVE "))
+    return f"{head} {', '.join(parts)}\n{body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
