@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import sqlnames
 from ..operators import alignment, calibration, grids, masks, matching, reconstruct as reconstruction, refinement, trajectory, voxels
-from ..sources import files, tables
+from ..sources import files, tables, versions
 from ..streaming import streams
 from .fixtures import view, with_views
 
@@ -932,7 +932,24 @@ def stats_csv(spark, sf):
 @query("SELECT session, CASE WHEN session % 3 = 0 THEN f0 + 1 ELSE f0 END AS f0, f1, cx FROM calib", "calib")
 def patch_calibration(spark, sf):
     calib = view(spark, sf, "calib")
-    return files.patch(calib, calib.where("session % 3 = 0").select("session", (F.col("f0") + 1).alias("f0"))).select("session", "f0", "f1", "cx")
+    return versions.patch(calib, calib.where("session % 3 = 0").select("session", (F.col("f0") + 1).alias("f0"))).select("session", "f0", "f1", "cx")
+
+
+@query("""SELECT 1 AS version, session, f0, f1, cx FROM calib UNION ALL
+SELECT 2, session, CASE WHEN session % 3 = 0 THEN f0 + 1 ELSE f0 END, f1, CASE WHEN session % 3 = 1 THEN NULL ELSE cx END FROM calib""", "calib")
+def calibration_versions(spark, sf):
+    """Two versions of a calibration table, the second a merge that names its fields; a writer that is late changes nothing."""
+    root = tables.fresh_path(spark, "calibrations")
+    calib = view(spark, sf, "calib").select("session", "f0", "f1", "cx")
+    versions.commit(calib, root, 0)
+    names = F.when(F.col("session") % 3 == 0, F.array(F.lit("f0"))).when(F.col("session") % 3 == 1, F.array(F.lit("cx")))
+    changes = calib.select("session", (F.col("f0") + 1).alias("f0"), F.lit(None).cast("double").alias("cx"), names.alias("named"))
+    versions.merge(spark, root, changes)
+    try:
+        versions.merge(spark, root, changes.withColumn("f0", F.lit(0.0)), based_on=1)
+    except versions.VersionConflict:
+        pass
+    return reduce(DataFrame.unionByName, [versions.read(spark, root, v).select(F.lit(v).alias("version"), "session", "f0", "f1", "cx") for v in (1, 2)])
 
 
 _GROWN = _DILATE.format("inside")

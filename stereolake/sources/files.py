@@ -216,11 +216,3 @@ def edge_lines(edges: DataFrame, key: list[str]) -> DataFrame:
     rows = edges.select(*key, "edge_id", "pos", F.concat_ws(",", F.col("camera").cast("string"), "label", fixed("x", 3), fixed("y", 3)).alias("value"))
     ends = edges.groupBy(*key, "edge_id").agg((F.max("pos") + 1).alias("pos")).withColumn("value", F.lit("---"))
     return rows.unionByName(ends.select(*key, "edge_id", "pos", "value"))
-
-
-def patch(calib: DataFrame, changes: DataFrame, key: str = "session") -> DataFrame:
-    """Calibrations with the named fields of `changes` in place of theirs, everything else kept."""
-    fields = [c for c in changes.columns if c != key]
-    new = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit"))
-    joined = calib.join(new, F.col(key) == F.col("_k"), "left")
-    return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in calib.columns])
