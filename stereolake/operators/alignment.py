@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,6 +91,70 @@ def distortion_scan(edges: DataFrame, f: float, cx: float, cy: float, reach: flo
     return best
 
 
+#: Where a round measures the cost: the centre, a step along each coefficient both ways, and along each two of them.
+_STENCIL = [(0, 0, 0), *[tuple(s * (i == a) for i in range(3)) for a in range(3) for s in (1, -1)], *[tuple(s * (i == a) + t * (i == b) for i in range(3)) for a, b in ((0, 1), (0, 2), (1, 2)) for s in (1, -1) for t in (1, -1)]]
+_SEARCH = "session {session}, camera {camera}, n_edges long, k1 double, k2 double, k3 double, h double, radius double, best array<double>, best_cost double, next array<double>, rmse double, converged boolean"
+
+
+def _newton(rows: pd.DataFrame, tolerance: float) -> dict:
+    """A camera's next centre from its costs on the stencil; where the last step led uphill, back to the best point seen."""
+    state = rows.iloc[0]
+    cost = dict(zip(rows["at"], rows["cost"]))
+    rmse = dict(zip(rows["at"], rows["rmse"]))[0]
+    f = [cost[n] for n in range(len(_STENCIL))]
+    center, h, radius = np.array([state["k1"], state["k2"], state["k3"]]), float(state["h"]), float(state["radius"])
+    out = {c: state[c] for c in ("session", "camera", "n_edges")}
+    if not f[0] <= state["best_cost"]:  # nan counts as uphill
+        k = np.array(state["next"])
+        return out | dict(zip(("k1", "k2", "k3"), k)) | {"h": h / 2, "radius": radius / 4, "best": state["best"], "best_cost": math.inf, "next": list(state["best"]), "rmse": rmse, "converged": False}
+    gradient = np.array([(f[1 + 2 * a] - f[2 + 2 * a]) / (2 * h) for a in range(3)])
+    curve = np.diag([(f[1 + 2 * a] - 2 * f[0] + f[2 + 2 * a]) / (h * h) for a in range(3)])
+    for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        pp, pm, mp, mm = f[7 + 4 * n : 11 + 4 * n]
+        curve[a, b] = curve[b, a] = (pp - pm - mp + mm) / (4 * h * h)
+    size, axes = np.linalg.eigh(curve)
+    size = np.maximum(np.abs(size), max(1e-10 * np.abs(size).max(), 1e-300))
+    move = -axes @ ((axes.T @ gradient) / size)
+    far = float(np.linalg.norm(move))
+    done = far < tolerance
+    if far > radius:
+        move *= radius / far
+    lowest = int(np.nanargmin(f))
+    aside = center + h * np.array(_STENCIL[lowest])
+    k = center + move
+    return out | dict(zip(("k1", "k2", "k3"), k)) | {"h": max(h / 3, 2e-4), "radius": radius * 1.5, "best": center.tolist(), "best_cost": f[0], "next": aside.tolist(), "rmse": rmse, "converged": done}
+
+
+def fit_distortion(edges: DataFrame, f: float, cx: float, cy: float, least_edges: int = 3, rounds: int = 24, tolerance: float = 1e-5, start: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(session, camera, n_edges, k1, k2, k3, cost, rmse, converged): radial coefficients under which a camera's edges are straightest.
+
+    The three are searched together, as they trade off against each other: each round measures the mean squared line error
+    of every camera's undistorted edges at the 19 points of a stencil around its centre, one aggregation for all cameras,
+    and steps to the minimum of the parabola through them, within a radius. converged: the last step was below the
+    tolerance. Cameras with fewer than `least_edges` edges get null coefficients. rmse is the mean line error in pixels.
+    """
+    kinds = dict(edges.dtypes)
+    sized = edges.groupBy("session", "camera").agg(F.countDistinct("label").alias("n_edges"))
+    usable = edges.join(sized.where(F.col("n_edges") >= least_edges).drop("n_edges"), ["session", "camera"], "left_semi")
+    at0 = F.array(*[F.lit(float(v)) for v in start])
+    state = sized.where(F.col("n_edges") >= least_edges).select("session", "camera", "n_edges", *[F.lit(float(v)).alias(k) for k, v in zip(("k1", "k2", "k3"), start)], F.lit(0.03).alias("h"), F.lit(0.3).alias("radius"), at0.alias("best"), F.lit(float("inf")).alias("best_cost"), at0.alias("next"), F.lit(0.0).alias("rmse"), F.lit(False).alias("converged"))
+    points = F.array(*[F.struct(F.lit(n).alias("at"), *[F.lit(float(v)).alias(d) for v, d in zip(p, ("d1", "d2", "d3"))]) for n, p in enumerate(_STENCIL)])
+    schema = _SEARCH.format(**kinds)
+    for _ in range(rounds):
+        tried = state.where("NOT converged").withColumn("p", F.explode(points)).select("session", "camera", F.col("p.at").alias("at"), *[(F.col(f"k{i}") + F.col("h") * F.col(f"p.d{i}")).alias(f"t{i}") for i in (1, 2, 3)])
+        u, v = g.undistort_radial(F.col("x"), F.col("y"), cx, cy, f, F.col("t1"), F.col("t2"), F.col("t3"))
+        flat = usable.join(tried, ["session", "camera"]).select("session", "camera", "label", "at", u.alias("u"), v.alias("v"))
+        lines = flat.groupBy("session", "camera", "label", "at").agg(line_rmse("u", "v").alias("e"))
+        costs = lines.groupBy("session", "camera", "at").agg(F.avg(F.col("e") * F.col("e")).alias("cost"), F.avg("e").alias("rmse"))
+        measured = costs.join(state.drop("rmse"), ["session", "camera"])
+        moved = measured.groupBy("session", "camera").applyInPandas(lambda rows: pd.DataFrame([_newton(rows, tolerance)]), schema)
+        state = cut(moved.unionByName(state.where("converged")))  # a row for each camera
+        if not state.where("NOT converged").limit(1).count():
+            break
+    fits = state.select("session", "camera", *[F.col("best")[i].alias(f"k{i + 1}") for i in range(3)], F.col("best_cost").alias("cost"), "rmse", "converged")
+    return sized.join(fits, ["session", "camera"], "left").withColumn("converged", F.coalesce("converged", F.lit(False)))
+
+
 def arena_residuals(points: DataFrame, edges: DataFrame, pose: dict, stereo: dict, edge_weight: float = 0.3) -> DataFrame:
     """(session, n, rmse): corner residuals in both cameras' pixels together with the weighted residuals of edge points.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import sqlnames
 from ..operators import alignment, calibration, grids, masks, matching, reconstruct as reconstruction, refinement, trajectory, voxels
-from ..sources import files, tables, versions
+from ..sources import files, frames, tables, versions
 from ..streaming import streams
 from .fixtures import view, with_views
 
@@ -542,6 +542,14 @@ def distortion_scan(spark, sf):
     return rounded(alignment.distortion_scan(view(spark, sf, "edge_points"), 900.0, 640.0, 360.0), 6)
 
 
+@query("""SELECT session, camera, count(DISTINCT label) AS n_edges, CASE WHEN count(DISTINCT label) >= 3 THEN round(any_value(k1), 3) + 0.0E0 END AS k1, CASE WHEN count(DISTINCT label) >= 3 THEN round(any_value(k2), 2) + 0.0E0 END AS k2,
+CASE WHEN count(DISTINCT label) >= 3 THEN round(any_value(k3), 2) + 0.0E0 END AS k3, CASE WHEN count(DISTINCT label) >= 3 THEN 0.0E0 END AS rmse, count(DISTINCT label) >= 3 AS converged FROM bent_edges GROUP BY session, camera""", "bent_edges")
+def fit_distortion(spark, sf):
+    """All three coefficients of every camera together, from edges that planted coefficients bend."""
+    out = alignment.fit_distortion(view(spark, sf, "bent_edges"), 900.0, 640.0, 360.0)
+    return out.select("session", "camera", "n_edges", *[(F.round(k, d) + 0.0).alias(k) for k, d in (("k1", 3), ("k2", 2), ("k3", 2), ("rmse", 3))], "converged")
+
+
 @query("""SELECT session, camera, count(*) AS n_edges, min(n) AS fewest, count(*) >= 3 AND min(n) >= 4 AS ready FROM (SELECT session, camera, label, count(*) AS n FROM edge_points GROUP BY session, camera, label) q GROUP BY session, camera""", "edge_points")
 def edge_counts(spark, sf):
     return alignment.edge_counts(view(spark, sf, "edge_points"))
@@ -952,6 +960,18 @@ def calibration_versions(spark, sf):
     return reduce(DataFrame.unionByName, [versions.read(spark, root, v).select(F.lit(v).alias("version"), "session", "f0", "f1", "cx") for v in (1, 2)])
 
 
+@query("SELECT CAST(session AS VARCHAR) AS session, camera, CAST(frame_idx AS BIGINT) AS frame_idx, 'brightest' AS name, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, round(v / 255, 6) AS confidence FROM pixel_series", "pixel_series")
+def detect_frames(spark, sf):
+    """Image files of every session, written from the pixel series, through a detector of the brightest pixel."""
+    path = tables.fresh_path(spark, "images")
+    at = F.col("y") * 4 + F.col("x")
+    pixels = F.concat(*[F.when(at == n, F.unhex(F.lpad(F.hex(F.col("v").cast("int")), 2, "0"))).otherwise(F.unhex(F.lit("00"))) for n in range(12)])
+    images = view(spark, sf, "pixel_series").withColumn("content", F.concat(F.encode(F.lit("P5 4 3 255 "), "US-ASCII"), pixels))
+    images = images.select("session", "camera", F.col("frame_idx").cast("bigint").alias("frame_idx"), "content")
+    frames.write_images(images, path).write.format("noop").mode("overwrite").save()
+    return rounded(frames.read(spark, path, f"{frames.__name__}:Brightest"))
+
+
 _GROWN = _DILATE.format("inside")
 _WHOLE_RUN = f"""{_INSIDE}, o(dx, dy) AS (VALUES {', '.join(map(str, masks.ellipse(3)))}), grown AS ({_GROWN}), {_CELLS}, {_SEEN},
 carved AS (SELECT session, frame_idx, i, j, k FROM grown m JOIN seen s ON m.camera = s.camera AND m.px = s.px AND m.py = s.py GROUP BY session, frame_idx, i, j, k HAVING count(DISTINCT m.camera) = 2),

@@ -103,6 +103,14 @@ SELECT session, event_id, x / z * 900 + 640 AS x0, y / z * 900 + 360 AS y0,
        (ca * x + sa * (sb * y + cb * z) + tx) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 640 AS x1,
        (cb * y - sb * z + ty) / (ca * (sb * y + cb * z) - sa * x + tz) * 900 + 360 AS y1 FROM rig_points""")
 
+#: Straight edges as a camera with known radial coefficients bends them, a camera for each session.
+VIEWS["bent_edges"] = (("truth3d",), """
+SELECT session, CAST(session % 2 AS INT) AS camera, name AS label, pos, k1, k2, k3, u * d * 900 + 640 AS x, v * d * 900 + 360 AS y
+FROM (SELECT *, 1 + k1 * (u * u + v * v) + k2 * (u * u + v * v) * (u * u + v * v) + k3 * (u * u + v * v) * (u * u + v * v) * (u * u + v * v) AS d
+FROM (SELECT session, name, pos, k1, k2, k3, u, CAST(ascii(name) % 7 - 3 AS DOUBLE) / 10 + CAST(length(name) - 5 AS DOUBLE) / 8 * u AS v
+FROM (SELECT session, name, frame_idx AS pos, -0.25E0 + CAST(session % 5 AS DOUBLE) / 50 AS k1, 0.05E0 + CAST(session % 3 AS DOUBLE) / 100 AS k2, CAST(session % 2 AS DOUBLE) / 100 AS k3,
+             CAST(frame_idx % 25 AS DOUBLE) / 20 - 0.6E0 AS u FROM truth3d) a) b) c""")
+
 #: Estimates of few long sessions, seven frames apart, so that near ones compete.
 VIEWS["f_dense"] = ((), """
 SELECT user_id % 4 AS session, 7 * row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS frame_idx, CAST(40 + (event_id * 31) % 260 AS INT) AS n_inliers,
