@@ -21,19 +21,28 @@ def focal_grid(width: int, height: int, steps: int = 300, low: float = 0.4, high
 def _residuals(m: np.ndarray, f: np.ndarray, cx: float, cy: float) -> np.ndarray:
     """(n, k): how far K'FK is from an essential matrix for fundamental matrices (n, 3, 3) and focal lengths (n or 1, k).
 
-    With T, A and D the elementary symmetric functions of the squared singular values of E (T and D are E's squared norm
-    and determinant, A the sum of squared 2x2 minors), the squared norm of 2EE'E - tr(EE')E is T^3 - 4TA + 12D. Matrices
-    of no norm count 1. All focal lengths of a block of estimates are a few array operations.
+    With T, A and D the elementary symmetric functions of the squared singular values of E (T is E's squared norm, D its
+    squared determinant, A the sum of squared 2x2 minors), the squared norm of 2EE'E - tr(EE')E is T^3 - 4TA + 12D. As
+    E = diag(f, f, 1) M diag(f, f, 1), all three are polynomials in f^2 whose seven coefficients follow from M alone, so a
+    block of estimates meets all focal lengths in a few products of arrays. Matrices of no norm count 1.
     """
     shift = np.array([[1.0, 0.0, cx], [0.0, 1.0, cy], [0.0, 0.0, 1.0]])
-    e = (shift.T @ m @ shift)[:, None] * np.ones((1, f.shape[1], 1, 1))
-    e[..., :2, :] *= f[..., None, None]
-    e[..., :, :2] *= f[..., None, None]
-    size = np.sqrt((e * e).sum((2, 3)))
-    e /= np.maximum(size, 1e-300)[..., None, None]
-    minors = np.cross(e[..., [1, 2, 0], :], e[..., [2, 0, 1], :])  # rows of the cofactor matrix
-    area, det = (minors * minors).sum((2, 3)), (e[..., 0, :] * minors[..., 0, :]).sum(2)
-    return np.where(size < 1e-10, 1.0, np.sqrt(np.maximum(1 - 4 * area + 12 * det * det, 0)))
+    m = shift.T @ m @ shift
+    minors = np.cross(m[:, [1, 2, 0]], m[:, [2, 0, 1]])  # rows of the cofactor matrix
+    det = (m[:, 0] * minors[:, 0]).sum(1)
+
+    def parts(v: np.ndarray) -> list[np.ndarray]:
+        """Sums of squares of the upper left block, of the rest of the last row and column, and of the last entry."""
+        v = v * v
+        return [x[:, None] for x in (v[:, :2, :2].sum((1, 2)), v[:, 2, :2].sum(1) + v[:, :2, 2].sum(1), v[:, 2, 2])]
+
+    (a, b, c), (p, q, r) = parts(m), parts(minors)
+    f2 = f * f
+    norm = (a * f2 + b) * f2 + c
+    safe = np.maximum(norm, 1e-300)
+    area = ((r * f2 + q) * f2 + p) * (f2 / safe) ** 2
+    volume = (det[:, None] * f2 / safe) ** 2 * (f2 * f2 / safe)
+    return np.where(norm < 1e-20, 1.0, np.sqrt(np.maximum(1 - 4 * area + 12 * volume, 0)))
 
 
 def _cost(estimates: DataFrame, width: int, height: int, grid: list[float], centred: bool = False, weigh: bool = True) -> DataFrame:
