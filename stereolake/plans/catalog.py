@@ -646,6 +646,7 @@ def occupancy(spark, sf):
 
 @query("SELECT c.session, i, j, k, n FROM (SELECT session, i, j, k, count(DISTINCT frame_idx) AS n FROM carved GROUP BY session, i, j, k) c JOIN (SELECT session, count(DISTINCT frame_idx) AS f FROM carved GROUP BY session) t ON c.session = t.session WHERE n >= 0.1E0 * f", "mask", more=_CARVED)
 def accumulate_hull(spark, sf):
+    """Cells that survive a tenth of their session's frames."""
     return voxels.accumulate(tables.cut(_carved(spark, sf), "hull"), 0.1)
 
 
@@ -858,40 +859,41 @@ def mesh_text(spark, sf):
     return files.mesh_text(vertices, faces, VK)
 
 
-@query("SELECT session, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE camera = 0 AND confidence >= 0.35E0", "kp2d")
+@query("SELECT session, camera, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE confidence >= 0.35E0", "kp2d")
 def read_long_tracks(spark, sf):
     """Keypoints written as long tracker files, read back."""
     path = tables.fresh_path(spark, "long-tracks")
-    kp = view(spark, sf, "kp2d").where("camera = 0")
-    rows = kp.select("frame_idx", F.lit("").alias("track"), F.concat_ws("@", "session", "name").alias("node"), F.format_string("%.10f", "px").alias("x"), F.format_string("%.10f", "py").alias("y"), F.format_string("%.10f", "confidence").alias("score"))
+    kp = view(spark, sf, "kp2d")
+    rows = kp.select("frame_idx", F.lit("").alias("track"), F.concat_ws("@", "session", "camera", "name").alias("node"), F.format_string("%.10f", "px").alias("x"), F.format_string("%.10f", "py").alias("y"), F.format_string("%.10f", "confidence").alias("score"))
     rows.write.csv(path, header=True)
     back = files.read_long_tracks(spark, path, min_likelihood=0.35)
     node = F.split("name", "@")
-    return rounded(back.select(node[0].cast("bigint").alias("session"), "frame_idx", node[1].alias("name"), "x", "y", "confidence"), 4)
+    return rounded(back.select(node[0].cast("bigint").alias("session"), node[1].cast("int").alias("camera"), "frame_idx", node[2].alias("name"), "x", "y", "confidence"), 4)
 
 
-@query("SELECT session, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE camera = 0 AND confidence >= 0.35E0", "kp2d")
+@query("SELECT session, camera, frame_idx, name, round(px, 4) AS x, round(py, 4) AS y, round(confidence, 4) AS confidence FROM kp2d WHERE confidence >= 0.35E0", "kp2d")
 def read_wide_tracks(spark, sf):
-    """Keypoints written as wide tracker files, one folder for each session, read back."""
+    """Keypoints written as wide tracker files, one folder for each session and camera, read back."""
     path = tables.fresh_path(spark, "wide-tracks")
-    kp = view(spark, sf, "kp2d").where("camera = 0")
+    kp = view(spark, sf, "kp2d")
     names = sorted(r["name"] for r in kp.select("name").distinct().collect())  # the vocabulary, a few names
     head = [("scorer", ["own"] * 3), ("bodyparts", None), ("coords", ["x", "y", "likelihood"])]
     lines = [",".join([kind, *[v for n in names for v in (cells or [n] * 3)]]) for kind, cells in head]
     cell = lambda n: F.coalesce(F.max(F.when(F.col("name") == n, F.format_string("%.10f,%.10f,%.10f", "px", "py", "confidence"))), F.lit(",,"))
-    rows = kp.groupBy("session", "frame_idx").agg(F.concat_ws(",", F.first("frame_idx").cast("string"), *[cell(n) for n in names]).alias("value"))
-    heads = kp.select("session").distinct().select("session", F.posexplode(F.array(*map(F.lit, lines))).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint") - 10)
-    files.write_lines(heads.unionByName(rows.select("session", F.col("frame_idx").alias("seq"), "value")), ["session"], ["seq"], path)
-    back = files.read_wide_tracks(spark, f"{path}/*", min_likelihood=0.35)
-    return rounded(back.select(F.regexp_extract("file", "session=([0-9]+)", 1).cast("bigint").alias("session"), "frame_idx", "name", "x", "y", "confidence"), 4)
+    rows = kp.groupBy("session", "camera", "frame_idx").agg(F.concat_ws(",", F.first("frame_idx").cast("string"), *[cell(n) for n in names]).alias("value"))
+    heads = kp.select("session", "camera").distinct().select("session", "camera", F.posexplode(F.array(*map(F.lit, lines))).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint") - 10)
+    files.write_lines(heads.unionByName(rows.select("session", "camera", F.col("frame_idx").alias("seq"), "value")), ["session", "camera"], ["seq"], path)
+    back = files.read_wide_tracks(spark, f"{path}/*/*", min_likelihood=0.35)
+    return rounded(back.select(F.regexp_extract("file", "session=([0-9]+)", 1).cast("bigint").alias("session"), F.regexp_extract("file", "camera=([0-9]+)", 1).cast("int").alias("camera"), "frame_idx", "name", "x", "y", "confidence"), 4)
 
 
-@query("SELECT round(rec_x, 4) AS rec_x, round(arena_z, 4) AS arena_z, CAST(label AS VARCHAR) AS label, round(px0_x, 3) AS px0_x, round(px1_x, 3) AS px1_x FROM align_points", "align_points")
+@query("SELECT CAST(label AS VARCHAR) AS label, round(rec_x, 4) + 0.0E0 AS rec_x, round(rec_y, 4) + 0.0E0 AS rec_y, round(rec_z, 4) + 0.0E0 AS rec_z, round(arena_x, 4) + 0.0E0 AS arena_x, round(arena_y, 4) + 0.0E0 AS arena_y, round(arena_z, 4) + 0.0E0 AS arena_z, round(px0_x, 3) + 0.0E0 AS px0_x, round(px0_y, 3) + 0.0E0 AS px0_y, round(px1_x, 3) + 0.0E0 AS px1_x, round(px1_y, 3) + 0.0E0 AS px1_y FROM align_points", "align_points")
 def read_corners(spark, sf):
     """Corner correspondences written as CSV, read back."""
     path = tables.fresh_path(spark, "corners")
     files.write_csv(files.corner_csv(view(spark, sf, "align_points").withColumn("label", F.col("label").cast("string"))), path)
-    return files.read_corners(spark, path).select("rec_x", "arena_z", "label", "px0_x", "px1_x")
+    back = files.read_corners(spark, path)
+    return back.select("label", *[(F.round(c, 4) + 0.0).alias(c) for c in ("rec_x", "rec_y", "rec_z", "arena_x", "arena_y", "arena_z")], *[(F.round(c, 3) + 0.0).alias(c) for c in ("px0_x", "px0_y", "px1_x", "px1_y")])
 
 
 @query("SELECT session, camera, label, pos, x, y FROM edge_points", "edge_points")

@@ -22,7 +22,7 @@ def plain(v):
     if not hasattr(v, "__float__"):
         return str(v)
     v = float(v)
-    return "nan" if math.isnan(v) else round(v, 6) + 0.0
+    return "nan" if math.isnan(v) else repr(round(v, 6))  # -0.0 isn't 0.0
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in catalog.ORACLES:
-        assert rows or name == "largest_blobs"
+        assert rows or name == "largest_blobs"  # no silhouette of the smallest tables is large enough; test_blobs holds it against a walk
         return
     want = duck.sql(catalog.ORACLES[name])
     assert sorted(want.columns) == cols
