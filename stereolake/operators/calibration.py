@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -140,6 +141,32 @@ def advice(results: DataFrame) -> DataFrame:
     return results.select("session", F.when(joined == "", "solid").otherwise(joined).alias("advice"))
 
 
+def report(estimates: DataFrame, scan: DataFrame, result: DataFrame, width: int, height: int, frame: str = "event_id") -> DataFrame:
+    """(session, part, name, x, y, grade): the tables of a calibration report, one under the other.
+
+    `curve` is the scan (x focal length, y cost); `quality` (x frame) and `sampson` (x inliers, y mean distance) are the
+    estimates' scatter plots with a grade for each point; `parameter`, `gate` (1 passed, 0 not, null not told) and `advice`
+    come by name. result: (session, f, f_scan, f_metric, residual, scale, rms); what it doesn't know is null.
+    """
+    diagonal = math.hypot(width, height)
+    rows = lambda df, part, name, x, y, grade: df.select("session", F.lit(part).alias("part"), name.cast("string").alias("name"), x.cast("double").alias("x"), y.cast("double").alias("y"), grade.cast("string").alias("grade"))
+    c, none = F.col, F.lit(None)
+    quality = F.when(c("quality") >= 0.4, "good").otherwise("poor")
+    distance = F.when(c("mean_sampson") < 0.5, "good").when(c("mean_sampson") < 1.5, "fair").otherwise("poor")
+    counts = estimates.groupBy("session").agg(F.count_if(c("quality") >= 0.4).alias("n_good"), F.count(F.lit(1)).alias("n_used"))
+    told = result.join(counts, "session")
+    named = {"focal": c("f"), "focal_by_diagonal": c("f") / diagonal, "fov_degrees": g.fov_degrees(diagonal, c("f")), "f_scan": c("f_scan"), "f_metric": c("f_metric"), "scale": c("scale"), "residual": c("residual"), "n_used": c("n_used"), "n_good": c("n_good")}
+    listed = told.select("session", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), v.cast("double").alias("v")) for n, v in named.items()])).alias("e"))
+    gated = gates(estimates, result, width, height)
+    passed = gated.select("session", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).cast("double").alias("v")) for n in gated.columns[1:]])).alias("e"))
+    parts = [
+        rows(scan, "curve", none, c("f"), c("cost"), none),
+        rows(estimates, "quality", none, c(frame), c("quality"), quality), rows(estimates, "sampson", none, c("n_inliers"), c("mean_sampson"), distance),
+        rows(listed, "parameter", c("e.n"), none, c("e.v"), none), rows(passed, "gate", c("e.n"), none, c("e.v"), none), rows(advice(told), "advice", none, none, none, c("advice")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def compare(auto: DataFrame, target: DataFrame) -> DataFrame:
     """(session, diff_pct, agreement) of focal lengths (session, f) from two calibrations."""
     diff = F.abs(F.col("f") - F.col("t_f")) / F.col("t_f") * 100

@@ -400,6 +400,32 @@ def quality_gates(spark, sf):
     return calibration.gates(estimates, result, WIDTH, HEIGHT)
 
 
+_DIAGONAL = "sqrt(1280.0E0 * 1280 + 720.0E0 * 720)"
+_REPORT = f"""best AS (SELECT session, arg_min(f, cost) AS f, arg_min(residual, cost) AS residual FROM scan GROUP BY session),
+told AS (SELECT b.session, f, residual, n_good, n_used, rms_stereo AS rms, degrees(2 * atan({_DIAGONAL} / (2 * f))) AS fov, f * (1 + CAST(b.session % 4 AS DOUBLE) / 10) AS f_metric, CASE WHEN b.session % 4 > 0 THEN 1 + CAST(b.session % 4 AS DOUBLE) / 10 END AS scale
+         FROM best b JOIN (SELECT session, count(*) AS n_used, count(*) FILTER (WHERE quality >= 0.4E0) AS n_good FROM w GROUP BY session) q ON b.session = q.session LEFT JOIN calib c ON b.session = c.session)"""
+
+
+@query("""SELECT session, part, name, round(x, 4) + 0.0E0 AS x, round(y, 4) + 0.0E0 AS y, grade FROM (
+SELECT session, 'curve' AS part, NULL AS name, f AS x, cost AS y, NULL AS grade FROM scan UNION ALL
+SELECT session, 'quality', NULL, CAST(event_id AS DOUBLE), quality, CASE WHEN quality >= 0.4E0 THEN 'good' ELSE 'poor' END FROM w UNION ALL
+SELECT session, 'sampson', NULL, CAST(n_inliers AS DOUBLE), mean_sampson, CASE WHEN mean_sampson < 0.5E0 THEN 'good' WHEN mean_sampson < 1.5E0 THEN 'fair' ELSE 'poor' END FROM w UNION ALL
+SELECT session, 'parameter', e.n, NULL, e.v, NULL FROM (SELECT session, unnest([{'n': 'focal', 'v': f}, {'n': 'focal_by_diagonal', 'v': f / """ + _DIAGONAL + """}, {'n': 'fov_degrees', 'v': fov}, {'n': 'f_scan', 'v': f}, {'n': 'f_metric', 'v': f_metric},
+  {'n': 'scale', 'v': scale}, {'n': 'residual', 'v': residual}, {'n': 'n_used', 'v': n_used}, {'n': 'n_good', 'v': n_good}]) AS e FROM told) p UNION ALL
+SELECT session, 'gate', e.n, NULL, CAST(e.v AS DOUBLE), NULL FROM (SELECT session, unnest([{'n': 'enough', 'v': n_good >= 20}, {'n': 'fov_ok', 'v': fov > 20 AND fov < 160}, {'n': 'residual_ok', 'v': residual < 0.05E0}, {'n': 'metric_ok', 'v': scale IS NOT NULL}, {'n': 'rms_ok', 'v': rms < 1}]) AS e FROM told) g UNION ALL
+SELECT session, 'advice', NULL, NULL, NULL, CASE WHEN n_good >= 30 AND residual <= 0.05E0 AND abs(f_metric - f) / f <= 0.15E0 THEN 'solid' ELSE concat_ws('; ', CASE WHEN n_good < 30 THEN 'more footage with texture' END, CASE WHEN residual > 0.05E0 THEN 'check radial distortion' END, CASE WHEN abs(f_metric - f) / f > 0.15E0 THEN 'check arena bounds and coverage' END) END FROM told) r""", "f_est", "calib", more=f"{_SCAN}, {_REPORT}")
+def calibration_report(spark, sf):
+    """All tables of the report of every session: curve, scatter plots, parameters, gates, advice."""
+    estimates = _estimates(spark, sf)
+    scan = tables.cut(calibration.focal_scan(estimates, WIDTH, HEIGHT, _SCAN_STEPS), "scan")
+    best = tables.cut(calibration.best_focal(scan), "best-focal")
+    metric = 1 + F.pmod("session", F.lit(4)) / 10
+    result = calibration.mean_essential_residual(estimates, best, WIDTH, HEIGHT).withColumns({"f_scan": F.col("f"), "f_metric": F.col("f") * metric, "scale": F.when(F.pmod("session", F.lit(4)) > 0, metric)})
+    result = result.join(view(spark, sf, "calib").select("session", F.col("rms_stereo").alias("rms")), "session", "left")
+    out = calibration.report(estimates, scan, result, WIDTH, HEIGHT)
+    return out.withColumns({v: F.round(v, 4) + 0.0 for v in "xy"})
+
+
 @query("""SELECT session, CASE WHEN n_good >= 30 AND residual <= 0.05E0 AND shift <= 0.15E0 THEN 'solid' ELSE concat_ws('; ', CASE WHEN n_good < 30 THEN 'more footage with texture' END, CASE WHEN residual > 0.05E0 THEN 'check radial distortion' END, CASE WHEN shift > 0.15E0 THEN 'check arena bounds and coverage' END) END AS advice
 FROM (SELECT q.session, n_good, residual, abs(f1 - f0) / f0 AS shift FROM (SELECT session, count(*) FILTER (WHERE quality >= 0.4E0) AS n_good, avg(mean_sampson) / 30 AS residual FROM q GROUP BY session) q JOIN calib c ON q.session = c.session) z""", "f_scores", "calib", more=_QUALITY)
 def calibration_advice(spark, sf):
