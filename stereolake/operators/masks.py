@@ -280,26 +280,20 @@ def centroid_detector(pixels: DataFrame, width: int, height: int, ksize: int = 7
     return found.select(*FRAME, F.explode(points).alias("k")).select(*FRAME, "k.*").where("px IS NOT NULL")
 
 
-def normalize_depth(pixels: DataFrame, low: float = 0.001, high: float = 0.999, top: float = 65535.0) -> DataFrame:
-    """Adds v8: values scaled from the percentiles of a stream's first and last frame to 0..255, clipped and truncated."""
+def normalize_depth(pixels: DataFrame, low: float = 0.001, high: float = 0.999, top: float = 65535.0, kind: str = "unsigned") -> DataFrame:
+    """Adds v8: values as 8 bits by the rule for their type, clipped and truncated.
+
+    `byte` values stay as they are. `unsigned` ones of more bits are scaled from the percentiles of their stream's first and
+    last frame, up to the type's greatest value `top` where the upper percentile isn't above the lower. `float` values go
+    from 0 to 1. A range below 1 counts as 1.
+    """
+    if kind not in ("byte", "unsigned", "float"):
+        raise ValueError(f"no rule for {kind} values")
+    clipped = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)).cast("int")
+    if kind != "unsigned":
+        return pixels.withColumn("v8", F.col("v").cast("int") if kind == "byte" else clipped(F.col("v") * 255))
     ends = pixels.groupBy("session", "camera").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
     sample = pixels.join(ends, ["session", "camera"]).where("frame_idx = a OR frame_idx = b")
     span = sample.groupBy("session", "camera").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
-    flat = F.col("p")[1] <= F.col("p")[0]
-    a, b = F.when(flat, 0.0).otherwise(F.col("p")[0]), F.when(flat, top).otherwise(F.col("p")[1])
-    scaled = F.least(F.greatest((F.col("v") - a) / (b - a), F.lit(0.0)), F.lit(1.0)) * 255
-    return pixels.join(span, ["session", "camera"]).withColumn("v8", scaled.cast("int")).drop("p")
-
-
-def remap(pixels: DataFrame, maps: DataFrame) -> DataFrame:
-    """(session, camera, frame_idx, ox, oy, v): output pixels (ox, oy) read bilinearly at (sx, sy); 0 beyond the image.
-
-    Every frame has every output pixel of its camera's map; those that read nothing are 0.
-    """
-    x0, y0 = F.floor("sx"), F.floor("sy")
-    wx, wy = F.col("sx") - x0, F.col("sy") - y0
-    parts = F.array(*[F.struct((x0 + a).cast("int").alias("x"), (y0 + b).cast("int").alias("y"), ((wx if a else 1 - wx) * (wy if b else 1 - wy)).alias("w")) for a in (0, 1) for b in (0, 1)])
-    wanted = maps.select("camera", "ox", "oy", F.explode(parts).alias("s")).select("camera", "ox", "oy", "s.*").where("w > 0")
-    read = pixels.join(wanted, ["camera", "x", "y"]).select(*FRAME, "ox", "oy", (F.col("w") * F.col("v")).alias("v"))
-    black = pixels.select(*FRAME).distinct().join(maps.select("camera", "ox", "oy"), "camera").select(*FRAME, "ox", "oy", F.lit(0.0).alias("v"))
-    return read.unionByName(black).groupBy(*FRAME, "ox", "oy").agg(F.sum("v").alias("v"))
+    a, b = F.col("p")[0], F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[1]).otherwise(top)
+    return pixels.join(span, ["session", "camera"]).withColumn("v8", clipped((F.col("v") - a) / F.greatest(b - a, F.lit(1.0)) * 255)).drop("p")

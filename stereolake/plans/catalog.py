@@ -793,14 +793,23 @@ def silhouette_moments(spark, sf):
     return m.select(*masks.FRAME, "area", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round(F.sqrt((F.col("hx") - F.col("cx")) * (F.col("hx") - F.col("cx")) + (F.col("hy") - F.col("cy")) * (F.col("hy") - F.col("cy"))), 3).alias("half"))
 
 
-@query("""SELECT p.session, p.frame_idx, p.x, p.y, CAST(trunc(least(greatest((v - CASE WHEN hi <= lo THEN 0 ELSE lo END) / CASE WHEN hi <= lo THEN 255 ELSE hi - lo END, 0), 1) * 255) AS INT) AS v8 FROM pixel_series p JOIN (
+@query("""SELECT p.session, p.frame_idx, p.x, p.y, CAST(trunc(least(greatest((v - lo) / greatest(CASE WHEN hi <= lo THEN 255 ELSE hi END - lo, 1) * 255, 0), 255)) AS INT) AS v8 FROM pixel_series p JOIN (
 SELECT s.session, s.camera, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM (SELECT q.*, min(frame_idx) OVER (PARTITION BY session, camera) AS a, max(frame_idx) OVER (PARTITION BY session, camera) AS b FROM pixel_series q) s
 WHERE frame_idx = a OR frame_idx = b GROUP BY s.session, s.camera) r ON p.session = r.session AND p.camera = r.camera""", "pixel_series")
 def normalize_depth(spark, sf):
-    """Streams of 8-bit values; a stream whose first and last frame are flat is scaled by the type's range."""
+    """Streams scaled from percentiles; one whose first and last frame are flat is scaled up to the type's greatest value."""
     return masks.normalize_depth(view(spark, sf, "pixel_series"), 0.1, 0.9, top=255.0).select("session", "frame_idx", "x", "y", "v8")
 
 
+@query("""SELECT 'byte' AS kind, session, frame_idx, x, y, CAST(v AS INT) AS v8 FROM pixel_series UNION ALL
+SELECT 'float', session, frame_idx, x, y, CAST(trunc(least(greatest((v - 52) / 100 * 255, 0), 255)) AS INT) FROM pixel_series""", "pixel_series")
+def normalize_other_depths(spark, sf):
+    """The rules for 8-bit values and for numbers from 0 to 1, some of them beyond."""
+    px = view(spark, sf, "pixel_series")
+    kinds = [masks.normalize_depth(df, kind=k).select(F.lit(k).alias("kind"), "session", "frame_idx", "x", "y", "v8") for k, df in (("byte", px), ("float", px.withColumn("v", (F.col("v") - 52) / 100)))]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query()
 def silhouettes(spark, sf):
     """Foreground pixels of every stream, cleaned with a small kernel; tests follow them by hand."""
@@ -1000,6 +1009,18 @@ def detect_frames(spark, sf):
     return rounded(frames.read(spark, path, f"{frames.__name__}:Brightest"))
 
 
+@query("""SELECT session, 'K0' AS key, [f0, 0, cx, 0, f0, cy, 0, 0, 1] AS data FROM calib UNION ALL SELECT session, 'T', [tx, ty, tz] FROM calib UNION ALL SELECT session, 'rms_stereo', [rms_stereo] FROM calib""", "calib")
+def read_calibrations(spark, sf):
+    """Calibration archives of every session, written and read back key by key."""
+    path = tables.fresh_path(spark, "archives")
+    calib, zero, one = view(spark, sf, "calib"), F.lit(0.0), F.lit(1.0)
+    k0 = F.array("f0", zero, "cx", zero, "f0", "cy", zero, zero, one)
+    fields = F.array(*[F.struct(F.lit(n).alias("key"), F.array(*[F.lit(d) for d in shape]).cast("array<int>").alias("shape"), v.alias("data")) for n, shape, v in (("K0", (3, 3), k0), ("T", (3, 1), F.array("tx", "ty", "tz")), ("rms_stereo", (), F.array("rms_stereo")))])
+    files.write_calibrations(calib.select("session", fields.alias("fields")), path).write.format("noop").mode("overwrite").save()
+    back = files.read_calibrations(spark, path)
+    return back.select(F.regexp_extract("path", "session-([0-9]+)", 1).cast("bigint").alias("session"), "key", "data")
+
+
 _GROWN = _DILATE.format("inside")
 _WHOLE_RUN = f"""{_INSIDE}, o(dx, dy) AS (VALUES {', '.join(map(str, masks.ellipse(3)))}), grown AS ({_GROWN}), {_CELLS}, {_SEEN},
 carved AS (SELECT session, frame_idx, i, j, k FROM grown m JOIN seen s ON m.camera = s.camera AND m.px = s.px AND m.py = s.py GROUP BY session, frame_idx, i, j, k HAVING count(DISTINCT m.camera) = 2),
@@ -1097,6 +1118,14 @@ def stream_tracks(spark, sf):
     return _drained(streams.tracks(_stream(spark, sf, "kp3d", closed=True), delay="0 seconds")).where("session >= 0")
 
 
+@query("SELECT session, frame_idx, name, round(x, 6) AS x, round(confidence, 6) AS confidence FROM kp3d", "kp3d")
+def stream_archive(spark, sf):
+    """Points archived as they come, a folder for each session, read back."""
+    path, mark = tables.fresh_path(spark, "archive"), tables.fresh_path(spark, "progress")
+    streams.archive(_stream(spark, sf, "kp3d"), path, mark).awaitTermination()
+    return rounded(spark.read.parquet(path).select(F.col("session").cast("bigint").alias("session"), "frame_idx", "name", "x", "confidence"))
+
+
 @query()
 def stream_background(spark, sf):
     """Which pixels of a stream are foreground; a running model has no SQL, tests follow it by hand."""

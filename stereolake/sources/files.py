@@ -6,6 +6,7 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,27 @@ def read_calibrations(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(load, "path string, key string, shape array<int>, data array<double>")
 
 
+def write_calibrations(calib: DataFrame, path: str) -> DataFrame:
+    """Writes (session, fields) as archives <path>/session-<session>.npz and returns the sessions; run by an action.
+
+    fields: an array of (key, shape, data) with the numbers of each named array row by row. Paths may be of any file system
+    that pyarrow opens.
+    """
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for session, fields in zip(batch["session"], batch["fields"]):
+                content = BytesIO()
+                np.savez(content, **{f["key"]: np.array(f["data"], dtype=float).reshape([int(n) for n in f["shape"]]) for f in fields})
+                store.create_dir(root, recursive=True)
+                with store.open_output_stream(f"{root}/session-{session}.npz") as out:
+                    out.write(content.getvalue())
+            yield batch[["session"]]
+
+    return calib.select("session", "fields").mapInPandas(run, "session bigint")
+
+
 def read_frames(spark: SparkSession, paths: str, glob: str = "*.{png,jpg,jpeg,bmp,tif,tiff}") -> DataFrame:
     """(dir, frame_idx, path, content): image files numbered from 0 in the order of their names within a directory."""
     from pyspark.sql import Window
