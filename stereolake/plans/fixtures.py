@@ -111,6 +111,13 @@ FROM (SELECT session, name, pos, k1, k2, k3, u, CAST(ascii(name) % 7 - 3 AS DOUB
 FROM (SELECT session, name, frame_idx AS pos, -0.25E0 + CAST(session % 5 AS DOUBLE) / 50 AS k1, 0.05E0 + CAST(session % 3 AS DOUBLE) / 100 AS k2, CAST(session % 2 AS DOUBLE) / 100 AS k3,
              CAST(frame_idx % 25 AS DOUBLE) / 20 - 0.6E0 AS u FROM truth3d) a) b) c""")
 
+#: Points with a descriptor that both cameras see, a label's at every thirtieth frame.
+VIEWS["twins"] = ((), """
+SELECT frame_idx, 0 AS camera, desc_id, d, x / z * 900 + 640 AS x, y / z * 900 + 360 AS y FROM (SELECT label * 30 AS frame_idx, vec_id AS desc_id, embedding AS d,
+       CAST((vec_id * 37) % 601 - 300 AS DOUBLE) AS x, CAST((vec_id * 53) % 401 - 200 AS DOUBLE) AS y, CAST((vec_id * 29) % 300 + 400 AS DOUBLE) AS z FROM embeddings) p UNION ALL
+SELECT frame_idx, 1 AS camera, desc_id, d, (x - 100) / z * 900 + 640 AS x, y / z * 900 + 360 AS y FROM (SELECT label * 30 AS frame_idx, vec_id AS desc_id, embedding AS d,
+       CAST((vec_id * 37) % 601 - 300 AS DOUBLE) AS x, CAST((vec_id * 53) % 401 - 200 AS DOUBLE) AS y, CAST((vec_id * 29) % 300 + 400 AS DOUBLE) AS z FROM embeddings) q""")
+
 #: Estimates of few long sessions, seven frames apart, so that near ones compete.
 VIEWS["f_dense"] = ((), """
 SELECT user_id % 4 AS session, 7 * row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS frame_idx, CAST(40 + (event_id * 31) % 260 AS INT) AS n_inliers,
