@@ -94,11 +94,14 @@ def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: flo
                 if len(rigs) == RIGS_KEPT:
                     rigs.pop(next(iter(rigs)))
                 rigs[rig] = [cell_pixels(np.array(p), bounds, size, width, height) for p in rig]
-            hull = True
+            left = None  # cells that are foreground so far; the second view is asked for these only
             for mask, pixels in zip(masks, rigs[rig]):
-                lit = np.unpackbits(np.frombuffer(mask.as_buffer(), dtype=np.uint8), count=width * height)
-                hull = hull & np.append(lit, 0).astype(bool)[pixels]
-            out.append(np.packbits(hull).tobytes() if hull.any() else None)
+                lit = np.zeros(width * height + 1, dtype=bool)
+                lit[:-1] = np.unpackbits(np.frombuffer(mask.as_buffer(), dtype=np.uint8), count=width * height)
+                left = np.flatnonzero(lit[pixels]) if left is None else left[lit[pixels[left]]]
+            hull = np.zeros(len(rigs[rig][0]), dtype=np.uint8)
+            hull[left] = 1
+            out.append(np.packbits(hull).tobytes() if len(left) else None)
         return pa.array(out, pa.binary())
 
     carved = frames.select("session", "frame_idx", F.arrow_udf(run, "binary")("m0", "m1", "p0", "p1").alias("grid"))
