@@ -382,3 +382,9 @@ def test_silhouettes_are_cleaned_foreground(spark):
     pixels = spark.createDataFrame(rows, "session long, camera int, frame_idx long, x int, y int, v double")
     got = {(r.px, r.py) for r in masks.silhouettes(pixels, 14, 14, ksize=3, min_area=9, grow=1).where("frame_idx = 30").collect()}
     assert {(x, y) for x in range(5, 10) for y in range(5, 10)} <= got and (1, 1) not in got and all(3 <= x <= 11 and 3 <= y <= 11 for x, y in got)
+
+
+def test_remap_mixes_four_pixels(spark):
+    pixels = spark.createDataFrame([(1, 0, 5, x, y, v) for x, y, v in ((0, 0, 0.0), (1, 0, 8.0), (0, 1, 16.0), (1, 1, 24.0))], "session long, camera int, frame_idx long, x int, y int, v double")
+    maps = spark.createDataFrame([(0, 3, 2, 0.25, 0.5), (1, 0, 0, 0.0, 0.0)], "camera int, ox int, oy int, sx double, sy double")
+    assert [(r.frame_idx, r.ox, r.oy, r.v) for r in masks.remap(pixels, maps).collect()] == [(5, 3, 2, 10.0)]
