@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stereolake.functions import geometry as g
 from stereolake.operators import alignment, calibration, masks, matching, refinement, trajectory, voxels
 from stereolake.plans import catalog
+from stereolake.plans import catalog
 from stereolake.plans.fixtures import view
 from stereolake.sources import files, landmarks
 from stereolake.streaming import streams
@@ -388,3 +389,14 @@ def test_remap_mixes_four_pixels(spark):
     pixels = spark.createDataFrame([(1, 0, 5, x, y, v) for x, y, v in ((0, 0, 0.0), (1, 0, 8.0), (0, 1, 16.0), (1, 1, 24.0))], "session long, camera int, frame_idx long, x int, y int, v double")
     maps = spark.createDataFrame([(0, 3, 2, 0.25, 0.5), (1, 0, 0, 0.0, 0.0)], "camera int, ox int, oy int, sx double, sy double")
     assert [(r.frame_idx, r.ox, r.oy, r.v) for r in masks.remap(pixels, maps).collect()] == [(5, 3, 2, 10.0)]
+
+
+def test_ties_by_rounding_error_are_ties(spark, tmp_path):
+    """Events 3 and 45533 have the same quality but for the last digit of a sum; 25, 49, 60 and 196 have a mean of just 1.5."""
+    rows = spark.createDataFrame([(3, 1), (45533, 1), (25, 2), (49, 2), (60, 2), (196, 2)], "event_id long, user_id long").selectExpr("event_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "user_id", "'click' AS event_type")
+    rows.coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    place = {r.frame_idx: r.place for r in catalog.QUERIES["estimate_quality"](spark, str(tmp_path)).where("session = 1").collect()}
+    assert place == {90: 1, 45533 * 30: 2}
+    said = {r.session: r.advice for r in catalog.QUERIES["calibration_advice"](spark, str(tmp_path)).collect()}
+    assert "distortion" not in said[2]
