@@ -148,12 +148,15 @@ def adjacency(faces: DataFrame, key: list[str]) -> DataFrame:
 
 
 def laplacian(vertices: DataFrame, neighbours: DataFrame, key: list[str], rounds: int = 1) -> DataFrame:
-    """Vertices (key, v, x, y, z), each moved to the mean of its neighbours, round by round."""
+    """Vertices (key, v, x, y, z), each moved to the mean of its neighbours, round by round.
+
+    Both grow with the meshes, which the packed grids' few bytes don't tell Spark, so neither is broadcast.
+    """
     if rounds > 1:
         neighbours = cut(neighbours)
     for _ in range(rounds):
         other = vertices.select(*key, F.col("v").alias("w"), "x", "y", "z")
-        vertices = neighbours.join(other, [*key, "w"]).groupBy(*key, "v").agg(*[F.avg(c).alias(c) for c in "xyz"])
+        vertices = neighbours.join(other.hint("merge"), [*key, "w"]).groupBy(*key, "v").agg(*[F.avg(c).alias(c) for c in "xyz"])
         if rounds > 5:
             vertices = cut(vertices)
     return vertices
