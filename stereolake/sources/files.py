@@ -185,19 +185,20 @@ def mesh_lines(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFra
 def numbered_mesh(vertices: DataFrame, faces: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Vertices (key, v, x, y, z) and faces (key, a, b, c) of named corners with whole numbers from 0 within each mesh, as mesh_lines wants them.
 
-    Faces with a corner that is no vertex, at the edge of the grid, go.
+    Faces with a corner that is no vertex, at the edge of the grid, go. Corners are looked up in merge joins: how many there
+    are doesn't show in the size of the packed grids that they come from, so a broadcast could fill the driver.
     """
     window = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
     ids = vertices.withColumn("vid", window("v"))
     for corner in "abc":
-        faces = faces.join(ids.select(*key, F.col("v").alias(corner), F.col("vid").alias(f"_{corner}")), [*key, corner])
+        faces = faces.join(ids.select(*key, F.col("v").alias(corner), F.col("vid").alias(f"_{corner}")).hint("merge"), [*key, corner])
     numbered = faces.select(*key, *[F.col(f"_{corner}").alias(corner) for corner in "abc"])
     return ids, numbered.withColumn("fid", window("a", "b", "c"))
 
 
 def mesh_text(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFrame:
     """mesh_lines with each mesh's header before them, as part 0."""
-    sizes = vertices.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(faces.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key, "left")
+    sizes = vertices.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(faces.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).hint("merge"), key, "left")
     count = lambda word, n: F.concat(F.lit(f"element {word} "), F.coalesce(n, F.lit(0)).cast("string"))
     head = [F.lit("ply"), F.lit("format ascii 1.0"), count("vertex", F.col("n")), *[F.lit(f"property float {v}") for v in "xyz"], count("face", F.col("m")), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
     heads = sizes.select(*key, F.lit(0).alias("part"), F.posexplode(F.array(*head)).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint"))
