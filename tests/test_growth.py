@@ -2,6 +2,7 @@
 
 import pytest
 
+from stereolake.operators import calibration
 from stereolake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +14,14 @@ def test_sides_that_grow_are_never_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     first = plan.split("Initial Plan")[0]
     assert first.count("BroadcastHashJoin") == (0 if name == "essential_motion" else first.count("BroadcastHashJoin [code#"))
+
+
+def test_a_focal_scan_sums_sessions_before_it_shuffles(spark):
+    """Estimates in turn from ten sessions: the scan's arrays go through the shuffle once a session and task, not once an estimate."""
+    grow = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    names = [f"f{i}{j}" for i in range(3) for j in range(3)]
+    rows = spark.range(0, 20000, 1, 8).selectExpr("id % 1000 AS session", "1.0D AS quality", *[f"cast((id * {n + 3}) % 101 AS double) AS {c}" for n, c in enumerate(names)])
+    before = grow()
+    got = calibration.focal_scan(rows, 1280, 720)
+    assert got.count() == 300_000
+    assert grow() - before < 8_000_000
