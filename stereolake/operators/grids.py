@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AT_ONCE = 1 << 23
+#: Cells in memory at once in a task; a few arrays of them are held side by side.
+AT_ONCE = 1 << 20
 RIGS_KEPT = 8
 
 
@@ -75,6 +76,7 @@ def cell_pixels(p: np.ndarray, bounds: tuple, size: float, width: int, height: i
 def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: float, width: int, height: int) -> DataFrame:
     """(session, frame_idx, grid): of each frame the cells whose pixel is foreground in both views; frames without such cells go.
 
+    Of a rig the cells behind each pixel of the first view are listed once, so a frame costs what its foreground covers.
     cameras: two 3x4 matrices for all sessions, or (session, camera, p) with each session's own; sessions without both
     cameras have no hull. Cells of any number may look at one pixel; a cell beyond an image isn't occupied.
     """
@@ -86,20 +88,25 @@ def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: flo
 
     def run(*columns: pa.Array) -> pa.Array:
         m0, m1, p0, p1 = columns
-        rigs: dict[tuple, list[np.ndarray]] = {}
+        rigs: dict[tuple, tuple[np.ndarray, ...]] = {}
         out = []
         for masks, own in zip(zip(m0, m1), zip(p0.to_pylist(), p1.to_pylist())):
             rig = tuple(map(tuple, own))
             if rig not in rigs:
                 if len(rigs) == RIGS_KEPT:
                     rigs.pop(next(iter(rigs)))
-                rigs[rig] = [cell_pixels(np.array(p), bounds, size, width, height) for p in rig]
-            left = None  # cells that are foreground so far; the second view is asked for these only
-            for mask, pixels in zip(masks, rigs[rig]):
-                lit = np.zeros(width * height + 1, dtype=bool)
-                lit[:-1] = np.unpackbits(np.frombuffer(mask.as_buffer(), dtype=np.uint8), count=width * height)
-                left = np.flatnonzero(lit[pixels]) if left is None else left[lit[pixels[left]]]
-            hull = np.zeros(len(rigs[rig][0]), dtype=np.uint8)
+                first, second = (cell_pixels(np.array(p), bounds, size, width, height) for p in rig)
+                cells = np.argsort(first, kind="stable")  # cells by the first view's pixel
+                rigs[rig] = cells, np.searchsorted(first[cells], np.arange(width * height + 1)), second
+            cells, starts, second = rigs[rig]
+            lit = np.zeros((2, width * height + 1), dtype=bool)
+            for view, mask in zip(lit, masks):
+                view[:-1] = np.unpackbits(np.frombuffer(mask.as_buffer(), dtype=np.uint8), count=width * height)
+            pixels = np.flatnonzero(lit[0])
+            n = starts[pixels + 1] - starts[pixels]
+            left = cells[np.repeat(starts[pixels] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(pixels) else pixels
+            left = left[lit[1][second[left]]]
+            hull = np.zeros((len(cells) + 7) // 8 * 8, dtype=np.uint8)
             hull[left] = 1
             out.append(np.packbits(hull).tobytes() if len(left) else None)
         return pa.array(out, pa.binary())
@@ -133,9 +140,9 @@ def _flat(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(grids: DataFrame, key: list[str], shape: tuple[int, int, int], fn, *more: tuple[str, int]) -> DataFrame:
-    """(key, more ..., i, j, k) of fn's values, which are flat numbers behind further numbers of the given ranges."""
+    """(key, more ..., i, j, k) of the values that fn lists for grids, which are flat numbers behind further numbers of the given ranges."""
     nx, ny, nz = shape
-    rows = grids.select(*key, F.explode(F.arrow_udf(_read(shape, fn), "array<bigint>")("grid")).alias("v"))
+    rows = grids.select(*key, F.explode(F.arrow_udf(fn, "array<bigint>")("grid")).alias("v"))
     out, rest = [F.expr(f"(v div {ny * nz}) % {nx}").cast("int").alias("i"), F.expr(f"(v div {nz}) % {ny}").cast("int").alias("j"), F.expr(f"v % {nz}").cast("int").alias("k")], nx * ny * nz
     for name, n in more:
         out.append(F.expr(f"(v div {rest}) % {n}").cast("int").alias(name))
@@ -144,8 +151,23 @@ def _cells(grids: DataFrame, key: list[str], shape: tuple[int, int, int], fn, *m
 
 
 def cells(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
-    """(key, i, j, k) of all occupied cells."""
-    return _cells(grids, key, shape, _flat)
+    """(key, i, j, k) of all occupied cells. Only bytes that aren't 0 are unpacked."""
+
+    def run(grids: pa.Array) -> pa.Array:
+        per = (shape[0] * shape[1] * shape[2] + 7) // 8
+        found, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        step = max(1, AT_ONCE // per)
+        for lo in range(0, len(grids), step):
+            part = grids.slice(lo, step)
+            packed = np.frombuffer(b"".join(part.to_pylist()), dtype=np.uint8).reshape(len(part), per)
+            row, byte = np.nonzero(packed)
+            which, bit = np.nonzero(np.unpackbits(packed[row, byte][:, None], axis=1))
+            found.append(byte[which] * 8 + bit)
+            sizes.append(np.bincount(row[which], minlength=len(part)))
+        ends = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int64()))
+
+    return _cells(grids, key, shape, run)
 
 
 def count(grids: DataFrame, key: list[str]) -> DataFrame:
@@ -172,7 +194,7 @@ def surface(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> Da
             inner = inner.take(range(n - 2), axis) & inner.take(range(1, n - 1), axis) & inner.take(range(2, n), axis)
         return _flat(grid & ~inner)
 
-    return _cells(grids, key, shape, run)
+    return _cells(grids, key, shape, _read(shape, run))
 
 
 def edges(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
@@ -193,7 +215,7 @@ def edges(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> Data
         order = np.argsort(row, kind="stable")
         return row[order], value[order]
 
-    return _cells(grids, key, shape, run, ("axis", 3))
+    return _cells(grids, key, shape, _read(shape, run), ("axis", 3))
 
 
 def corner_codes(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
@@ -201,14 +223,14 @@ def corner_codes(grids: DataFrame, key: list[str], shape: tuple[int, int, int])
     total = shape[0] * shape[1] * shape[2]
 
     def run(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = np.zeros(grid.shape, dtype=np.int64)
+        code = np.zeros(grid.shape, dtype=np.uint8)
         inner = code[:, : shape[0] - 1, : shape[1] - 1, : shape[2] - 1]
         for a in (0, 1):
             for b in (0, 1):
                 for c in (0, 1):
-                    inner |= grid[:, a : shape[0] - 1 + a, b : shape[1] - 1 + b, c : shape[2] - 1 + c].astype(np.int64) << (a | b << 1 | c << 2)
+                    inner |= grid[:, a : shape[0] - 1 + a, b : shape[1] - 1 + b, c : shape[2] - 1 + c].view(np.uint8) << np.uint8(a | b << 1 | c << 2)
         code = code.reshape(len(grid), -1)
         row, at = np.nonzero((code > 0) & (code < 255))
-        return row, at + code[row, at] * total
+        return row, at + code[row, at].astype(np.int64) * total
 
-    return _cells(grids, key, shape, run, ("code", 256))
+    return _cells(grids, key, shape, _read(shape, run), ("code", 256))
