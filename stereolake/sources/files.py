@@ -205,22 +205,30 @@ def mesh_text(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFram
     return heads.unionByName(mesh_lines(vertices, faces, key))
 
 
+#: Tasks move their own files when they end; else the driver moves a folder for each key, one by one. A folder that a failed
+#: job leaves behind is read by nobody.
+OWN_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def write_lines(lines: DataFrame, key: list[str], order: list[str], path: str) -> None:
     """A folder of text for each key, lines in order; the rows of a key are one file's."""
-    lines.repartition(*key).sortWithinPartitions(*key, *order).select(*key, "value").write.partitionBy(*key).text(path)
+    lines.repartition(*key).sortWithinPartitions(*key, *order).select(*key, "value").write.options(**OWN_COMMIT).partitionBy(*key).text(path)
 
 
 def write_archive(dense: DataFrame, path: str) -> None:
     """Dense trajectories as single-precision Parquet, a folder for each session; what is missing is not a number, with confidence 0."""
     number = lambda c, missing: F.coalesce(c, F.lit(missing)).cast("float").alias(c)
     rows = dense.select("session", "name", "frame_idx", *[number(v, float("nan")) for v in "xyz"], number("confidence", 0.0), number("reproj_err", 0.0))
-    rows.repartition("session").sortWithinPartitions("session", "name", "frame_idx").write.partitionBy("session").parquet(path)
+    rows.repartition("session").sortWithinPartitions("session", "name", "frame_idx").write.options(**OWN_COMMIT).partitionBy("session").parquet(path)
 
 
 def write_clouds(voxels: DataFrame, path: str) -> None:
-    """Voxel clouds (session, frame_idx, x, y, z) of an archive in single precision, a folder for each session, frames in order."""
+    """Voxel clouds (session, frame_idx, x, y, z) of an archive in single precision, a folder for each session, frames in order.
+
+    Tasks take ranges of sessions and frames, so a session is in one file or, if it is long, in a few.
+    """
     rows = voxels.select("session", "frame_idx", *[F.col(v).cast("float").alias(v) for v in "xyz"])
-    rows.repartition("session", "frame_idx").sortWithinPartitions("session", "frame_idx").write.partitionBy("session").parquet(path)
+    rows.repartitionByRange("session", "frame_idx").sortWithinPartitions("session", "frame_idx").write.options(**OWN_COMMIT).partitionBy("session").parquet(path)
 
 
 def archive_metadata(kp3d: DataFrame, frames: DataFrame, fps: float = 30.0) -> DataFrame:

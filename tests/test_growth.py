@@ -4,6 +4,7 @@ import pytest
 
 from stereolake.operators import calibration
 from stereolake.plans import catalog
+from stereolake.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,10 @@ def test_a_focal_scan_sums_sessions_before_it_shuffles(spark):
     got = calibration.focal_scan(rows, 1280, 720)
     assert got.count() == 300_000
     assert grow() - before < 8_000_000
+
+
+def test_a_session_of_an_archive_is_in_few_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id % 10 AS session", "id div 10 AS frame_idx", "1.0D AS x", "2.0D AS y", "3.0D AS z")
+    files.write_clouds(rows, str(tmp_path / "clouds"))
+    assert spark.read.parquet(str(tmp_path / "clouds")).count() == 4000
+    assert len(list((tmp_path / "clouds").glob("session=*/*.parquet"))) <= 10 + 4
