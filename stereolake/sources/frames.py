@@ -1,7 +1,8 @@
 """Frames of many cameras as Spark data sources, raw or through a user's detector.
 
 `frames` lists the images of every folder <path>/<session>/<camera>, sorted by name and numbered from 0, and reads them in
-partitions of some consecutive frames. `detections` does the same and hands each image to a detector: an object with
+partitions of some consecutive frames. Where there are more sessions than `partitions` (2 000), a partition is a run of
+sessions that its task lists itself, so the driver holds the sessions' names but no image's. `detections` does the same and hands each image to a detector: an object with
 detect(content, frame_idx) that gives (name, px, py, confidence) for what it sees, made once a task from the option
 `detector` ("module:name" of what makes it) and closed, where it has a close(), when the task ends, also by an error.
 Paths may be of any file system that pyarrow opens.
@@ -33,36 +34,50 @@ class FrameBlock(InputPartition):
     paths: list[str]
 
 
+@dataclass
+class SessionRun(InputPartition):
+    """Sessions with all their cameras and frames."""
+
+    sessions: list[str]
+
+
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.block = options["path"], int(options.get("block", 64))
+        self.root, self.block, self.most = options["path"], int(options.get("block", 64)), int(options.get("partitions", 2000))
         self.extensions = tuple(options.get("extensions", ",".join(EXTENSIONS)).lower().split(","))
 
-    def partitions(self) -> list[FrameBlock]:
+    def partitions(self) -> list[InputPartition]:
         store, root = self._open()
-        by_folder: dict[tuple[str, str], list[str]] = {}
-        for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
-            parts = info.path[len(root) :].strip("/").split("/")
-            if info.type == fs.FileType.File and len(parts) == 3 and parts[1].isdigit() and parts[2].lower().endswith(self.extensions):
-                by_folder.setdefault((parts[0], parts[1]), []).append(info.path)
-        out = []
-        for (session, camera), paths in sorted(by_folder.items()):
-            paths.sort()
-            out += [FrameBlock(session, int(camera), at, paths[at : at + self.block]) for at in range(0, len(paths), self.block)]
-        return out or [FrameBlock("", 0, 0, [])]
+        sessions = sorted(self._folders(store, root))
+        if len(sessions) > self.most:
+            ends = [len(sessions) * n // self.most for n in range(self.most + 1)]
+            return [SessionRun(sessions[lo:hi]) for lo, hi in zip(ends, ends[1:])]
+        return [b for session in sessions for b in self._blocks(store, root, session)] or [FrameBlock("", 0, 0, [])]
 
     def _open(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+        store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+        return store, root.rstrip("/")
 
-    def contents(self, block: FrameBlock) -> Iterator[tuple[int, str, bytes]]:
-        store, _ = self._open()
-        for n, path in enumerate(block.paths):
-            with store.open_input_stream(path) as stream:
-                yield block.first + n, path, stream.read()
+    def _folders(self, store: fs.FileSystem, path: str) -> list[str]:
+        return [info.base_name for info in store.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory]
+
+    def _blocks(self, store: fs.FileSystem, root: str, session: str) -> Iterator[FrameBlock]:
+        for camera in sorted(c for c in self._folders(store, f"{root}/{session}") if c.isdigit()):
+            infos = store.get_file_info(fs.FileSelector(f"{root}/{session}/{camera}"))
+            paths = sorted(info.path for info in infos if info.type == fs.FileType.File and info.base_name.lower().endswith(self.extensions))
+            for at in range(0, len(paths), self.block):
+                yield FrameBlock(session, int(camera), at, paths[at : at + self.block])
+
+    def contents(self, partition: FrameBlock | SessionRun) -> Iterator[tuple[str, int, int, str, bytes]]:
+        store, root = self._open()
+        whole = isinstance(partition, SessionRun)
+        for block in (b for session in partition.sessions for b in self._blocks(store, root, session)) if whole else [partition]:
+            for n, path in enumerate(block.paths):
+                with store.open_input_stream(path) as stream:
+                    yield block.session, block.camera, block.first + n, path, stream.read()
 
-    def read(self, partition: FrameBlock) -> Iterator[tuple]:
-        for frame, path, content in self.contents(partition):
-            yield partition.session, partition.camera, frame, path, content
+    def read(self, partition: FrameBlock | SessionRun) -> Iterator[tuple]:
+        return self.contents(partition)
 
 
 class DetectionReader(FrameReader):
@@ -71,12 +86,12 @@ class DetectionReader(FrameReader):
         module, _, name = options["detector"].partition(":")
         self.module, self.name = module, name
 
-    def read(self, partition: FrameBlock) -> Iterator[tuple]:
+    def read(self, partition: FrameBlock | SessionRun) -> Iterator[tuple]:
         detector = getattr(importlib.import_module(self.module), self.name)()
         try:
-            for frame, _, content in self.contents(partition):
+            for session, camera, frame, _, content in self.contents(partition):
                 for name, px, py, confidence in detector.detect(content, frame):
-                    yield partition.session, partition.camera, frame, str(name), float(px), float(py), float(confidence)
+                    yield session, camera, frame, str(name), float(px), float(py), float(confidence)
         finally:
             getattr(detector, "close", lambda: None)()
 
@@ -136,10 +151,13 @@ def write_images(images: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        made = ""
         for batch in batches:
             for session, camera, frame, content in zip(batch["session"], batch["camera"], batch["frame_idx"], batch["content"]):
                 folder = f"{root}/{session}/{camera}"
-                store.create_dir(folder, recursive=True)
+                if folder != made:
+                    store.create_dir(folder, recursive=True)
+                    made = folder
                 with store.open_output_stream(f"{folder}/{frame:09d}.tif") as out:
                     out.write(content)
             yield batch[["session", "camera", "frame_idx"]]

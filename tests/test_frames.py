@@ -50,6 +50,15 @@ def test_frames_are_numbered_and_cut_into_blocks(spark, tmp_path):
     assert frames.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_many_sessions_share_partitions_and_are_listed_by_tasks(spark, tmp_path):
+    path = folder(tmp_path, [(f"s{n:02d}", n % 2, f"{k}.png", b"x" * (n + k)) for n in range(23) for k in range(1, 4)])
+    df = spark.read.format("frames").option("partitions", "5").load(path)
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted((r.session, r.camera, r.frame_idx, len(r.content)) for r in df.collect()) == [(f"s{n:02d}", n % 2, k - 1, n + k) for n in range(23) for k in range(1, 4)]
+    listed = frames.FrameReader({"path": path, "partitions": "5"}).partitions()
+    assert sum(len(p.sessions) for p in listed) == 23 and not any("png" in s for p in listed for s in p.sessions)
+
+
 def test_detectors_open_and_close_once_a_task(spark, tmp_path, monkeypatch):
     log = tmp_path / "log"
     # tasks import this module anew, so the path goes with the code that they load
