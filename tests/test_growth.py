@@ -1,8 +1,9 @@
 """What must not depend on how large Spark takes its inputs to be."""
 
+import numpy as np
 import pytest
 
-from stereolake.operators import calibration
+from stereolake.operators import calibration, refinement
 from stereolake.plans import catalog
 from stereolake.sources import files
 
@@ -33,3 +34,43 @@ def test_a_session_of_an_archive_is_in_few_files(spark, tmp_path):
     files.write_clouds(rows, str(tmp_path / "clouds"))
     assert spark.read.parquet(str(tmp_path / "clouds")).count() == 4000
     assert len(list((tmp_path / "clouds").glob("session=*/*.parquet"))) <= 10 + 4
+
+
+def test_reprojection_decomposes_estimates_not_points(monkeypatch):
+    """What is tried at a focal length is solved for all matches in arrays, with the results of one decomposition for each match."""
+    svd, asked = np.linalg.svd, []
+    monkeypatch.setattr(np.linalg, "svd", lambda a, *more, **named: asked.append(a.shape) or svd(a, *more, **named))
+    rng = np.random.default_rng(5)
+    turn, shift = np.array([[0.96, 0, 0.28], [0, 1, 0], [-0.28, 0, 0.96]]), np.array([1.0, 0.2, 0.3])
+    k = np.array([[900.0, 0, 640], [0, 900, 360], [0, 0, 1]])
+    e = np.array([[0, -shift[2], shift[1]], [shift[2], 0, -shift[0]], [-shift[1], shift[0], 0]]) @ turn
+    x = np.column_stack([rng.uniform(-2, 2, (30, 2)), rng.uniform(4, 7, 30)])
+    a, b = x @ k.T, (x @ turn.T + shift) @ k.T
+    points = np.hstack([a[:, :2] / a[:, 2:], b[:, :2] / b[:, 2:]]) + rng.normal(0, 0.5, (30, 4))
+    m = np.linalg.inv(k).T @ e @ np.linalg.inv(k)
+    sizes, f = np.array([12, 0, 4, 14]), np.array([[850.0, 900.0]] * 4)
+    got = refinement._reprojection(np.array([m] * 4), points, sizes, f, 640.0, 360.0)
+    assert {shape[1:] for shape in asked} == {(3, 3)} and len(asked) == 2
+    assert np.isnan(got[1:3]).all()
+    for at, part in ((0, points[:12]), (3, points[16:])):
+        for n, focal in enumerate(f[at]):
+            own = np.diag([focal, focal, 1.0]) + [[0, 0, 640], [0, 0, 360], [0, 0, 0]]
+            p0, p1 = own @ np.eye(3, 4), own @ _motion(own.T @ m @ own, np.linalg.inv(own), part)
+            errors = []
+            for p in part:
+                h = svd(np.array([p[0] * p0[2] - p0[0], p[1] * p0[2] - p0[1], p[2] * p1[2] - p1[0], p[3] * p1[2] - p1[1]]))[2][-1]
+                errors += [((v[:2] / v[2] - q) ** 2).sum() for v, q in ((p0 @ h, p[:2]), (p1 @ h, p[2:]))]
+            assert got[at, n] == pytest.approx(sum(errors) / len(errors), rel=1e-9)
+
+
+def _motion(e, inverse, points):
+    """Of the four motions the one with most points in front, by the depths of two rays."""
+    r, t = calibration.options_of(e[None])
+    one = np.ones((len(points), 1))
+    a, b = np.hstack([points[:, :2], one]) @ inverse.T, np.hstack([points[:, 2:], one]) @ inverse.T
+    front = []
+    for turn, shift in zip(r[0], t[0]):
+        depths = [np.linalg.lstsq(np.column_stack([turn @ p, -q]), -shift, rcond=None)[0] for p, q in zip(a, b)]
+        front.append(sum((d > 0).all() for d in depths))
+    best = int(np.argmax(front))
+    return np.column_stack([r[0][best], t[0][best]])
