@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Cells in memory at once in a task; a few arrays of them are held side by side.
 AT_ONCE = 1 << 20
 RIGS_KEPT = 8
+#: Frames that a task packs or carves and hands on at once.
+FRAMES_AT_ONCE = 512
 
 
 def dims(bounds: tuple, size: float) -> tuple[int, int, int]:
@@ -42,6 +44,20 @@ def _bitmaps(bits: int) -> Callable[[pa.Array], pa.Array]:
     return run
 
 
+def _in_pieces(rows: DataFrame, key: list[str], made: str, fn: Callable, *columns: str) -> DataFrame:
+    """(key, made): fn gives the columns of the schema `made` for arrays of the given ones, for some frames at a time, so
+    that a task's memory doesn't follow how full its batches are."""
+    kinds, names = dict(rows.dtypes), [*key, *[c.split()[0] for c in made.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FRAMES_AT_ONCE):
+                part = batch.slice(lo, FRAMES_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*[part[k] for k in key], *fn(*[part[c] for c in columns])], names)
+
+    return rows.select(*key, *columns).mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in key], made]))
+
+
 def _packed(positions: Column, bits: int) -> Column:
     return F.arrow_udf(_bitmaps(bits), "binary")(positions)
 
@@ -52,7 +68,8 @@ def pack_masks(mask: DataFrame, width: int, height: int, views: int = 2) -> Data
     at = (F.col("py") * width + F.col("px")).cast("int")
     cells = [F.collect_set(F.when(F.col("camera") == k, at)).alias(f"c{k}") for k in range(views)]
     frames = inside.groupBy("session", "frame_idx").agg(*cells)
-    return frames.select("session", "frame_idx", *[_packed(F.col(f"c{k}"), width * height).alias(f"m{k}") for k in range(views)])
+    pack = _bitmaps(width * height)
+    return _in_pieces(frames, ["session", "frame_idx"], ", ".join(f"m{k} binary" for k in range(views)), lambda *lists: map(pack, lists), *[f"c{k}" for k in range(views)])
 
 
 def pack_voxels(voxels: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
@@ -86,9 +103,9 @@ def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: flo
     else:
         frames = frames.withColumns({f"p{k}": F.array(*[F.lit(float(v)) for row in p for v in row]) for k, p in enumerate(cameras)})
 
-    def run(*columns: pa.Array) -> pa.Array:
-        m0, m1, p0, p1 = columns
-        rigs: dict[tuple, tuple[np.ndarray, ...]] = {}
+    rigs: dict[tuple, tuple[np.ndarray, ...]] = {}  # each task fills its own copy
+
+    def run(m0: pa.Array, m1: pa.Array, p0: pa.Array, p1: pa.Array) -> list[pa.Array]:
         out = []
         for masks, own in zip(zip(m0, m1), zip(p0.to_pylist(), p1.to_pylist())):
             rig = tuple(map(tuple, own))
@@ -109,9 +126,9 @@ def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: flo
             hull = np.zeros((len(cells) + 7) // 8 * 8, dtype=np.uint8)
             hull[left] = 1
             out.append(np.packbits(hull).tobytes() if len(left) else None)
-        return pa.array(out, pa.binary())
+        return [pa.array(out, pa.binary())]
 
-    carved = frames.select("session", "frame_idx", F.arrow_udf(run, "binary")("m0", "m1", "p0", "p1").alias("grid"))
+    carved = _in_pieces(frames, ["session", "frame_idx"], "grid binary", run, "m0", "m1", "p0", "p1")
     return carved.where("grid IS NOT NULL")
 
 
@@ -140,9 +157,21 @@ def _flat(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(grids: DataFrame, key: list[str], shape: tuple[int, int, int], fn, *more: tuple[str, int]) -> DataFrame:
-    """(key, more ..., i, j, k) of the values that fn lists for grids, which are flat numbers behind further numbers of the given ranges."""
+    """(key, more ..., i, j, k) of the values that fn lists for grids, which are flat numbers behind further numbers of the given ranges.
+
+    A task hands on the lists of some grids at a time, whatever a batch holds, so its memory depends on neither.
+    """
     nx, ny, nz = shape
-    rows = grids.select(*key, F.explode(F.arrow_udf(fn, "array<bigint>")("grid")).alias("v"))
+    kinds, step = dict(grids.dtypes), max(1, AT_ONCE // (nx * ny * nz))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*[part[k] for k in key], fn(part["grid"])], [*key, "v"])
+
+    listed = grids.select(*key, "grid").mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in key], "v array<bigint>"]))
+    rows = listed.select(*key, F.explode("v").alias("v"))
     out, rest = [F.expr(f"(v div {ny * nz}) % {nx}").cast("int").alias("i"), F.expr(f"(v div {nz}) % {ny}").cast("int").alias("j"), F.expr(f"v % {nz}").cast("int").alias("k")], nx * ny * nz
     for name, n in more:
         out.append(F.expr(f"(v div {rest}) % {n}").cast("int").alias(name))

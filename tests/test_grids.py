@@ -151,3 +151,31 @@ def test_what_a_run_writes(spark):
     assert volumes == grids.cells(job.table("hulls"), KEY, grids.dims(BOUNDS, 5.0)).where("frame_idx = 4 AND session = 1").count() > 0
     with pytest.raises(ValueError):
         reconstruct.run(*given, "/nowhere", OPTIONS, sinks=("video",))
+
+
+def test_lists_of_cells_are_handed_on_some_grids_at_a_time(spark, monkeypatch):
+    shape, seen = (8, 8, 8), spark.sparkContext.accumulator(0)
+    full = spark.range(0, 5000, 1, 1).selectExpr("id AS frame_idx", f"unhex(repeat('FF', {8 * 8})) AS grid")
+    monkeypatch.setattr(grids, "AT_ONCE", 100 * 512)
+    plain = grids._flat
+
+    def counted(mask):
+        seen.add(1)
+        assert len(mask) <= 100
+        return plain(mask)
+
+    out = grids._cells(full, ["frame_idx"], shape, grids._read(shape, counted))
+    assert {r["count"] for r in out.groupBy("frame_idx").count().collect()} == {512}
+    assert seen.value == 50
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_are_packed_and_carved_some_frames_at_a_time(spark):
+    """Batches of any fill are handed on in pieces, from the masks to the cells."""
+    lit = spark.range(0, 1200, 1, 1).selectExpr("1L AS session", "id AS frame_idx", "explode(array(0, 1)) AS camera", "2 AS px", "2 AS py")
+    packed = grids.pack_masks(lit, 4, 4)
+    p = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 0, 1.0]]  # cells are seen at their rounded centres
+    out = grids.carve(packed, [p, p], ((0, 4), (0, 4), (0, 1)), 1.0, 4, 4)
+    assert out.count() == 1200 and out.select("grid").distinct().count() == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 2
+    assert grids.cells(out, ["frame_idx"], (4, 4, 1)).count() % 1200 == 0
