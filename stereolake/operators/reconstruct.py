@@ -142,7 +142,7 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
     origin = tuple(float(lo) for lo, _ in o.bounds)
 
     def skeletons(path: str) -> None:
-        shown = found.where(due).withColumn("pos", F.xxhash64("name"))
+        shown = found.where(due).withColumn("pos", F.shiftrightunsigned(F.xxhash64("name"), 1))  # behind the header
         files.write_lines(files.point_cloud_lines(shown, FRAME, (0, 200, 255)), FRAME, ["seq", "value"], path)
 
     def volumes(path: str) -> None:
@@ -158,8 +158,8 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
     def viewer(path: str) -> None:
         thinned = voxels.centers(voxels.thin(cells(hull), FRAME, o.voxel_downsample), o.bounds, o.voxel_size)
         shown = files.viewer_json(found, thinned.select(*FRAME, "x", "y", "z"))
-        block = F.floor(F.col("frame_idx") / o.viewer_block)
-        shown.repartition("session", block).sortWithinPartitions(*FRAME).write.partitionBy("session").json(path)
+        lines = shown.select("session", F.floor(F.col("frame_idx") / o.viewer_block).alias("block"), "frame_idx", F.to_json(F.struct("frame_idx", "value")).alias("value"))
+        files.write_lines(lines, ["session"], ["frame_idx"], path, apart=["block"])
 
     make = {
         "stats": (of(), ("tracks",), lambda path: files.write_csv(files.stats_csv(trajectory.stats(found, frames)), path)),

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from io import BytesIO
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import trajectory
+from . import tables
 
 HEADERS = ("scorer", "individuals", "bodyparts", "coords")
 
@@ -23,6 +31,7 @@ def read_wide_tracks(spark: SparkSession, paths: str | list[str], individual: st
     are individuals. Rows whose label is no number are dropped.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.split("value", ",", -1).alias("cells")).where("size(cells) > 1")
+    lines = tables.cut(lines, "lines")  # heads and rows; many small files cost more to open than to read
     first = F.trim(F.col("cells")[0])
     heads = lines.where(first.isin(*HEADERS)).select("file", first.alias("kind"), F.posexplode("cells").alias("col", "cell")).where("col > 0")
     heads = heads.groupBy("file", "col").agg(*[F.max(F.when(F.col("kind") == k, F.trim("cell"))).alias(k) for k in HEADERS])
@@ -89,7 +98,7 @@ def write_calibrations(calib: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, root = store_of(path)
         for batch in batches:
             for session, fields in zip(batch["session"], batch["fields"]):
                 content = BytesIO()
@@ -102,6 +111,11 @@ def write_calibrations(calib: DataFrame, path: str) -> DataFrame:
     return calib.select("session", "fields").mapInPandas(run, "session bigint")
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, of any kind that pyarrow opens, and the path there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def read_frames(spark: SparkSession, paths: str, glob: str = "*.{png,jpg,jpeg,bmp,tif,tiff}") -> DataFrame:
     """(dir, frame_idx, path, content): image files numbered from 0 in the order of their names within a directory."""
     from pyspark.sql import Window
@@ -205,21 +219,116 @@ def mesh_text(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFram
     return heads.unionByName(mesh_lines(vertices, faces, key))
 
 
-#: Tasks move their own files when they end; else the driver moves a folder for each key, one by one. A folder that a failed
-#: job leaves behind is read by nobody.
-OWN_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+class _Lines:
+    """A text file of the rows' only column."""
+
+    end = ".txt"
+
+    def __init__(self, out: pa.NativeFile, schema: pa.Schema):
+        self.out = out
+
+    def write(self, rows: pa.RecordBatch) -> None:
+        lines = pc.fill_null(rows[0], "")
+        self.out.write(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer())
+        self.out.write(b"\n")
+
+    def close(self) -> None:
+        self.out.close()
+
+
+class _Table:
+    """A Parquet file."""
+
+    end = ".parquet"
+
+    def __init__(self, out: pa.NativeFile, schema: pa.Schema):
+        self.out, self.table = out, pq.ParquetWriter(out, schema)
+
+    def write(self, rows: pa.RecordBatch) -> None:
+        self.table.write_batch(rows)
+
+    def close(self) -> None:
+        self.table.close()
+        self.out.close()
+
+
+def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Positions of the rows that differ from the one before in one of the columns."""
+    new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+    for c in columns:
+        a, b = batch[c].slice(1), batch[c].slice(0, batch.num_rows - 1)
+        new |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | np.asarray(pc.xor(a.is_null(), b.is_null()))
+    return np.flatnonzero(new) + 1
+
+
+def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, apart: list[str] | None = None, prefix: str = "part", ranges: bool = False) -> None:
+    """Rows, in order of the key within each task, as files <path>/<key>=<value>/... of the columns that aren't in the key.
+
+    Tasks open files one after the other themselves: there is no job of Spark's writers, which for a folder of each key
+    costs some ten times as much as what is written into it. A file gets its name when it is whole, so what a failed or a
+    slower attempt leaves is hidden or the same file. apart: columns, in order after the key, of which each value begins a
+    new file. Paths may be of any file system that pyarrow opens.
+    """
+    apart = apart or []
+    rest = [c for c in rows.columns if c not in (*key, *apart)]
+    null = "__HIVE_DEFAULT_PARTITION__"
+
+    def run(batches):
+        store, root = store_of(path)
+        stem = f"{prefix}-{TaskContext.get().partitionId():05d}" if ranges else prefix
+        attempt = uuid.uuid4().hex
+        last, file, names, n = None, None, None, 0
+
+        def closed():
+            if file is not None:
+                file.close()
+                store.move(*names)
+
+        for batch in batches:
+            own, edges = batch.select(rest), [0, *_changes(batch, [*key, *apart]).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                at = [batch[c][lo].as_py() for c in (*key, *apart)]
+                if at != last:
+                    closed()
+                    folder = "/".join([root, *[f"{k}={null if v is None else quote(str(v), safe=' ')}" for k, v in zip(key, at)]])
+                    if last is None or at[: len(key)] != last[: len(key)]:
+                        store.create_dir(folder, recursive=True)
+                    name = "-".join([stem, *map(str, at[len(key) :])]) + form.end
+                    names, last, n = (f"{folder}/.{name}.{attempt}", f"{folder}/{name}"), at, n + 1
+                    file = form(store.open_output_stream(names[0]), own.schema)
+                file.write(own.slice(lo, hi - lo))
+        closed()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    store, root = store_of(path)
+    store.create_dir(root, recursive=True)
+    rows.mapInArrow(run, "files bigint").write.format("noop").mode("overwrite").save()
+
+
+def _together(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a key in one task. By a hash of the key: where rows are a union whose parts are each dealt by the key
+    itself, Spark leaves such a shuffle out, and then reads the parts in ranges of partitions that needn't agree."""
+    return rows.repartition(F.xxhash64(*key))
+
+
+def write_lines(lines: DataFrame, key: list[str], order: list[str], path: str, apart: list[str] | None = None) -> None:
+    """A folder of text for each key, lines in order; the rows of a key (and of each value of `apart`) are one file's."""
+    whole = [*key, *(apart or [])]
+    write_folders(_together(lines, whole).sortWithinPartitions(*whole, *order).select(*whole, "value"), key, _Lines, path, apart)
 
 
-def write_lines(lines: DataFrame, key: list[str], order: list[str], path: str) -> None:
-    """A folder of text for each key, lines in order; the rows of a key are one file's."""
-    lines.repartition(*key).sortWithinPartitions(*key, *order).select(*key, "value").write.options(**OWN_COMMIT).partitionBy(*key).text(path)
+def write_tables(rows: DataFrame, key: list[str], order: list[str], path: str, prefix: str = "part") -> None:
+    """A folder for each key with its rows in order, as one Parquet file."""
+    write_folders(_together(rows, key).sortWithinPartitions(*key, *order), key, _Table, path, prefix=prefix)
 
 
 def write_archive(dense: DataFrame, path: str) -> None:
     """Dense trajectories as single-precision Parquet, a folder for each session; what is missing is not a number, with confidence 0."""
     number = lambda c, missing: F.coalesce(c, F.lit(missing)).cast("float").alias(c)
     rows = dense.select("session", "name", "frame_idx", *[number(v, float("nan")) for v in "xyz"], number("confidence", 0.0), number("reproj_err", 0.0))
-    rows.repartition("session").sortWithinPartitions("session", "name", "frame_idx").write.options(**OWN_COMMIT).partitionBy("session").parquet(path)
+    write_tables(rows, ["session"], ["name", "frame_idx"], path)
 
 
 def write_clouds(voxels: DataFrame, path: str) -> None:
@@ -228,7 +337,7 @@ def write_clouds(voxels: DataFrame, path: str) -> None:
     Tasks take ranges of sessions and frames, so a session is in one file or, if it is long, in a few.
     """
     rows = voxels.select("session", "frame_idx", *[F.col(v).cast("float").alias(v) for v in "xyz"])
-    rows.repartitionByRange("session", "frame_idx").sortWithinPartitions("session", "frame_idx").write.options(**OWN_COMMIT).partitionBy("session").parquet(path)
+    write_folders(rows.repartitionByRange("session", "frame_idx").sortWithinPartitions("session", "frame_idx"), ["session"], _Table, path, ranges=True)
 
 
 def archive_metadata(kp3d: DataFrame, frames: DataFrame, fps: float = 30.0) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from ..functions import geometry as g
 from ..operators import trajectory
+from ..sources import files
 
 
 def with_event_time(rows: DataFrame, fps: float | str = 30.0, t0: str = "2024-01-01 00:00:00", fallback: float = 30.0) -> DataFrame:
@@ -236,5 +237,10 @@ def background(pixels: DataFrame, threshold: float = 40.0, floor: float = 4.0, r
 
 
 def archive(rows: DataFrame, path: str, checkpoint: str):
-    """Starts appending rows to Parquet, a folder for each session; ends when the input that is there has been read."""
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("session").outputMode("append").trigger(availableNow=True).start()
+    """Starts appending rows to Parquet, a folder for each session and in it a file for each batch; ends when the input that is there has been read.
+
+    A batch that is taken again after a failure writes the same files again. Archives that Spark's own sink began, with a
+    log of files beside them, have to be begun anew.
+    """
+    write = lambda batch, number: files.write_tables(batch, ["session"], [], path, prefix=f"batch-{number:09d}")
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

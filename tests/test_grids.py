@@ -179,3 +179,15 @@ def test_masks_are_packed_and_carved_some_frames_at_a_time(spark):
     assert out.count() == 1200 and out.select("grid").distinct().count() == 1
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 2
     assert grids.cells(out, ["frame_idx"], (4, 4, 1)).count() % 1200 == 0
+
+
+def test_files_of_a_run_begin_with_their_headers(spark):
+    """A frame's file is whole: the header first, then as many lines as it counts."""
+    job = reconstruct.run(*inputs(spark), tables.fresh_path(spark, "run"), OPTIONS, sinks=("skeletons", "volumes"))
+    for sink in ("skeletons", "volumes"):
+        found = spark.read.text(job.paths[sink], wholetext=True).collect()
+        assert len(found) >= 2 and len({(r.session, r.frame_idx) for r in found}) == len(found)
+        for r in found:
+            head, body = r.value.split("end_header\n")
+            assert head.startswith("ply\nformat ascii 1.0\nelement vertex ")
+            assert len(body.splitlines()) == sum(int(n.split()[2]) for n in head.splitlines() if n.startswith("element "))

@@ -86,3 +86,38 @@ def test_a_distortion_scan_shuffles_points_once(spark):
         assert alignment.distortion_scan(edges, 900.0, 640.0, 360.0, rounds=rounds).count() == 3
         used.append(written() - before)
     assert used[1] - used[0] < 1_000_000
+
+
+def test_folders_are_written_by_the_tasks_themselves(spark, tmp_path):
+    """A file for each key and part, whole and in order, and nothing of Spark's file writers around it."""
+    lines = spark.range(0, 30000, 1, 4).selectExpr("if(id % 7 = 0, NULL, id % 7) AS session", "id % 2 AS kind", "id AS seq", "if(id = 8, NULL, cast(id AS string)) AS value")
+    files.write_lines(lines, ["session"], ["seq"], str(tmp_path / "lines"), apart=["kind"])
+    got = {}
+    for f in (tmp_path / "lines").rglob("*"):
+        if f.is_file():
+            seqs = [int(x or 8) for x in f.read_text().splitlines()]
+            got[f.parent.name, seqs[0] % 2] = seqs
+    names = {k: "__HIVE_DEFAULT_PARTITION__" if k == 0 else str(k) for k in range(7)}
+    assert got == {(f"session={names[k]}", kind): [n for n in range(kind, 30000, 2) if n % 7 == k] for k in range(7) for kind in (0, 1)}
+    assert len([f for f in (tmp_path / "lines").rglob("*") if f.is_file()]) == 14
+    files.write_tables(lines, ["session", "kind"], ["seq"], "file://" + str(tmp_path / "tables"))
+    back = spark.read.parquet(str(tmp_path / "tables"))
+    assert sorted(map(tuple, back.select("seq", "value").collect())) == sorted(map(tuple, lines.select("seq", "value").collect()))
+    assert back.where("session IS NULL").count() == 4286
+    assert not list(tmp_path.rglob("*.crc")) and not list(tmp_path.rglob("_*"))
+
+
+def test_masks_are_shuffled_as_keypoints(spark):
+    """Keypoints go through the shuffle, not the 25 pixels that each becomes."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    for name in ("silhouette_moments", "surface_voxels"):
+        before = written()
+        catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+        assert written() - before < 170_000, name
+
+
+def test_a_union_is_dealt_anew_before_it_is_written(spark):
+    """Parts of a union that are dealt by the key already are read in ranges of partitions of their own; one more shuffle puts a key together."""
+    parts = [spark.range(n).selectExpr("id % 50 AS session", "id AS seq").groupBy("session").agg({"seq": "sum"}) for n in (100, 5000)]
+    plan = files._together(parts[0].union(parts[1]), ["session"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(xxhash64(session" in plan.split("Union")[0]
