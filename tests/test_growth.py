@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stereolake.operators import alignment, calibration, refinement
+from stereolake.operators import alignment, calibration, matching, refinement
 from stereolake.plans import catalog
 from stereolake.sources import files
 
@@ -121,3 +121,19 @@ def test_a_union_is_dealt_anew_before_it_is_written(spark):
     parts = [spark.range(n).selectExpr("id % 50 AS session", "id AS seq").groupBy("session").agg({"seq": "sum"}) for n in (100, 5000)]
     plan = files._together(parts[0].union(parts[1]), ["session"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(xxhash64(session" in plan.split("Union")[0]
+
+
+def test_a_sample_of_eight_needs_no_large_decomposition(monkeypatch):
+    """Eight equations leave one direction open, which is the last singular vector; only 3x3 matrices are decomposed."""
+    svd, asked = np.linalg.svd, []
+    rng = np.random.default_rng(3)
+    a, b = rng.random((40, 8, 2)) * 900, rng.random((40, 8, 2)) * 900
+    monkeypatch.setattr(np.linalg, "svd", lambda m, *more, **named: asked.append(m.shape) or svd(m, *more, **named))
+    got = matching._eight_points(a, b)
+    assert asked == [(40, 3, 3)]
+    one = np.ones((40, 8, 1))
+    met = np.einsum("nmi,nij,nmj->nm", np.concatenate([b, one], 2), got, np.concatenate([a, one], 2))
+    assert (svd(got)[1][:, 2] < 1e-12).all() and np.linalg.norm(got, axis=(1, 2)) == pytest.approx(np.ones(40))
+    monkeypatch.undo()
+    more = matching._eight_points(np.concatenate([a, a], 1), np.concatenate([b, b], 1))  # the same equations twice, by the least singular value
+    assert np.abs(np.einsum("nij,nij->n", got, more)) == pytest.approx(np.ones(40), abs=1e-6) and np.isfinite(met).all()
