@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -67,6 +67,7 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
 
 
 _POINT = ("frame_idx", "x", "y", "z", "confidence", "reproj_err")
+_OUT = Row("session", "name", *_POINT)
 
 
 class GapFiller(StatefulProcessor):
@@ -86,68 +87,59 @@ class GapFiller(StatefulProcessor):
         arrays = ", ".join(f"{c} array<{'bigint' if c == 'frame_idx' else 'double'}>" for c in _POINT)
         self.state = handle.getValueState("track", f"due array<bigint>, {arrays}, last array<double>, last_ms bigint")
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
         """The last point that an earlier run handed on."""
-        r = initialState.sort_values("frame_idx").iloc[-1]
-        last_ms = int(r["event_time"].value // 1_000_000)
-        self._keep(self._empty(), [float(r[c]) for c in _POINT], last_ms)
+        waiting, last, _ = self._load()
+        if last is None or initialState["frame_idx"] > last[0]:
+            self._keep(waiting, [float(initialState[c]) for c in _POINT], initialState["due"])
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         waiting, last, last_ms = self._load()
-        parts = [pd.DataFrame({"due": b["event_time"].astype("datetime64[us]").astype("int64") // 1000, **{c: b[c] for c in _POINT}}) for b in rows]
-        self._keep(pd.concat([waiting, *parts], ignore_index=True), last, last_ms)
+        self._keep([*waiting, *[tuple(r[c] for c in ("due", *_POINT)) for r in rows]], last, last_ms)
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         waiting, last, last_ms = self._load()
-        passed = waiting["due"] <= now
-        ready = waiting[passed].sort_values("frame_idx", kind="stable")
-        if len(ready):
-            out = pd.concat([self._filled(last, ready), ready[list(_POINT)]], ignore_index=True)
-            if last is None or ready["frame_idx"].iloc[-1] > last[0]:
-                last, last_ms = [float(v) for v in ready[list(_POINT)].iloc[-1]], int(ready["due"].iloc[-1])
-            out.insert(0, "name", key[1])
-            out.insert(0, "session", key[0])
-            yield out
-        waiting = waiting[~passed]
-        if last is not None and self._end(last_ms) <= now and (waiting.empty or waiting["frame_idx"].min() > last[0] + self.max_gap + 1):
+        ready = sorted((p for p in waiting if p[0] <= now), key=lambda p: p[1])
+        if ready:
+            for point in [*self._filled(last, ready), *[p[1:] for p in ready]]:
+                yield _OUT(*key, *point)
+            if last is None or ready[-1][1] > last[0]:
+                last, last_ms = [None if v is None else float(v) for v in ready[-1][1:]], ready[-1][0]
+        waiting = [p for p in waiting if p[0] > now]
+        if last is not None and self._end(last_ms) <= now and (not waiting or min(p[1] for p in waiting) > last[0] + self.max_gap + 1):
             last, last_ms = None, None
         self._keep(waiting, last, last_ms)
 
-    def _filled(self, last: list[float] | None, ready: pd.DataFrame) -> pd.DataFrame:
-        """Interpolated points in the gaps of the last point and those that follow, all gaps at once."""
-        points = ready.drop_duplicates("frame_idx", keep="last")[list(_POINT)].to_numpy(float)
-        if last is not None:
-            points = np.concatenate([[last], points[points[:, 0] > last[0]]])
-        gap = np.diff(points[:, 0]).astype(np.int64) - 1
-        at = np.flatnonzero((gap > 0) & (gap <= self.max_gap))
-        before, after = np.repeat(points[at], gap[at], axis=0), np.repeat(points[at + 1], gap[at], axis=0)
-        k = np.arange(len(before)) - np.repeat(np.cumsum(gap[at]) - gap[at], gap[at]) + 1
-        t = k / (np.repeat(gap[at], gap[at]) + 1)
-        moved = before[:, 1:4] + t[:, None] * (after[:, 1:4] - before[:, 1:4])
-        return pd.DataFrame({"frame_idx": before[:, 0].astype(np.int64) + k, "x": moved[:, 0], "y": moved[:, 1], "z": moved[:, 2], "confidence": 0.8 * np.minimum(before[:, 4], after[:, 4]), "reproj_err": 0.0})
+    def _filled(self, last: list[float] | None, ready: list[tuple]) -> Iterator[tuple]:
+        """Interpolated points in the gaps of the last point and those that follow."""
+        points = {p[1]: p[1:] for p in ready if last is None or p[1] > last[0]}  # of points of one frame the last one
+        points = [*([] if last is None else [last]), *points.values()]
+        for before, after in zip(points, points[1:]):
+            start = int(before[0])
+            gap = int(after[0]) - start - 1
+            if 0 < gap <= self.max_gap:
+                sure = min((v for v in (before[4], after[4]) if v is not None), key=lambda v: (v != v, v), default=None)  # as least() does
+                lower = None if sure is None else 0.8 * sure
+                for k in range(1, gap + 1):
+                    t = k / (gap + 1)
+                    yield start + k, *[None if a is None or b is None else a + t * (b - a) for a, b in zip(before[1:4], after[1:4])], lower, 0.0
 
     def _end(self, last_ms: int) -> int:
         return last_ms + math.ceil((self.max_gap + 1.5) * self.frame_ms)  # half a frame beyond the gap
 
-    @staticmethod
-    def _empty() -> pd.DataFrame:
-        return pd.DataFrame({"due": pd.Series(dtype="int64"), **{c: pd.Series(dtype="int64" if c == "frame_idx" else "float64") for c in _POINT}})
-
-    def _load(self) -> tuple[pd.DataFrame, list[float] | None, int | None]:
+    def _load(self) -> tuple[list[tuple], list[float] | None, int | None]:
+        """Waiting points (due and the point's columns), and the last one that was handed on."""
         kept = self.state.get() if self.state.exists() else None
-        if kept is None:
-            return self._empty(), None, None
-        waiting = pd.DataFrame(dict(zip(("due", *_POINT), (list(v) for v in kept[:7])))) if len(kept[0]) else self._empty()
-        return waiting, None if kept[7] is None else [float(v) for v in kept[7]], kept[8]
+        return ([], None, None) if kept is None else (list(zip(*kept[:7])), kept[7], kept[8])
 
-    def _keep(self, waiting: pd.DataFrame, last: list[float] | None, last_ms: int | None) -> None:
-        if waiting.empty and last is None:
+    def _keep(self, waiting: list[tuple], last: list[float] | None, last_ms: int | None) -> None:
+        if not waiting and last is None:
             self.state.clear()
             return
-        self.state.update((*[waiting[c].tolist() for c in ("due", *_POINT)], last, last_ms))
-        self.handle.registerTimer(int(waiting["due"].min()) if len(waiting) else self._end(last_ms))
+        self.state.update((*(map(list, zip(*waiting)) if waiting else [[] for _ in range(7)]), last, last_ms))
+        self.handle.registerTimer(min(p[0] for p in waiting) if waiting else self._end(last_ms))
 
 
 def fill_gaps(kp3d: DataFrame, max_gap: int = 10, fps: float = 30.0, delay: str = "10 seconds", initial: DataFrame | None = None) -> DataFrame:
@@ -157,9 +149,9 @@ def fill_gaps(kp3d: DataFrame, max_gap: int = 10, fps: float = 30.0, delay: str
     points come out once a row of later event time has moved the watermark.
     """
     keep_state_in_rocksdb(kp3d.sparkSession)
-    columns = ["session", "name", "event_time", *_POINT]
+    columns = ["session", "name", "event_time", F.unix_millis("event_time").alias("due"), *_POINT]
     tracks = kp3d.select(*columns).withWatermark("event_time", delay).groupBy("session", "name")
-    return tracks.transformWithStateInPandas(
+    return tracks.transformWithState(
         GapFiller(max_gap, fps), "session bigint, name string, frame_idx bigint, x double, y double, z double, confidence double, reproj_err double",
         "append", "EventTime", initialState=initial.select(*columns).groupBy("session", "name") if initial is not None else None,
     )

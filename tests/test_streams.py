@@ -67,6 +67,14 @@ def test_gap_state_expires_and_starts_from_an_earlier_run(spark):
     assert got == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 60), ("b", 30)]
 
 
+def test_gaps_are_filled_like_the_batch_operator_where_values_are_missing(spark):
+    nan = float("nan")
+    rows = [(1, "a", 0, 1.0, None, nan, None, 0.5), (1, "a", 3, 4.0, 2.0, 1.0, 0.5, 0.5), (1, "a", 5, 6.0, 2.0, 1.0, nan, None), (1, "a", 7, 6.0, 2.0, 1.0, None, 0.0)]
+    got, _ = drained(streams.fill_gaps(in_batches(spark, [rows, [END], [(-1, "end", 100_001, 0.0, 0.0, 0.0, 1.0, 0.0)]], POINTS), delay="0 seconds"))
+    want = trajectory.fill_gaps(spark.createDataFrame(rows, POINTS)).select(got[0].__fields__).collect()
+    assert sorted(str(tuple(r)) for r in got if r.session == 1) == sorted(str(tuple(r)) for r in want) and len(want) == 8
+
+
 def model_by_hand(rows, model=None, threshold=40.0, floor=4.0, rate=0.05):
     out, models = {}, dict(model or {})
     for session, camera, x, y, frame, v in rows:
