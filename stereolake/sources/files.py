@@ -265,7 +265,7 @@ def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, ap
     """Rows, in order of the key within each task, as files <path>/<key>=<value>/... of the columns that aren't in the key.
 
     Tasks open files one after the other themselves: there is no job of Spark's writers, which for a folder of each key
-    costs some ten times as much as what is written into it. A file gets its name when it is whole, so what a failed or a
+    costs more than what is written into it. A file gets its name when it is whole, so what a failed or a
     slower attempt leaves is hidden or the same file. apart: columns, in order after the key, of which each value begins a
     new file. Paths may be of any file system that pyarrow opens.
     """
