@@ -226,25 +226,30 @@ def surface(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> Da
     return _cells(grids, key, shape, _read(shape, run))
 
 
+def _cut(grid: np.ndarray) -> np.ndarray:
+    """(n, 3 * cells): of grids (n, nx, ny, nz) the grid edges of which one end is occupied, axis by axis, by their lower end."""
+    cut = np.zeros((len(grid), 3, *grid.shape[1:]), dtype=bool)
+    for axis in range(3):
+        low, high = (tuple(end if a == axis + 1 else slice(None) for a in range(4)) for end in (slice(None, -1), slice(1, None)))
+        cut[:, axis][low] = grid[low] ^ grid[high]
+    return cut.reshape(len(grid), -1)
+
+
+def _codes(grid: np.ndarray) -> np.ndarray:
+    """(n, cells): corner codes of the cells between eight grid points, by their lowest corner; 0 where there is no such cell."""
+    nx, ny, nz = grid.shape[1:]
+    code = np.zeros(grid.shape, dtype=np.uint8)
+    inner = code[:, : nx - 1, : ny - 1, : nz - 1]
+    for a in (0, 1):
+        for b in (0, 1):
+            for c in (0, 1):
+                inner |= grid[:, a : nx - 1 + a, b : ny - 1 + b, c : nz - 1 + c].view(np.uint8) << np.uint8(a | b << 1 | c << 2)
+    return code.reshape(len(grid), -1)
+
+
 def edges(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
     """(key, i, j, k, axis): grid edges of which one end is occupied, by their lower end."""
-    total = shape[0] * shape[1] * shape[2]
-
-    def run(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, values = [], []
-        for axis in range(3):
-            cut = np.zeros_like(grid)
-            low = tuple(slice(None, -1) if a == axis + 1 else slice(None) for a in range(4))
-            high = tuple(slice(1, None) if a == axis + 1 else slice(None) for a in range(4))
-            cut[low] = grid[low] ^ grid[high]
-            row, at = _flat(cut)
-            rows.append(row)
-            values.append(at + axis * total)
-        row, value = np.concatenate(rows), np.concatenate(values)
-        order = np.argsort(row, kind="stable")
-        return row[order], value[order]
-
-    return _cells(grids, key, shape, _read(shape, run), ("axis", 3))
+    return _cells(grids, key, shape, _read(shape, lambda grid: np.nonzero(_cut(grid))), ("axis", 3))
 
 
 def corner_codes(grids: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
@@ -252,14 +257,85 @@ def corner_codes(grids: DataFrame, key: list[str], shape: tuple[int, int, int])
     total = shape[0] * shape[1] * shape[2]
 
     def run(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = np.zeros(grid.shape, dtype=np.uint8)
-        inner = code[:, : shape[0] - 1, : shape[1] - 1, : shape[2] - 1]
-        for a in (0, 1):
-            for b in (0, 1):
-                for c in (0, 1):
-                    inner |= grid[:, a : shape[0] - 1 + a, b : shape[1] - 1 + b, c : shape[2] - 1 + c].view(np.uint8) << np.uint8(a | b << 1 | c << 2)
-        code = code.reshape(len(grid), -1)
+        code = _codes(grid)
         row, at = np.nonzero((code > 0) & (code < 255))
         return row, at + code[row, at].astype(np.int64) * total
 
     return _cells(grids, key, shape, _read(shape, run), ("code", 256))
+
+
+def _by_name(shape: tuple[int, int, int]) -> np.ndarray:
+    """All grid edges, axis * cells + flat number of the lower end, in the order of their names axis:i:j:k as texts."""
+    total = shape[0] * shape[1] * shape[2]
+    i, j, k = np.meshgrid(*[sorted(range(n), key=lambda v, end=end: f"{v}{end}") for n, end in zip(shape, "::\n")], indexing="ij")
+    flat = ((i * shape[1] + j) * shape[2] + k).ravel()
+    return np.concatenate([flat + axis * total for axis in range(3)])
+
+
+def meshes(grids: DataFrame, key: list[str], shape: tuple[int, int, int], triangles: list, made: str, fn: Callable) -> DataFrame:
+    """(key, made): fn of the meshes of some grids at a time; a grid's mesh stays in the row that the grid is in.
+
+    fn gets the vertices of all these grids, as grid edges in the order of their names, where each grid's begin (and the
+    last ones end), and the faces (m, 3) by their vertices' places, in rising order. triangles: (code, position, three edges)
+    as of `voxels.cell_triangles`.
+    """
+    nx, ny, nz = shape
+    total, step = nx * ny * nz, max(1, AT_ONCE // (nx * ny * nz))
+    kinds, names = dict(grids.dtypes), [*key, *[c.split()[0] for c in made.split(", ")]]
+    triangles = sorted(triangles, key=lambda t: t[:2])
+    corners = np.array([[axis * total + (i * ny + j) * nz + k for axis, (i, j, k) in tri] for _, _, tri in triangles])
+    first = np.searchsorted([code for code, *_ in triangles], np.arange(257))
+
+    def run(batches):
+        order = _by_name(shape)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                bits = np.frombuffer(b"".join(part["grid"].to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                grid = np.unpackbits(bits, axis=1, count=total).astype(bool).reshape(-1, *shape)
+                row, place = np.nonzero(_cut(grid)[:, order])
+                number = np.zeros((len(grid), 3 * total), dtype=np.int64)
+                number[row, order[place]] = np.arange(len(row))
+                code = _codes(grid)
+                cell_row, at = np.nonzero((code > 0) & (code < 255))
+                code = code[cell_row, at]
+                n = first[code.astype(int) + 1] - first[code]
+                which = np.repeat(np.arange(len(code)), n)
+                tri = corners[np.arange(n.sum()) + np.repeat(first[code] - np.cumsum(n) + n, n)] + at[which, None]
+                faces = number[cell_row[which, None], tri]
+                faces = faces[np.lexsort(faces.T[::-1])]
+                starts = np.searchsorted(row, np.arange(len(grid) + 1))
+                yield pa.RecordBatch.from_arrays([*[part[k] for k in key], *fn(order[place], starts, faces)], names)
+
+    return grids.select(*key, "grid").mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in key], made]))
+
+
+def numbered(grids: DataFrame, key: list[str], shape: tuple[int, int, int], triangles: list) -> DataFrame:
+    """(key, v, f): a grid's vertices as grid edges, numbered from 0 by their place, and its faces as three such numbers, in order."""
+
+    def run(vertices: np.ndarray, starts: np.ndarray, faces: np.ndarray) -> list[pa.Array]:
+        ends = np.searchsorted(faces[:, 0], starts)
+        own = faces - np.repeat(starts[:-1], np.diff(ends))[:, None]
+        three = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(faces) + 1, 3), pa.int32()), pa.array(own.ravel(), pa.int32()))
+        return [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(vertices, pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), three)]
+
+    return meshes(grids, key, shape, triangles, "v array<int>, f array<array<int>>", run)
+
+
+def smoothed(grids: DataFrame, key: list[str], shape: tuple[int, int, int], triangles: list, origin: tuple, size: float, rounds: int = 1) -> DataFrame:
+    """(key, v, x, y, z): a grid's vertices that have neighbours, as lists, each moved to the mean of its neighbours, round by round."""
+    total = shape[0] * shape[1] * shape[2]
+
+    def run(vertices: np.ndarray, starts: np.ndarray, faces: np.ndarray) -> list[pa.Array]:
+        axis, low = np.divmod(vertices, total)
+        at = [(c + np.where(axis == a, 0.5, 0.0)) * size + origin[a] for a, c in enumerate(np.unravel_index(low, shape))]
+        pairs = np.concatenate([faces[:, p] * len(vertices) + faces[:, q] for p in range(3) for q in range(3) if p != q])
+        v, w = np.divmod(np.unique(pairs), max(len(vertices), 1))
+        n = np.bincount(v, minlength=len(vertices))
+        for _ in range(rounds):
+            at = [np.bincount(v, c[w], len(vertices)) / np.maximum(n, 1) for c in at]
+        kept = np.flatnonzero(n)
+        ends = pa.array(np.searchsorted(kept, starts), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(vertices[kept], pa.int32())), *[pa.ListArray.from_arrays(ends, pa.array(c[kept])) for c in at]]
+
+    return meshes(grids, key, shape, triangles, "v array<int>, " + ", ".join(f"{c} array<double>" for c in "xyz"), run)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -141,6 +141,34 @@ def mesh_faces(voxels: DataFrame, key: list[str], shape: tuple) -> DataFrame:
     return codes.join(F.broadcast(table), "code").select(*key, *CELL, "position", name("p").alias("a"), name("q").alias("b"), name("r").alias("c"))
 
 
+def _lower_ends(edge: Column, shape: tuple) -> list[Column]:
+    """Axis, i, j and k of a grid edge that is given by its number."""
+    nx, ny, nz = shape
+    return [F.floor(edge / (nx * ny * nz)).cast("int"), (F.floor(edge / (ny * nz)) % nx).cast("int"), (F.floor(edge / nz) % ny).cast("int"), edge % nz]
+
+
+def meshes(voxels: DataFrame, key: list[str], shape: tuple, origin: tuple, size: float) -> DataFrame:
+    """(key, vertices, faces): each mesh as one row, arrays of (x, y, z) and of three vertices' places; nothing is shuffled.
+
+    voxels: occupied cells, or packed grids. The vertices are those of `mesh_vertices`, in the order of their names
+    axis:i:j:k, the faces those of `mesh_faces`, in rising order. Grids without a vertex have no mesh.
+    """
+    found = grids.numbered(_packed(voxels, key, shape), key, shape, cell_triangles()).where(F.size("v") > 0)
+
+    def place(edge: Column) -> Column:
+        axis, *cell = _lower_ends(edge, shape)
+        return F.struct(*[((c + F.when(axis == a, 0.5).otherwise(0.0)) * size + origin[a]).alias(v) for a, (c, v) in enumerate(zip(cell, "xyz"))])
+
+    return found.select(*key, F.transform("v", place).alias("vertices"), F.col("f").alias("faces"))
+
+
+def smooth_meshes(voxels: DataFrame, key: list[str], shape: tuple, origin: tuple, size: float, rounds: int = 1) -> DataFrame:
+    """(key, v, x, y, z): `laplacian` of the meshes of packed grids or occupied cells; a mesh is smoothed in the task that has its grid."""
+    found = grids.smoothed(_packed(voxels, key, shape), key, shape, cell_triangles(), origin, size, rounds)
+    rows = found.select(*key, F.inline(F.arrays_zip("v", *"xyz")))
+    return rows.select(*key, F.concat_ws(":", *_lower_ends(F.col("v"), shape)).alias("v"), *"xyz")
+
+
 def adjacency(faces: DataFrame, key: list[str]) -> DataFrame:
     """(key, v, w): distinct neighbours, both ways, of triangles (a, b, c)."""
     pairs = F.array(*[F.struct(F.col(p).alias("v"), F.col(q).alias("w")) for p in "abc" for q in "abc" if p != q])

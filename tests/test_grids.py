@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stereolake.functions import geometry as g
 from stereolake.operators import grids, reconstruct, voxels
+from stereolake.plans import catalog
 from stereolake.sources import files, tables
 
 KEY = ["session", "frame_idx"]
@@ -191,3 +192,33 @@ def test_files_of_a_run_begin_with_their_headers(spark):
             head, body = r.value.split("end_header\n")
             assert head.startswith("ply\nformat ascii 1.0\nelement vertex ")
             assert len(body.splitlines()) == sum(int(n.split()[2]) for n in head.splitlines() if n.startswith("element "))
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_smoothing_of_packed_grids_is_that_of_their_tables(spark, monkeypatch, rounds):
+    """Indices of two digits, whose names sort otherwise than their numbers; a grid without surface, a thin one."""
+    for shape in ((11, 3, 12), (1, 4, 4)):
+        monkeypatch.setattr(grids, "AT_ONCE", 2 * shape[0] * shape[1] * shape[2])
+        df, place = random_hulls(spark, shape), ((-3.0, 0.1, 7.0), 2.5)
+        vertices = voxels.mesh_vertices(df, KEY, shape, *place).select(*KEY, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
+        want = voxels.laplacian(vertices, voxels.adjacency(voxels.mesh_faces(df, KEY, shape), KEY), KEY, rounds)
+        found, want = ({tuple(r)[:3]: tuple(r)[3:] for r in out.select(*KEY, "v", "x", "y", "z").collect()} for out in (voxels.smooth_meshes(df, KEY, shape, *place, rounds), want))
+        assert found.keys() == want.keys() and bool(found) == (shape[0] > 1) and all(found[v] == pytest.approx(want[v]) for v in want)
+
+
+def random_hulls(spark, shape):
+    rng = np.random.default_rng(4)
+    rows = [(1, f, bytes(np.packbits(rng.random(shape).ravel() < (0.1, 0.5, 0.9, 1.1)[f % 4]))) for f in range(5)]
+    return spark.createDataFrame(rows, "session bigint, frame_idx bigint, grid binary")
+
+
+def test_meshes_stay_where_their_grids_are(spark):
+    """Smoothing shuffles keypoints on their way to a frame, and nothing of a mesh."""
+    assert shuffled(spark, lambda: catalog.QUERIES["smooth_mesh"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()) < 170_000
+
+
+def shuffled(spark, action):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    action()
+    return written() - before
