@@ -219,6 +219,17 @@ def mesh_text(vertices: DataFrame, faces: DataFrame, key: list[str]) -> DataFram
     return heads.unionByName(mesh_lines(vertices, faces, key))
 
 
+def whole_meshes_text(meshes: DataFrame, key: list[str]) -> DataFrame:
+    """mesh_text of meshes (key, vertices, faces) that are a row each; lines come out in order, where the row is."""
+    count = lambda word, of: F.concat(F.lit(f"element {word} "), F.size(of).cast("string"))
+    head = [F.lit("ply"), F.lit("format ascii 1.0"), count("vertex", "vertices"), *[F.lit(f"property float {v}") for v in "xyz"], count("face", "faces"), F.lit("property list uchar int vertex_indices"), F.lit("end_header")]
+    line = lambda part: lambda value, seq: F.struct(F.lit(part).alias("part"), seq.cast("bigint").alias("seq"), value.alias("value"))
+    vertices = F.transform("vertices", lambda p: F.format_string("%.4f %.4f %.4f", p["x"], p["y"], p["z"]))
+    faces = F.transform("faces", lambda f: F.format_string("3 %d %d %d", f[0], f[1], f[2]))
+    lines = [F.transform(values, line(part)) for part, values in enumerate((F.array(*head), vertices, faces))]
+    return meshes.select(*key, F.inline(F.concat(*lines)))
+
+
 class _Lines:
     """A text file of the rows' only column."""
 
@@ -313,10 +324,14 @@ def _together(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.repartition(F.xxhash64(*key))
 
 
-def write_lines(lines: DataFrame, key: list[str], order: list[str], path: str, apart: list[str] | None = None) -> None:
-    """A folder of text for each key, lines in order; the rows of a key (and of each value of `apart`) are one file's."""
+def write_lines(lines: DataFrame, key: list[str], order: list[str] | None, path: str, apart: list[str] | None = None) -> None:
+    """A folder of text for each key, lines in order; the rows of a key (and of each value of `apart`) are one file's.
+
+    Without an order the lines of a file already follow each other, in one task.
+    """
     whole = [*key, *(apart or [])]
-    write_folders(_together(lines, whole).sortWithinPartitions(*whole, *order).select(*whole, "value"), key, _Lines, path, apart)
+    rows = lines if order is None else _together(lines, whole).sortWithinPartitions(*whole, *order)
+    write_folders(rows.select(*whole, "value"), key, _Lines, path, apart)
 
 
 def write_tables(rows: DataFrame, key: list[str], order: list[str], path: str, prefix: str = "part") -> None:

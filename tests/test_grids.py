@@ -222,3 +222,15 @@ def shuffled(spark, action):
     before = written()
     action()
     return written() - before
+
+
+def test_text_of_whole_meshes_is_that_of_their_tables(spark):
+    shape, place = (11, 3, 12), ((-3.0, 0.1, 7.0), 2.5)
+    df = random_hulls(spark, shape)
+    vertices = voxels.mesh_vertices(df, KEY, shape, *place).select(*KEY, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
+    want = files.mesh_text(*files.numbered_mesh(vertices, voxels.mesh_faces(df, KEY, shape).select(*KEY, "a", "b", "c"), KEY), KEY)
+    got = files.whole_meshes_text(voxels.meshes(df, KEY, shape, *place), KEY)
+    assert got.dtypes == want.dtypes
+    rows = list(map(tuple, got.collect()))
+    assert rows == sorted(rows) == sorted(map(tuple, want.collect())) and len(rows) > 1000
+    assert shuffled(spark, lambda: catalog.QUERIES["mesh_text"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()) < 170_000
