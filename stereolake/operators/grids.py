@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .masks import morph
+
 #: Cells in memory at once in a task; a few arrays of them are held side by side.
 AT_ONCE = 1 << 20
 RIGS_KEPT = 8
@@ -28,17 +30,23 @@ def dims(bounds: tuple, size: float) -> tuple[int, int, int]:
     return tuple(max(1, math.ceil((hi - lo) / size)) for lo, hi in bounds)
 
 
-def _bitmaps(bits: int) -> Callable[[pa.Array], pa.Array]:
-    """Lists of positions to bitmaps of so many bits."""
+def _bits(row: np.ndarray, at: np.ndarray, n: int, bits: int) -> list[bytes]:
+    """n bitmaps of so many bits, those at places `at` of the bitmaps `row` set."""
+    out = np.zeros((n, bits), dtype=np.uint8)
+    out[row, at] = 1
+    return [own.tobytes() for own in np.packbits(out, axis=1)]
+
+
+def _bitmaps(bits: int, place: Callable = lambda values: (slice(None), np.asarray(values))) -> Callable[[pa.Array], pa.Array]:
+    """Lists to bitmaps of so many bits: place gives which of their values count, and the positions of these."""
 
     def run(lists: pa.Array) -> pa.Array:
-        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        values = np.asarray(lists.flatten())
-        out = []
-        for row in range(len(lists)):
-            own = np.zeros(bits, dtype=np.uint8)
-            own[values[ends[row] : ends[row + 1]]] = 1
-            out.append(np.packbits(own).tobytes())
+        out, step = [], max(1, AT_ONCE // bits)
+        for lo in range(0, len(lists), step):
+            part = lists.slice(lo, step)
+            row = np.repeat(np.arange(len(part)), np.diff(np.asarray(part.offsets)))
+            kept, at = place(part.flatten())
+            out += _bits(row[kept], at, len(part), bits)
         return pa.array(out, pa.binary())
 
     return run
@@ -63,13 +71,46 @@ def _packed(positions: Column, bits: int) -> Column:
 
 
 def pack_masks(mask: DataFrame, width: int, height: int, views: int = 2) -> DataFrame:
-    """(session, frame_idx, m0, m1 ...): a bitmap of each camera's foreground pixels (session, camera, frame_idx, px, py); none is an empty one."""
-    inside = mask.where(f"px >= 0 AND px < {width} AND py >= 0 AND py < {height}")
-    at = (F.col("py") * width + F.col("px")).cast("int")
-    cells = [F.collect_set(F.when(F.col("camera") == k, at)).alias(f"c{k}") for k in range(views)]
-    frames = inside.groupBy("session", "frame_idx").agg(*cells)
-    pack = _bitmaps(width * height)
-    return _in_pieces(frames, ["session", "frame_idx"], ", ".join(f"m{k} binary" for k in range(views)), lambda *lists: map(pack, lists), *[f"c{k}" for k in range(views)])
+    """(session, frame_idx, m0, m1 ...): a bitmap of each camera's foreground pixels; none is an empty one.
+
+    mask: pixels (session, camera, frame_idx, px, py), or a row for each frame with lists m0, m1 ... of its (px, py).
+    """
+    key, names = ["session", "frame_idx"], [f"m{k}" for k in range(views)]
+    made = ", ".join(f"{m} binary" for m in names)
+    if "px" in mask.columns:
+        inside = mask.where(f"px >= 0 AND px < {width} AND py >= 0 AND py < {height}")
+        at = (F.col("py") * width + F.col("px")).cast("int")
+        frames = inside.groupBy(*key).agg(*[F.collect_set(F.when(F.col("camera") == k, at)).alias(m) for k, m in enumerate(names)])
+        pack = _bitmaps(width * height)
+    else:
+        frames, pack = mask, _bitmaps(width * height, lambda pixels: _inside(pixels, width, height))
+    return _in_pieces(frames, key, made, lambda *lists: map(pack, lists), *names)
+
+
+def _inside(pixels: pa.StructArray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pixels (px, py) are in the image, and their positions there."""
+    px, py = (np.asarray(pixels.field(v)) for v in ("px", "py"))
+    kept = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+    return kept, py[kept] * width + px[kept]
+
+
+def grow(packed: DataFrame, kernel: list[tuple[int, int]], width: int, height: int, views: int = 2) -> DataFrame:
+    """Packed masks (session, frame_idx, m0, m1 ...) dilated by the offsets of a kernel."""
+
+    def run(*bitmaps: pa.Array) -> list[pa.Array]:
+        out, step = [], max(1, AT_ONCE // (width * height))
+        for lists in bitmaps:
+            done = []
+            for lo in range(0, len(lists), step):
+                part = lists.slice(lo, step)
+                bits = np.frombuffer(b"".join(part.to_pylist()), dtype=np.uint8).reshape(len(part), -1)
+                grown = morph(np.unpackbits(bits, axis=1, count=width * height).view(bool).reshape(-1, height, width), ("dilate",), kernel)
+                done += [row.tobytes() for row in np.packbits(grown.reshape(len(part), -1), axis=1)]
+            out.append(pa.array(done, pa.binary()))
+        return out
+
+    names = [f"m{k}" for k in range(views)]
+    return _in_pieces(packed, ["session", "frame_idx"], ", ".join(f"{m} binary" for m in names), run, *names)
 
 
 def pack_voxels(voxels: DataFrame, key: list[str], shape: tuple[int, int, int]) -> DataFrame:
@@ -103,29 +144,46 @@ def carve(frames: DataFrame, cameras: DataFrame | list, bounds: tuple, size: flo
     else:
         frames = frames.withColumns({f"p{k}": F.array(*[F.lit(float(v)) for row in p for v in row]) for k, p in enumerate(cameras)})
 
-    rigs: dict[tuple, tuple[np.ndarray, ...]] = {}  # each task fills its own copy
+    rigs: dict[bytes, tuple[np.ndarray, ...]] = {}  # each task fills its own copy
+    pixels, total = width * height, math.prod(dims(bounds, size))
+    step = max(1, AT_ONCE // max(pixels, total))
+
+    def seen_by(rig: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cells by the first view's pixel, where each pixel's begin, and the cells' pixels in the second view."""
+        if rig.tobytes() not in rigs:
+            if len(rigs) == RIGS_KEPT:
+                rigs.pop(next(iter(rigs)))
+            first, second = (cell_pixels(p, bounds, size, width, height) for p in rig.reshape(2, -1))
+            cells = np.argsort(first, kind="stable")
+            rigs[rig.tobytes()] = cells, np.searchsorted(first[cells], np.arange(pixels + 1)), second
+        return rigs[rig.tobytes()]
+
+    def hulls(rig: np.ndarray, m0: pa.Array, m1: pa.Array) -> list[bytes | None]:
+        cells, starts, second = seen_by(rig)
+        lit = np.zeros((2, len(m0), pixels + 1), dtype=bool)
+        for view, mask in zip(lit, (m0, m1)):
+            bits = np.frombuffer(b"".join(mask.to_pylist()), dtype=np.uint8).reshape(len(mask), -1)
+            view[:, :-1] = np.unpackbits(bits, axis=1, count=pixels)
+        row, pixel = np.divmod(np.flatnonzero(lit[0]), pixels + 1)
+        n = starts[pixel + 1] - starts[pixel]
+        ends, hull = np.cumsum(n), np.zeros((len(m0), total), dtype=np.uint8)
+        # pixels of so many cells at a time; a frame may go on in the next piece
+        edges = [0, *np.searchsorted(ends, np.arange(AT_ONCE, n.sum(), AT_ONCE)).tolist(), len(n)]
+        for lo, hi in zip(edges, edges[1:]):
+            own, many = slice(lo, hi), n[lo:hi]
+            left = cells[np.repeat(starts[pixel[own]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            frame = np.repeat(row[own], many)
+            both = lit[1][frame, second[left]]
+            hull[frame[both], left[both]] = 1
+        return [own.tobytes() if some else None for own, some in zip(np.packbits(hull, axis=1), hull.any(1))]
 
     def run(m0: pa.Array, m1: pa.Array, p0: pa.Array, p1: pa.Array) -> list[pa.Array]:
-        out = []
-        for masks, own in zip(zip(m0, m1), zip(p0.to_pylist(), p1.to_pylist())):
-            rig = tuple(map(tuple, own))
-            if rig not in rigs:
-                if len(rigs) == RIGS_KEPT:
-                    rigs.pop(next(iter(rigs)))
-                first, second = (cell_pixels(np.array(p), bounds, size, width, height) for p in rig)
-                cells = np.argsort(first, kind="stable")  # cells by the first view's pixel
-                rigs[rig] = cells, np.searchsorted(first[cells], np.arange(width * height + 1)), second
-            cells, starts, second = rigs[rig]
-            lit = np.zeros((2, width * height + 1), dtype=bool)
-            for view, mask in zip(lit, masks):
-                view[:-1] = np.unpackbits(np.frombuffer(mask.as_buffer(), dtype=np.uint8), count=width * height)
-            pixels = np.flatnonzero(lit[0])
-            n = starts[pixels + 1] - starts[pixels]
-            left = cells[np.repeat(starts[pixels] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(pixels) else pixels
-            left = left[lit[1][second[left]]]
-            hull = np.zeros((len(cells) + 7) // 8 * 8, dtype=np.uint8)
-            hull[left] = 1
-            out.append(np.packbits(hull).tobytes() if len(left) else None)
+        own = np.hstack([np.asarray(p.flatten(), dtype=float).reshape(len(p), -1) for p in (p0, p1)])
+        out, changes = [], [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(own)]
+        for first, end in zip(changes, changes[1:]):
+            for lo in range(first, end, step):
+                n = min(step, end - lo)
+                out += hulls(own[first], m0.slice(lo, n), m1.slice(lo, n))
         return [pa.array(out, pa.binary())]
 
     carved = _in_pieces(frames, ["session", "frame_idx"], "grid binary", run, "m0", "m1", "p0", "p1")

@@ -42,11 +42,25 @@ def _moved(frames: np.ndarray, dx: int, dy: int, fill: bool) -> np.ndarray:
     return out
 
 
+def morph(frames: np.ndarray, steps: tuple[str, ...], kernel: list[tuple[int, int]]) -> np.ndarray:
+    """Dilations and erosions of images (n, h, w), an array operation for each offset of the kernel.
+
+    Beyond the border nothing is set for a dilation and nothing is missing for an erosion.
+    """
+    for step in steps:
+        grow = step == "dilate"
+        out = np.full_like(frames, not grow)
+        for dx, dy in kernel:
+            if abs(dx) < frames.shape[2] and abs(dy) < frames.shape[1]:
+                out = out | _moved(frames, -dx, -dy, False) if grow else out & _moved(frames, dx, dy, True)
+        frames = out
+    return frames
+
+
 def _morphed(mask: DataFrame, steps: tuple[str, ...], kernel: list[tuple[int, int]], width: int, height: int) -> DataFrame:
     """Dilations and erosions of frames, one after the other, of a shuffle by frame: a frame's pixels are one bounded array.
 
-    Blocks of frames are bitmaps; a step is an array operation for each offset of the kernel. Beyond the border nothing is
-    set for a dilation and nothing is missing for an erosion.
+    Blocks of frames are bitmaps, see `morph`.
     """
 
     def run(cells: pa.Array) -> pa.Array:
@@ -57,14 +71,7 @@ def _morphed(mask: DataFrame, steps: tuple[str, ...], kernel: list[tuple[int, in
             counts = np.asarray(pc.list_value_length(part)).astype(np.int64)
             frames = np.zeros((len(part), height * width), dtype=bool)
             frames[np.repeat(np.arange(len(part)), counts), np.asarray(part.flatten())] = True
-            frames = frames.reshape(-1, height, width)
-            for step in steps:
-                grow = step == "dilate"
-                out = np.full_like(frames, not grow)
-                for dx, dy in kernel:
-                    if abs(dx) < width and abs(dy) < height:
-                        out = out | _moved(frames, -dx, -dy, False) if grow else out & _moved(frames, dx, dy, True)
-                frames = out
+            frames = morph(frames.reshape(-1, height, width), steps, kernel)
             row, at = np.nonzero(frames.reshape(len(part), -1))
             found.append(at.astype(np.int32))
             sizes.append(np.bincount(row, minlength=len(part)))

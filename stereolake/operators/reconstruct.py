@@ -90,10 +90,15 @@ class Run:
         return self.spark.read.parquet(self.paths[name])
 
 
+def _chosen(rows: DataFrame, o: Options) -> DataFrame:
+    """Frames of the chosen range."""
+    end = F.col("frame_idx") < o.start_frame + o.n_frames if o.n_frames else F.lit(True)
+    return rows.where((F.col("frame_idx") >= o.start_frame) & end)
+
+
 def _ranged(rows: DataFrame, o: Options) -> DataFrame:
     """Frames of the chosen range, numbered from 0."""
-    end = F.col("frame_idx") < o.start_frame + o.n_frames if o.n_frames else F.lit(True)
-    return rows.where((F.col("frame_idx") >= o.start_frame) & end).withColumn("frame_idx", F.col("frame_idx") - o.start_frame)
+    return _chosen(rows, o).withColumn("frame_idx", F.col("frame_idx") - o.start_frame)
 
 
 def _scaled(cameras: DataFrame, scale: float) -> DataFrame:
@@ -105,7 +110,7 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
     """Reconstructs all sessions into the folder `out`; see the module for what a second call does.
 
     kp2d (session, camera, frame_idx, name, px, py, confidence, event_id), mask (session, camera, frame_idx, px, py) of
-    foreground pixels, frames (session, n_frames), cameras (session, camera, p), edges (a, b). inputs: a name of the input
+    foreground pixels or the lists that `grids.pack_masks` takes, frames (session, n_frames), cameras (session, camera, p), edges (a, b). inputs: a name of the input
     tables' version; results of another version are not taken up. Frames without a keypoint or a hull are kept where a sink
     counts frames; sessions without cameras give nothing.
     """
@@ -120,11 +125,11 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
     frames = frames.withColumn("n_frames", F.greatest(F.least(n, F.lit(o.n_frames)) if o.n_frames else n, F.lit(0)))
 
     def hulls(path: str) -> None:
-        lit = _ranged(mask, o)
+        # frames are numbered anew behind the carving, so pixels that come by frame aren't dealt again
+        packed = grids.pack_masks(_chosen(mask, o), o.width, o.height)
         if o.grow:
-            lit = masks.dilate(lit, masks.ellipse(2 * o.grow + 1), o.width, o.height)
-        packed = grids.pack_masks(lit, o.width, o.height)
-        grids.carve(packed, _scaled(cameras, o.mask_scale), o.bounds, o.voxel_size, o.width, o.height).write.parquet(path)
+            packed = grids.grow(packed, masks.ellipse(2 * o.grow + 1), o.width, o.height)
+        _ranged(grids.carve(packed, _scaled(cameras, o.mask_scale), o.bounds, o.voxel_size, o.width, o.height), o).write.parquet(path)
 
     def points(path: str) -> None:
         trajectory.triangulate_keypoints(_ranged(kp2d, o), min_confidence=o.min_confidence, max_reprojection_px=o.max_reprojection_px, cameras=cameras).write.parquet(path)
@@ -151,9 +156,7 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
             flat = (F.col("i") * shape[1] + F.col("j")) * shape[2] + F.col("k")
             files.write_lines(files.point_cloud_lines(voxels.centers(cells(chosen), o.bounds, o.voxel_size).withColumn("pos", flat), FRAME), FRAME, ["seq"], path)
             return
-        ends = voxels.mesh_vertices(chosen, FRAME, shape, origin, o.voxel_size).select(*FRAME, F.concat_ws(":", "axis", "i", "j", "k").alias("v"), "x", "y", "z")
-        vertices, faces = files.numbered_mesh(ends, voxels.mesh_faces(chosen, FRAME, shape).select(*FRAME, "a", "b", "c"), FRAME)
-        files.write_lines(files.mesh_text(vertices, faces, FRAME), FRAME, ["part", "seq"], path)
+        files.write_lines(files.whole_meshes_text(voxels.meshes(chosen, FRAME, shape, origin, o.voxel_size), FRAME), FRAME, None, path)
 
     def viewer(path: str) -> None:
         thinned = voxels.centers(voxels.thin(cells(hull), FRAME, o.voxel_downsample), o.bounds, o.voxel_size)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stereolake.functions import geometry as g
-from stereolake.operators import grids, reconstruct, voxels
+from stereolake.operators import grids, masks, reconstruct, voxels
 from stereolake.plans import catalog
 from stereolake.sources import files, tables
 
@@ -234,3 +234,44 @@ def test_text_of_whole_meshes_is_that_of_their_tables(spark):
     rows = list(map(tuple, got.collect()))
     assert rows == sorted(rows) == sorted(map(tuple, want.collect())) and len(rows) > 1000
     assert shuffled(spark, lambda: catalog.QUERIES["mesh_text"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()) < 170_000
+
+
+def test_packed_masks_grow_as_their_pixels(spark, monkeypatch):
+    """Pixels beyond the image don't grow into it; pixels and lists of them are packed alike."""
+    monkeypatch.setattr(grids, "AT_ONCE", 3 * 20 * 11)
+    rng = np.random.default_rng(9)
+    lit = sorted({(1, int(c), int(f), int(x), int(y)) for c, f, x, y in rng.integers((0, 0, -2, -2), (2, 9, 22, 13), (120, 4))})
+    mask = spark.createDataFrame(lit, "session bigint, camera int, frame_idx bigint, px int, py int")
+    lists = mask.groupBy(*KEY).agg(*[F.collect_list(F.when(F.col("camera") == k, F.struct("px", "py"))).alias(f"m{k}") for k in (0, 1)])
+    kernel = masks.ellipse(5)
+    want = grids.pack_masks(masks.dilate(mask, kernel, 20, 11), 20, 11)
+    got = [grids.grow(grids.pack_masks(m, 20, 11), kernel, 20, 11) for m in (mask, lists)]
+    found = [sorted((r.session, r.frame_idx, bytes(r.m0), bytes(r.m1)) for r in df.collect()) for df in (want, *got)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 9
+
+
+def test_carving_in_pieces(spark, monkeypatch):
+    """Frames whose cells don't go into one piece, and rigs that take turns within a batch."""
+    rng = np.random.default_rng(2)
+    lit = [(s, c, f, x, y) for s in (1, 2) for c in (0, 1) for f in range(20) for x in range(40) for y in range(20) if rng.random() < 0.8]
+    mask = spark.createDataFrame(lit, "session bigint, camera int, frame_idx bigint, px int, py int").coalesce(1)
+    cameras = spark.createDataFrame([(s, k, [float(v) for v in p]) for s, rig in RIGS.items() for k, p in enumerate(rig)], "session bigint, camera int, p array<double>")
+    whole = sorted(map(tuple, voxels.carve(mask, cameras, BOUNDS, 10.0, 40, 20).collect()))
+    for at_once in (1, 50, 1000):
+        monkeypatch.setattr(grids, "AT_ONCE", at_once)
+        assert sorted(map(tuple, voxels.carve(mask, cameras, BOUNDS, 10.0, 40, 20).collect())) == whole
+    assert {r[0] for r in whole} == {1, 2}
+
+
+def test_hulls_and_volumes_of_a_run_are_not_shuffled_by_pixel_or_corner(spark):
+    """Pixels that come by frame stay there, also where frames are numbered anew, and meshes where their hulls are."""
+    kp, _, frames, cameras, edges = inputs(spark)
+    p = spark.createDataFrame([(s, f, c, x, y) for s in range(1, 3) for f in range(40) for c in (0, 1) for x in range(30) for y in range(20)], "session bigint, frame_idx bigint, camera int, px int, py int")
+    mask = p.repartition("session", "frame_idx").cache()
+    mask.count()
+    out, told = tables.fresh_path(spark, "run"), reconstruct.Options(**{**OPTIONS.__dict__, "grow": 1, "start_frame": 1})
+    assert shuffled(spark, lambda: reconstruct.run(kp.limit(0), mask, frames, cameras, edges, out, told, sinks=())) < 40_000
+    job = []
+    assert shuffled(spark, lambda: job.append(reconstruct.run(kp.limit(0), mask, frames, cameras, edges, out, told, sinks=("volumes",)))) == 0
+    assert spark.read.text(job[0].paths["volumes"]).where("value LIKE 'element vertex%'").count() == 20
+    mask.unpersist()
