@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from io import BytesIO
@@ -16,6 +17,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators import trajectory
 from . import tables
@@ -23,14 +26,16 @@ from . import tables
 HEADERS = ("scorer", "individuals", "bodyparts", "coords")
 
 
-def read_wide_tracks(spark: SparkSession, paths: str | list[str], individual: str | None = None, min_likelihood: float = 0.1) -> DataFrame:
+def read_wide_tracks(spark: SparkSession, paths: str | list[str] | DataFrame, individual: str | None = None, min_likelihood: float = 0.1) -> DataFrame:
     """(file, frame_idx, name, x, y, confidence) of wide tracker files: three or four header rows, then a row a frame.
 
     Header rows are known by their first cell, so splits of files don't matter. Cells that aren't numbers drop the
     landmark of that row only; of equal names in a frame the last column wins. Names are individual_bodypart where there
-    are individuals. Rows whose label is no number are dropped.
+    are individuals. Rows whose label is no number are dropped. paths may be a table of them, in a column `file`, which the
+    driver doesn't list or hold.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.split("value", ",", -1).alias("cells")).where("size(cells) > 1")
+    text = read_lines(paths.select("file")) if isinstance(paths, DataFrame) else spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = text.select("file", F.split("value", ",", -1).alias("cells")).where("size(cells) > 1")
     lines = tables.cut(lines, "lines")  # heads and rows; many small files cost more to open than to read
     first = F.trim(F.col("cells")[0])
     heads = lines.where(first.isin(*HEADERS)).select("file", first.alias("kind"), F.posexplode("cells").alias("col", "cell")).where("col > 0")
@@ -272,9 +277,12 @@ def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
-def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, apart: list[str] | None = None, prefix: str = "part", ranges: bool = False) -> None:
+def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, apart: list[str] | None = None, prefix: str = "part", ranges: bool = False) -> DataFrame:
     """Rows, in order of the key within each task, as files <path>/<key>=<value>/... of the columns that aren't in the key.
 
+    Returns the files, (key, file), a table that `read_lines`, `read_texts` and `read_tables` take: where folders are many,
+    listing them takes the driver more time and memory than all else.
+
     Tasks open files one after the other themselves: there is no job of Spark's writers, which for a folder of each key
     costs more than what is written into it. A file gets its name when it is whole, so what a failed or a
     slower attempt leaves is hidden or the same file. apart: columns, in order after the key, of which each value begins a
@@ -288,12 +296,19 @@ def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, ap
         store, root = store_of(path)
         stem = f"{prefix}-{TaskContext.get().partitionId():05d}" if ranges else prefix
         attempt = uuid.uuid4().hex
-        last, file, names, n = None, None, None, 0
+        last, file, names, done = None, None, None, []
 
         def closed():
             if file is not None:
                 file.close()
                 store.move(*names)
+                done.append([*last[: len(key)], head + names[1]])
+
+        def told():
+            columns = zip(*done) if done else [[]] * len(made.names)
+            own = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, made.types)], made.names)
+            done.clear()
+            return own
 
         for batch in batches:
             own, edges = batch.select(rest), [0, *_changes(batch, [*key, *apart]).tolist(), batch.num_rows]
@@ -307,15 +322,91 @@ def write_folders(rows: DataFrame, key: list[str], form: Callable, path: str, ap
                     if last is None or at[: len(key)] != last[: len(key)]:
                         store.create_dir(folder, recursive=True)
                     name = "-".join([stem, *map(str, at[len(key) :])]) + form.end
-                    names, last, n = (f"{folder}/.{name}.{attempt}", f"{folder}/{name}"), at, n + 1
+                    names, last = (f"{folder}/.{name}.{attempt}", f"{folder}/{name}"), at
                     file = form(store.open_output_stream(names[0]), own.schema)
                 file.write(own.slice(lo, hi - lo))
+            yield told()
         closed()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+        yield told()
 
     store, root = store_of(path)
     store.create_dir(root, recursive=True)
-    rows.mapInArrow(run, "files bigint").write.format("noop").mode("overwrite").save()
+    head = path[: len(path) - len(root)] if path.endswith(root) else ""  # of a path with a scheme
+    kinds = rows.select(*key).schema
+    made = to_arrow_schema(kinds).append(pa.field("file", pa.string()))
+    return tables.cut(rows.mapInArrow(run, kinds.add("file", "string")), "files")
+
+
+#: Files that a task opens one after the other.
+FILES_AT_ONCE = 256
+#: Bytes of a text file that are split into lines at once.
+BLOCK = 1 << 22
+
+
+def _from_files(files: DataFrame, made: str, read: Callable) -> DataFrame:
+    """(columns of files, made): what read(open file) gives, batch by batch, for each path in the column `file`, opened by
+    tasks of FILES_AT_ONCE files or so."""
+    spread = files.repartition(max(1, math.ceil(files.count() / FILES_AT_ONCE)))
+    columns, names = files.columns, [*files.columns, *[c.split()[0] for c in made.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            for n, path in enumerate(batch["file"].to_pylist()):
+                store, own = store_of(path)
+                with store.open_input_file(own) as file:
+                    for part in read(file):
+                        same = pa.array(np.full(len(part[0]), n))
+                        yield pa.RecordBatch.from_arrays([*[batch[c].take(same) for c in columns], *part], names)
+
+    def together(batches):
+        """Few rows of many files in one batch."""
+        held, size = [], 0
+        for batch in run(batches):
+            held, size = [*held, batch], size + batch.nbytes
+            if size > 1 << 22 or len(held) == FILES_AT_ONCE:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{c} {t}" for c, t in files.dtypes)
+    return spread.mapInArrow(together, f"{kinds}, {made}")
+
+
+def read_lines(files: DataFrame) -> DataFrame:
+    """(columns of files, value): the lines of text files (file, ...), ended by \\n, \\r or both; files are read in blocks."""
+
+    def read(file):
+        rest = b""
+        while True:
+            block = file.read(BLOCK)
+            if not block:
+                break
+            text = (rest + block).replace(b"\r\n", b"\n")
+            keep = text[-1:] == b"\r"  # perhaps half an end
+            *lines, rest = (text[:-1] if keep else text).replace(b"\r", b"\n").split(b"\n")
+            rest += b"\r" * keep
+            yield [pa.array([line.decode(errors="replace") for line in lines], pa.string())]
+        if rest:
+            yield [pa.array([rest.removesuffix(b"\r").decode(errors="replace")], pa.string())]
+
+    return _from_files(files, "value string", read)
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """(columns of files, value): text files (file, ...) as one value each."""
+    return _from_files(files, "value string", lambda file: [[pa.array([file.read().decode(errors="replace")], pa.string())]])
+
+
+def read_tables(files: DataFrame, made: str) -> DataFrame:
+    """(columns of files, made): the given columns of Parquet files (file, ...)."""
+    kinds = to_arrow_schema(StructType.fromDDL(made))
+
+    def read(file):
+        for batch in pq.ParquetFile(file).iter_batches(columns=kinds.names):
+            yield [batch[c].cast(t) for c, t in zip(kinds.names, kinds.types)]
+
+    return _from_files(files, made, read)
 
 
 def _together(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -324,35 +415,35 @@ def _together(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.repartition(F.xxhash64(*key))
 
 
-def write_lines(lines: DataFrame, key: list[str], order: list[str] | None, path: str, apart: list[str] | None = None) -> None:
+def write_lines(lines: DataFrame, key: list[str], order: list[str] | None, path: str, apart: list[str] | None = None) -> DataFrame:
     """A folder of text for each key, lines in order; the rows of a key (and of each value of `apart`) are one file's.
 
     Without an order the lines of a file already follow each other, in one task.
     """
     whole = [*key, *(apart or [])]
     rows = lines if order is None else _together(lines, whole).sortWithinPartitions(*whole, *order)
-    write_folders(rows.select(*whole, "value"), key, _Lines, path, apart)
+    return write_folders(rows.select(*whole, "value"), key, _Lines, path, apart)
 
 
-def write_tables(rows: DataFrame, key: list[str], order: list[str], path: str, prefix: str = "part") -> None:
+def write_tables(rows: DataFrame, key: list[str], order: list[str], path: str, prefix: str = "part") -> DataFrame:
     """A folder for each key with its rows in order, as one Parquet file."""
-    write_folders(_together(rows, key).sortWithinPartitions(*key, *order), key, _Table, path, prefix=prefix)
+    return write_folders(_together(rows, key).sortWithinPartitions(*key, *order), key, _Table, path, prefix=prefix)
 
 
-def write_archive(dense: DataFrame, path: str) -> None:
+def write_archive(dense: DataFrame, path: str) -> DataFrame:
     """Dense trajectories as single-precision Parquet, a folder for each session; what is missing is not a number, with confidence 0."""
     number = lambda c, missing: F.coalesce(c, F.lit(missing)).cast("float").alias(c)
     rows = dense.select("session", "name", "frame_idx", *[number(v, float("nan")) for v in "xyz"], number("confidence", 0.0), number("reproj_err", 0.0))
-    write_tables(rows, ["session"], ["name", "frame_idx"], path)
+    return write_tables(rows, ["session"], ["name", "frame_idx"], path)
 
 
-def write_clouds(voxels: DataFrame, path: str) -> None:
+def write_clouds(voxels: DataFrame, path: str) -> DataFrame:
     """Voxel clouds (session, frame_idx, x, y, z) of an archive in single precision, a folder for each session, frames in order.
 
     Tasks take ranges of sessions and frames, so a session is in one file or, if it is long, in a few.
     """
     rows = voxels.select("session", "frame_idx", *[F.col(v).cast("float").alias(v) for v in "xyz"])
-    write_folders(rows.repartitionByRange("session", "frame_idx").sortWithinPartitions("session", "frame_idx"), ["session"], _Table, path, ranges=True)
+    return write_folders(rows.repartitionByRange("session", "frame_idx").sortWithinPartitions("session", "frame_idx"), ["session"], _Table, path, ranges=True)
 
 
 def archive_metadata(kp3d: DataFrame, frames: DataFrame, fps: float = 30.0) -> DataFrame:
