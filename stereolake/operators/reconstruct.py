@@ -71,8 +71,11 @@ class Run:
                 raise
             return {}
 
-    def stage(self, name: str, told: object, reads: tuple[str, ...], write: Callable[[str], None]) -> str:
-        """Runs write(folder) unless the stage is finished with the same options on the same stages; returns its folder."""
+    def stage(self, name: str, told: object, reads: tuple[str, ...], write: Callable[[str], DataFrame | None]) -> str:
+        """Runs write(folder) unless the stage is finished with the same options on the same stages; returns its folder.
+
+        The table of files that write may return is kept beside the folder.
+        """
         own = hashlib.sha256(repr((name, told, [self.prints[r] for r in reads])).encode()).hexdigest()[:16]
         self.prints[name] = own
         path = self.finished().get((name, own))
@@ -80,7 +83,9 @@ class Run:
             self.skipped.append(name)
         else:
             path = f"{self.out}/{name}-{uuid.uuid4().hex}"
-            write(path)
+            written = write(path)
+            if written is not None:
+                written.write.parquet(f"{path}-files")
             row = self.spark.range(1).select(F.lit(name).alias("stage"), F.lit(own).alias("fingerprint"), F.lit(path).alias("path"), F.current_timestamp().alias("finished"))
             row.coalesce(1).write.mode("append").parquet(f"{self.out}/manifest")
         self.paths[name] = path
@@ -89,6 +94,10 @@ class Run:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.paths[name])
 
+    def files(self, name: str) -> DataFrame:
+        """(key, file) of a stage that wrote a folder for each session or frame, for the readers of `files`."""
+        return self.spark.read.parquet(f"{self.paths[name]}-files")
+
 
 def _chosen(rows: DataFrame, o: Options) -> DataFrame:
     """Frames of the chosen range."""
@@ -146,23 +155,22 @@ def run(kp2d: DataFrame, mask: DataFrame, frames: DataFrame, cameras: DataFrame,
     cells = lambda df: grids.cells(df, FRAME, shape)
     origin = tuple(float(lo) for lo, _ in o.bounds)
 
-    def skeletons(path: str) -> None:
+    def skeletons(path: str) -> DataFrame:
         shown = found.where(due).withColumn("pos", F.shiftrightunsigned(F.xxhash64("name"), 1))  # behind the header
-        files.write_lines(files.point_cloud_lines(shown, FRAME, (0, 200, 255)), FRAME, ["seq", "value"], path)
+        return files.write_lines(files.point_cloud_lines(shown, FRAME, (0, 200, 255)), FRAME, ["seq", "value"], path)
 
-    def volumes(path: str) -> None:
+    def volumes(path: str) -> DataFrame:
         chosen = hull.where(due)
         if not o.mesh:
             flat = (F.col("i") * shape[1] + F.col("j")) * shape[2] + F.col("k")
-            files.write_lines(files.point_cloud_lines(voxels.centers(cells(chosen), o.bounds, o.voxel_size).withColumn("pos", flat), FRAME), FRAME, ["seq"], path)
-            return
-        files.write_lines(files.whole_meshes_text(voxels.meshes(chosen, FRAME, shape, origin, o.voxel_size), FRAME), FRAME, None, path)
+            return files.write_lines(files.point_cloud_lines(voxels.centers(cells(chosen), o.bounds, o.voxel_size).withColumn("pos", flat), FRAME), FRAME, ["seq"], path)
+        return files.write_lines(files.whole_meshes_text(voxels.meshes(chosen, FRAME, shape, origin, o.voxel_size), FRAME), FRAME, None, path)
 
-    def viewer(path: str) -> None:
+    def viewer(path: str) -> DataFrame:
         thinned = voxels.centers(voxels.thin(cells(hull), FRAME, o.voxel_downsample), o.bounds, o.voxel_size)
         shown = files.viewer_json(found, thinned.select(*FRAME, "x", "y", "z"))
         lines = shown.select("session", F.floor(F.col("frame_idx") / o.viewer_block).alias("block"), "frame_idx", F.to_json(F.struct("frame_idx", "value")).alias("value"))
-        files.write_lines(lines, ["session"], ["frame_idx"], path, apart=["block"])
+        return files.write_lines(lines, ["session"], ["frame_idx"], path, apart=["block"])
 
     make = {
         "stats": (of(), ("tracks",), lambda path: files.write_csv(files.stats_csv(trajectory.stats(found, frames)), path)),

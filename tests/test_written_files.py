@@ -41,3 +41,12 @@ def test_the_driver_lists_no_folder_of_a_session(spark, monkeypatch, name):
         monkeypatch.setattr(DataFrameReader, kind, lambda self, *paths, plain=getattr(DataFrameReader, kind), **more: seen.extend(map(str, paths)) or plain(self, *paths, **more))
     assert catalog.QUERIES[name](spark, SF).count() > 0
     assert seen and not [p for p in seen if "/wide-tracks-" in p or "/clouds-" in p]
+
+
+def test_a_run_keeps_the_files_of_its_stages(spark, monkeypatch):
+    seen = []
+    for kind in ("text", "parquet", "json"):
+        monkeypatch.setattr(DataFrameReader, kind, lambda self, *paths, plain=getattr(DataFrameReader, kind), **more: seen.extend(map(str, paths)) or plain(self, *paths, **more))
+    assert catalog.QUERIES["reconstruct"](spark, SF).count() > 0
+    folders = {p.rsplit("/", 1)[1].split("-")[0] for p in seen if "/run-" in p and not p.endswith("-files")}
+    assert folders <= {"manifest", "hulls", "points", "tracks", "metadata", "header"}
