@@ -137,3 +137,50 @@ def test_a_sample_of_eight_needs_no_large_decomposition(monkeypatch):
     monkeypatch.undo()
     more = matching._eight_points(np.concatenate([a, a], 1), np.concatenate([b, b], 1))  # the same equations twice, by the least singular value
     assert np.abs(np.einsum("nij,nij->n", got, more)) == pytest.approx(np.ones(40), abs=1e-6) and np.isfinite(met).all()
+
+
+def _pairs_of_views(n, points, rng, noise=0.5):
+    """Estimates (n, 3, 3) in pixels and their matches, so many each."""
+    k, found, seen = np.array([[900.0, 0, 640], [0, 900, 360], [0, 0, 1]]), [], []
+    for count in points:
+        a, shift = rng.uniform(0.1, 0.5), np.array([1.0, *rng.uniform(0.1, 0.5, 2)])
+        turn = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]])
+        e = np.array([[0, -shift[2], shift[1]], [shift[2], 0, -shift[0]], [-shift[1], shift[0], 0]]) @ turn
+        x = np.column_stack([rng.uniform(-2, 2, (count, 2)), rng.uniform(4, 7, count)])
+        p, q = x @ k.T, (x @ turn.T + shift) @ k.T
+        seen.append(np.hstack([p[:, :2] / p[:, 2:], q[:, :2] / q[:, 2:]]) + rng.normal(0, noise, (count, 4)))
+        found.append(np.linalg.inv(k).T @ e @ np.linalg.inv(k))
+    return np.array(found), np.concatenate(seen)
+
+
+def test_focal_lengths_share_a_decomposition(monkeypatch):
+    """However many are tried, an estimate is decomposed once; estimates of any size give the same in blocks of any size."""
+    sizes = np.array([12, 8, 0, 30, 12, 5, 4, 12])
+    m, points = _pairs_of_views(len(sizes), sizes, np.random.default_rng(8))
+    f = 900 * np.exp(np.outer(np.ones(len(sizes)), np.linspace(-0.1, 0.1, 21)))
+    svd, asked = np.linalg.svd, []
+    monkeypatch.setattr(np.linalg, "svd", lambda a, *more, **named: asked.append(len(a)) or svd(a, *more, **named))
+    got = refinement._reprojection(m, points, sizes, f, 640.0, 360.0)
+    assert sum(asked) == 7  # those with matches
+    assert np.isfinite(got[[0, 1, 3, 4, 5, 7]]).all() and np.isnan(got[[2, 6]]).all()
+    for block in (1, 13, 40):
+        monkeypatch.setattr(refinement, "POINTS_AT_ONCE", block)
+        assert np.allclose(refinement._reprojection(m, points, sizes, f, 640.0, 360.0), got, rtol=1e-9, atol=0, equal_nan=True)
+
+
+@pytest.mark.parametrize("rank", [2, 3])
+def test_motions_in_parts_are_those_of_a_decomposition(rank):
+    """Of matrices of rank 2 in closed form, of others by one decomposition for each focal length: the same four motions."""
+    rng = np.random.default_rng(11)
+    m, _ = _pairs_of_views(6, [1] * 6, rng)
+    if rank == 3:
+        m = m * rng.uniform(0.8, 1.2, m.shape)
+    f = 900 * np.exp(np.outer(np.ones(6), np.linspace(-0.5, 0.5, 5)))
+    b, t, v, sound = refinement._motion_parts(m, f, 640.0, 360.0)
+    assert sound.all()
+    for at in range(5):
+        r, d = calibration.options_of(calibration.essentials(m, f[:, at], 640.0, 360.0))
+        for n in range(6):
+            both = [np.outer(t[n, at], v[n, at]) + sign * b[n, at] for sign in (1, -1)]
+            assert all(np.allclose(q.T @ q, np.eye(3)) and np.linalg.det(q) > 0 for q in both)
+            assert all(min(np.abs(q - own).max() for q in both) < 1e-8 for own in r[n]) and np.abs(np.abs(t[n, at] @ d[n].T) - 1).max() < 1e-8
