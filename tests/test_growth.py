@@ -184,3 +184,16 @@ def test_motions_in_parts_are_those_of_a_decomposition(rank):
             both = [np.outer(t[n, at], v[n, at]) + sign * b[n, at] for sign in (1, -1)]
             assert all(np.allclose(q.T @ q, np.eye(3)) and np.linalg.det(q) > 0 for q in both)
             assert all(min(np.abs(q - own).max() for q in both) < 1e-8 for own in r[n]) and np.abs(np.abs(t[n, at] @ d[n].T) - 1).max() < 1e-8
+
+
+def test_focal_lengths_are_estimated_with_one_shuffle_of_matches(spark):
+    """Also where sessions are too many for Spark's size check: matches are gathered once and lie in one table."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert catalog.QUERIES["run_focal_estimation"](spark, SF).count() == 15
+        assert written() - before < 1_700_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
